@@ -32,7 +32,6 @@ CACHE = 600_000
 #: The vocabulary's word pattern, and its equal for texts of ASCII characters and letters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 QUICK = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
-SCHEMA = "n_tokens long, ids binary, decoded string"
 
 
 def byte_symbols() -> list[str]:
@@ -188,39 +187,31 @@ def encoder(path: str) -> PrefixEncoder:
     return _encoders[path]
 
 
-def encode_texts(df: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """df's columns `keep` with n_tokens, ids (binary, little-endian unsigned 32-bit) and the
-    decoded text of each row's whole text.
+#: The columns that encoded() can make, their types, and how they follow from ids and text.
+OUTPUTS = {
+    "n_tokens": ("long", lambda ids, out: len(ids) // 4),
+    "ids": ("binary", lambda ids, out: ids),
+    "decoded": ("string", lambda ids, out: out),
+    "ids_sha256": ("string", lambda ids, out: hashlib.sha256(ids).hexdigest()),
+    "decoded_sha256": ("string", lambda ids, out: hashlib.sha256(out.encode("utf-8")).hexdigest()),
+}
 
-    Null and empty texts have no tokens; repeated rows stay repeated; other columns of df are
-    ignored, whatever their names.
-    """
-    return _encoded(df, vocabulary, text_col, keep, SCHEMA, lambda ids, out: {"ids": ids, "decoded": out})
-
-
-def encode_digests(df: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """As encode_texts, with ids_sha256 and decoded_sha256 (lowercase hex) for the sequences."""
-    sha = lambda x: hashlib.sha256(x).hexdigest()
-    return _encoded(
-        df, vocabulary, text_col, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string",
-        lambda ids, out: {"ids_sha256": sha(ids), "decoded_sha256": sha(out.encode())},
-    )
 
+def encoded(df: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """df's columns `keep` with the outputs for each row's whole text: n_tokens, ids (binary,
+    little-endian unsigned 32-bit), the decoded text, and lowercase SHA-256 of either.
 
-def _encoded(df, vocabulary, text_col, keep, schema, columns):
+    Null and empty texts have no tokens and decode to the empty text; repeated rows stay
+    repeated; other columns of df are ignored, whatever their names.
+    """
     rows = df.select(*[F.col(c).alias(f"k{n}") for n, c in enumerate(keep)], F.col(text_col).alias("t"))
     types = dict(rows.dtypes)
 
     def run(batch):
         made = encoder(vocabulary)
-        out = {f"k{n}": batch.column(f"k{n}") for n in range(len(keep))} | {"n_tokens": []}
-        for text in texts_of(batch, "t"):
-            ids, decoded = made.encode(text)
-            out["n_tokens"].append(len(ids) // 4)
-            for name, value in columns(ids, decoded).items():
-                out.setdefault(name, []).append(value)
-        return out
-
-    keys = "".join(f"k{n} {types[f'k{n}']}, " for n in range(len(keep)))
-    made = map_arrow(rows, run, keys + schema)
-    return made.withColumnsRenamed({f"k{n}": c for n, c in enumerate(keep)})
+        results = [made.encode(t) for t in texts_of(batch, "t")]
+        kept = {f"k{n}": batch.column(f"k{n}") for n in range(len(keep))}
+        return kept | {name: [OUTPUTS[name][1](*r) for r in results] for name in outputs}
+
+    schema = [f"k{n} {types[f'k{n}']}" for n in range(len(keep))] + [f"{name} {OUTPUTS[name][0]}" for name in outputs]
+    return map_arrow(rows, run, ", ".join(schema)).withColumnsRenamed({f"k{n}": c for n, c in enumerate(keep)})

@@ -5,25 +5,52 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from pyspark.sql import functions as F
-
-from kestrel.llm import bpe, sharding, simhash
+from kestrel.llm import bpe, decontaminate, html, linededup, media, repeats, sharding, simhash, toxicity, warc
 from kestrel.llm.common import table
 
 VOCABULARY = os.environ.get("KESTREL_VOCABULARY") or public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_bpe(spark, sf_dir):
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.encoded(table(spark, sf_dir, "documents"), VOCABULARY, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op2_sharding(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op3_media(spark, sf_dir):
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.scores(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op7_linededup(spark, sf_dir):
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.clustered(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op8_simhash)}
-ORACLES: dict[str, str] = {}
+def op9_repeats(spark, sf_dir):
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_html(spark, sf_dir):
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_media, op4_toxicity, op5_decontaminate, op6_warc, op7_linededup, op8_simhash, op9_repeats, op10_html)}
+ORACLES = {"op6_warc": warc.archived_sql()}

@@ -1,0 +1,453 @@
+"""Each operator against brute force, on a small table of odd rows and on sf0.001."""
+
+import base64
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from kestrel.llm import bpe, components, decontaminate, html, linededup, media, repeats, sharding, simhash, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+LONG = "The quick brown fox jumps over the lazy dog while 12 cats watch from the wall. "
+#: Null and empty cells, ties, repeated rows, long texts and columns that clash with inner names.
+ROWS = [
+    (1, LONG * 3 + "\nsecond line of some length here\n\nshort\nshort", "a", 1),
+    (2, LONG * 3 + "\nsecond line of some lengxh here\nshort", "b", 2),
+    (3, None, None, None),
+    (4, "", "c", 3),
+    (4, "", "c", 3),
+    (5, "   \n\t", "d", 4),
+    (None, LONG * 3, "e", 5),
+    (7, "Ünïcode ß <|endoftext|> ΑΣ 日本語 'll " + "x" * 300, "f", 6),
+    (8, "abc " * 20_000, "g", 7),
+    (9, "second line of some length here", None, 8),
+    (9, "second line of some length here", None, 8),
+    (10, "prefix " + LONG * 2, "h", 9),
+    (11, "Ünïcode ß <|endoftext|> ΑΣ 日本語 'll " + "x" * 300, "f", 6),
+]
+SCHEMA = "doc_id long, text string, line string, chunk int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).withColumnsRenamed({})
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def table(rows):
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+def both(odd, documents):
+    return [(odd, [(r[0], r[1]) for r in ROWS]), (documents, [(r.doc_id, r.text) for r in documents.collect()])]
+
+
+def test_bpe_matches_the_library(odd, documents):
+    t = Tokenizer.from_file(VOCABULARY)
+    for df, rows in both(odd, documents):
+        got = bpe.encoded(df, VOCABULARY, outputs=("n_tokens", "ids", "decoded")).collect()
+        want = []
+        for i, text in rows:
+            ids = t.encode(text or "", add_special_tokens=False).ids
+            want.append((i, len(ids), bytearray(np.array(ids, "<u4").tobytes()), t.decode(ids, skip_special_tokens=False)))
+        assert table(got) == table(want)
+
+
+def test_bpe_empty_table(odd):
+    assert bpe.encoded(odd.limit(0), VOCABULARY).collect() == []
+
+
+def test_sharding(odd, documents):
+    for df, rows in both(odd, documents):
+        got = sharding.sharded(df).collect()
+        data = [(t or "").encode() for _, t in rows]
+        assert table((r.doc_id, r.size, r.text_crc32) for r in got) == table((i, len(d) + 1, zlib.crc32(d)) for (i, _), d in zip(rows, data))
+        slots, shards = defaultdict(list), {}
+        for r in got:
+            slots[r.shard].append(r.slot)
+            assert shards.setdefault(r.doc_id, (r.shard, r.grown_shard)) == (r.shard, r.grown_shard)
+            assert r.grown_shard in (r.shard, 16) and 0 <= r.shard < 16 and r.law == "key"
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.sharded(odd.limit(0)).collect() == []
+
+
+def test_sharding_weights_move_rows_only_into_the_heavier_subtree(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(4000).select(F.col("id").cast("string").alias("k"))
+    light = sharding.even_tree()
+    heavy = {**light, "region0": {**light["region0"], "region0/rack0": {**light["region0"]["region0/rack0"], 0: 3.0}}}
+    moved = sharding.with_shard(sharding.with_shard(ids, F.col("k"), light, "a"), F.col("k"), heavy, "b")
+    rows = [(r.a, r.b) for r in moved.collect()]
+    assert all(b < 8 for a, b in rows if a != b)
+    assert 2.2 < sum(b == 0 for _, b in rows) / (len(rows) / 18) < 3.8
+    counts = np.bincount([a for a, _ in rows], minlength=16)
+    assert counts.min() > 180 and counts.max() < 330
+
+
+def test_media(odd, documents):
+    for df, rows in both(odd, documents):
+        got = media.document_media(df).collect()
+        want = []
+        for i, text in rows:
+            data = (text or "").encode()
+            payload = data + bytes(-len(data) % 64 if data else 64)
+            image = media.png(payload)
+            want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest()))
+        assert table(tuple(r)[:7] for r in got) == table(want)
+    assert media.document_media(odd.limit(0)).collect() == []
+
+
+def test_media_sequences_keep_order_and_captions(spark):
+    page = "<p>one</p><figure><img src='media:sha256:aa'><figcaption>cap <b>tion</b></figcaption></figure><p>two<br>three</p><img src='x:bb' alt='alt'><script>no</script>"
+    df = spark.createDataFrame([(1, page), (2, None)], "id long, page string")
+    found = {r.id: [tuple(x) for x in r["items"]] for r in media.interleaved(df, "id", "page").collect()}
+    assert found == {1: [(0, "text", "one", None, None), (1, "media", None, "aa", "cap tion"), (2, "text", "two", None, None), (3, "text", "three", None, None), (4, "media", None, "bb", "alt")], 2: []}
+    store = spark.createDataFrame([("aa", 7)], "digest string, size int")
+    resolved = media.resolved(media.interleaved(df, "id", "page"), store).where("item.kind = 'media'")
+    assert table((r.item.position, r["size"]) for r in resolved.collect()) == [(1, 7), (4, None)]
+
+
+def test_toxicity_on_held_out_rows(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.scores(documents, toxicity.train(documents, labels)).collect()}
+    assert len(got) == documents.count()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in got.items())
+    held = [(got[r.doc_id], r.toxic) for r in labels.collect() if got[r.doc_id].held_out]
+    right = [r.predicted == t for r, t in held]
+    assert len(right) > 50 and sum(right) / len(right) >= 0.95
+
+
+def test_toxicity_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (7, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(odd, labels)
+    got = toxicity.scores(odd, model).collect()
+    assert len(got) == len(ROWS) and {r.score for r in got if r.doc_id in (3, 4, 5)} == {next(r.score for r in got if r.doc_id == 3)}
+    assert toxicity.without_toxic(odd, model).columns == odd.columns
+    assert toxicity.scores(odd.limit(0), model).collect() == []
+    none = toxicity.train(odd, labels.limit(0))
+    assert {r.score for r in toxicity.scores(odd, none).collect()} == {0.5}
+
+
+def brute_edits(passage, text):
+    """Fewest edits from the passage to any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(passage, 1):
+        last, row = row, [i] + [0] * len(text)
+        for j, d in enumerate(text, 1):
+            row[j] = min(last[j - 1] + (c != d), last[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(3)
+    letters = "abcdefghij éß"
+    items = [(k, "".join(rng.choices(letters, k=rng.randrange(30, 90)))) for k in range(8)] + [(90, "tiny"), (91, None), (92, ""), (93, "AB  cd\nefgh ijkl")]
+    docs = []
+    for n in range(120):
+        text = "".join(rng.choices(letters, k=rng.randrange(0, 150)))
+        if n % 2:
+            passage = list(rng.choice(items[:8])[1])
+            for _ in range(rng.randrange(0, 12)):
+                at = rng.randrange(len(passage))
+                passage[at : at + 1] = rng.choice([[], ["x"], ["y", passage[at]]])
+            text += "".join(passage) + "".join(rng.choices(letters, k=40))
+        docs.append((n, text))
+    docs += [(200, "Tiny"), (201, "tiny thing"), (202, None), (203, "x ab cd\n\nEFGH ijkl y"), (None, items[0][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(df, bench).collect()}
+    want = set()
+    for d, text in docs:
+        text = decontaminate.normalized(text or "")
+        for i, passage in items:
+            passage = decontaminate.normalized(passage or "")
+            if len(passage) < decontaminate.Q:
+                if passage and passage == text:
+                    want.add((d, i, 0))
+            elif (e := brute_edits(passage, text)) <= decontaminate.budget(len(passage)):
+                want.add((d, i, e))
+    assert got == want and len(want) > 20
+    leaked = {d for d, _, _ in want}
+    assert sorted(r.doc_id or -1 for r in decontaminate.without_leaks(df, bench).collect()) == sorted(d or -1 for d, _ in docs if d not in leaked)
+    assert decontaminate.leaks(df, bench.limit(0)).collect() == [] and decontaminate.leaks(df.limit(0), bench).collect() == []
+
+
+def brute_warc(rows):
+    first = {}
+    for i, page in rows:
+        if i is not None:
+            first[page or ""] = min(i, first.get(page or "", i))
+    out = []
+    for i, page in rows:
+        data = (page or "").encode()
+        refers = first.get(page or "")
+        later = i is not None and i > refers
+        out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if later else "response", refers if later else None))
+    return out
+
+
+def test_warc(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(r.page_id, r.html) for r in pages.collect()]
+    assert table(warc.archived(pages).collect()) == table(brute_warc(rows))
+    odd = [(5, "u", "x" * 1000), (4, "u\r\nv", "x" * 1000), (4, "u\r\nv", "x" * 1000), (1, None, None), (2, "w", ""), (None, "w", "ünï" * 50), (None, "w", "x" * 1000)]
+    df = spark.createDataFrame(odd, "page_id long, url string, html string")
+    for size in (7, 64, 1 << 18):
+        assert table(warc.archived(df, size).collect()) == table(brute_warc([(i, h) for i, _, h in odd]))
+    assert warc.archived(df.limit(0)).collect() == []
+
+
+def test_warc_bytes_are_a_warc_file(spark):
+    df = spark.createDataFrame([(1, "http://a/", "<p>é</p>" * 10), (2, "http://b/", "<p>é</p>" * 10)], "page_id long, url string, html string").coalesce(1)
+    rows = sorted(warc.chunks(warc.records(df), 16).collect(), key=lambda r: (r.record_id, r.chunk_no))
+    data = b"".join(bytes(r.data) for r in rows)
+    at = seen = 0
+    while at < len(data):
+        head = data[at : data.index(b"\r\n\r\n", at)].decode().split("\r\n")
+        assert head[0] == "WARC/1.1"
+        length = int(next(x for x in head if x.startswith("Content-Length")).split(": ")[1])
+        at = data.index(b"\r\n\r\n", at) + 4 + length
+        assert data[at : at + 4] == b"\r\n\r\n"
+        at, seen = at + 4, seen + 1
+    assert seen == 2
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row = row, [i] + [0] * len(b)
+        for j, d in enumerate(b, 1):
+            row[j] = min(last[j - 1] + (c != d), last[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def brute_lines(rows):
+    """The numbers of the lines that go, by row."""
+    seen = []
+    order = sorted({(linededup.LAST if i is None else i, t or "") for i, t in rows})
+    first, gone = {}, defaultdict(list)
+    for i, t in order:
+        for n, line in enumerate(t.split("\n")):
+            if line.strip(" "):
+                first.setdefault(line, (i, n))
+    seen = sorted(first, key=lambda x: (first[x], x))
+    near = set()
+    for k, x in enumerate(seen):
+        for y in seen[:k]:
+            if min(len(x), len(y)) >= linededup.SHORTEST and abs(len(x) - len(y)) <= linededup.K and edits(x, y) <= linededup.K:
+                near.add(x)
+                break
+    out = []
+    for i, t in rows:
+        i2 = linededup.LAST if i is None else i
+        exact, close = [], []
+        lines = (t or "").split("\n")
+        for n, line in enumerate(lines):
+            if line.strip(" "):
+                if first[line] != (i2, n):
+                    exact.append(n)
+                elif line in near:
+                    close.append(n)
+        out.append((i, sum(bool(x.strip(" ")) for x in lines), exact, close, len(exact) + len(close)))
+    return out
+
+
+def test_linededup_matches_brute_force(spark, odd):
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcde fé", k=rng.randrange(8, 40))) for _ in range(30)]
+    rows = []
+    for n in range(60):
+        lines = []
+        for _ in range(rng.randrange(0, 6)):
+            line = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 4])):
+                at = rng.randrange(len(line) + 1)
+                line[at : at + 1] = rng.choice([[], ["z"], ["q", "r"]])
+            lines.append("".join(line))
+        rows.append((n, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small = [(i, t) for i, t, *_ in ROWS if i != 8]
+    for frame, all_rows in ((df, rows), (odd.where("doc_id is null or doc_id <> 8"), small)):
+        got = linededup.line_report(frame).collect()
+        want = brute_lines(all_rows)
+        assert table(got) == table(want)
+        gone = {(i, t or ""): set(e) | set(c) for (i, t), (_, _, e, c, _) in zip(all_rows, want)}
+        kept = [(i, t if not gone[i, t or ""] else "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone[i, t or ""])) for i, t in all_rows]
+        out = linededup.without_repeats(frame)
+        assert out.columns == frame.columns
+        assert table((r.doc_id, r.text) for r in out.collect()) == table(kept)
+    assert any(r[3] for r in brute_lines(rows))
+    assert linededup.line_report(df.limit(0)).collect() == []
+
+
+def brute_fingerprint(text, words):
+    tokens = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
+    if not tokens:
+        return 0
+    shingles = [" ".join(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(rows, words):
+    prints = [brute_fingerprint(t or "", words) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [(i, f"{p:016x}", least.get(find(k))) for k, ((i, _), p) in enumerate(zip(rows, prints))]
+
+
+@pytest.mark.parametrize("words", [3, 5])
+def test_simhash_matches_brute_force(odd, documents, words):
+    for df, rows in both(odd, documents):
+        want = brute_components(rows, words)
+        assert table(simhash.clustered(df, words=words).collect()) == table(want)
+        kept = [(i, t) for (i, t), (_, _, c) in zip(rows, want) if i == c]
+        assert table((r.doc_id, r.text) for r in simhash.deduplicated(df, words=words).collect()) == table(kept)
+    assert simhash.clustered(odd.limit(0)).collect() == []
+
+
+def test_simhash_links_and_components(spark):
+    rng = random.Random(2)
+    values = [0]
+    while len(values) < 300:
+        v = rng.choice(values[-40:])
+        for _ in range(rng.choice([1, 3, 3, 5])):
+            v ^= 1 << rng.randrange(64)
+        values.append(v)
+    values = list(dict.fromkeys(v - (1 << 64) if v >> 63 else v for v in values))
+    want = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    links = simhash.links(spark.createDataFrame([(v,) for v in values], "fingerprint long"))
+    assert {tuple(r) for r in links.collect()} == want
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long")
+    assert {tuple(r) for r in components.components(chain).collect()} == {(k, 0) for k in range(201)} | {(500, 500), (501, 500)}
+
+
+def brute_repeats(rows):
+    docs = [(repeats.LAST if i is None else i, (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, data in docs:
+        for k in range(len(data) - 49):
+            first[data[k : k + 50]] = min(i, first.get(data[k : k + 50], i))
+    out = []
+    for (i, _), (key, data) in zip(rows, docs):
+        gone = [False] * len(data)
+        for k in range(len(data) - 49):
+            if first[data[k : k + 50]] < key:
+                gone[k : k + 50] = [True] * 50
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats_match_brute_force(spark, odd, documents, monkeypatch):
+    for df, rows in both(odd, documents):
+        assert table(repeats.without_repeats(df).collect()) == table(brute_repeats(rows))
+    rng = random.Random(9)
+    rows = []
+    for n in range(80):
+        text = "".join(rng.choices("ab", k=rng.randrange(0, 160)))
+        if rows and rng.random() < 0.7:
+            other = rng.choice(rows)[1]
+            at = rng.randrange(len(other) + 1)
+            text = text[:30] + other[at : at + rng.randrange(45, 120)] + text[30:]
+        rows.append((rng.choice([n, n, None, 3]), text))
+    monkeypatch.setattr(repeats, "CHUNK", 900)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(repeats.without_repeats(df).collect()) == table(brute_repeats(rows))
+    assert repeats.without_repeats(df.limit(0)).collect() == []
+
+
+def test_suffix_classes():
+    rng = random.Random(1)
+    for _ in range(300):
+        letters = rng.choice([2, 3, 256])
+        segments = list(dict.fromkeys(bytes(rng.randrange(letters) for _ in range(rng.randrange(5, 30))) for _ in range(rng.randrange(1, 8))))
+        found = [(segments[a][b : b + 5], c) for a, b, c in zip(*repeats.suffix_classes(segments, 5))]
+        strings = [s[k : k + 5] for s in segments for k in range(len(s) - 4)]
+        assert [x for x, _ in found] == sorted(strings) and len(set(found)) == len(set(strings))
+
+
+def test_anchors_of_long_documents_are_the_same_in_pieces(monkeypatch):
+    data = bytes(np.random.default_rng(1).integers(97, 101, 5000, np.uint8))
+    whole = repeats.anchors(data)
+    covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(whole[1], whole[2])])
+    assert (covered == np.arange(len(data) - 49)).all()
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    parts = repeats.anchors(data)
+    expand = lambda x: np.repeat(x[0], x[2] - x[1] + 1)
+    assert (expand(parts) == expand(whole)).all()
+
+
+def test_html_main_text(spark):
+    shell = "<html><head><title>T</title><style>x</style></head><body><nav><ul><li>menu</li></ul></nav>{}<footer>foot</footer></body></html>"
+    pages = [
+        (1, "http://a.com/x/1", shell.format("<article><h1>Head &amp; tail</h1><p>one\n  <b>two</b><br>three<p>four</p><div class='comments'><p>no</p></div></article><div class='ad'>buy</div>")),
+        (2, "http://a.com/x/2", "<div>Site name</div><p>own text two</p><p>All rights</p>"),
+        (3, "http://a.com/x/3", "<div>Site name</div><p>own text three</p><p>All rights</p>"),
+        (4, "http://a.com/x/0", "<div>Site name</div><p>own text zero</p><p>All rights</p>"),
+        (5, "http://b.com/", "<p>alone &eacute;&nbsp;x</p><script>if (a < b) {}</script>"),
+        (6, None, None),
+        (6, None, None),
+        (7, "nonsense", "a < b <p>c"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_texts(df).collect()}
+    assert got == {1: "Head & tail\none two three\nfour", 2: "own text two", 3: "own text three", 4: "own text zero", 5: "alone é x", 6: "", 7: "a < b\nc"}
+    assert html.main_texts(df).count() == len(pages) and html.main_texts(df.limit(0)).collect() == []
+
+
+def test_html_pairs_are_the_same_for_any_ranges(spark):
+    pages = [(k, f"http://h{k % 3}.com/p/{k:03d}", f"<div>site {k % 3}</div><p>text {k}</p><p>part {k // 6}</p>") for k in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        results = []
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(table(html.main_texts(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1]
+    assert all("site" not in r[2] and f"text {r[0]}" in r[2] for r in results[0])
+
+
+def test_lcs():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(9))] for _ in "ab")
+        table_ = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table_[i + 1][j + 1] = table_[i][j] + 1 if x == y else max(table_[i][j + 1], table_[i + 1][j])
+        found = html.common(a, b)
+        assert len(found) == table_[-1][-1]
+        rest = iter(b)
+        assert all(a[i] in rest for i in sorted(found))
