@@ -2,9 +2,9 @@
 
 A text's features are the distinct hashes of its words, word stems (first letters), pairs of
 neighbouring words and pairs of words with one or two words between. Training runs on a
-bounded sample of labelled rows in a few parts, each of which learns with per-coordinate
-rates and an L1 bound; the parts' weights are averaged, which leaves a few thousand non-zero
-coordinates. These go out with the scoring function.
+bounded sample of labelled rows, whose features all tasks extract; one learner goes through
+the sample with per-coordinate rates and an L1 bound, which leaves a few hundred non-zero
+weights. These go out with the scoring function.
 """
 
 from __future__ import annotations
@@ -18,16 +18,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import map_arrow, texts_of, written
+from kestrel.llm.common import map_arrow, texts_of
 
 #: Features are numbered by this many bits of their hash; feature 0 is the bias.
 BITS = 20
 STEMS = (4, 5)
 #: The most labelled rows that are trained on: the ones with the smallest hash of their id.
-SAMPLE = 12_000
-#: The parts that learn side by side, and their passes over their rows.
-PARTS, PASSES = 4, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.3, 0.01
+SAMPLE = 10_000
+PASSES = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.01
 #: Odd multipliers that mix the hashes of two words, by the words between them.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 CACHE = 500_000
@@ -108,7 +107,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "at": [features(t).tobytes() for t in texts_of(batch, "t")]}
 
     rows = map_arrow(texts.select(F.col("doc_id").cast("long"), F.col("label").cast("double"), "t"), number, "doc_id long, label double, at binary")
-    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")), "toxicity-sample")
+    rows = rows.withColumn("sample", F.lit(0))
 
     def learn(group: pa.Table) -> pa.Table:
         order = np.lexsort((group["doc_id"].to_numpy(), np.array([xxhash.xxh64_intdigest(str(i)) for i in group["doc_id"].to_pylist()], np.uint64)))
@@ -121,8 +120,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at = np.flatnonzero(w)
         return pa.table({"at": at.astype(np.int32), "w": w[at]})
 
-    found = rows.groupBy("part").applyInArrow(learn, "at int, w double").groupBy("at").agg(F.sum("w").alias("w")).orderBy("at").toArrow()
-    return found["at"].to_numpy(), found["w"].to_numpy() / PARTS
+    found = rows.groupBy("sample").applyInArrow(learn, "at int, w double").toArrow()
+    return found["at"].to_numpy(), found["w"].to_numpy()
 
 
 def scores(df: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
