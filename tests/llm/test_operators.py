@@ -266,7 +266,9 @@ def brute_lines(rows):
     return out
 
 
-def test_linededup_matches_brute_force(spark, odd):
+@pytest.mark.parametrize("crowd", [32, 1])
+def test_linededup_matches_brute_force(spark, odd, monkeypatch, crowd):
+    monkeypatch.setattr(linededup, "CROWD", crowd)
     rng = random.Random(5)
     base = ["".join(rng.choices("abcde fé", k=rng.randrange(8, 40))) for _ in range(30)]
     rows = []
