@@ -35,10 +35,16 @@ def fixed_windows(spark, trials: dict[int, tuple[int, int]], lead: int = LEAD) -
     return spark.createDataFrame([(n, a - lead, b) for n, (a, b) in trials.items()], "trial_num int, start_frame int, end_frame int")
 
 
+def outside(start, end, n_frames) -> Column:
+    """Whether a window (inclusive) leaves a series of n_frames."""
+    start, end, n_frames = (F.col(c) if isinstance(c, str) else c for c in (start, end, n_frames))
+    return (start < 0) | (end >= n_frames)
+
+
 def checked_windows(trials: DataFrame, frames: DataFrame, session: str = "session") -> DataFrame:
     """trials, with an error at a trial that begins before 0 or ends after the series; frames
     has n_frames by session."""
-    bad = (F.col("start_frame") < 0) | (F.col("end_frame") >= F.col("n_frames"))
+    bad = outside("start_frame", "end_frame", "n_frames")
     message = F.concat(F.lit("trial outside the series: "), F.col("trial_num").cast("string"))
     out = trials.join(frames.select(session, "n_frames"), session)
     return out.withColumn("start_frame", F.when(bad, F.raise_error(message)).otherwise(F.col("start_frame"))).drop("n_frames")

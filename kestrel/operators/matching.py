@@ -181,3 +181,20 @@ def unanimity(events: DataFrame, scorers: list[str], threshold: Column) -> DataF
     rows = rows.select(*KEYS, *[count(k).alias(k) for k in ("s123", "s12", "s13", "s23")], *[F.size(f"l{k}").alias(f"s{k + 1}_raw") for k in range(3)])
     rows = rows.withColumn("total_unique", F.expr("s1_raw + s2_raw + s3_raw - (s12 + s123) - (s13 + s123) - (s23 + s123) + s123"))
     return rows.withColumn("unanimity_rate", ratio("s123", "total_unique"))
+
+
+def triplets(events: DataFrame, scorers: list[str], threshold: int) -> DataFrame:
+    """Each video's and type's triplets of one event a scorer: t1, t2, t3 and which of their
+    distances pass. Within a video's bounded lists these are all combinations."""
+    out = None
+    for k, s in enumerate(scorers, 1):
+        one = events.where(F.col("scorer") == s).select(*KEYS, F.col("t").alias(f"t{k}"))
+        out = one if out is None else out.join(one, KEYS)
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= threshold
+    return out.withColumns({"p12": near("t1", "t2"), "p13": near("t1", "t3"), "p23": near("t2", "t3")})
+
+
+def mark_lists(marks: DataFrame, keys: list[str], frame: str) -> DataFrame:
+    """keys, frames (sorted, each once) and n of marks; n is always the list's length."""
+    out = marks.groupBy(*keys).agg(F.array_sort(F.collect_set(frame)).alias("frames"))
+    return out.withColumn("n", F.size("frames"))
