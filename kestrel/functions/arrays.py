@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def l1_normalized(a: Column) -> Column:
@@ -43,3 +46,17 @@ def radial_profile(contour: Column, x: Column, y: Column, points: int = 100) ->
     """Distances of a contour's points from (x, y), resampled and turned to start at the
     largest."""
     return rolled_to_max(resampled(F.transform(contour, lambda p: F.sqrt((p["x"] - x) ** 2 + (p["y"] - y) ** 2)), points))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def lowpass(signals: pd.Series, frequencies: pd.Series) -> pd.Series:
+    """Each array without the frequencies above a number of turns; null arrays stay null."""
+
+    def one(signal, keep):
+        if signal is None or not len(signal):
+            return signal
+        parts = np.fft.rfft(np.asarray(signal, float))
+        parts[int(keep) + 1 :] = 0
+        return np.fft.irfft(parts, len(signal))
+
+    return pd.Series([one(s, k) for s, k in zip(signals, frequencies)], dtype=object)

@@ -12,6 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 TINY = 1e-300
 
@@ -128,33 +129,33 @@ def _column(function):
     return run
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_cdf_column(t: pd.Series, df: pd.Series) -> pd.Series:
     return _column(t_cdf)(t, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_p_column(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value."""
     return _column(lambda x, d: 2 * t_sf(abs(x), d))(t, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_ppf_column(p: pd.Series, df: pd.Series) -> pd.Series:
     known: dict = {}
     return _column(lambda q, d: known[q, d] if (q, d) in known else known.setdefault((q, d), t_ppf(q, d)))(p, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_sf_column(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _column(f_sf)(f, d1, d2)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_sf_column(x: pd.Series, df: pd.Series) -> pd.Series:
     return _column(chi2_sf)(x, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def norm_ppf_column(p: pd.Series) -> pd.Series:
     return _column(norm_ppf)(p)

@@ -79,3 +79,22 @@ def top_fraction(df: DataFrame, key: str, value: str, fraction: float) -> DataFr
     ranked = means.orderBy(F.col("__mean").desc(), key)
     keep = max(1, int((count.first()["__n"] or 0) * fraction))
     return df.join(ranked.limit(keep).select(key), key, "left_semi")
+
+
+def sampled(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """n of df's rows, chosen by a hash of the keys and the seed: the same ones however df is
+    partitioned."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+def anonymized(df: DataFrame, key: str, adjectives: DataFrame, nouns: DataFrame, seed: int = 0) -> DataFrame:
+    """key and name, adjective_noun drawn by a hash of the key; names that repeat get _2, _3... in
+    the order of the key. adjectives and nouns have the column word; the lists are a
+    dictionary's, written by hand."""
+    listed = lambda words: F.array_sort(F.collect_set("word")).alias("l")
+    a, n = (w.agg(listed(w)).select(F.col("l").alias(name)) for w, name in ((adjectives, "__a"), (nouns, "__n")))
+    pick = lambda c, salt: F.get(c, F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key)), F.size(c)).cast("int"))
+    rows = df.select(key).distinct().crossJoin(F.broadcast(a)).crossJoin(F.broadcast(n))
+    named = rows.select(key, F.concat_ws("_", pick("__a", "a"), pick("__n", "n")).alias("__base"))
+    at = F.row_number().over(W.partitionBy("__base").orderBy(key))
+    return named.select(key, F.when(at == 1, F.col("__base")).otherwise(F.concat_ws("_", "__base", at.cast("string"))).alias("name"))
