@@ -11,12 +11,15 @@ from kestrel.plans.views import MARKS_SQL
 
 SCORERS = ["S1", "S2", "S3"]
 TYPES = ["turn", "contraction"]
-LIMIT = F.when(F.col("event_type") == "turn", 10).otherwise(15)
+
+
+def _limit():
+    return F.when(F.col("event_type") == "turn", 10).otherwise(15)
 
 
 def _matched(spark, sf_dir):
     events = views.marks(spark, sf_dir)
-    return events, matching.matched(events, matching.scored_pairs(events, TYPES, SCORERS), LIMIT)
+    return events, matching.matched(events, matching.scored_pairs(events, TYPES, SCORERS), _limit())
 
 
 _MATCH_SQL = f"""{MARKS_SQL}, p AS (SELECT DISTINCT e.video, y.event_type, z.ref, z.test FROM e, (VALUES ('turn'), ('contraction')) y(event_type), (VALUES ('S1', 'S2'), ('S1', 'S3'), ('S2', 'S3')) z(ref, test)),
@@ -120,7 +123,7 @@ z AS (SELECT *, s1_raw + s2_raw + s3_raw - (s12 + s123) - (s13 + s123) - (s23 +
 SELECT *, round(CASE WHEN total_unique > 0 THEN s123 / total_unique ELSE 0 END, 6) AS unanimity_rate FROM z""")
 def q_unanimity(spark, sf_dir):
     """Events that all three scorers, two, or one have, by video and type."""
-    return rounded(matching.unanimity(views.marks(spark, sf_dir), SCORERS, LIMIT), "unanimity_rate")
+    return rounded(matching.unanimity(views.marks(spark, sf_dir), SCORERS, _limit()), "unanimity_rate")
 
 
 @query(f"""WITH {MARKS_SQL} SELECT a.video, a.event_type, a.t AS t1, b.t AS t2, c.t AS t3, abs(a.t - b.t) <= 10 AS p12, abs(a.t - c.t) <= 10 AS p13, abs(b.t - c.t) <= 10 AS p23
