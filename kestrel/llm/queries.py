@@ -53,4 +53,4 @@ def op10_html(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_media, op4_toxicity, op5_decontaminate, op6_warc, op7_linededup, op8_simhash, op9_repeats, op10_html)}
-ORACLES = {"op6_warc": warc.archived_sql()}
+ORACLES = {"op2_sharding": sharding.sharded_sql(), "op6_warc": warc.archived_sql(), "op9_repeats": repeats.without_repeats_sql()}

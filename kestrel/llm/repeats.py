@@ -395,3 +395,18 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sent = cogrouped(matched, lambda c, g, m: _sent(c, g, m, bits) if g.num_rows else _wire([]), WIRE)
     answered = sent.groupBy("bucket").applyInArrow(_sorted, WIRE)
     return cogrouped(matched.union(answered), lambda c, g, m: _report(g, m, bits), SCHEMA)
+
+
+def without_repeats_sql() -> str:
+    """DuckDB SQL for without_repeats(documents), by grouping all strings."""
+    return f"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, len(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+    g AS (SELECT doc_id, k, substr(h, 2 * k + 1, {2 * LENGTH}) AS s FROM (SELECT *, unnest(range(0, n - {LENGTH - 1})) AS k FROM d)),
+    m AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+    c AS (SELECT doc_id, k, k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS gap FROM g JOIN m USING (s) WHERE first < doc_id),
+    i AS (SELECT doc_id, k, sum(CASE WHEN gap <= {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM c),
+    r AS (SELECT doc_id, run, min(k) AS a, max(k) + {LENGTH} AS b FROM i GROUP BY ALL),
+    p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM r),
+    x AS (SELECT p.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+      FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+    SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)"""

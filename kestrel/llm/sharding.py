@@ -91,7 +91,7 @@ def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree:
     rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
     rows = with_shard(rows, F.col("doc_id").cast("string"), tree)
     rows = with_shard(rows, F.col("doc_id").cast("string"), grown(tree), "grown_shard")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BUCKETS)).cast("int"))
+    rows = rows.withColumn("bucket", (F.crc32(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.col("text_crc32").cast("string")), "UTF-8")) % BUCKETS).cast("int"))
     keys = ["shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard"]
     counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     totals = counted.groupBy("shard", "bucket").agg(F.sum("n").alias("rows"))
@@ -125,3 +125,27 @@ def shard_sql(tree: Tree, key: str, name: str, source: str) -> str:
         f"(SELECT * EXCLUDE (_r, _c), (CASE _c {shard} END)::INTEGER AS {name} FROM (SELECT *, CASE _r {rack} END AS _c "
         f"FROM (SELECT *, {_pick_sql(key, tree)} AS _r FROM {source})))"
     )
+
+
+def _crc32_sql(hexadecimal: str) -> str:
+    """DuckDB SQL for the CRC-32 of bytes given in hexadecimal; `t` is the table of crc_table."""
+    step = "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])"
+    values = f"list_transform(range(0, len({hexadecimal}) // 2), lambda i: ('0x' || substr({hexadecimal}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), {step}), 4294967295)"
+
+
+def sharded_sql() -> str:
+    """DuckDB SQL for sharded(documents)."""
+    tree = even_tree()
+    bits = "n"
+    for _ in range(8):
+        bits = f"(CASE WHEN {bits} & 1 = 1 THEN xor({bits} >> 1, 3988292384) ELSE {bits} >> 1 END)" if bits == "n" else f"list_reduce([{bits}, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    source = shard_sql(grown(tree), "k", "grown_shard", shard_sql(tree, "k", "shard", "u"))
+    return f"""
+    WITH crc_table AS (SELECT list_transform(range(0, 256), lambda n: {bits}) AS t),
+    d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    e AS (SELECT doc_id, k, len(h) // 2 + 1 AS size, {_crc32_sql("h")} AS text_crc32, t FROM d, crc_table),
+    u AS (SELECT doc_id, k, size, text_crc32, {_crc32_sql("hex(encode(k || '|' || text_crc32))")} % {BUCKETS} AS bucket FROM e)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+      row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+    FROM {source}"""
