@@ -57,7 +57,7 @@ def region_of(path) -> Column:
 
 
 def region_corner(region, k: int) -> Column:
-    return F.element_at(F.split(text_column(region), "_"), k).try_cast("int")
+    return F.get(F.split(text_column(region), "_"), F.lit(k - 1)).try_cast("int")
 
 
 def condition_of(session) -> Column:

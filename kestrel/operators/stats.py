@@ -262,8 +262,8 @@ def slope_interaction(df: DataFrame, keys: list[str], group: str, a, b, x: str,
     parts = rows.groupBy(*keys, group).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
     parts = parts.where("sxx > 0").withColumn("rest", F.expr("greatest(0.0, syy - slope * sxy)"))
     at = lambda c, g: F.max(F.when(F.col(group) == g, F.col(c)))
-    out = parts.groupBy(*keys).agg(at("slope", a).alias("slope_a"), at("slope", b).alias("slope_b"), F.sum("n").alias("n"), F.sum("rest").alias("rest"), F.sum(1 / F.col("sxx")).alias("inverse"), F.count("*").alias("k"))
-    out = out.where("k = 2 and n > 4 and rest > 0").withColumns({"interaction": F.expr("slope_b - slope_a"), "df": F.expr("n - 4")})
+    out = parts.groupBy(*keys).agg(at("slope", a).alias("slope_a"), at("slope", b).alias("slope_b"), F.sum("n").alias("n"), F.sum("rest").alias("rest"), F.sum(1 / F.col("sxx")).alias("inverse"), F.count("*").alias("__groups"))
+    out = out.where("__groups = 2 and n > 4 and rest > 0").withColumns({"interaction": F.expr("slope_b - slope_a"), "df": F.expr("n - 4")})
     return out.withColumn("t", F.expr("interaction / sqrt(rest / df * inverse)")).select(*keys, "slope_a", "slope_b", "interaction", "t", "df")
 
 

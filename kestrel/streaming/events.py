@@ -57,10 +57,11 @@ def upserted(df: DataFrame, path: str, keys: list[str], checkpoint: str, **trigg
     return f"{path}/v{query.lastProgress['batchId'] if query.lastProgress else 0}"
 
 
-def gap_filled(df: DataFrame, keys: list[str], frame: str, value: str, max_gap: int = 30, timeout_ms: int = 600_000) -> DataFrame:
+def gap_filled(df: DataFrame, keys: list[str], frame: str, value: str, max_gap: int = 30, timeout_ms: int | None = None) -> DataFrame:
     """keys, frame, value and filled of a stream whose rows of a key come in order of frames: gaps
     of up to max_gap frames lie on a straight line once the next value is there, longer ones are
-    null. What waits is at most one gap a key; it goes out null when no row comes for timeout_ms.
+    null. What waits is at most one gap a key; it goes out null when no row comes for timeout_ms,
+    which only streams without an end can have.
     """
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", {frame} long, {value} double, filled double"
@@ -87,8 +88,9 @@ def gap_filled(df: DataFrame, keys: list[str], frame: str, value: str, max_gap:
                 out.append([*key, f, v, v])
                 last, known, waiting = f, v, []
             state.update((last, known, waiting))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=columns).astype({value: float, "filled": float})
 
     rows = df.select(*keys, F.col(frame).cast("long").alias(frame), F.col(value).cast("double").alias(value))
-    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "last long, known double, waiting array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "last long, known double, waiting array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
