@@ -75,6 +75,9 @@ def gamma_inc(a: float, x: float) -> float:
 def t_cdf(t: float, df: float) -> float:
     if not (t == t and df > 0):
         return math.nan
+    if t * t < df:
+        # Near the middle the distance from one half is the accurate figure.
+        return 0.5 + math.copysign(beta_inc(0.5, df / 2, t * t / (df + t * t)) / 2, t)
     tail = beta_inc(df / 2, 0.5, df / (df + t * t)) / 2
     return 1 - tail if t > 0 else tail
 
