@@ -3,8 +3,9 @@
 A line is cut into K + 1 segments. A line within K edits of it holds one of the segments
 unchanged and near its old place, so that segments filed under length and number, and probes
 with the substrings of those lengths and places, bring the pairs together. Spark's banded
-edit distance with a threshold decides. Only distinct lines join; copies are counted before. Many near copies that share a
-segment don't all meet: a frequent key is split by letter counts, which close lines share.
+edit distance with a threshold decides. Only distinct lines join; copies are counted before.
+Near copies of one line share segments, so many lines meet under one key: under frequent keys
+the lines go along, and only pairs within K edits leave the join.
 
 A line of a document goes if an equal line, or one within K edits, occurs earlier, by
 document id and then line number. Lines are judged on the input.
@@ -12,8 +13,6 @@ document id and then line number. Lines are judged on the input.
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +25,9 @@ SHORTEST = 12
 #: Lines of candidate pairs whose keys may go to every task: at most 8 MB. More are joined by
 #: a shuffle.
 BROADCAST = 1_000_000
-#: Keys that more lines than CROWD are filed under, up to HOT of them (the most frequent), are
-#: split by the counts of these sets of letters, which K edits change by K at most.
-CROWD, HOT, LETTERS = 32, 10_000, ("aeiou", "etsrd", "nhl ,")
+#: Lines under keys that more than CROWD lines are filed under, up to HOT keys (the most frequent,
+#: a broadcast of 80 kB), go along with the key, and the join itself compares them.
+CROWD, HOT = 16, 10_000
 #: The id that rows without one count as: the last.
 LAST = (1 << 63) - 1
 
@@ -84,16 +83,6 @@ def _probes(line: Column, n: Column) -> list[Column]:
     return keys
 
 
-def _cells(line: Column, hot: Column, key: Column, reach: int) -> Column:
-    """The key, or for a hot one its parts for the line: one part by letter counts, or with
-    reach K all those that hold lines within K edits."""
-    width, parts = 2 * K + 1, []
-    counts = [F.length(line) - F.length(F.translate(line, letters, "")) for letters in LETTERS]
-    for ends in product(*([-reach, reach] if reach else [0] for _ in LETTERS)):
-        parts.append(F.xxhash64(key, *[F.floor((n + e) / width) for n, e in zip(counts, ends)]))
-    return F.when(hot.isNull(), F.array(key)).otherwise(F.array_distinct(F.array(*parts)))
-
-
 def _pick(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts of wanted lines (dkey, line_no and other columns); documents move by key."""
     grouped = wanted.groupBy("dkey").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "dkey"])).alias("wanted"))
@@ -110,9 +99,14 @@ def near_links(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     probes = texts.select("h1", "line", F.explode(F.array(*_probes(F.col("line"), F.col("n")))).alias("key"))
     crowded = filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
     hot = F.broadcast(crowded.orderBy(F.col("n").desc(), "key").limit(HOT).select("key", F.lit(True).alias("hot")))
-    spread = lambda rows, reach: rows.join(hot, "key", "left").select("h1", F.explode(_cells(F.col("line"), F.col("hot"), F.col("key"), reach)).alias("key"))
-    filed, probes = spread(filed, 0), spread(probes, K)
-    met = probes.withColumnRenamed("h1", "p").join(filed.withColumnRenamed("h1", "f").hint("shuffle_hash"), "key").where("p <> f")
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.join(hot, "key", "left").select("key", F.col("h1").alias(name), F.when(F.col("hot"), F.col("line")).alias(f"{name}_line"))
+
+    filed, probes = keyed(filed, "f"), keyed(probes, "p")
+    # Where lines don't go along the pair is met here and compared below.
+    near = F.coalesce(F.levenshtein("p_line", "f_line", K) >= 0, F.lit(True))
+    met = probes.join(filed.hint("shuffle_hash"), "key").where((F.col("p") != F.col("f")) & near)
     pairs = written(met.select(F.least("p", "f").alias("a1"), F.greatest("p", "f").alias("b1")).distinct(), "line-pairs")
     named = pairs.select(F.col("a1").alias("h1")).union(pairs.select("b1")).distinct()
     named = written(named, "line-pair-keys")
