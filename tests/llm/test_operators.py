@@ -330,11 +330,50 @@ def test_simhash_matches_brute_force(odd, documents, words):
     for df, rows in both(odd, documents):
         want = brute_components(rows, words)
         assert table(simhash.clustered(df, words=words).collect()) == table(want)
-        kept = [(i, t) for (i, t), (_, _, c) in zip(rows, want) if i == c]
-        assert table((r.doc_id, r.text) for r in simhash.deduplicated(df, words=words).collect()) == table(kept)
     assert simhash.clustered(odd.limit(0)).collect() == []
 
 
+def shingles(text, words=5):
+    tokens = text.lower().split()
+    return {" ".join(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))} if tokens else set()
+
+
+def test_similar_texts_meet(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 8))) for _ in range(3000)]
+    texts = []
+    for n in range(150):
+        base = rng.choices(vocabulary, k=rng.randrange(60, 400))
+        texts.append(base)
+        for _ in range(rng.randrange(0, 3)):
+            near = list(base)
+            for _ in range(max(1, len(base) // 100)):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            texts.append(near)
+    rows = [(n, " ".join(t)) for n, t in enumerate(texts)] + [(1000, rows_ := " ".join(texts[0])), (1000, rows_), (1001, None), (1002, ""), (None, " ".join(texts[1])), (None, "only here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in simhash.similar(df).collect():
+        got.setdefault(r.doc_id, r.component_id)
+    sets = {i: shingles(t or "") for i, t in rows if i is not None}
+    near = far = met = wrong = 0
+    for a, b in __import__("itertools").combinations(sets, 2):
+        similarity = len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) if sets[a] or sets[b] else 1.0
+        near, met = near + (similarity >= 0.8), met + (similarity >= 0.8 and got[a] == got[b])
+        far, wrong = far + (similarity < 0.5), wrong + (similarity < 0.5 and got[a] == got[b])
+    assert near > 50 and met >= 0.95 * near and wrong == 0 and far > 1000
+    kept = [r.doc_id for r in simhash.deduplicated(df).collect()]
+    assert {i for i in kept} == {c for c in got.values()} | {None} and kept.count(None) == 1
+    assert simhash.similar(df.limit(0)).collect() == [] and simhash.deduplicated(df.limit(0)).collect() == []
+
+
+def test_blocks_grow_with_the_number_of_texts():
+    sizes = [simhash.block_places(n).shape for n in (0, 1000, 1 << 20, 1 << 24, 1 << 30)]
+    assert sizes[0] == sizes[1] == (126, 24) and sizes[3][1] == 29 and sizes[4][1] == 35
+    for count, length in sizes[2:]:
+        assert 0.9 < count * 0.871**length / (126 * 0.871**24) < 1.1
+
+
 def test_simhash_links_and_components(spark):
     rng = random.Random(2)
     values = [0]

@@ -1,5 +1,7 @@
 """The pipeline's stages against the operators' brute-force forms."""
 
+from itertools import combinations
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -7,7 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from kestrel.llm import decontaminate, toxicity
 from kestrel.llm.common import table
-from test_operators import brute_components, brute_edits, brute_lines
+from test_operators import brute_edits, brute_lines, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,8 +31,13 @@ def test_stages(spark):
     assert {r.doc_id: r.text for r in lines.collect()} == want and lines.columns == docs.columns
 
     kept = stages["simhash"](spark, docs, SF)
-    want = {i for i, _, c in brute_components([(r.doc_id, r.text) for r in docs.collect()], 5) if i == c}
-    assert {r.doc_id for r in kept.collect()} == want
+    kept, texts = {r.doc_id for r in kept.collect()}, {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    for a, b in combinations(sorted(texts), 2):
+        similarity = len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+        assert not (texts[a] == texts[b] and b in kept) and (similarity < 0.85 or not {a, b} <= kept)
+    for a in set(texts) - kept:
+        assert any(len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) > 0.6 for b in texts if b != a)
 
     items = [decontaminate.normalized(r.text) for r in table(spark, SF, "benchmark").collect()]
     few = docs.where("n_chars < 600")
