@@ -65,6 +65,17 @@ def labels_of_blocks(df: DataFrame, labels: dict[int, list[str]], block: str = "
     return rows.withColumn("trial_num", F.col("__k") + 1).drop("__k")
 
 
+def checked_labels(trials: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """trials with the label of their trial_num; a key whose numbers of trials and labels differ is
+    an error. labels as from labels_of_blocks()."""
+    n = labels.groupBy(key).agg(F.count("*").alias("__labels"))
+    counted = trials.withColumn("__trials", F.count("*").over(W.partitionBy(key))).join(n, key, "left")
+    wrong = ~F.col("__trials").eqNullSafe(F.col("__labels"))
+    message = F.concat(F.lit("trials and labels differ in number: "), F.col(key).cast("string"))
+    checked = counted.withColumn("trial_num", F.when(wrong, F.raise_error(message).cast("int")).otherwise(F.col("trial_num")))
+    return checked.drop("__trials", "__labels").join(labels.select(key, "trial_num", "label"), [key, "trial_num"], "left")
+
+
 def boxes_numbered(df: DataFrame, key: str, box: str, x: str) -> DataFrame:
     """key, box and worm: the distinct boxes of each key numbered from the left, and n_boxes."""
     distinct = df.select(key, box, x).distinct()

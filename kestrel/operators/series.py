@@ -57,6 +57,21 @@ def angle_gap_filled(df: DataFrame, keys: list[str], order: str, value: str, out
     return _filled(df, keys, order, value, out, max_gap, between)
 
 
+def features_filled(df: DataFrame, keys: list[str], order: str, columns: list[str], angles: tuple[str, ...] = (), max_gap: int = 30) -> DataFrame:
+    """df with the gaps of all the columns filled: angles by angle_gap_filled(), the others on
+    straight lines. All columns share the series' one sort."""
+    for c in columns:
+        df = (angle_gap_filled if c in angles else gap_filled)(df, keys, order, c, c, max_gap)
+    return df
+
+
+def fill_report(before: DataFrame, after: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys, feature, n_before, n_after and n_filled: missing values of each column before and
+    after filling."""
+    a, b = (null_report(d, keys, columns).select(*keys, "feature", F.col("n_null").alias(n)) for d, n in ((before, "n_before"), (after, "n_after")))
+    return a.join(b, [*keys, "feature"]).withColumn("n_filled", F.col("n_before") - F.col("n_after"))
+
+
 def gradient(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
     """Central differences at unit steps, one-sided at the ends; a null neighbour gives null, as
     does a series of one row."""

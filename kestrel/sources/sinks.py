@@ -41,6 +41,17 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def lookup_records(df: DataFrame, stamp: str) -> DataFrame:
+    """Rows for the table of anonymous names (tables.LOOKUP) from anonymous_name, original_file,
+    box_coordinates, trial_number and trial_frames: date and kind of the session come from the
+    file's name. append() adds them."""
+    parts = F.split("original_file", "_")
+    return df.select(
+        "anonymous_name", "original_file", "box_coordinates", "trial_number", "trial_frames", F.concat_ws("_", F.slice(parts, 1, 3)).alias("session_date"),
+        F.element_at(parts, -1).alias("trial_type"), F.lit(stamp).alias("timestamp_created"),
+    )
+
+
 def upsert(new: DataFrame, path: str, keys: list[str], version: int) -> str:
     """Writes the table `path`/v<version - 1> with new rows in place of those with equal keys as
     `path`/v<version>. A version is never written over, so a task that is lost or a job that is

@@ -452,6 +452,22 @@ def test_sheets(spark):
         assert got["mean"] == 2.33 and got["n"] == 3 and got["error"] > 0
 
 
+def test_features_filled_and_reported(spark):
+    df = spark.createDataFrame([(1, 0, 0.0, 170.0), (1, 1, None, None), (1, 2, 2.0, 10.0), (1, 3, None, 10.0)], "s int, frame int, v double, a double")
+    out = series.features_filled(df, ["s"], "frame", ["v", "a"], ("a",))
+    assert [(r.v, r.a) for r in out.orderBy("frame").collect()] == [(0.0, 170.0), (1.0, 0.0), (2.0, 10.0), (2.0, 10.0)]
+    assert rows(series.fill_report(df, out, ["s"], ["v", "a"]), "feature", "n_before", "n_after", "n_filled") == [("a", 1, 0, 1), ("v", 2, 0, 2)]
+
+
+def test_labels_are_counted(spark):
+    trials = spark.createDataFrame([("x", 1), ("x", 2)], "session string, trial_num int")
+    sessions = spark.createDataFrame([("x", 1), ("y", 9)], "session string, block int")
+    labels = scores.labels_of_blocks(sessions, {1: ["a", "b"], 2: ["c"]})
+    assert rows(scores.checked_labels(trials, labels, "session"), "trial_num", "label") == [(1, "a"), (2, "b")]
+    with pytest.raises(Exception, match="differ in number"):
+        scores.checked_labels(trials.limit(1), labels, "session").collect()
+
+
 @pytest.mark.parametrize("operator", [
     lambda d: series.gap_filled(d, ["s"], "frame", "v", "f"),
     lambda d: series.spikes(d, ["s"], "frame", "v", "f"),

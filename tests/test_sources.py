@@ -95,6 +95,9 @@ def test_sinks(spark, tmp_path):
     assert empty.count() == 0
     sinks.append(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "log"))
     assert sinks.created(spark, str(tmp_path / "log"), "a int, b string").count() == 1
+    named = spark.createDataFrame([("Odd_Fox", "2025_10_15_10_20_58_trial_1_TC", "1_2_3_4", 1, "18-291")], "anonymous_name string, original_file string, box_coordinates string, trial_number int, trial_frames string")
+    record = sinks.lookup_records(named, "2026-01-01").first()
+    assert (record.session_date, record.trial_type) == ("2025_10_15", "TC") and sinks.lookup_records(named, "x").columns == [x.split()[0] for x in tables.LOOKUP.split(", ")]
     stamped = sinks.snapshot(df, str(tmp_path), "kl", "2026_01_01")
     with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
         sinks.snapshot(df, str(tmp_path), "kl", "2026_01_01")
