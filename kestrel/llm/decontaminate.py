@@ -125,10 +125,11 @@ class Index:
             return out
         n = self.count[place]
         rows = np.repeat(self.first[place] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, diagonal = self.owners[rows], np.repeat(at, n) - self.places[rows]
+        item, spot = self.owners[rows], self.places[rows]
+        diagonal = np.repeat(at, n) - spot
         enough = np.bincount(item, minlength=len(self.items)) >= self.bound
         keep = enough[item]
-        item, diagonal = item[keep], diagonal[keep]
+        item, diagonal, spot = item[keep], diagonal[keep], spot[keep]
         if not len(item):
             return out
         e = self.edits[item]
@@ -137,9 +138,18 @@ class Index:
         # Neighbouring bands overlap by 2 e diagonals, so one band holds the whole match.
         lower = shift - band * width < 2 * e
         key = np.concatenate([item << 40 | band, item[lower] << 40 | band[lower] - 1])
-        keys, hits = np.unique(key, return_counts=True)
+        keys, inverse, hits = np.unique(key, return_inverse=True, return_counts=True)
+        full = hits >= self.bound[keys >> 40]
+        # A q-gram that repeats hits often, but the bound is one of places in the passage and in the
+        # text: only different ones count.
+        among = full[inverse]
+        spots = np.concatenate([spot, spot[lower]])[among]
+        starts = spots + np.concatenate([diagonal, diagonal[lower]])[among]
+        for places in (spots, starts):
+            different = np.unique(inverse[among].astype(np.int64) << 40 | places) >> 40
+            full &= np.bincount(different, minlength=len(keys)) >= self.bound[keys >> 40]
         best: dict[int, tuple[int, int, int]] = {}
-        for k in keys[hits >= self.bound[keys >> 40]].tolist():
+        for k in keys[full].tolist():
             i, b = k >> 40, k & (1 << 40) - 1
             e, passage = int(self.edits[i]), self.items[i][1]
             low = b * (2 * e + 1) - len(text) - 4096
