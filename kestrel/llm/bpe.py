@@ -28,7 +28,8 @@ from kestrel.llm.common import map_arrow, texts_of
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Moves a symbol that ends a word out of the way of the same symbol within a word.
 END = 0x10000
-CACHE = 600_000
+#: Words that a worker keeps at most: as many again stay from before, so frequent words are not lost.
+CACHE = 150_000
 #: The vocabulary's word pattern, and its equal for texts of ASCII characters and letters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 QUICK = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
@@ -61,14 +62,15 @@ class PrefixEncoder:
         for s, i in self.ids.items():
             self.automaton.add_word(s, (len(s), i))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int] | str, bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.whole: dict[str, bool] = {}
         self.bytes = byte_symbols()
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", SPACE)).findall
         self.quick = re.compile(QUICK).findall if pattern == PATTERN else self.words
         self.letters = {chr(c) for c in range(128) if not 28 <= c < 32}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
-        self.encoded, self.decoded = _Cache(self._word_ids), _Cache(self._word_text)
+        self.encoded = _Cache(self._word_ids)
 
     def symbols(self, token: str) -> str:
         if token.endswith(self.suffix) and token != self.suffix:
@@ -81,7 +83,7 @@ class PrefixEncoder:
         a, b = self.text[left], self.text[right]
         if len(self.fits) > CACHE:
             self.fits.clear()
-        fit = self.fits[left, right] = self.merged(a + b) == [a, b]
+        fit = self.fits[left << 20 | right] = self.merged(a + b) == [a, b]
         return fit
 
     def merged(self, s: str) -> list[str]:
@@ -108,7 +110,7 @@ class PrefixEncoder:
                 if start == 0:
                     fit = length == 1 or self._whole(self.text[token])
                 else:
-                    fit = fits((last[start], token))
+                    fit = fits(last[start] << 20 | token)
                     if fit is None:
                         fit = self.compatible(last[start], token)
                 if fit:
@@ -121,17 +123,14 @@ class PrefixEncoder:
 
     def _whole(self, s: str) -> bool:
         """Whether the token's own symbols merge into the token."""
-        known = self.fits.get(s)
+        known = self.whole.get(s)
         if known is None:
-            known = self.fits[s] = len(self.merged(s)) == 1
+            known = self.whole[s] = len(self.merged(s)) == 1
         return known
 
     def _word_ids(self, word: str) -> bytes:
         return np.array(self.word(word), "<u4").tobytes()
 
-    def _word_text(self, word: str) -> str:
-        return self.decode(self.encoded[word])
-
     def pretokens(self, text: str) -> list[str]:
         """The pattern's matches; the built-in engine finds them where a text has no characters
         but ASCII and letters, on which the two patterns agree."""
@@ -149,28 +148,31 @@ class PrefixEncoder:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and their decoded text."""
-        ids, out = [], []
+        parts = []
         for k, piece in enumerate(self.split(text)):
             if k % 2:
-                ids.append(np.array([self.special[piece]], "<u4").tobytes())
-                out.append(piece)
+                parts.append(np.array([self.special[piece]], "<u4").tobytes())
             else:
-                words = self.pretokens(self.normalize(piece))
-                ids += map(self.encoded.__getitem__, words)
-                out += map(self.decoded.__getitem__, words)
-        return b"".join(ids), " ".join(out)
+                parts += map(self.encoded.__getitem__, self.pretokens(self.normalize(piece)))
+        ids = b"".join(parts)
+        return ids, self.decode(ids)
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 class _Cache(dict):
+    """Recent results in two generations: when the younger is full, it becomes the older."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
         if len(key) < 64:
             self[key] = value

@@ -44,6 +44,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that a Python worker has as Python objects at a time.
+SLICE = 512
+
+
+def slices(batches):
+    """The record batches in slices of at most SLICE rows, so that what a worker makes of one stays
+    small; empty batches are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow over df, where function takes one pyarrow.RecordBatch and returns a
     dict of column name to values (or None for no rows)."""
@@ -53,13 +65,12 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                columns = function(batch)
-                if columns is not None:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow
-                    )
+        for batch in slices(batches):
+            columns = function(batch)
+            if columns is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow
+                )
 
     return df.mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import map_arrow, texts_of
+from kestrel.llm.common import map_arrow, slices, texts_of
 
 Q = 8
 #: Edits allowed for each character of a passage.
@@ -213,7 +213,7 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", *
         def run(batches, part=part):
             if _index[0] != part:
                 _index[:] = part, Index(part)
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not _index[1].matches(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
 
         df = df.mapInArrow(run, df.schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import map_arrow, texts_of
+from kestrel.llm.common import map_arrow, slices, texts_of
 
 #: Features are numbered by this many bits of their hash; feature 0 is the bias.
 BITS = 20
@@ -29,20 +29,29 @@ PASSES = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.01
 #: Odd multipliers that mix the hashes of two words, by the words between them.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-CACHE = 500_000
+CACHE = 60_000
 
 _word = re.compile(r"\w+").findall
 
 
 class _Hashes(dict):
-    """Hashes of a word and of its stems."""
+    """Packed hashes of a word and of its stems (of a short word, of the last there is again), in
+    two generations: when the younger is full, it becomes the older."""
+
+    def __init__(self):
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word):
+        value = self.older.get(word)
+        if value is None:
+            parts = [word, *("^" + word[:n] for n in STEMS if len(word) >= n)]
+            found = [xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for p in parts]
+            value = b"".join((found + found[-1:] * len(STEMS))[: 1 + len(STEMS)])
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        parts = [word, *("^" + word[:n] for n in STEMS if len(word) >= n)]
-        value = [xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts]
-        value = self[word] = (value + value[-1:] * (1 + len(STEMS) - len(value)))[: 1 + len(STEMS)]
+        if len(word) < 64:
+            self[word] = value
         return value
 
 
@@ -54,7 +63,7 @@ def features(text: str) -> np.ndarray:
     words = _word(text.lower())
     if not words:
         return np.zeros(1, np.int32)
-    table = np.array([_hashes[w] for w in words], np.uint64)
+    table = np.frombuffer(b"".join(map(_hashes.__getitem__, words)), "<u8").reshape(len(words), -1)
     h, parts = table[:, 0], [table.ravel()]
     for gap, m in enumerate(MIX, 1):
         if len(words) > gap:
@@ -155,7 +164,7 @@ def without_toxic(df: DataFrame, model, text_col: str = "text") -> DataFrame:
     sparse, at = (model[0].astype(np.int32), model[1]), df.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             dense = _dense(sparse)
             yield batch.filter(pa.array([dense[features(t or "")].sum() < 0 for t in batch.column(at).to_pylist()], pa.bool_()))
 
