@@ -6,11 +6,15 @@ and the Hamming distance decides. Only distinct fingerprints join; copies are me
 
 That finds texts that hardly differ. For a similarity of 0.8 or more of the shingles, where
 about 15 bits in a hundred differ, fingerprints have 1024 bits and are cut into blocks of 24
-bits in three orders; near texts share one of the 126 blocks with a probability of 0.92 at a
-similarity of 0.8 and 0.99 at 0.85. Beyond a million different texts blocks are longer, so that
-unlike texts still don't meet, and orders more, so that near ones still do. Fingerprints in a
-block link to the least one, so that a large group gives as many candidates as it has members,
-and the Hamming distance decides.
+bits (longer ones beyond a million different texts). Each fingerprint links to the nearest of
+the least ones in its blocks, so that a large group gives as many candidates as it has members.
+
+These links only join groups early. A prefix join then finds every other pair: with the
+shingles of each text in one order, the rare ones first, two sets of a similarity of 0.8 share
+one among the first fifth of the larger and the first ninth of the smaller. All pairs that so
+meet and are not yet in one component are compared. Texts that share no more than a passage or
+template have their own words first and do not meet. The exact similarity of the sets decides
+on each candidate of either way.
 """
 
 from __future__ import annotations
@@ -34,12 +38,18 @@ BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
 #: 64-bit words of a wide fingerprint, bits of its blocks and orders in which it is cut (at least),
-#: and the bits in which near texts differ at most: 15.2 % are expected at a similarity of 0.8.
-WIDE, BLOCK, ORDERS, WIDE_DISTANCE = 16, 24, 3, 160
+#: and the bits in which candidates differ at most: 15.2 % are expected at a similarity of 0.8.
+WIDE, BLOCK, ORDERS, WIDE_DISTANCE = 16, 24, 3, 200
 #: The probability that near texts agree in a bit, at a similarity of 0.85.
 AGREE = 0.871
 #: Parts of a block's fingerprints that are linked each on its own, then to one another.
 SALTS = 16
+#: One text in so many is read for the frequent shingles, of which so many at most are ordered by
+#: their number, and a number of texts from which texts are left out. Any order gives all pairs;
+#: a good one gives few candidates.
+SAMPLED, FREQUENT, ALL_SAMPLED = 8, 100_000, 1000
+#: Text keys that are broadcast at most.
+BROADCAST = 1_000_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -152,19 +162,97 @@ def _text_key(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample, in rising order, and the number of each."""
+    if rows.limit(ALL_SAMPLED + 1).count() > ALL_SAMPLED:
+        rows = rows.where(F.pmod("text_key", F.lit(SAMPLED)) == 0)
+
+    def run(batch):
+        found = [np.unique(shingle_hashes(t, words)) for t in texts_of(batch, "t")]
+        return {"shingle": np.concatenate(found).view(np.int64)}
+
+    counts = map_arrow(rows.select("t"), run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 3")
+    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle")
+    return top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Those of a text's different shingles that a set of a similarity of 0.8 has not all missed:
+    the first n // 5 + 1 in the order of their number, then of their value."""
+    numbers = np.zeros(len(shingles), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        numbers = np.where(frequent[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, numbers))][: len(shingles) // 5 + 1]
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a similarity of 0.8 or more."""
+    pairs = written(pairs, "candidates")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = written(ends.join(nodes.select("node", "text_key"), "node"), "candidate-texts")
+    keys = needed.select("text_key", "node")
+    if needed.count() <= BROADCAST:
+        keys = F.broadcast(keys)
+    texts = rows.select("text_key", "t").join(keys, "text_key").groupBy("node").agg(F.any_value("t").alias("t"))
+
+    def run(batch):
+        return {"node": batch.column("node"), "shingles": [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts_of(batch, "t")]}
+
+    sets = written(map_arrow(texts, run, "node long, shingles array<long>"), "candidate-sets")
+    one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in "ab")
+
+    def compare(batch):
+        near = []
+        for a, b in zip(batch.column("a_set"), batch.column("b_set")):
+            a, b = a.values.to_numpy(), b.values.to_numpy()
+            near.append(9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b)))
+        return {**{c: batch.column(c) for c in "ab"}, "near": near}
+
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "a_set", "b_set")
+    return map_arrow(met, compare, "a long, b long, near boolean").where("near").select("a", "b")
+
+
+def _rest(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes in different components that can have a similarity of 0.8.
+
+    A pair of n and m shingles needs 4 (n + m) / 9 in common, which are at and after the first
+    common one's places in the two.
+    """
+    filed = nodes.select("node", "n", F.posexplode("prefix").alias("i", "key"))
+    by_key = W.partitionBy("key")
+    filed = filed.withColumns({"low": F.min("node").over(by_key), "high": F.max("node").over(by_key)}).where("low <> high").drop("low", "high")
+    placed = filed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.withColumns({"low": F.min("component").over(by_key), "high": F.max("component").over(by_key)}).where("low <> high").drop("low", "high")
+    placed = written(placed, "prefixes")
+    a = placed.where("n >= 9 * i").select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "i", "component")])
+    b = placed.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "i", "component")])
+    meet = a.join(b, "key").where("a_component <> b_component and (a_n < b_n or a_n = b_n and a_node < b_node) and 9 * least(a_n - a_i, b_n - b_i) >= 4 * (a_n + b_n)")
+    return meet.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """doc_id, text_key (a hash of the text), node (one of the fingerprint) and component_id for
-    each row: as clustered(), but by wide fingerprints, for a similarity of 0.8 or more."""
+    """doc_id, text_key (a hash of the text), node (one of the set of shingles) and component_id
+    for each row: as clustered(), but for a similarity of 0.8 or more of the sets of shingles.
+    `distance` bounds the fingerprints' early links alone."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text_col).alias("text_key"), F.col(text_col).alias("t"))
+    held = df.sparkSession.sparkContext.broadcast(_frequent(rows, words))
 
     def run(batch):
-        prints = [np.packbits(wide_fingerprint(t, words), bitorder="little").view("<i8").tolist() for t in texts_of(batch, "t")]
-        return {**{c: batch.column(c) for c in ("doc_id", "text_key")}, "fingerprint": prints}
-
-    prints = map_arrow(rows, run, "doc_id long, text_key long, fingerprint array<long>")
-    prints = written(prints.withColumn("node", F.xxhash64("fingerprint")), "wide-fingerprints")
-    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fingerprint").alias("fingerprint")), "wide-nodes")
+        prints, sizes, nodes, prefixes = [], [], [], []
+        for t in texts_of(batch, "t"):
+            shingles = np.unique(shingle_hashes(t, words))
+            prints.append(np.packbits(wide_fingerprint(t, words), bitorder="little").view("<i8"))
+            nodes.append(xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63))
+            sizes.append(len(shingles))
+            prefixes.append(prefix(shingles.view(np.int64), *held.value))
+        return {**{c: batch.column(c) for c in ("doc_id", "text_key")}, "node": nodes, "n": sizes, "fingerprint": prints, "prefix": prefixes}
+
+    prints = written(map_arrow(rows, run, "doc_id long, text_key long, node long, n long, fingerprint array<long>, prefix array<long>"), "wide-fingerprints")
+    one_of = F.any_value(F.struct("text_key", "n", "fingerprint", "prefix")).alias("x")
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("first"), one_of).select("node", "first", "x.*"), "wide-nodes")
     places = block_places(nodes.count())
+    places = places[: WIDE * 64 // places.shape[1]]  # the first order: the prefix join finds what one misses
     powers, numbers = 1 << np.arange(places.shape[1], dtype=np.int64), np.arange(len(places), dtype=np.int64) << places.shape[1]
 
     def cut(batch):
@@ -179,8 +267,11 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     met = inner.select("least", "node").union(outer.select("least", "node")).where("least <> node").distinct()
     one, two = (nodes.select(F.col("node").alias(n), F.col("fingerprint").alias(f"{n}_bits")) for n in ("least", "node"))
     differ = F.aggregate(F.zip_with("least_bits", "node_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    near = met.join(one, "least").join(two, "node").where(differ <= distance).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    found = components(near)
+    nearest = met.join(one, "least").join(two, "node").select("least", "node", differ.alias("differ")).where(F.col("differ") <= distance)
+    nearest = nearest.groupBy("node").agg(F.min_by("least", F.struct("differ", "least")).alias("least"))
+    linked = components(_near(nearest.select(F.col("least").alias("a"), F.col("node").alias("b")), nodes, rows, words))
+    rest = _near(_rest(nodes, linked), nodes, rows, words)
+    found = components(linked.where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b")).union(rest))
     joined = nodes.select("node", "first").join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("component", F.coalesce("component", "node"))
     firsts = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = joined.select("node", "component").join(firsts, "component").select("node", "component_id")

@@ -367,6 +367,63 @@ def test_similar_texts_meet(spark):
     assert simhash.similar(df.limit(0)).collect() == [] and simhash.deduplicated(df.limit(0)).collect() == []
 
 
+def exact_similar(rows):
+    """The exact components (least id) of the pairs at a similarity of 0.8, of the texts that share
+    a shingle which at most 500 have."""
+    sets, holders = {i: shingles(t) for i, t in rows}, defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, s in sets.items():
+        for j in {j for x in s if len(holders[x]) <= 500 for j in holders[x] if j < i}:
+            if 9 * len(s & sets[j]) >= 4 * (len(s) + len(sets[j])):
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    return {i: find(i) for i in sets}
+
+
+def edited(rng, base, changes, vocabulary):
+    near = list(base)
+    for k in rng.sample(range(len(near)), changes):
+        near[k] = rng.choice(vocabulary)
+    return near
+
+
+def test_similar_texts_with_a_common_template_meet(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(50_000)]
+    template = rng.choices(vocabulary, k=100)
+    own = [rng.choices(vocabulary, k=50) for _ in range(2000)]
+    own += [edited(rng, own[k], 1, vocabulary) for k in range(0, 200)] + [edited(rng, own[k], 2, vocabulary) for k in range(200, 400)]
+    rng.shuffle(own)
+    rows = [(n, " ".join(template + x)) for n, x in enumerate(own)]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = exact_similar(rows)
+    assert got == want and sum(i != c for i, c in want.items()) > 350
+
+
+def test_similar_is_exact_about_the_bound(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(20_000)]
+    rows = []
+    for n in range(400):
+        base = rng.choices(vocabulary, k=200)
+        # One phrase repeated in a line weighs nothing beyond its shingles.
+        line = ["again", "and", "once", "more", "then"] * 60 if n % 4 == 0 else []
+        rows += [base + line, edited(rng, base, rng.randrange(3, 7), vocabulary) + line]
+    rows = [(n, " ".join(x)) for n, x in enumerate(rows)]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = exact_similar(rows)
+    assert got == want and 100 < sum(i != c for i, c in want.items()) < 350
+
+
 def test_blocks_grow_with_the_number_of_texts():
     sizes = [simhash.block_places(n).shape for n in (0, 1000, 1 << 20, 1 << 24, 1 << 30)]
     assert sizes[0] == sizes[1] == (126, 24) and sizes[3][1] == 29 and sizes[4][1] == 35
