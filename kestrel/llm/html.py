@@ -5,8 +5,8 @@ article, in an element that is no article text (menus, headers, footers, sidebar
 adverts, forms, scripts, reader comments), or in neither.
 A page that marks up its article gives the article's lines; passages that two articles share
 are text of both. Of any other page the lines in neither count: it is paired with its nearest
-neighbours by URL path among such pages of the host, lines are aligned by longest common
-subsequence, and lines that a neighbour shares are deleted.
+neighbours of other text by URL path among such pages of the host, lines are aligned by
+longest common subsequence, and lines that a neighbour shares are deleted where they stand.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ NAMES = re.compile(
 )
 CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "p", "span", "article", "center", "details", "figure", "li", "td", "blockquote"}
 ARTICLE, FREE, OTHER = 2, 1, 0
+#: The share of a page's characters above which a neighbour that shares them is a version of it.
+VERSION = 0.9
 
 
 def lines_of(page: str) -> list[tuple[int, str]]:
@@ -159,14 +161,17 @@ def _keys(rows: DataFrame) -> DataFrame:
 
 
 def _shared(pages: DataFrame) -> DataFrame:
-    """k and shared, the hashes of the lines to delete, for pages without a marked-up article.
+    """k and shared, the places of the lines to delete, for pages without a marked-up article.
+
+    Pages of a host with the same lines are one, so that the neighbours are of other text.
 
     Only keys and hashes of lines are sorted, by host and path, in ranges; a range's first
     page of a host looks up the last one of the ranges before, of which there is one a range.
     """
     spark = pages.sparkSession
-    rows = map_arrow(_keys(pages).select("k", "host", "path", "t"), _line_hashes, "k long, host string, path string, lines array<long>, free boolean")
-    rows = rows.where("free").drop("free").distinct()
+    rows = map_arrow(_keys(pages).select("k", "host", "path", "t"), _line_hashes, "k long, host string, path string, lines array<long>, sizes array<int>, free boolean")
+    copies = written(rows.where("free").drop("free").distinct().withColumn("copy", F.xxhash64("host", "lines", "sizes")), "free-pages")
+    rows = copies.groupBy("copy", "host").agg(F.min(F.struct("path", "k")).alias("x"), F.any_value(F.struct("lines", "sizes")).alias("y")).select("copy", "host", "x.path", "x.k", "y.lines", "y.sizes")
     ranged = rows.repartitionByRange(partitions(spark), "host", "path", "k").sortWithinPartitions("host", "path", "k")
     ranged = written(ranged.withColumn("range", F.spark_partition_id()), "page-lines")
     order = W.partitionBy("range", "host").orderBy("path", "k")
@@ -175,15 +180,22 @@ def _shared(pages: DataFrame) -> DataFrame:
     ends = ranged.groupBy("host", "range").agg(F.max_by("lines", F.struct("path", "k")).alias("last"), F.min_by("lines", F.struct("path", "k")).alias("first"))
     by_range = W.partitionBy("host").orderBy("range")
     edges = ends.select("host", "range", F.lag("last").over(by_range).alias("carried"), F.lead("first").over(by_range).alias("next"))
-    paired = near.join(edges, ["host", "range"]).select("k", "lines", F.coalesce("previous", "carried").alias("previous"), F.coalesce("following", "next").alias("following"))
+    paired = near.join(edges, ["host", "range"]).select("copy", "lines", "sizes", F.coalesce("previous", "carried").alias("previous"), F.coalesce("following", "next").alias("following"))
 
     def align(batch):
         shared = []
-        for own, *others in zip(*(batch.column(c).to_pylist() for c in ("lines", "previous", "following"))):
-            shared.append([own[i] for i in sorted(set().union(*(common(own, x) for x in others if x is not None)))])
-        return {"k": batch.column("k"), "shared": shared}
+        for own, sizes, *others in zip(*(batch.column(c).to_pylist() for c in ("lines", "sizes", "previous", "following"))):
+            gone = set()
+            for x in others:
+                found = common(own, x) if x is not None else set()
+                # A page with nearly all of the text is a version of it and tells nothing.
+                if sum(sizes[i] for i in found) <= VERSION * sum(sizes):
+                    gone |= found
+            shared.append(sorted(gone))
+        return {"copy": batch.column("copy"), "shared": shared}
 
-    return map_arrow(paired.where("previous is not null or following is not null"), align, "k long, shared array<long>")
+    aligned = map_arrow(paired.where("previous is not null or following is not null"), align, "copy long, shared array<int>")
+    return copies.select("k", "copy").join(aligned, "copy").select("k", "shared")
 
 
 def _line_hashes(batch):
@@ -191,6 +203,8 @@ def _line_hashes(batch):
     return {
         **{c: batch.column(c) for c in ("k", "host", "path")},
         "lines": [[_hash(x) for _, x in lines] for lines in found],
+        # Lines that count: a free one's characters.
+        "sizes": [[len(x) if kind == FREE else 0 for kind, x in lines] for lines in found],
         "free": [all(kind != ARTICLE for kind, _ in lines) and any(kind == FREE for kind, _ in lines) for lines in found],
     }
 
@@ -213,7 +227,7 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         texts = []
         for page, shared in zip(texts_of(batch, "t"), batch.column("shared").to_pylist()):
             lines, gone = lines_of(page), set(shared or ())
-            kept = [x for kind, x in lines if kind == ARTICLE] or [x for kind, x in lines if kind == FREE and _hash(x) not in gone]
+            kept = [x for kind, x in lines if kind == ARTICLE] or [x for n, (kind, x) in enumerate(lines) if kind == FREE and n not in gone]
             texts.append("\n".join(kept))
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": np.array([len(t) for t in texts])}
 

@@ -522,6 +522,18 @@ def test_html_main_text(spark):
     assert html.main_texts(df).count() == len(pages) and html.main_texts(df.limit(0)).collect() == []
 
 
+def test_html_copies_keep_their_text(spark):
+    page = "<div>Site name</div><p>{0} first passage of the article, long enough to be text.</p><p>{0} second passage, which is also long enough.</p><p>{0} third one, which ends the article after some words.</p>{1}<div>All rights</div>"
+    pages = [(k, f"http://a.com/x/{k}", page.format("Own" if k < 4 else "Other", "")) for k in range(5)]
+    # A near copy, and a shared line that stands again where the neighbour lacks it.
+    pages += [(10, "http://b.com/1", page.format("Own", "")), (11, "http://b.com/2", page.format("Own", "<p>print</p>"))]
+    pages += [(20, "http://c.com/1", "<p>Refrain</p><p>a verse of page one of this site</p><p>Refrain</p>"), (21, "http://c.com/2", "<p>Refrain</p><p>a verse of page two of this site</p>")]
+    got = {r.page_id: r.text.split("\n") for r in html.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(len(got[k]) == 3 and got[k][0].startswith("Own" if k < 4 else "Other") for k in range(5))
+    assert all(any("third" in x for x in got[k]) for k in (10, 11))
+    assert got[20] == ["a verse of page one of this site", "Refrain"] and got[21] == ["a verse of page two of this site"]
+
+
 def test_html_pairs_are_the_same_for_any_ranges(spark):
     pages = [(k, f"http://h{k % 3}.com/p/{k:03d}", f"<div>site {k % 3}</div><p>text {k}</p><p>part {k // 6}</p>") for k in range(60)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
