@@ -35,26 +35,30 @@ BLOCK = {
     "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option",
     "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
 }
-#: Words in class, id or role that name an element beside the article.
+#: Words in class, id or role, as whole ones, that name an element beside the article.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
+    r"(?:^|\s)(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
     r"newsletter|subscribe|subscription|signup|login|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|masthead|topbar|toolbar|comment|comments|"
-    r"commentlist|disqus|reply|replies|respond|share|sharing|social|related|recommended|widget|pagination|pager|contentinfo|complementary|search)(?=[\s_-]|$)",
+    r"commentlist|disqus|reply|replies|respond|share|sharing|social|related|recommended|widget|pagination|pager|contentinfo|complementary|search)(?=\s|$)",
     re.I,
 )
-CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "p", "span", "article", "center", "details", "figure", "li", "td", "blockquote"}
-ARTICLE, FREE, OTHER = 2, 1, 0
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "center", "details", "li"}
+NAMED, ARTICLE, FREE, OTHER = 3, 2, 1, 0
 #: The share of a page's characters above which a neighbour that shares them is a version of it.
 VERSION = 0.9
 
 
 def lines_of(page: str) -> list[tuple[int, str]]:
-    """The page's blocks in order, white space as one space, with their kind."""
+    """The page's blocks in order, white space as one space, with their kind.
+
+    A name counts neither round an article nor, without one, round most of the text.
+    """
     out: list[tuple[int, str]] = []
     words: list[str] = []
-    # Open elements: name, and whether the element began outside text or an article.
-    stack: list[tuple[str, int]] = []
-    outside = inside = 0
+    # Open elements: name, whether the element began outside text (1), an article (2) or a named
+    # element (3), and the named ones open round it.
+    stack: list[tuple[str, int, int]] = []
+    outside = inside = named = 0
     at, kind = 0, FREE
 
     def flush() -> None:
@@ -82,9 +86,9 @@ def lines_of(page: str) -> list[tuple[int, str]]:
                 flush()
             elif name in ("td", "th"):
                 words.append(" ")
-            if any(name == n for n, _ in stack):
+            if any(name == n for n, _, _ in stack):
                 while stack:
-                    n, what = stack.pop()
+                    n, what, named = stack.pop()
                     outside -= what == 1
                     inside -= what == 2
                     if n == name:
@@ -102,20 +106,23 @@ def lines_of(page: str) -> list[tuple[int, str]]:
                 if name in OUTSIDE:
                     what = 1
                 elif m[3] and name in CONTAINERS and any(NAMES.search(v.strip("\"'")) for _, v in ATTRIBUTE.findall(m[3])):
-                    what = 1
+                    what = 3
                 elif name in ("article", "main"):
                     what = 2
                 # A paragraph or item ends where the next one begins.
                 if name in ("p", "li") and stack and stack[-1][0] == name:
-                    _, old = stack.pop()
+                    _, old, named = stack.pop()
                     outside -= old == 1
                     inside -= old == 2
-                stack.append((name, what))
+                stack.append((name, what, named))
                 outside += what == 1
                 inside += what == 2
-        kind = OTHER if outside else ARTICLE if inside else FREE
+                named = 0 if what == 2 else named + (what == 3)
+        kind = OTHER if outside else NAMED if named else ARTICLE if inside else FREE
     flush()
-    return out
+    text = sum(len(x) for k, x in out if k != OTHER)
+    whole = all(k != ARTICLE for k, _ in out) and 2 * sum(len(x) for k, x in out if k == NAMED) > text
+    return [((FREE if whole else OTHER) if k == NAMED else k, x) for k, x in out]
 
 
 def common(a: list[int], b: list[int]) -> set[int]:

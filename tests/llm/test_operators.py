@@ -522,6 +522,15 @@ def test_html_main_text(spark):
     assert html.main_texts(df).count() == len(pages) and html.main_texts(df.limit(0)).collect() == []
 
 
+def test_html_names_drop_no_article():
+    kept = lambda page: [x for kind, x in html.lines_of(page) if kind == html.ARTICLE] or [x for kind, x in html.lines_of(page) if kind == html.FREE]
+    for shell in ("<div class='page has-sidebar'>{}</div>", "<div class='content no-sidebar'>{}</div>", "<div class='sidebar'>{}</div>"):
+        assert kept(shell.format("<article><p>text</p></article>")) == ["text"] and kept(shell.format("<p>text</p>")) == ["text"]
+    page = "<article class='post related'><p class='notice'>one</p><table class='search-results'><tr><td>two</td></tr></table><div class='ad'>buy</div><p>three</p></article>"
+    assert kept(page) == ["one", "two", "three"]
+    assert kept("<div class='menu main'>a menu</div><p>text of the page</p>") == ["text of the page"]
+
+
 def test_html_copies_keep_their_text(spark):
     page = "<div>Site name</div><p>{0} first passage of the article, long enough to be text.</p><p>{0} second passage, which is also long enough.</p><p>{0} third one, which ends the article after some words.</p>{1}<div>All rights</div>"
     pages = [(k, f"http://a.com/x/{k}", page.format("Own" if k < 4 else "Other", "")) for k in range(5)]
