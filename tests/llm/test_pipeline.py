@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from kestrel.llm import decontaminate, toxicity
 from kestrel.llm.common import table
-from test_operators import brute_edits, brute_lines, shingles
+from brute import brute_edits, brute_lines, shingles
 
 SF = "/root/testdata/sf0.001"
 
