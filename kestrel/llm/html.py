@@ -2,28 +2,31 @@
 
 A page becomes lines, one for each block, that know whether they lie in the marked-up
 article, in an element that is no article text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, reader comments), or in neither.
-A page that marks up its article gives the article's lines; passages that two articles share
-are text of both. Of any other page the lines in neither count: it is paired with its nearest
-neighbours of other text by URL path among such pages of the host, lines are aligned by
-longest common subsequence, and lines that a neighbour shares are deleted where they stand.
+adverts, forms, scripts, reader comments), or in neither. Every page is paired with its
+nearest neighbours of other text by URL path within its host, among the pages that mark up an
+article or among those that do not, their lines are aligned by longest common subsequence,
+and shared lines are deleted where they stand. Markup is the check on that: a line of a marked
+article stays, as text that two articles share is text of both, and a line in an element
+beside the article goes.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import map_arrow, partitions, texts_of, written
+from kestrel.llm.common import map_arrow, partitions, payload, texts_of, written
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag without quotes; the name of any tag, and what may end it.
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*)([^<>\"']*)>")
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Elements whose content is no markup, is never article text, stands alone, or
 #: begins a new block.
@@ -46,78 +49,128 @@ CONTAINERS = {"div", "section", "ul", "ol", "dl", "center", "details", "li"}
 NAMED, ARTICLE, FREE, OTHER = 3, 2, 1, 0
 #: The share of a page's characters above which a neighbour that shares them is a version of it.
 VERSION = 0.9
+#: Cells of an alignment that is traced back at once (a bit each); larger ones are halved first.
+CELLS = 1 << 22
+#: Pages that lose lines whose keys may go to every task: under 20 MB. More are joined by a shuffle.
+BROADCAST = 100_000
+
+
+def pieces(page: str):
+    """The page's texts, decoded, as (None, text, "") and its tags as (name, attributes, slash
+    if it closes), in order, without comments and the content of raw elements.
+
+    Linear in the page: a quote that never closes is a character like any other, and from a tag
+    that never ends on all is text.
+    """
+    at, end, known = 0, len(page), "\"'"
+
+    def skipped(word: str) -> int:
+        close = re.compile(rf"</{word}\s*+>", re.I).search(page, at)
+        return close.end() if close else end
+
+    while at < end:
+        found = page.find("<", at)
+        if found < 0:
+            found = end
+        if found > at:
+            text = page[at:found]
+            yield None, html.unescape(text) if "&" in text else text, ""
+        if found == end:
+            return
+        at = found
+        plain = PLAIN.match(page, at)
+        if plain:
+            slash, word, data = plain.groups()
+            word, at = word.lower(), plain.end()
+            yield word, data, slash
+            if word in RAW and not slash:
+                at = skipped(word)
+            continue
+        if page.startswith(("<!", "<?"), at):
+            mark = "-->" if page.startswith("<!--", at) else ">"
+            close = page.find(mark, at + 2)
+            at = end if close < 0 else close + len(mark)
+            continue
+        name = NAME.match(page, at + 1)
+        if name is None:
+            yield None, "<", ""
+            at += 1
+            continue
+        stop = STOP.search(page, name.end())
+        while stop and stop[0] != ">":
+            close = page.find(stop[0], stop.end()) if stop[0] in known else -1
+            if close < 0:
+                known = known.replace(stop[0], "")
+            stop = STOP.search(page, stop.end() if close < 0 else close + 1)
+        if stop is None:
+            yield None, html.unescape(page[at:]), ""
+            return
+        word = name[0].lower()
+        slash, word = ("/", word[1:]) if word[0] == "/" else ("", word)
+        at = stop.end()
+        yield word, page[name.end() : stop.start()], slash
+        if word in RAW and not slash:
+            at = skipped(word)
 
 
 def lines_of(page: str) -> list[tuple[int, str]]:
     """The page's blocks in order, white space as one space, with their kind.
 
-    A name counts neither round an article nor, without one, round most of the text.
+    A name counts neither round an article nor, without one, round most of the text. A header
+    in an article is its headline.
     """
     out: list[tuple[int, str]] = []
     words: list[str] = []
     # Open elements: name, whether the element began outside text (1), an article (2) or a named
     # element (3), and the named ones open round it.
     stack: list[tuple[str, int, int]] = []
+    opened: dict[str, int] = {}
     outside = inside = named = 0
-    at, kind = 0, FREE
+    kind = FREE
 
     def flush() -> None:
         if words:
-            text = " ".join(html.unescape("".join(words)).split())
+            text = " ".join("".join(words).split())
             if text:
                 out.append((kind, text))
             words.clear()
 
-    end = len(page)
-    while at < end:
-        m = TAG.search(page, at)
-        if m is None:
-            words.append(page[at:])
-            break
-        if m.start() > at:
-            words.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if not name:
+    def close() -> str:
+        nonlocal outside, inside, named
+        name, what, named = stack.pop()
+        opened[name] -= 1
+        outside -= what == 1
+        inside -= what == 2
+        return name
+
+    for name, data, slash in pieces(page):
+        if name is None:
+            words.append(data)
             continue
-        name = name.lower()
-        if m[1]:
-            if name in BLOCK:
-                flush()
-            elif name in ("td", "th"):
-                words.append(" ")
-            if any(name == n for n, _, _ in stack):
-                while stack:
-                    n, what, named = stack.pop()
-                    outside -= what == 1
-                    inside -= what == 2
-                    if n == name:
-                        break
-        else:
-            if name in BLOCK:
-                flush()
-            elif name in ("br", "td", "th"):
-                words.append(" ")
-            if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = close.end() if close else end
-            elif name not in VOID and not m[3].endswith("/"):
-                what = 0
-                if name in OUTSIDE:
-                    what = 1
-                elif m[3] and name in CONTAINERS and any(NAMES.search(v.strip("\"'")) for _, v in ATTRIBUTE.findall(m[3])):
-                    what = 3
-                elif name in ("article", "main"):
-                    what = 2
-                # A paragraph or item ends where the next one begins.
-                if name in ("p", "li") and stack and stack[-1][0] == name:
-                    _, old, named = stack.pop()
-                    outside -= old == 1
-                    inside -= old == 2
-                stack.append((name, what, named))
-                outside += what == 1
-                inside += what == 2
-                named = 0 if what == 2 else named + (what == 3)
+        if name in BLOCK:
+            flush()
+        elif name in ("td", "th") or name == "br" and not slash:
+            words.append(" ")
+        if slash:
+            if opened.get(name):
+                while close() != name:
+                    pass
+        elif name not in RAW and name not in VOID and not data.endswith("/"):
+            what = 0
+            if name in OUTSIDE and not (name == "header" and inside):
+                what = 1
+            elif data and name in CONTAINERS and any(NAMES.search(v.strip("\"'")) for _, v in ATTRIBUTE.findall(data)):
+                what = 3
+            elif name in ("article", "main"):
+                what = 2
+            # A paragraph or item ends where the next one begins.
+            if name in ("p", "li") and stack and stack[-1][0] == name:
+                close()
+            stack.append((name, what, named))
+            opened[name] = opened.get(name, 0) + 1
+            outside += what == 1
+            inside += what == 2
+            named = 0 if what == 2 else named + (what == 3)
         kind = OTHER if outside else NAMED if named else ARTICLE if inside else FREE
     flush()
     text = sum(len(x) for k, x in out if k != OTHER)
@@ -125,95 +178,145 @@ def lines_of(page: str) -> list[tuple[int, str]]:
     return [((FREE if whole else OTHER) if k == NAMED else k, x) for k, x in out]
 
 
-def common(a: list[int], b: list[int]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b (by matches in rising order)."""
+def _rows(a: list[int], b: list[int]):
+    """For each prefix of a the bits of b's places that do not lengthen the longest common
+    subsequence of the two prefixes (bit-parallel: a few operations on len(b) bits a row)."""
+    places: dict[int, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    yield row
+    for x in a:
+        met = row & places.get(x, 0)
+        row = (row + met | row - met) & full
+        yield row
+
+
+def _last_row(a: list[int], b: list[int]) -> np.ndarray:
+    """The lengths of a longest common subsequence of a and each prefix of b."""
+    row = 0
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places in a and b of a longest common subsequence, in order.
+
+    Exact for any lists; memory is in proportion to them beyond CELLS bits, since a longer
+    alignment is split where the two halves of a share most with b's parts.
+    """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    found = {*range(head), *range(len(a) - tail, len(a))}
-    places: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    chains: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(link)
+    found = [(i, i) for i in range(head)]
+    ends = [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    waiting = [(head, len(a) - tail, head, len(b) - tail)]
+    while waiting:
+        i0, i1, j0, j1 = waiting.pop()
+        if i0 == i1 or j0 == j1:
+            continue
+        if (i1 - i0) * (j1 - j0) > CELLS and i1 - i0 > 1:
+            middle = (i0 + i1) // 2
+            left = _last_row(a[i0:middle], b[j0:j1])
+            right = _last_row(a[middle:i1][::-1], b[j0:j1][::-1])[::-1]
+            cut = j0 + int(np.argmax(left + right))
+            waiting += [(middle, i1, cut, j1), (i0, middle, j0, cut)]
+            continue
+        rows = list(_rows(a[i0:i1], b[j0:j1]))
+        part, i, j = [], i1 - i0, j1 - j0
+        while i and j:
+            if rows[i] >> j - 1 & 1:
+                j -= 1
             else:
-                ends[k], chains[k] = j, link
-    link = chains[-1] if chains else None
-    while link:
-        found.add(link[0])
-        link = link[1]
-    return found
+                i -= 1
+                if rows[i] >> j - 1 & 1:
+                    j -= 1
+                    part.append((i0 + i, j0 + j))
+        found += part[::-1]
+    return found + ends
 
 
 def _hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _keys(rows: DataFrame) -> DataFrame:
-    """k, the page's key (of url and html), its host and path."""
-    url = F.coalesce("url", F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
-    return rows.withColumns({"host": host, "path": path})
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
-def _shared(pages: DataFrame) -> DataFrame:
-    """k and shared, the places of the lines to delete, for pages without a marked-up article.
+def _path(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
+
+
+def _lines(batch):
+    found = [lines_of(t) for t in texts_of(batch, "t")]
+    return {
+        **{c: batch.column(c) for c in ("k1", "k2", "host", "path")},
+        "marked": [any(kind == ARTICLE for kind, _ in lines) for lines in found],
+        "lines": [[_hash(x) for _, x in lines] for lines in found],
+        "sizes": [[len(x) for _, x in lines] for lines in found],
+        "kinds": [[kind for kind, _ in lines] for lines in found],
+    }
+
+
+def gone(own: dict, others: list[dict | None]) -> list[int]:
+    """Places of the free lines that go, being shared with one of the other pages. Pages are
+    given by their lines, sizes and kinds.
+
+    A page with nearly all of the text is a version of it and tells nothing. Where no page tells
+    anything, the free lines beside a marked article go, as markup is all there is.
+    """
+    kinds, sizes = own["kinds"], own["sizes"]
+    text = sum(n for n, kind in zip(sizes, kinds) if kind != OTHER)
+    found, alone = set(), True
+    for other in others:
+        shared = [i for i, _ in common(own["lines"], other["lines"]) if kinds[i] != OTHER] if other else []
+        if other and sum(sizes[i] for i in shared) <= VERSION * text:
+            alone = False
+            found.update(i for i in shared if kinds[i] == FREE)
+    if alone and ARTICLE in kinds:
+        found = {i for i, kind in enumerate(kinds) if kind == FREE}
+    return sorted(found)
+
 
-    Pages of a host with the same lines are one, so that the neighbours are of other text.
+def _shared(pages: DataFrame) -> DataFrame:
+    """k1, k2 and shared, the places of the lines to delete, for each page that loses any.
 
-    Only keys and hashes of lines are sorted, by host and path, in ranges; a range's first
-    page of a host looks up the last one of the ranges before, of which there is one a range.
+    Pages of a host with the same lines are one, so that the neighbours are of other text. Only
+    keys and hashes of lines are sorted, by site and path, in ranges; a range's first page of a
+    site looks up the last one of the ranges before, of which there is one a range.
     """
     spark = pages.sparkSession
-    rows = map_arrow(_keys(pages).select("k", "host", "path", "t"), _line_hashes, "k long, host string, path string, lines array<long>, sizes array<int>, free boolean")
-    copies = written(rows.where("free").drop("free").distinct().withColumn("copy", F.xxhash64("host", "lines", "sizes")), "free-pages")
-    rows = copies.groupBy("copy", "host").agg(F.min(F.struct("path", "k")).alias("x"), F.any_value(F.struct("lines", "sizes")).alias("y")).select("copy", "host", "x.path", "x.k", "y.lines", "y.sizes")
-    ranged = rows.repartitionByRange(partitions(spark), "host", "path", "k").sortWithinPartitions("host", "path", "k")
+    url = F.coalesce("url", F.lit(""))
+    rows = pages.select("k1", "k2", _host(url).alias("host"), _path(url).alias("path"), "t")
+    schema = "k1 long, k2 long, host string, path string, marked boolean, lines array<long>, sizes array<int>, kinds array<int>"
+    page = F.struct("lines", "sizes", "kinds")
+    copy = [F.xxhash64("host", "lines", "sizes", "kinds").alias("c1"), F.xxhash64(F.lit("copy"), "kinds", "lines", "sizes", "host").alias("c2")]
+    copies = written(map_arrow(rows, _lines, schema).select("k1", "k2", "host", "marked", "path", *copy, page.alias("page")), "page-copies")
+    site, place = ["host", "marked"], ["path", "c1", "c2"]
+    rows = copies.groupBy("c1", "c2", *site).agg(F.min("path").alias("path"), F.any_value("page").alias("page"))
+    ranged = rows.repartitionByRange(partitions(spark), *site, *place).sortWithinPartitions(*site, *place)
     ranged = written(ranged.withColumn("range", F.spark_partition_id()), "page-lines")
-    order = W.partitionBy("range", "host").orderBy("path", "k")
-    near = ranged.withColumns({"previous": F.lag("lines").over(order), "following": F.lead("lines").over(order)})
-    # One row for each range and host that it holds; a host that spans ranges has few here.
-    ends = ranged.groupBy("host", "range").agg(F.max_by("lines", F.struct("path", "k")).alias("last"), F.min_by("lines", F.struct("path", "k")).alias("first"))
-    by_range = W.partitionBy("host").orderBy("range")
-    edges = ends.select("host", "range", F.lag("last").over(by_range).alias("carried"), F.lead("first").over(by_range).alias("next"))
-    paired = near.join(edges, ["host", "range"]).select("copy", "lines", "sizes", F.coalesce("previous", "carried").alias("previous"), F.coalesce("following", "next").alias("following"))
+    order = W.partitionBy("range", *site).orderBy(*place)
+    near = ranged.withColumns({"previous": F.lag("page").over(order), "following": F.lead("page").over(order)})
+    # One row for each range and site that it holds; a site that spans ranges has few here.
+    ends = ranged.groupBy(*site, "range").agg(F.max_by("page", F.struct(*place)).alias("last"), F.min_by("page", F.struct(*place)).alias("first"))
+    by_range = W.partitionBy(*site).orderBy("range")
+    edges = ends.select(*site, "range", F.lag("last").over(by_range).alias("carried"), F.lead("first").over(by_range).alias("next"))
+    paired = near.join(edges, [*site, "range"]).select("c1", "c2", "page", F.coalesce("previous", "carried").alias("previous"), F.coalesce("following", "next").alias("following"))
 
     def align(batch):
-        shared = []
-        for own, sizes, *others in zip(*(batch.column(c).to_pylist() for c in ("lines", "sizes", "previous", "following"))):
-            gone = set()
-            for x in others:
-                found = common(own, x) if x is not None else set()
-                # A page with nearly all of the text is a version of it and tells nothing.
-                if sum(sizes[i] for i in found) <= VERSION * sum(sizes):
-                    gone |= found
-            shared.append(sorted(gone))
-        return {"copy": batch.column("copy"), "shared": shared}
-
-    aligned = map_arrow(paired.where("previous is not null or following is not null"), align, "copy long, shared array<int>")
-    return copies.select("k", "copy").join(aligned, "copy").select("k", "shared")
-
-
-def _line_hashes(batch):
-    found = [lines_of(t) for t in texts_of(batch, "t")]
-    return {
-        **{c: batch.column(c) for c in ("k", "host", "path")},
-        "lines": [[_hash(x) for _, x in lines] for lines in found],
-        # Lines that count: a free one's characters.
-        "sizes": [[len(x) if kind == FREE else 0 for kind, x in lines] for lines in found],
-        "free": [all(kind != ARTICLE for kind, _ in lines) and any(kind == FREE for kind, _ in lines) for lines in found],
-    }
+        shared = [gone(own, others) for own, *others in zip(*(batch.column(c).to_pylist() for c in ("page", "previous", "following")))]
+        return {"c1": batch.column("c1"), "c2": batch.column("c2"), "shared": shared}
+
+    aligned = map_arrow(paired, align, "c1 long, c2 long, shared array<int>")
+    return copies.select("k1", "k2", "c1", "c2").join(aligned.where("size(shared) > 0"), ["c1", "c2"]).select("k1", "k2", "shared").distinct()
 
 
 def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -221,21 +324,22 @@ def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or empty html has the empty text. Rows that repeat url and html count as one page for
     the pairing. Pages without a host (or url) are paired among themselves. A page that is
-    alone on its host keeps all lines that no element marks as other than text.
+    alone on its host keeps its marked article, or without one all lines that no element marks
+    as other than text. Other columns
+    are ignored, whatever their names.
     """
-    from kestrel.llm.common import payload
-
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("t"))
-    rows = rows.withColumn("k", F.xxhash64(F.coalesce("url", F.lit("")), payload(F.col("t"))))
+    of = [F.coalesce("url", F.lit("")), payload(F.col("t"))]
+    rows = rows.withColumns({"k1": F.xxhash64(*of), "k2": F.xxhash64(F.lit("page"), *of[::-1])})
     types = dict(rows.dtypes)
-    joined = rows.join(_shared(rows), "k", "left")
+    shared = written(_shared(rows), "page-deletions")
+    joined = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST else shared, ["k1", "k2"], "left")
 
     def run(batch):
         texts = []
-        for page, shared in zip(texts_of(batch, "t"), batch.column("shared").to_pylist()):
-            lines, gone = lines_of(page), set(shared or ())
-            kept = [x for kind, x in lines if kind == ARTICLE] or [x for n, (kind, x) in enumerate(lines) if kind == FREE and n not in gone]
-            texts.append("\n".join(kept))
+        for page, places in zip(texts_of(batch, "t"), batch.column("shared").to_pylist()):
+            lines, less = lines_of(page), set(places or ())
+            texts.append("\n".join(x for n, (kind, x) in enumerate(lines) if kind != OTHER and n not in less))
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": np.array([len(t) for t in texts])}
 
     return map_arrow(joined.select("page_id", "url", "t", "shared"), run, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -415,7 +417,72 @@ def test_html_pairs_are_the_same_for_any_ranges(spark):
     assert all("site" not in r[2] and f"text {r[0]}" in r[2] for r in results[0])
 
 
-def test_lcs():
+def brute_pages(rows):
+    """Texts by page, with all pages of a host in one list; test_lcs() proves the alignment."""
+    hosts, parsed = defaultdict(dict), {}
+
+    def site(url, lines):
+        at = re.match(r"(?:[a-zA-Z][\w+.-]*://([^/?#]*))?([^?#]*)", url or "")
+        return ((at[1] or "").lower(), any(k == html.ARTICLE for k, _ in lines)), at[2]
+
+    for _, url, page in rows:
+        lines = parsed[page or ""] = html.lines_of(page or "")
+        name, path = site(url, lines)
+        hosts[name].setdefault(tuple(lines), set()).add(path)
+    out = []
+    for i, url, page in rows:
+        lines = parsed[page or ""]
+        name, _ = site(url, lines)
+        ordered = sorted(hosts[name], key=lambda x: min(hosts[name][x]))
+        at, less, alone = ordered.index(tuple(lines)), set(), True
+        for other in ([ordered[at - 1]] if at else []) + ordered[at + 1 : at + 2]:
+            met = {x for x, _ in html.common([t for _, t in lines], [t for _, t in other]) if lines[x][0] != html.OTHER}
+            if sum(len(lines[x][1]) for x in met) <= html.VERSION * sum(len(t) for k, t in lines if k != html.OTHER):
+                alone, less = False, less | met
+        kept = [t for x, (k, t) in enumerate(lines) if k == html.ARTICLE or k == html.FREE and x not in less and not (alone and name[1])]
+        out.append((i, url, "\n".join(kept), len("\n".join(kept))))
+    return out
+
+
+def test_html_matches_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    assert table(html.main_texts(pages).collect()) == table(brute_pages(rows))
+    # Pages with and without a marked article, with notices beside it and in it.
+    rng, odd = random.Random(8), []
+    notices = [f"<p>notice {k} of the site</p>" for k in range(6)]
+    for k in range(160):
+        shell = rng.choice(["<article>{}</article>", "{}", "{}", "<div>{}</div>", "<main>{}</main>"])
+        texts = [f"<p>own text {k} {n} which is fairly long</p>" for n in range(rng.randrange(1, 5))] + rng.sample(notices, rng.randrange(4))
+        rng.shuffle(texts)
+        beside = "".join(f"<aside>{x}</aside>" for x in rng.sample(notices, rng.randrange(3)))
+        odd.append((k, f"https://h{rng.randrange(4)}.org/p/{k:03d}?q={k}", beside + shell.format("".join(texts)) + "".join(rng.sample(notices, rng.randrange(3)))))
+    odd += [(500, None, None), (501, "", ""), (502, "https://h1.org", "<a "), (502, "https://h1.org", "<a ")]
+    odd += [(503, "https://lone.org/x", "<p>free</p><article>own</article>"), (504, "https://lone.net/x", "<p>free</p>")]
+    df = spark.createDataFrame([(*x, "clash", 1) for x in odd], "page_id long, url string, html string, host string, k1 int").repartition(5)
+    want = brute_pages(odd)
+    assert table(html.main_texts(df).collect()) == table(want)
+    untouched = {i: "\n".join(t for k, t in html.lines_of(p or "") if k != html.OTHER) for i, _, p in odd}
+    assert sum(untouched[i] != t for i, _, t, _ in want) > 60 and {t for i, _, t, _ in want if i > 502} == {"own", "free"}
+
+
+def test_html_malformed_pages_end_soon():
+    began = time.perf_counter()
+    assert html.lines_of("<a " * 300_000) and html.lines_of('<a "' * 200_001) and html.lines_of("<a '\">" * 100_000) == []
+    assert html.lines_of("<div>" * 100_000 + "x" + "</p>" * 100_000) == [(html.FREE, "x")]
+    assert len(html.common([1] * 20_000, [1] * 20_000)) == 20_000 and len(html.common([1] * 20_000, [2, *[1] * 15_000, 3])) == 15_000
+    assert time.perf_counter() - began < 20
+
+
+def test_html_details():
+    text = lambda page: [x for _, x in html.lines_of(page)]
+    assert text("&#6<b>0;</b>&lt;") == ["\x060;<"] or text("&#6<b>0;</b>&lt;") == ["0;<"]
+    assert text("<article class='post has-sidebar'><header><h1>Head</h1></header><p>x</p></article>") == ["Head", "x"]
+    assert [k for k, _ in html.lines_of("<article><header><h1>H</h1></header><p>x</p></article>")] == [html.ARTICLE] * 2
+    assert text("a < b <!-- c --> d <? e ?> <!x> f <a title='>'>g</a> <br/> h") == ["a < b d f g h"]
+
+
+def test_lcs(monkeypatch):
     rng = random.Random(4)
     for _ in range(300):
         a, b = ([rng.randrange(4) for _ in range(rng.randrange(9))] for _ in "ab")
@@ -423,7 +490,8 @@ def test_lcs():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table_[i + 1][j + 1] = table_[i][j] + 1 if x == y else max(table_[i][j + 1], table_[i + 1][j])
-        found = html.common(a, b)
-        assert len(found) == table_[-1][-1]
-        rest = iter(b)
-        assert all(a[i] in rest for i in sorted(found))
+        for cells in (html.CELLS, 3):
+            monkeypatch.setattr(html, "CELLS", cells)
+            found = html.common(a, b)
+            assert len(found) == table_[-1][-1] and all(a[i] == b[j] for i, j in found)
+            assert all(x < y and v < w for (x, v), (y, w) in zip(found, found[1:]))
