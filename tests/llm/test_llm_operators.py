@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from brute import brute_components, brute_edits, brute_lines, brute_repeats, brute_warc, exact_similar, shingles, table
+from brute import brute_components, brute_edits, brute_lines, brute_repeats, brute_warc, edits, exact_similar, shingles, table
 from kestrel.llm import bpe, components, decontaminate, html, linededup, media, repeats, sharding, simhash, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
@@ -139,38 +139,62 @@ def test_toxicity_odd_rows(spark, odd):
     assert {r.score for r in toxicity.scores(odd, none).collect()} == {0.5}
 
 
-def test_decontamination_matches_brute_force(spark):
+def test_decontamination_matches_brute_force(spark, monkeypatch):
     rng = random.Random(3)
-    letters = "abcdefghij éß"
-    items = [(k, "".join(rng.choices(letters, k=rng.randrange(30, 90)))) for k in range(8)] + [(90, "tiny"), (91, None), (92, ""), (93, "AB  cd\nefgh ijkl")]
+    alphabets = ["abcdefghij éß", "абвгдежзий ёщ", "的一是不了人我在有他这", "ab的я "]
+    items = [(k, "".join(rng.choices(alphabets[k % 4], k=rng.randrange(11, 90)))) for k in range(16)] + [(90, "tiny"), (91, None), (92, ""), (93, "AB  cd\nefgh ijkl"), (94, "tiny"), (90, "tiny")]
     docs = []
-    for n in range(120):
+    for n in range(160):
+        letters = alphabets[n % 4]
         text = "".join(rng.choices(letters, k=rng.randrange(0, 150)))
-        if n % 2:
-            passage = list(rng.choice(items[:8])[1])
-            for _ in range(rng.randrange(0, 12)):
+        if n % 3:
+            passage = list(rng.choice(items[:16])[1])
+            for _ in range(rng.randrange(0, 10)):
                 at = rng.randrange(len(passage))
                 passage[at : at + 1] = rng.choice([[], ["x"], ["y", passage[at]]])
             text += "".join(passage) + "".join(rng.choices(letters, k=40))
-        docs.append((n, text))
-    docs += [(200, "Tiny"), (201, "tiny thing"), (202, None), (203, "x ab cd\n\nEFGH ijkl y"), (None, items[0][1])]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+        docs.append((n, text, 1))
+    docs += [(200, "Tiny", 2), (201, "a tiny thing", 2), (202, None, None), (203, "x ab cd\n\nEFGH ijkl y", 1), (None, items[0][1], 1), (None, items[0][1], 1), (204, "", 1)]
+    # A long text of few letters, with a passage near its end: many hits on many diagonals.
+    docs.append((300, "".join(rng.choices("ab", k=3000)) + items[0][1] + "ab" * 200, 1))
+    items.append((95, "ab" * 40 + "ba" * 20))
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.leaks(df, bench).collect()}
-    want = set()
-    for d, text in docs:
+    want = []
+    for d, text, _ in docs:
         text = decontaminate.normalized(text or "")
         for i, passage in items:
             passage = decontaminate.normalized(passage or "")
-            if len(passage) < decontaminate.Q:
-                if passage and passage == text:
-                    want.add((d, i, 0))
-            elif (e := brute_edits(passage, text)) <= decontaminate.budget(len(passage)):
-                want.add((d, i, e))
-    assert got == want and len(want) > 20
+            if passage and (e := brute_edits(passage, text)) <= decontaminate.budget(len(passage)):
+                want.append((d, i, e))
     leaked = {d for d, _, _ in want}
-    assert sorted(r.doc_id or -1 for r in decontaminate.without_leaks(df, bench).collect()) == sorted(d or -1 for d, _ in docs if d not in leaked)
+    for hits, block in ((decontaminate.HITS, decontaminate.BLOCK), (50, 200)):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        got = decontaminate.leaks(df, bench).collect()
+        assert table((r.doc_id, r.item_id, r.edits) for r in got) == table(want) and len(want) > 60
+        texts = {d: decontaminate.normalized(t or "") for d, t, _ in docs}
+        passages = {i: decontaminate.normalized(t or "") for i, t in items}
+        assert all(edits(passages[r.item_id], texts[r.doc_id][r.start : r.end]) == r.edits for r in got)
+        kept = decontaminate.without_leaks(df, bench)
+        assert kept.columns == df.columns and table((r.doc_id, r.text) for r in kept.collect()) == table((d, t) for d, t, _ in docs if d not in leaked)
     assert decontaminate.leaks(df, bench.limit(0)).collect() == [] and decontaminate.leaks(df.limit(0), bench).collect() == []
+    assert decontaminate.without_leaks(df, bench.limit(0)).count() == len(docs) and decontaminate.without_leaks(df.limit(0), bench).collect() == []
+
+
+def test_decontamination_of_hard_texts_ends_soon():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("абвгдежзиклмн", k=rng.randrange(2, 9))) for _ in range(2000)]
+    stem = "какое из следующих утверждений верно "
+    items = [(k, stem + " ".join(rng.choices(words, k=12)), 1) for k in range(10_000)]
+    text = " ".join([*rng.choices(words, k=1500), items[77][1].replace("верно", "верн0"), *rng.choices(words, k=1500), stem])
+    index = decontaminate.Index(items)
+    began = time.perf_counter()
+    assert [(i, e) for i, e, _, _ in index.matches(text)] == [(77, 1)]
+    long = "".join(rng.choices("абвгд ", k=6000))
+    assert decontaminate.Index([(1, long, 1)]).matches("x " + long[:3000] + "щ" + long[3001:])[0][:2] == (1, 1)
+    decontaminate.Index([(1, "a" * 999 + "b", 1)]).matches("a" * 20_000)
+    assert time.perf_counter() - began < 30
 
 
 def test_warc(spark):
