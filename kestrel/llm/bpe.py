@@ -18,21 +18,22 @@ import unicodedata
 
 import ahocorasick
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kestrel.llm.common import map_arrow, texts_of
 
-#: Unicode White_Space, which the vocabulary's \\s stands for.
-SPACE = "\t-\r \x85\xa0  -     　"
 #: Moves a symbol that ends a word out of the way of the same symbol within a word.
 END = 0x10000
 #: Words that a worker keeps at most: as many again stay from before, so frequent words are not lost.
 CACHE = 150_000
-#: The vocabulary's word pattern, and its equal for texts of ASCII characters and letters.
+#: The vocabulary's word pattern, and its equals for texts of ASCII characters and letters and for
+#: texts whose other characters are replaced by the KINDS of a letter, number, space or other one.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 QUICK = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+BY_KIND = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Zé]+|[0-9²]|[^\t-\r a-zA-Zé0-9²]+"
+KINDS = LETTER, NUMBER, SPACE, OTHER = "é² ¡"
 
 
 def byte_symbols() -> list[str]:
@@ -65,11 +66,15 @@ class PrefixEncoder:
         self.fits: dict[int, bool] = {}
         self.whole: dict[str, bool] = {}
         self.bytes = byte_symbols()
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern.replace(r"\s", SPACE)).findall
-        self.quick = re.compile(QUICK).findall if pattern == PATTERN else self.words
+        # The library's own Unicode tables say how a character is normalized and what it is.
+        library = Tokenizer.from_str(json.dumps({**spec, "model": {**model, "vocab": {}, "merges": []}}))
+        self.normalizer, self.pretokenizer = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        if PATTERN not in (p.get("pattern", {}).get("Regex") for p in spec["pre_tokenizer"]["pretokenizers"]):
+            raise ValueError(f"{path}: not the word pattern that is known here")
+        self.quick, self.by_kind, self.kinds = re.compile(QUICK).findall, re.compile(BY_KIND).finditer, _Kinds(self.pretokenizer)
+        self.plain = {chr(c) for c in range(128)}
         self.letters = {chr(c) for c in range(128) if not 28 <= c < 32}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.encoded = _Cache(self._word_ids)
 
     def symbols(self, token: str) -> str:
@@ -132,19 +137,27 @@ class PrefixEncoder:
         return np.array(self.word(word), "<u4").tobytes()
 
     def pretokens(self, text: str) -> list[str]:
-        """The pattern's matches; the built-in engine finds them where a text has no characters
-        but ASCII and letters, on which the two patterns agree."""
+        """The pattern's matches, on the text itself if it has no characters but ASCII and letters that
+        the built-in engine knows, else on the kinds of its characters."""
         for c in set(text) - self.letters:
-            if not unicodedata.category(c).startswith("L"):
-                return self.words(text)
+            if self.kinds[ord(c)] != LETTER or not c.isalpha():
+                return [text[m.start() : m.end()] for m in self.by_kind(text.translate(self.kinds))]
             self.letters.add(c)
         return self.quick(text)
 
     def normalize(self, text: str) -> str:
+        """The text as the library normalizes it.
+
+        Python's tables are newer, but agree on texts of old characters (NFC is stable for them)
+        that it changes one by one as the library does; all other texts go to the library.
+        """
         if text.isascii():
             return text.lower()
-        # Lower case goes character by character: a final sigma is no special case.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        for c in set(text) - self.plain:
+            if unicodedata.ucd_3_2_0.category(c) == "Cn" or self.normalizer(c) not in (_normalized(c), " " if c.isspace() else None):
+                return self.normalizer(text)
+            self.plain.add(c)
+        return _normalized(text)
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian unsigned 32-bit integers, and their decoded text."""
@@ -161,6 +174,26 @@ class PrefixEncoder:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _normalized(text: str) -> str:
+    # Lower case goes character by character: a final sigma is no special case.
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+class _Kinds(dict):
+    """For str.translate: ASCII characters stay, others become their kind, as the library splits."""
+
+    def __init__(self, split):
+        self.pieces = split
+
+    def __missing__(self, code):
+        ends = [end for _, (_, end) in self.pieces(f"a{chr(code)}.")]
+        kind = {(2, 3): LETTER, (1, 2, 3): NUMBER, (1, 3): OTHER}[tuple(ends)]
+        if kind == OTHER and len(self.pieces(chr(code))) == 0:
+            kind = SPACE
+        self[code] = chr(code) if code < 128 else kind
+        return self[code]
+
+
 class _Cache(dict):
     """Recent results in two generations: when the younger is full, it becomes the older."""
 

@@ -62,6 +62,16 @@ def test_bpe_matches_the_library(odd, documents):
         assert table(got) == table(want)
 
 
+def test_bpe_knows_every_character():
+    """As the library: every assigned code point and more, and random strings of odd ones."""
+    t, own, rng = Tokenizer.from_file(VOCABULARY), bpe.encoder(VOCABULARY), random.Random(1)
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x32400, 7), *range(0xE0000, 0x110000, 97)]]
+    odd = [c for c in points if c < "\u3400"] + points[-500:] + list("aȩ\u0301\u0323 '1²ΣİſKẛßΑs.각") * 300
+    texts = [f"a{c}b1{c}\u0301" for c in points] + ["".join(rng.choices(odd, k=rng.randrange(1, 14))) for _ in range(30_000)]
+    want = t.encode_batch(texts, add_special_tokens=False)
+    assert [x for x, w in zip(texts, want) if np.frombuffer(own.encode(x)[0], "<u4").tolist() != w.ids] == []
+
+
 def test_bpe_empty_table(odd):
     assert bpe.encoded(odd.limit(0), VOCABULARY).collect() == []
 
