@@ -45,9 +45,9 @@ def matched(events: DataFrame, pairs: DataFrame, threshold: Column) -> DataFrame
     a, b = (lists.select(*KEYS, F.col("scorer").alias(name), F.col("l").cast("array<struct<idx:int,t:int>>").alias(f"{name}_l")) for name in ("ref", "test"))
     rows = pairs.join(a, [*KEYS, "ref"], "left").join(b, [*KEYS, "test"], "left")
     rows = rows.withColumns({"ref_l": F.coalesce("ref_l", empty), "test_l": F.coalesce("test_l", empty), "limit": threshold})
-    one = lambda x: F.transform("ref_l", lambda y: F.struct(F.abs(x["t"] - y["t"]).alias("diff"), x["idx"].alias("test_idx"), y["idx"].alias("ref_idx")))
-    within = F.filter(F.flatten(F.transform("test_l", one)), lambda c: c["diff"] <= F.col("limit"))
-    rows = rows.withColumn("candidates", within).withColumn("matches", _greedy(F.col("candidates")))
+    near = lambda x: F.filter("ref_l", lambda y: F.abs(x["t"] - y["t"]) <= F.col("limit"))
+    one = lambda x: F.transform(near(x), lambda y: F.struct(F.abs(x["t"] - y["t"]).alias("diff"), x["idx"].alias("test_idx"), y["idx"].alias("ref_idx")))
+    rows = rows.withColumn("candidates", F.flatten(F.transform("test_l", one))).withColumn("matches", _greedy(F.col("candidates")))
     tp = F.size("matches")
     return rows.select(*KEYS, "ref", "test", "matches", tp.alias("tp"), (F.size("test_l") - tp).alias("fp"), (F.size("ref_l") - tp).alias("fn"))
 
@@ -103,10 +103,13 @@ def orphans(events: DataFrame, matches: DataFrame) -> DataFrame:
 
 def cross_type(lost: DataFrame, threshold: int, first: str = "turn", second: str = "contraction") -> DataFrame:
     """Orphans of one type near those of the other by another scorer: video, first_scorer,
-    second_scorer, first_t, second_t and distance, within the threshold."""
-    a = lost.where(F.col("event_type") == first).select("video", F.col("scorer").alias("first_scorer"), F.col("t").alias("first_t"))
-    b = lost.where(F.col("event_type") == second).select("video", F.col("scorer").alias("second_scorer"), F.col("t").alias("second_t"))
-    out = a.join(b, "video").where("first_scorer <> second_scorer").withColumn("distance", F.abs(F.col("first_t") - F.col("second_t")))
+    second_scorer, first_t, second_t and distance, within the threshold. They meet in bands of
+    time as wide as the threshold."""
+    width = max(1, threshold)
+    band = F.floor(F.col("t") / width)
+    a = lost.where(F.col("event_type") == first).select("video", F.col("scorer").alias("first_scorer"), F.col("t").alias("first_t"), band.alias("band"))
+    b = lost.where(F.col("event_type") == second).select("video", F.col("scorer").alias("second_scorer"), F.col("t").alias("second_t"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    out = a.join(b, ["video", "band"]).drop("band").where("first_scorer <> second_scorer").withColumn("distance", F.abs(F.col("first_t") - F.col("second_t")))
     return out.where(F.col("distance") <= threshold)
 
 
@@ -130,27 +133,32 @@ def reliability_report(table: DataFrame) -> DataFrame:
 
 
 def _combinations(sets: list[Column], limit: Column) -> Column:
-    """All triplets and pairs of the three scorers' events, sorted as they are assigned: triplets
-    by range and sum of distances, then pairs by distance, then by places."""
-    struct = lambda rank, spread, total, a, b, c, p12, p13, p23: F.struct(
-        F.lit(rank).alias("rank"), spread.alias("spread"), total.alias("total"), a.alias("a"), b.alias("b"), c.alias("c"), p12.alias("p12"), p13.alias("p13"), p23.alias("p23")
-    )
-    none, no = F.lit(-1), F.lit(False)
-
-    def triplet(x, y, z):
-        d12, d13, d23 = F.abs(x["t"] - y["t"]), F.abs(x["t"] - z["t"]), F.abs(y["t"] - z["t"])
-        return struct(0, F.greatest(d12, d13, d23) - F.least(d12, d13, d23), d12 + d13 + d23, x["idx"], y["idx"], z["idx"], d12 <= limit, d13 <= limit, d23 <= limit)
+    """The triplets and pairs of the three scorers' events with exactly one passing distance or
+    three, in the order in which they are assigned: triplets by range and sum of distances, then
+    pairs by distance, then by places. Each starts from a pair within the limit."""
+    near = lambda x, y: F.abs(x["t"] - y["t"]) <= limit
+    none = F.lit(-1)
 
-    s1, s2, s3 = sets
-    triplets = F.flatten(F.flatten(F.transform(s1, lambda x: F.transform(s2, lambda y: F.transform(s3, lambda z: triplet(x, y, z))))))
+    def entry(rank, spread, total, a, b, c, kind):
+        return F.struct(F.lit(rank).alias("rank"), spread.alias("spread"), total.alias("total"), a.alias("a"), b.alias("b"), c.alias("c"), kind.alias("kind"))
+
+    def triplet(x, y, z, kind):
+        d12, d13, d23 = F.abs(x["t"] - y["t"]), F.abs(x["t"] - z["t"]), F.abs(y["t"] - z["t"])
+        return entry(0, F.greatest(d12, d13, d23) - F.least(d12, d13, d23), d12 + d13 + d23, x["idx"], y["idx"], z["idx"], kind)
 
-    def pairs(one, two, make):
-        return F.flatten(F.transform(one, lambda x: F.transform(two, lambda y: make(x, y, F.abs(x["t"] - y["t"])))))
+    def each(one, two, make):
+        """make(x, y) over the pairs of the two lists within the limit."""
+        return F.flatten(F.transform(one, lambda x: F.transform(F.filter(two, lambda y: near(x, y)), lambda y: make(x, y))))
 
-    p12 = pairs(s1, s2, lambda x, y, d: struct(1, F.lit(0), d, x["idx"], y["idx"], none, d <= limit, no, no))
-    p13 = pairs(s1, s3, lambda x, y, d: struct(1, F.lit(0), d, x["idx"], none, y["idx"], no, d <= limit, no))
-    p23 = pairs(s2, s3, lambda x, y, d: struct(1, F.lit(0), d, none, x["idx"], y["idx"], no, no, d <= limit))
-    return F.array_sort(F.concat(triplets, p12, p13, p23))
+    s1, s2, s3 = sets
+    both = F.flatten(each(s1, s2, lambda x, y: F.transform(F.filter(s3, lambda z: near(x, z) == near(y, z)), lambda z: triplet(x, y, z, F.when(near(x, z), "s123").otherwise("s12")))))
+    outer = F.flatten(each(s1, s3, lambda x, z: F.transform(F.filter(s2, lambda y: ~near(x, y) & ~near(y, z)), lambda y: triplet(x, y, z, F.lit("s13")))))
+    later = F.flatten(each(s2, s3, lambda y, z: F.transform(F.filter(s1, lambda x: ~near(x, y) & ~near(x, z)), lambda x: triplet(x, y, z, F.lit("s23")))))
+    far = lambda x, y: F.abs(x["t"] - y["t"])
+    p12 = each(s1, s2, lambda x, y: entry(1, F.lit(0), far(x, y), x["idx"], y["idx"], none, F.lit("s12")))
+    p13 = each(s1, s3, lambda x, y: entry(1, F.lit(0), far(x, y), x["idx"], none, y["idx"], F.lit("s13")))
+    p23 = each(s2, s3, lambda x, y: entry(1, F.lit(0), far(x, y), none, x["idx"], y["idx"], F.lit("s23")))
+    return F.array_sort(F.concat(both, outer, later, p12, p13, p23))
 
 
 def unanimity(events: DataFrame, scorers: list[str], threshold: Column) -> DataFrame:
@@ -165,18 +173,14 @@ def unanimity(events: DataFrame, scorers: list[str], threshold: Column) -> DataF
     kind = "array<struct<idx:int,t:int>>"
     sets = {f"l{k}": F.coalesce(F.col(s).cast(kind), F.array().cast(kind)) for k, s in enumerate(scorers)}
     rows = lists.withColumns(sets).where("int(size(l0) > 0) + int(size(l1) > 0) + int(size(l2) > 0) >= 2").withColumn("limit", threshold)
-    rows = rows.withColumn("all", _combinations([F.col("l0"), F.col("l1"), F.col("l2")], F.col("limit")))
-    # A combination counts if exactly one distance passes, or all three do.
-    passed = F.filter("all", lambda c: (c["p12"].cast("int") + c["p13"].cast("int") + c["p23"].cast("int")).isin(1, 3))
+    rows = rows.withColumn("passed", _combinations([F.col("l0"), F.col("l1"), F.col("l2")], F.col("limit")))
     names = "array<struct<a:int,b:int,c:int,kind:string>>"
 
     def step(kept, c):
-        clash = lambda f: F.exists(kept, lambda k: (k[f] >= 0) & (k[f] == c[f]))
-        kind = F.when(c["p12"] & c["p13"] & c["p23"], "s123").when(c["p12"], "s12").when(c["p13"], "s13").otherwise("s23")
-        entry = F.struct(c["a"].alias("a"), c["b"].alias("b"), c["c"].alias("c"), kind.alias("kind"))
-        return F.when(clash("a") | clash("b") | clash("c"), kept).otherwise(F.array_append(kept, entry))
+        clash = F.exists(kept, lambda k: F.greatest(*[(k[f] >= 0) & (k[f] == c[f]) for f in "abc"]))
+        return F.when(clash, kept).otherwise(F.array_append(kept, F.struct(*[c[f].alias(f) for f in ("a", "b", "c", "kind")])))
 
-    rows = rows.withColumn("passed", passed).withColumn("kept", F.aggregate("passed", F.array().cast(names), step))
+    rows = rows.withColumn("kept", F.aggregate("passed", F.array().cast(names), step))
     count = lambda k: F.size(F.filter("kept", lambda x: x["kind"] == k))
     rows = rows.select(*KEYS, *[count(k).alias(k) for k in ("s123", "s12", "s13", "s23")], *[F.size(f"l{k}").alias(f"s{k + 1}_raw") for k in range(3)])
     rows = rows.withColumn("total_unique", F.expr("s1_raw + s2_raw + s3_raw - (s12 + s123) - (s13 + s123) - (s23 + s123) + s123"))
@@ -184,14 +188,23 @@ def unanimity(events: DataFrame, scorers: list[str], threshold: Column) -> DataF
 
 
 def triplets(events: DataFrame, scorers: list[str], threshold: int) -> DataFrame:
-    """Each video's and type's triplets of one event a scorer: t1, t2, t3 and which of their
-    distances pass. Within a video's bounded lists these are all combinations."""
-    out = None
-    for k, s in enumerate(scorers, 1):
-        one = events.where(F.col("scorer") == s).select(*KEYS, F.col("t").alias(f"t{k}"))
-        out = one if out is None else out.join(one, KEYS)
+    """Each video's and type's triplets of one event a scorer of which any two are within the
+    threshold: t1, t2, t3 and which of their distances pass. Triplets that pass nowhere are
+    never assigned; the others start from a pair that meets in a band of time.
+    """
+    width = max(1, threshold)
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= threshold
-    return out.withColumns({"p12": near("t1", "t2"), "p13": near("t1", "t3"), "p23": near("t2", "t3")})
+    sheets = [events.where(F.col("scorer") == s).select(*KEYS, F.col("idx").alias(f"i{k}"), F.col("t").alias(f"t{k}")) for k, s in enumerate(scorers, 1)]
+    out = None
+    for x, y, z in ((1, 2, 3), (1, 3, 2), (2, 3, 1)):
+        band = lambda k: F.floor(F.col(f"t{k}") / width)
+        one = sheets[x - 1].withColumn("band", band(x))
+        two = sheets[y - 1].withColumn("band", F.explode(F.array(band(y) - 1, band(y), band(y) + 1)))
+        found = one.join(two, [*KEYS, "band"]).where(near(f"t{x}", f"t{y}")).join(sheets[z - 1], KEYS).select(*KEYS, *[f"{c}{k}" for k in (1, 2, 3) for c in "it"])
+        # Each triplet once: by the first of its pairs that passes.
+        first = ~near("t1", "t2") & ~near("t1", "t3") if x == 2 else ~near("t1", "t2") if y == 3 else F.lit(True)
+        out = found.where(first) if out is None else out.unionByName(found.where(first))
+    return out.select(*KEYS, "t1", "t2", "t3", near("t1", "t2").alias("p12"), near("t1", "t3").alias("p13"), near("t2", "t3").alias("p23"))
 
 
 def mark_lists(marks: DataFrame, keys: list[str], frame: str) -> DataFrame:

@@ -99,8 +99,8 @@ def median_filtered(df: DataFrame, keys: list[str], order: str, value: str, out:
     # Mirrored ends: the window's missing rows are those next to the end, in reverse.
     n, at = F.count("*").over(W.partitionBy(*keys)), F.row_number().over(w)
     window = F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rowsBetween(-left, right))
-    head = F.collect_list(F.struct(F.col(value).alias("v"))).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, left))
-    tail = F.collect_list(F.struct(F.col(value).alias("v"))).over(W.partitionBy(*keys).orderBy(order).rowsBetween(-right - 1, W.unboundedFollowing))
+    head = F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rowsBetween(-left, left))
+    tail = F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rowsBetween(-right - 1, right))
     lacks_left, lacks_right = F.greatest(F.lit(0), left - (at - 1)), F.greatest(F.lit(0), right - (n - at))
     df = df.withColumns({"__w": window, "__l": lacks_left.cast("int"), "__r": lacks_right.cast("int")})
     df = df.withColumn("__h", F.when(F.col("__l") > 0, F.slice(head, F.lit(1), F.col("__l"))).otherwise(F.array().cast("array<struct<v:double>>")))

@@ -127,9 +127,9 @@ def q_unanimity(spark, sf_dir):
 
 
 @query(f"""WITH {MARKS_SQL} SELECT a.video, a.event_type, a.t AS t1, b.t AS t2, c.t AS t3, abs(a.t - b.t) <= 10 AS p12, abs(a.t - c.t) <= 10 AS p13, abs(b.t - c.t) <= 10 AS p23
-FROM e a JOIN e b ON a.video = b.video AND a.event_type = b.event_type AND a.scorer = 'S1' AND b.scorer = 'S2' JOIN e c ON a.video = c.video AND a.event_type = c.event_type AND c.scorer = 'S3'""")
+FROM e a JOIN e b ON a.video = b.video AND a.event_type = b.event_type AND a.scorer = 'S1' AND b.scorer = 'S2' JOIN e c ON a.video = c.video AND a.event_type = c.event_type AND c.scorer = 'S3' WHERE p12 OR p13 OR p23""")
 def q_scorer_triplets(spark, sf_dir):
-    """All triplets of the three scorers' events within a video, with their passing distances."""
+    """Triplets of the three scorers' events within a video of which a distance passes."""
     return matching.triplets(views.marks(spark, sf_dir), SCORERS, 10)
 
 
