@@ -1,7 +1,7 @@
 """Suffix-array dedup of passages that repeat across documents.
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a
-smaller id. Documents are dealt into chunks by a hash of their id, a shuffle that three steps
+smaller id. Documents are dealt into chunks by a hash of id and text, a shuffle that three steps
 share:
 
 1. Every string of LENGTH bytes has an anchor, the Q bytes in it with the least hash, the same
@@ -9,10 +9,10 @@ share:
 2. A bucket tells each chunk which of its hashes other documents have, too.
 3. The chunks send the segments around shared anchors - the bytes of all strings with that
    anchor - to the buckets, each text of a segment once with the least id it occurs in.
-4. A bucket sorts the suffixes of the segments that have one anchor but differ: by two-stage
-   sorting it orders directly only the suffixes smaller than their successors and induces the
-   rest bucket by bucket; neighbours with a common prefix of LENGTH bytes form a class, and
-   the least id of its class goes back to each chunk for each string.
+4. A bucket sorts the suffixes of its segments: by two-stage sorting it orders directly only
+   the suffixes smaller than their successors and induces the rest bucket by bucket;
+   neighbours with a common prefix of LENGTH bytes form a class, and the least id of its class
+   goes back to each chunk for each string.
 5. The chunks compare these ids with their documents' and cut the bytes.
 
 A passage in any number of documents is one entry for each chunk, so no group grows with its
@@ -175,9 +175,9 @@ def _rows(group: pa.Table) -> list[tuple[int, bytes]]:
     return sorted((i, (t or "").encode("utf-8")) for i, t in zip(group["doc"].to_pylist(), group["t"].to_pylist()))
 
 
-WIRE = "bucket int, chunk int, kind int, count long, a binary, b binary, c binary, d binary"
+WIRE = "bucket int, chunk int, kind int, count long, a binary, b binary, c binary"
 WIRE_NAMES = [x.split()[0] for x in WIRE.split(", ")]
-WIRE_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 4
+WIRE_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 3
 
 
 def _wire(rows: list[tuple]) -> pa.Table:
@@ -196,7 +196,7 @@ def _listed(group: pa.Table, bits: int) -> pa.Table:
     for b, (x, y) in enumerate(zip(cuts, cuts[1:])):
         if y > x:
             many = counts[x:y] > 1
-            out.append((b, chunk, 0, int(many.sum()), _pack(np.concatenate([low[x:y][many], low[x:y][~many]])), b"", b"", b""))
+            out.append((b, chunk, 0, int(many.sum()), _pack(np.concatenate([low[x:y][many], low[x:y][~many]])), b"", b""))
     return _wire(out)
 
 
@@ -213,7 +213,7 @@ def _matched(group: pa.Table) -> pa.Table:
         own = np.unique(own)
         own = own[np.isin(own, shared, assume_unique=True)]
         if len(own):
-            out.append((bucket, chunk, 1, len(own), _pack(own), b"", b"", b""))
+            out.append((bucket, chunk, 1, len(own), _pack(own), b"", b""))
     return _wire(out)
 
 
@@ -229,7 +229,6 @@ class _Segments:
         shared = np.sort(np.concatenate(keys))
         self.numbers: dict[bytes, int] = {}
         self.bucket: list[int] = []
-        self.tag: list[int] = []
         self.least: list[int] = []
         #: For each document: numbers of its segments, and where they begin and end.
         self.places: list[tuple[list[int], np.ndarray, np.ndarray]] = []
@@ -243,13 +242,12 @@ class _Segments:
             else:
                 keep = np.zeros(len(key), bool)
             first, last, own = first[keep], last[keep] + LENGTH, []
-            for b, t, x, y in zip(bucket[keep].tolist(), low[keep].tolist(), first.tolist(), last.tolist()):
+            for b, x, y in zip(bucket[keep].tolist(), first.tolist(), last.tolist()):
                 segment = data[x:y]
                 number = self.numbers.get(segment)
                 if number is None:
                     number = self.numbers[segment] = len(self.least)
                     self.bucket.append(b)
-                    self.tag.append(t)
                     self.least.append(doc)
                 own.append(number)
             self.places.append((own, first, last))
@@ -270,7 +268,7 @@ def _sent(chunk: int, group: pa.Table, messages: pa.Table, bits: int) -> pa.Tabl
         own = [texts[k] for k in numbers]
         out.append((
             b, chunk, 2, len(own), b"".join(own), np.array([len(x) for x in own], "<u2").tobytes(),
-            np.array([found.least[k] for k in numbers], "<i8").tobytes(), _pack(np.array([found.tag[k] for k in numbers], np.uint64)),
+            np.array([found.least[k] for k in numbers], "<i8").tobytes(),
         ))
     return _wire(out)
 
@@ -280,44 +278,34 @@ def _sorted(group: pa.Table) -> pa.Table:
     bucket = group["bucket"][0].as_py()
     numbers: dict[bytes, int] = {}
     least: list[int] = []
-    tags: list[int] = []
     asked = []
-    for chunk, a, b, c, d in zip(*(group[x].to_pylist() for x in ("chunk", "a", "b", "c", "d"))):
+    for chunk, a, b, c in zip(*(group[x].to_pylist() for x in ("chunk", "a", "b", "c"))):
         own, at = [], 0
-        for size, doc, tag in zip(np.frombuffer(b, "<u2").tolist(), np.frombuffer(c, "<i8").tolist(), _unpack(d).tolist()):
+        for size, doc in zip(np.frombuffer(b, "<u2").tolist(), np.frombuffer(c, "<i8").tolist()):
             segment = a[at : at + size]
             at += size
-            number = numbers.get(segment)
-            if number is None:
-                number = numbers[segment] = len(least)
+            number = numbers.setdefault(segment, len(least))
+            if number == len(least):
                 least.append(doc)
-                tags.append(tag)
             elif doc < least[number]:
                 least[number] = doc
             own.append(number)
         asked.append((chunk, own))
-    texts = list(numbers)
-    ids = np.array(least, np.int64)
-    # Segments with an anchor of their own have no other strings to meet.
-    _, inverse, counts = np.unique(np.array(tags, np.uint64), return_inverse=True, return_counts=True)
-    varied = np.flatnonzero(counts[inverse] > 1)
-    answers: dict[int, np.ndarray] = {}
-    if len(varied):
-        owner, start, classes = suffix_classes([texts[k] for k in varied.tolist()])
-        heads = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
-        lowest = np.minimum.reduceat(ids[varied][owner], heads)[classes]
-        order = np.lexsort((start, owner))
-        sizes = np.array([len(texts[k]) - LENGTH + 1 for k in varied.tolist()])
-        for k, part in zip(varied.tolist(), np.split(lowest[order], np.cumsum(sizes)[:-1])):
-            if (part == part[0]).all():
-                ids[k] = part[0]
-            else:
-                answers[k] = part
+    # Every string of every segment takes the least id of its class in the suffix order.
+    owner, start, classes = suffix_classes(list(numbers))
+    heads = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+    lowest = np.minimum.reduceat(np.array(least, np.int64)[owner], heads)[classes]
+    strings = lowest[np.lexsort((start, owner))]
+    ends = np.cumsum([len(x) - LENGTH + 1 for x in numbers])
+    begins = np.concatenate([[0], ends[:-1]])
+    single = np.minimum.reduceat(strings, begins)
+    varied = single != np.maximum.reduceat(strings, begins)
     out = []
     for chunk, own in asked:
-        single = ids[own].astype("<i8")
-        several = [j for j, k in enumerate(own) if k in answers]
-        out.append((bucket, chunk, 3, len(own), single.tobytes(), np.array(several, "<i8").tobytes(), b"".join(answers[own[j]].astype("<i8").tobytes() for j in several), b""))
+        own = np.array(own)
+        several = np.flatnonzero(varied[own])
+        ids = b"".join(strings[begins[k] : ends[k]].astype("<i8").tobytes() for k in own[several].tolist())
+        out.append((bucket, chunk, 3, len(own), single[own].astype("<i8").tobytes(), several.astype("<i8").tobytes(), ids))
     return _wire(out)
 
 
@@ -380,7 +368,8 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chunks = max(1, size // CHUNK)
     bits = max(4, (size // SHARE).bit_length())
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    spread = F.xxhash64(doc, F.when(doc == LAST, F.col(text_col)))
+    # Rows that share an id lose nothing to each other, so they may lie in different chunks.
+    spread = F.xxhash64(doc, F.col(text_col))
     rows = df.select(F.pmod(spread, F.lit(chunks)).cast("int").alias("chunk"), doc.alias("doc"), F.col(text_col).alias("t"))
     by_chunk = rows.groupBy("chunk")
 
