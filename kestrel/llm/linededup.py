@@ -1,14 +1,15 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line is cut into K + 1 segments. A line within K edits of it holds one of the segments
-unchanged and near its old place, so that segments filed under length and number, and probes
-with the substrings of those lengths and places, bring the pairs together. Spark's banded
-edit distance with a threshold decides. Only distinct lines join; copies are counted before.
-Near copies of one line share segments, so many lines meet under one key: under frequent keys
-the lines go along, and only pairs within K edits leave the join.
-
-A line of a document goes if an equal line, or one within K edits, occurs earlier, by
-document id and then line number. Lines are judged on the input.
+Lines are near with at most one edit for each EVERY characters of the shorter one, up to K.
+A line for which e edits are allowed is cut into e + 1 segments. A line within e edits of it
+holds one of the segments unchanged and near its old place, so that segments filed under
+length and number, and probes with the substrings of those lengths and places, bring the
+pairs together. Spark's banded edit distance with a threshold decides. Only distinct lines
+join; copies are counted before. Near copies of one line share segments, so many lines meet
+under one key: under frequent keys the lines go along, and only near pairs leave the join.
+
+A line of a document goes if an equal or a near line occurs earlier, by document id and then
+line number. Lines are judged on the input.
 """
 
 from __future__ import annotations
@@ -18,10 +19,8 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.common import written
 
-#: Edits allowed between lines, and the length from which lines are compared by edits;
-#: shorter ones only by equality.
-K = 2
-SHORTEST = 12
+#: Edits allowed between lines at most, and the characters of the shorter one for each.
+K, EVERY = 2, 6
 #: Lines of candidate pairs whose keys may go to every task: at most 8 MB. More are joined by
 #: a shuffle.
 BROADCAST = 1_000_000
@@ -36,8 +35,12 @@ def _parts(text_col: str) -> Column:
     return F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
 
 
+#: Names a document: its order and the hash of order and text, which rows that repeat both share.
+DOCUMENT = ["doc", "dkey"]
+
+
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Order (the id), key (of id and text: rows that repeat both share it) and lines."""
+    """DOCUMENT and lines of each row."""
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     return df.select(order.alias("doc"), F.xxhash64(order, F.coalesce(F.col(text_col), F.lit(""))).alias("dkey"), _parts(text_col).alias("parts"))
 
@@ -52,51 +55,69 @@ def _occurrences(documents: DataFrame) -> DataFrame:
     return lines.select("doc", "dkey", "line_no", *_keys(F.col("line")), F.length("line").alias("n"))
 
 
-def _start(length: Column, i: int) -> Column:
+def _allowed(length: Column) -> Column:
+    return F.least(F.lit(K), F.floor(length / EVERY)).cast("int")
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether the two lines are within the edits allowed for the shorter one."""
+    most = _allowed(F.least(F.length(a), F.length(b)))
+    return F.array_contains(F.sequence(F.lit(0), most), F.levenshtein(a, b, K))
+
+
+def _start(length: Column, i: int, segments: int) -> Column:
     """Where segment i (from 0) of a line begins, from 1: the last segments are the longer."""
-    base, longer = F.floor(length / (K + 1)), F.pmod(length, F.lit(K + 1))
-    return F.lit(1) + base * i + F.greatest(F.lit(0), i - (K + 1 - longer))
+    base, longer = F.floor(length / segments), F.pmod(length, F.lit(segments))
+    return F.lit(1) + base * i + F.greatest(F.lit(0), i - (segments - longer))
 
 
-def _size(length: Column, i: int) -> Column:
-    return F.floor(length / (K + 1)) + F.when(F.pmod(length, F.lit(K + 1)) >= K + 1 - i, 1).otherwise(0)
+def _size(length: Column, i: int, segments: int) -> Column:
+    return F.floor(length / segments) + F.when(F.pmod(length, F.lit(segments)) >= segments - i, 1).otherwise(0)
 
 
-def _filed(line: Column, n: Column) -> list[Column]:
+def _key(line: Column, length: Column, e: int, i: int, shift: int = 0) -> Column:
+    """The key of segment i of lines of a length, taken from line at a shift of its place."""
+    part = F.substr(line, (_start(length, i, e + 1) + shift).cast("int"), _size(length, i, e + 1).cast("int"))
+    return F.xxhash64(F.lit(i), length.cast("int"), part)
+
+
+def _filed(line: Column, n: Column) -> Column:
     """Keys of the line's own segments."""
-    return [F.xxhash64(F.lit(i), n, F.substr(line, _start(n, i).cast("int"), _size(n, i).cast("int"))) for i in range(K + 1)]
+    keys = F.array().cast("array<bigint>")
+    for e in range(1, K + 1):
+        keys = F.when(_allowed(n) == e, F.array(*[_key(line, n, e, i) for i in range(e + 1)])).otherwise(keys)
+    return keys
 
 
-def _probes(line: Column, n: Column) -> list[Column]:
+def _probes(line: Column, n: Column) -> Column:
     """Keys of the substrings that may be a segment of a line as long or up to K shorter.
 
-    For segment i at most i edits come before it or at most K - i after it; both bound its
-    shift, and it is enough to look where both hold.
+    For segment i of a line with e edits at most i edits come before it or at most e - i after
+    it; both bound its shift, and it is enough to look where both hold.
     """
     keys = []
     for less in range(K + 1):
-        length = n - less
-        for i in range(K + 1):
-            for shift in range(max(-i, less - (K - i)), min(i, less + K - i) + 1):
-                part = F.substr(line, (_start(length, i) + shift).cast("int"), _size(length, i).cast("int"))
-                keys.append(F.xxhash64(F.lit(i), length.cast("int"), part))
-    return keys
+        for e in range(max(1, less), K + 1):
+            shifts = [(i, shift) for i in range(e + 1) for shift in range(max(-i, less - (e - i)), min(i, less + e - i) + 1)]
+            found = F.array(*[_key(line, n - less, e, i, shift) for i, shift in shifts])
+            keys.append(F.when(_allowed(n - less) == e, found).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(*keys)
 
 
 def _pick(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of wanted lines (dkey, line_no and other columns); documents move by key."""
-    grouped = wanted.groupBy("dkey").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "dkey"])).alias("wanted"))
-    joined = documents.select("dkey", "parts").join(grouped.hint("shuffle_hash"), "dkey")
+    """The texts of wanted lines (DOCUMENT, line_no and other columns); documents move by key."""
+    grouped = wanted.groupBy(*DOCUMENT).agg(F.collect_list(F.struct(*[c for c in wanted.columns if c not in DOCUMENT])).alias("wanted"))
+    joined = documents.select(*DOCUMENT, "parts").join(grouped.hint("shuffle_hash"), DOCUMENT)
     rows = joined.select("parts", F.explode("wanted").alias("w"))
     return rows.select("w.*", F.get("parts", F.col("w.line_no")).alias("line"))
 
 
 def near_links(documents: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Pairs of distinct lines within K edits: (a1, a2) and (b1, b2), their hashes, a1 <= b1."""
-    long = firsts.where(F.col("n") >= SHORTEST).select("first.dkey", "first.line_no", "h1", "n")
+    """Pairs of distinct near lines: (a1, a2) and (b1, b2), their hashes, a1 <= b1."""
+    long = firsts.where(F.col("n") >= EVERY).select("first.doc", "first.dkey", "first.line_no", "h1", "n")
     texts = _pick(documents, long)
-    filed = texts.select("h1", "line", F.explode(F.array(*_filed(F.col("line"), F.col("n")))).alias("key"))
-    probes = texts.select("h1", "line", F.explode(F.array(*_probes(F.col("line"), F.col("n")))).alias("key"))
+    filed = texts.select("h1", "line", F.explode(_filed(F.col("line"), F.col("n"))).alias("key"))
+    probes = texts.select("h1", "line", F.explode(_probes(F.col("line"), F.col("n"))).alias("key"))
     crowded = filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
     hot = F.broadcast(crowded.orderBy(F.col("n").desc(), "key").limit(HOT).select("key", F.lit(True).alias("hot")))
 
@@ -105,25 +126,25 @@ def near_links(documents: DataFrame, firsts: DataFrame) -> DataFrame:
 
     filed, probes = keyed(filed, "f"), keyed(probes, "p")
     # Where lines don't go along the pair is met here and compared below.
-    near = F.coalesce(F.levenshtein("p_line", "f_line", K) >= 0, F.lit(True))
+    near = F.coalesce(_near("p_line", "f_line"), F.lit(True))
     met = probes.join(filed.hint("shuffle_hash"), "key").where((F.col("p") != F.col("f")) & near)
     pairs = written(met.select(F.least("p", "f").alias("a1"), F.greatest("p", "f").alias("b1")).distinct(), "line-pairs")
     named = pairs.select(F.col("a1").alias("h1")).union(pairs.select("b1")).distinct()
     named = written(named, "line-pair-keys")
     few = named.count() <= BROADCAST
-    lines = documents.select(F.explode("parts").alias("line")).where(F.length("line") >= SHORTEST).select(*_keys(F.col("line")), "line")
+    lines = documents.select(F.explode("parts").alias("line")).where(F.length("line") >= EVERY).select(*_keys(F.col("line")), "line")
     lines = lines.join(F.broadcast(named) if few else named, "h1", "left_semi").groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
     a = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
     b = lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
-    return pairs.join(a, "a1").join(b, "b1").where(F.levenshtein("a", "b", K) >= 0).select("a1", "a2", "b1", "b2")
+    return pairs.join(a, "a1").join(b, "b1").where(_near("a", "b")).select("a1", "a2", "b1", "b2")
 
 
 def _flags(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """dkey, exact and near: the numbers (from 0) of a document's lines that go because an
-    equal line, or else one within K edits, occurs earlier."""
+    """DOCUMENT, exact and near: the numbers (from 0) of a document's lines that go because an
+    equal line, or else a near one, occurs earlier."""
     documents = _documents(df, id_col, text_col)
     lines = _occurrences(documents)
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no", "dkey")).alias("first"), F.max("n").alias("n"))
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no", "dkey")).alias("first"), F.max("n").alias("n"), F.count("*").alias("times"))
     firsts = written(firsts, "lines")
     links = written(near_links(documents, firsts), "line-links")
     one = firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.struct("first", "h1", "h2").alias("fa"))
@@ -131,9 +152,12 @@ def _flags(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     placed = links.join(one, ["a1", "a2"]).join(two, ["b1", "b2"])
     later = F.when(F.col("fa") < F.col("fb"), F.struct("b1", "b2")).otherwise(F.struct(F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     near = placed.select(later.alias("x")).select(F.col("x.b1").alias("h1"), F.col("x.b2").alias("h2")).distinct().withColumn("near", F.lit(True))
-    marked = firsts.join(near, ["h1", "h2"], "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    marked = firsts.join(near, ["h1", "h2"], "left").select("h1", "h2", "first", "times", F.coalesce("near", F.lit(False)).alias("near"))
+    # Only lines that repeat or are near matter. As both sides of the join are plain shuffles, Spark
+    # splits the occurrences of a very common line among tasks.
+    marked = written(marked.where("times > 1 or near").drop("times"), "marked-lines")
     found = lines.join(marked, ["h1", "h2"]).withColumn("copy", F.struct("doc", "line_no", "dkey") != F.col("first")).where("copy or near")
-    return found.groupBy("dkey").agg(
+    return found.groupBy(*DOCUMENT).agg(
         F.array_sort(F.collect_set(F.when(F.col("copy"), F.col("line_no")))).alias("exact"),
         F.array_sort(F.collect_set(F.when(~F.col("copy"), F.col("line_no")))).alias("near"),
     )
@@ -143,26 +167,26 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """One row for each row of df: doc_id, n_lines (not blank), exact_lines and near_lines, the
     numbers from 0 of the lines that go, and n_removed.
 
-    Blank lines, and so null and empty texts, have no copies. Lines under SHORTEST characters
-    have only equal copies. Rows that repeat id and text get the same result, rows without an
+    Blank lines, and so null and empty texts, have no copies. Rows that repeat id and text get the same result, rows without an
     id come last in the order; other columns are ignored.
     """
     flags = _flags(df, id_col, text_col)
     documents = _documents(df, id_col, text_col)
-    base = documents.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "dkey", F.size(F.filter("parts", lambda x: F.trim(x) != "")).alias("n_lines"))
+    base = documents.select(*DOCUMENT, F.size(F.filter("parts", lambda x: F.trim(x) != "")).alias("n_lines"))
     none = F.array().cast("array<int>")
-    joined = base.join(flags, "dkey", "left").withColumns({"exact_lines": F.coalesce("exact", none), "near_lines": F.coalesce("near", none)})
+    joined = base.join(flags, DOCUMENT, "left").withColumn("doc_id", F.when(F.col("doc") != LAST, F.col("doc"))).withColumns({"exact_lines": F.coalesce("exact", none), "near_lines": F.coalesce("near", none)})
     return joined.select("doc_id", "n_lines", "exact_lines", "near_lines", (F.size("exact_lines") + F.size("near_lines")).alias("n_removed"))
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the lines that go cut from the text; texts may end up empty, null texts stay."""
-    flags = _flags(df, id_col, text_col)
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    keyed = df.withColumn("__key", F.xxhash64(order, F.coalesce(F.col(text_col), F.lit(""))))
-    gone = flags.select(F.col("dkey").alias("__key"), F.array_union("exact", "near").alias("__gone"))
-    parts = _parts(text_col)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    text = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
-    joined = keyed.join(gone, "__key", "left")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(text)).select(*df.columns)
+    flags = _flags(df, id_col, text_col).select(*DOCUMENT, F.array_union("exact", "near").alias("gone"))
+    whole = df.select(F.struct(*df.columns).alias("row"))
+    order = F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(LAST))
+    text = F.col(f"row.`{text_col}`")
+    keyed = whole.withColumns({"doc": order, "dkey": F.xxhash64(order, F.coalesce(text, F.lit("")))})
+    parts = F.split(F.coalesce(text, F.lit("")), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    joined = keyed.join(flags, DOCUMENT, "left")
+    return joined.select(*[(left if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns])

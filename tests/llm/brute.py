@@ -60,7 +60,8 @@ def brute_lines(rows):
     near = set()
     for k, x in enumerate(seen):
         for y in seen[:k]:
-            if min(len(x), len(y)) >= linededup.SHORTEST and abs(len(x) - len(y)) <= linededup.K and edits(x, y) <= linededup.K:
+            most = min(linededup.K, min(len(x), len(y)) // linededup.EVERY)
+            if most and abs(len(x) - len(y)) <= most and edits(x, y) <= most:
                 near.add(x)
                 break
     out = []
