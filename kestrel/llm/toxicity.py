@@ -104,13 +104,15 @@ def held_out(id_column: Column) -> Column:
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and weights learned from at most `sample` labelled rows that are not
-    held out. Rows without an id or label teach nothing; of several labels the largest holds.
+    held out. Rows without an id or label teach nothing; of several labels the largest holds, of
+    several texts of an id the smallest.
     Without labels all weights are empty, and every score is one half."""
     named = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label is not null")
     named = named.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     # At most `sample` rows of two numbers, whatever the size of the labels.
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min("t").alias("t"))
 
     def number(batch):
         return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "at": [features(t).tobytes() for t in texts_of(batch, "t")]}

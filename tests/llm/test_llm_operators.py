@@ -1,6 +1,7 @@
 """Each operator against brute force, on a small table of odd rows and on sf0.001."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -10,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from brute import brute_components, brute_edits, brute_lines, brute_repeats, brute_warc, edits, exact_similar, shingles, table
@@ -138,6 +140,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(right) > 50 and sum(right) / len(right) >= 0.95
 
 
+def test_toxicity_learns_as_plain_ftrl(spark):
+    """The weights of the sample, row after row, feature after feature, with plain numbers."""
+    documents, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    texts, named = {}, {}
+    for r in documents.union(documents.selectExpr("doc_id", "concat(text, ' z')", "lang", "source", "n_chars")).collect():
+        texts[r.doc_id] = min(r.text, texts.get(r.doc_id, r.text))
+    for r in labels.collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts:
+            named[r.doc_id] = r.toxic
+    order = sorted(named, key=lambda i: (xxhash.xxh64_intdigest(str(i)), i))
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        bound = toxicity.L1 if k else 0.0
+        return 0.0 if abs(z[k]) <= bound else -(z[k] - (bound if z[k] > 0 else -bound)) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for i in order:
+            at = toxicity.features(texts[i]).tolist()
+            w = {k: weight(k) for k in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - named[i]
+            for k in at:
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / toxicity.ALPHA * w[k]
+                n[k] += g * g
+    twice = documents.union(documents.selectExpr("doc_id", "concat(text, ' z')", "lang", "source", "n_chars"))
+    at, w = toxicity.train(twice, labels)
+    want = {k: weight(k) for k in n if weight(k)}
+    got = dict(zip(at.tolist(), w.tolist()))
+    assert got.keys() == want.keys() and len(want) > 3 and all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (2, 0), (7, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
@@ -212,7 +245,7 @@ def test_warc(spark):
     rows = [(r.page_id, r.html) for r in pages.collect()]
     assert table(warc.archived(pages).collect()) == table(brute_warc(rows))
     odd = [(5, "u", "x" * 1000), (4, "u\r\nv", "x" * 1000), (4, "u\r\nv", "x" * 1000), (1, None, None), (2, "w", ""), (None, "w", "ünï" * 50), (None, "w", "x" * 1000)]
-    df = spark.createDataFrame(odd, "page_id long, url string, html string")
+    df = spark.createDataFrame([(*x, "clash", 0) for x in odd], "page_id long, url string, html string, digest string, chunk_no int")
     for size in (7, 64, 1 << 18):
         assert table(warc.archived(df, size).collect()) == table(brute_warc([(i, h) for i, _, h in odd]))
     assert warc.archived(df.limit(0)).collect() == []
@@ -220,7 +253,7 @@ def test_warc(spark):
 
 def test_warc_bytes_are_a_warc_file(spark):
     df = spark.createDataFrame([(1, "http://a/", "<p>é</p>" * 10), (2, "http://b/", "<p>é</p>" * 10)], "page_id long, url string, html string").coalesce(1)
-    rows = sorted(warc.chunks(warc.records(df), 16).collect(), key=lambda r: (r.record_id, r.chunk_no))
+    rows = sorted(warc.chunks(df, 16).collect(), key=lambda r: (r.record_id, r.chunk_no))
     data = b"".join(bytes(r.data) for r in rows)
     at = seen = 0
     while at < len(data):
