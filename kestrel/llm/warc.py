@@ -34,55 +34,55 @@ def base32(hexadecimal: Column) -> Column:
     return F.concat(*letters)
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, payload, digest (hexadecimal SHA-1) and refers_to: of the rows with equal
-    payloads those with the smallest page_id have none, others name it. Null html is empty.
-
-    The smallest id is found on digests alone, reduced before the shuffle; payloads move once,
-    by page_id. Rows without a page_id never refer and are never referred to, unless all of
-    their payload's rows have none. Rows that repeat the smallest id and payload are all
-    responses.
-    """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload(F.col(html_col)).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
+def later(rows: DataFrame) -> DataFrame:
+    """page_id, digest and refers_to of the rows whose payload an earlier page has: of the rows with
+    equal digests those with the smallest page_id are not among them, others name it."""
     first = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
     seen = rows.select("page_id", "digest").distinct()
-    later = seen.join(first, "digest").where(F.col("page_id") > F.col("refers_to"))
-    return rows.join(later, ["page_id", "digest"], "left")
+    return seen.join(first, "digest").where(F.col("page_id") > F.col("refers_to"))
 
 
-def chunks(found: DataFrame, size: int = CHUNK) -> DataFrame:
-    """The rows of the chunk table for records(): the first chunk of a record holds its
-    headers, the last one its end."""
-    clean = F.regexp_replace("url", r"[\r\n]", "%0A")
+def chunks(pages: DataFrame, size: int = CHUNK, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The rows of the chunk table: the first chunk of a record holds its headers, the last one its
+    end. Null html is an empty payload.
+
+    Payloads are cut where they are read, and move in chunks, once, by page_id; the smallest id
+    of a payload is found on digests alone, reduced before the shuffle. Rows without a page_id
+    never refer and are never referred to, unless all of their payload's rows have none. Rows
+    that repeat the smallest id and payload are all responses.
+    """
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload(F.col(html_col)).alias("payload"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "length": F.octet_length("payload")})
     number = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    length = F.octet_length("payload")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"))
-    rows = found.withColumn("http", http).withColumn("revisit", F.col("refers_to").isNotNull())
-    stored = F.when(F.col("revisit"), 0).otherwise(length)
+    # Rows that repeat a page stay apart by their place in the table.
+    cut = rows.withColumn("record_id", F.concat(F.lit("urn:page:"), number, F.lit("/"), F.monotonically_increasing_id().cast("string")))
+    cut = cut.withColumn("n_chunks", F.greatest(F.lit(1), F.ceil(F.col("length") / size)).cast("int"))
+    cut = cut.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    cut = cut.withColumn("part", F.substr("payload", F.col("chunk_no") * size + 1, F.lit(size))).drop("payload")
+    found = cut.join(later(rows), ["page_id", "digest"], "left")
+    revisit, first = F.col("refers_to").isNotNull(), F.col("chunk_no") == 0
+    found = found.where(first | ~revisit).withColumn("n_chunks", F.when(revisit, 1).otherwise(F.col("n_chunks")))
+    clean = F.regexp_replace("url", r"[\r\n]", "%0A")
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("length").cast("string"), F.lit("\r\n\r\n"))
+    found = found.withColumns({"http": http, "stored": F.when(revisit, 0).otherwise(F.col("length"))})
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response"),
+        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: <urn:page:"), number, F.lit(">\r\nWARC-Date: 2024-01-01T00:00:00Z"),
         F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), clean), F.lit("")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("digest")),
-        F.when(F.col("revisit"), F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
+        F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
-        (F.octet_length("http") + stored).cast("string"), F.lit("\r\n\r\n"), F.col("http"),
+        (F.octet_length("http") + F.col("stored")).cast("string"), F.lit("\r\n\r\n"), F.col("http"),
     )
-    rows = rows.withColumn("head", F.encode(head, "UTF-8")).withColumn("stored", stored)
-    rows = rows.withColumn("n_chunks", F.greatest(F.lit(1), F.ceil(F.col("stored") / size)).cast("int"))
-    # Rows that repeat a page stay apart by their place in the table.
-    rows = rows.withColumn("record_id", F.concat(F.lit("urn:page:"), number, F.lit("/"), F.monotonically_increasing_id().cast("string")))
-    rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    part = F.when(F.col("stored") == 0, F.lit(b"")).otherwise(F.substr("payload", F.col("chunk_no") * size + 1, F.lit(size)))
+    start = F.when(first, F.encode(head, "UTF-8")).otherwise(F.lit(b""))
+    part = F.when(revisit, F.lit(b"")).otherwise(F.col("part"))
     end = F.when(F.col("chunk_no") == F.col("n_chunks") - 1, F.lit(b"\r\n\r\n")).otherwise(F.lit(b""))
-    start = F.when(F.col("chunk_no") == 0, F.col("head")).otherwise(F.lit(b""))
-    return rows.select(F.spark_partition_id().alias("archive"), "record_id", "chunk_no", "n_chunks", F.concat(start, part, end).alias("data"))
+    return found.select(F.spark_partition_id().alias("archive"), "record_id", "chunk_no", "n_chunks", F.concat(start, part, end).alias("data"))
 
 
 def write_archives(pages: DataFrame, path: str, size: int = CHUNK, **columns: str) -> None:
-    """Write pages as a chunk table at path; columns as in records()."""
-    chunks(records(pages, **columns), size).write.option("compression", "zstd").parquet(path)
+    """Write pages as a chunk table at path; columns as in chunks()."""
+    chunks(pages, size, **columns).write.option("compression", "zstd").parquet(path)
 
 
 class _Reader:
