@@ -89,16 +89,36 @@ def nulled(frames: DataFrame, splits: DataFrame, columns: list[str], session: st
     return frames.join(listed, session, "left").withColumns({c: F.when(~inside, F.col(c)) for c in columns}).drop("__cut")
 
 
-def split_intervals(lists: Column, last: int = 1799) -> Column:
+def split_intervals(lists: Column, last: int = 1799, defaults: bool = True) -> Column:
     """Intervals (inclusive) of a split line's lists: starts and ends; one list alone gives
-    starts whose intervals end before the next; none gives the whole series."""
+    starts whose intervals end before the next; none gives the whole series. Without defaults
+    only both lists give intervals, else there are none."""
     starts, ends = F.get(lists, F.lit(0)), F.get(lists, F.lit(1))
     pairs = F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
     alone = F.transform(starts, lambda s, i: F.struct(s.alias("start"), (F.coalesce(F.get(starts, i + 1), F.lit(last + 1)) - 1).alias("end")))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(last).alias("end")))
+    if not defaults:
+        return F.coalesce(pairs, F.array().cast("array<struct<start:int,end:int>>"))
     return F.when(F.coalesce(F.size(starts), F.lit(0)) < 1, whole).when(ends.isNull(), alone).otherwise(pairs)
 
 
+def last_start(rows: DataFrame, starts: DataFrame, keys: list[str], at: str, start: str, out: str) -> DataFrame:
+    """rows with the last of the starts of equal keys that is not after `at`; null if none is. Starts
+    and rows of the keys go by in one sorted pass, so no pairs are made."""
+    known = starts.select(*keys, F.col(start).alias("__at"), F.col(start).alias("__start"), F.lit(0).alias("__kind"), F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("__row"))
+    asked = rows.select(*keys, F.col(at).alias("__at"), F.lit(None).cast(dict(starts.dtypes)[start]).alias("__start"), F.lit(1).alias("__kind"), F.struct(*rows.columns).alias("__row"))
+    w = W.partitionBy(*keys).orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, 0)
+    met = known.unionByName(asked).withColumn("__last", F.last("__start", ignorenulls=True).over(w)).where("__kind = 1")
+    return met.select("__row.*", F.col("__last").alias(out))
+
+
+def required(rows: DataFrame, splits: DataFrame, key: str = "video") -> DataFrame:
+    """rows with the splits' intervals of equal key; a row without any is an error."""
+    found = rows.join(splits.select(key, "intervals"), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no split for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return found.withColumn("intervals", F.coalesce("intervals", missing.cast(dict(splits.dtypes)["intervals"])))
+
+
 def base_interval(df: DataFrame, keys: list[str]) -> DataFrame:
     """Of the intervals that start at 0 the one with the largest end, by keys."""
     return df.where("start = 0").groupBy(*keys).agg(F.max_by(F.struct("start", "end"), "end").alias("base")).select(*keys, "base.*")

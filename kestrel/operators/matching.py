@@ -128,7 +128,7 @@ def reliability(counts: DataFrame, crossed: DataFrame, first: str = "turn") -> D
 
 def reliability_report(table: DataFrame) -> DataFrame:
     """One line of text for each row of reliability()."""
-    line = F.format_string("%s vs %s, %s: matched %d of %d (recall %.3f), precision %.3f, F1 %.3f, missed %.3f", "ref", "test", "event_type", "matched", "total_ref", "recall", "precision", "f1", "miss_rate")
+    line = F.format_string("%s vs %s, %s: matched %d of %d (recall %.3f), precision %.3f, F1 %.3f, missed %.3f", "ref", "test", "event_type", "matched", "total_ref", *[F.round(c, 3) for c in ("recall", "precision", "f1", "miss_rate")])
     return table.select("ref", "test", "event_type", line.alias("line"))
 
 

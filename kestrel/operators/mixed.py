@@ -13,19 +13,20 @@ from kestrel.functions import special
 def _profile(log_ratio: float, parts: list[tuple], reml: bool):
     """Minus twice the profiled log likelihood at a variance ratio, and the estimates.
 
-    parts: for each subject n, X'X, X'1, X'y, 1'y and y'y. With V = I + r 11', its inverse is
-    I - r / (1 + n r) 11', so that sums over a subject's rows suffice.
+    parts: for subjects with the same number n of rows, their number m, n, and the sums over them
+    of X'X, (X'1)(X'1)', X'y, (X'1)(1'y), y'y and (1'y)^2. With V = I + r 11', its inverse is
+    I - r / (1 + n r) 11', a weight that only n decides, so that these sums suffice.
     """
     r = float(np.exp(log_ratio))
-    p = len(parts[0][2])
+    p = len(parts[0][4])
     a, b, c, logdet, total = np.zeros((p, p)), np.zeros(p), 0.0, 0.0, 0
-    for n, xx, x1, xy, y1, yy in parts:
+    for m, n, xx, x1x1, xy, x1y1, yy, y1y1 in parts:
         w = r / (1 + n * r)
-        a += xx - w * np.outer(x1, x1)
-        b += xy - w * x1 * y1
-        c += yy - w * y1 * y1
-        logdet += np.log1p(n * r)
-        total += n
+        a += xx - w * x1x1
+        b += xy - w * x1y1
+        c += yy - w * y1y1
+        logdet += m * np.log1p(n * r)
+        total += m * n
     beta = np.linalg.solve(a, b)
     free = total - p if reml else total
     variance = max((c - b @ beta) / free, 1e-300)
@@ -54,8 +55,9 @@ def random_intercept(df: DataFrame, keys: list[str], subject: str, y: str, x: di
     of y ~ 1 + x with a random intercept for each subject. x maps a term's name to a SQL
     expression. Rows with a null are left out.
 
-    Spark reduces the rows to sums for each subject; a fit sees one row a subject. Models
-    without more rows than terms, or of dependent terms, are left out.
+    Spark reduces the rows to sums for each subject, and these to sums for each number of rows
+    that a subject has: a fit sees one row for each such number, however many subjects there
+    are. Models without more rows than terms, or of dependent terms, are left out.
     """
     names = ["intercept", *x]
     terms = ["double(1)", *(f"double({e})" for e in x.values())]
@@ -65,18 +67,25 @@ def random_intercept(df: DataFrame, keys: list[str], subject: str, y: str, x: di
     sums = [F.count("*").alias("n"), F.sum("__y").alias("y1"), F.sum(F.col("__y") ** 2).alias("yy")]
     sums += [F.sum(F.col(f"__x{i}") * F.col("__y")).alias(f"xy{i}") for i in range(k)]
     sums += [F.sum(F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"xx{i}_{j}") for i, j in pairs]
-    grouped = rows.groupBy(*keys, "__s").agg(*sums)
+    subjects = rows.groupBy(*keys, "__s").agg(*sums)
+    # The first term is the constant, so a subject's X'1 is the first row of its X'X.
+    sums = [F.count("*").alias("m"), F.sum("yy").alias("yy"), F.sum(F.col("y1") ** 2).alias("y1y1")]
+    sums += [f for i in range(k) for f in (F.sum(f"xy{i}").alias(f"xy{i}"), F.sum(F.col(f"xx0_{i}") * F.col("y1")).alias(f"x1y1{i}"))]
+    sums += [f for i, j in pairs for f in (F.sum(f"xx{i}_{j}").alias(f"xx{i}_{j}"), F.sum(F.col(f"xx0_{i}") * F.col(f"xx0_{j}")).alias(f"x1x1{i}_{j}"))]
+    grouped = subjects.groupBy(*keys, "n").agg(*sums)
     columns = [*keys, "term", "estimate", "stderr", "z", "p", "residual_variance", "subject_variance", "log_likelihood"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for r in group.to_dict("records"):
-            xx = np.zeros((k, k))
+            xx, x1x1 = np.zeros((k, k)), np.zeros((k, k))
             for i, j in pairs:
                 xx[i, j] = xx[j, i] = r[f"xx{i}_{j}"]
-            parts.append((r["n"], xx, xx[0].copy(), np.array([r[f"xy{i}"] for i in range(k)]), r["y1"], r["yy"]))
-        whole = sum(p[1] for p in parts)
-        if sum(p[0] for p in parts) <= k or np.linalg.matrix_rank(whole) < k:
+                x1x1[i, j] = x1x1[j, i] = r[f"x1x1{i}_{j}"]
+            xy, x1y1 = (np.array([r[f"{c}{i}"] for i in range(k)]) for c in ("xy", "x1y1"))
+            parts.append((r["m"], r["n"], xx, x1x1, xy, x1y1, r["yy"], r["y1y1"]))
+        whole = sum(p[2] for p in parts)
+        if sum(p[0] * p[1] for p in parts) <= k or np.linalg.matrix_rank(whole) < k:
             return pd.DataFrame(columns=columns)
         value, beta, variance, cov, ratio = fit(parts, reml)
         error = np.sqrt(np.diag(cov))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler  # noqa: F401
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.functions.arrays import l1_normalized
@@ -19,6 +19,18 @@ class Space:
     def __init__(self, mean: np.ndarray, deviation: np.ndarray, components: np.ndarray, explained: np.ndarray):
         self.mean, self.deviation, self.components, self.explained = mean, deviation, components, explained
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the space as a small table, a row for each vector."""
+        rows = [("mean", 0, self.mean), ("deviation", 0, self.deviation), ("explained", 0, self.explained), *(("component", k, c) for k, c in enumerate(self.components))]
+        made = spark.createDataFrame([(name, k, v.tolist()) for name, k, v in rows], "name string, place int, vector array<double>")
+        made.coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Space:
+        rows = sorted(spark.read.parquet(path).collect(), key=lambda r: (r.name, r.place))
+        one = {r.name: np.array(r.vector) for r in rows}
+        return Space(one["mean"], one["deviation"], np.array([r.vector for r in rows if r.name == "component"]), one["explained"])
+
 
 def reference_space(df: DataFrame, column: str, k: int) -> Space:
     """The first k principal components of the L1-normalised, centred and scaled arrays. Null

@@ -13,10 +13,11 @@ def to_long(df: DataFrame, ids: list[str], columns: list[str], name: str = "name
     return out.where(F.col(value).isNotNull()) if drop_null else out
 
 
-def to_wide(df: DataFrame, ids: list[str], name: str, value: str, names: list, label: str = "{}") -> DataFrame:
+def to_wide(df: DataFrame, ids: list[str], name: str, value: str, names: list, label: str = "{}", order: str | None = None) -> DataFrame:
     """One row for each ids with a column for each of the names: its first value that is not
-    null, in the order of the value."""
-    out = df.groupBy(*ids).pivot(name, names).agg(F.min(value))
+    null, in the order of the given column, or of the value itself."""
+    first = F.min(value) if order is None else F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(order, value)))
+    out = df.groupBy(*ids).pivot(name, names).agg(first)
     return out.withColumnsRenamed({str(n): label.format(n) for n in names})
 
 
@@ -43,11 +44,17 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(descending)).where("__n = 1").drop("__n")
 
 
-def looked_up(df: DataFrame, dimension: DataFrame, left: str, right: str, order: list[Column]) -> DataFrame:
-    """df with the dimension's columns; of dimension rows with equal keys the last holds, rows
-    without a match get nulls. Spark broadcasts the dimension if its size allows."""
-    last = latest(dimension.where(F.col(right).isNotNull()), [right], order)
-    return df.join(last, df[left] == last[right], "left")
+def earliest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key."""
+    ascending = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__n", F.row_number().over(ascending)).where("__n = 1").drop("__n")
+
+
+def looked_up(df: DataFrame, dimension: DataFrame, left: str, right: str, order: list[Column], first: bool = False) -> DataFrame:
+    """df with the dimension's columns; of dimension rows with equal keys the last holds, or the
+    first, rows without a match get nulls. Spark broadcasts the dimension if its size allows."""
+    one = (earliest if first else latest)(dimension.where(F.col(right).isNotNull()), [right], order)
+    return df.join(one, df[left] == one[right], "left")
 
 
 def upserted(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,20 +88,47 @@ def top_fraction(df: DataFrame, key: str, value: str, fraction: float) -> DataFr
     return df.join(ranked.limit(keep).select(key), key, "left_semi")
 
 
+def draw(*parts) -> Column:
+    """A long from 0 on, drawn by the MD5 of the parts, joined with "|"."""
+    text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def sampled(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """n of df's rows, chosen by a hash of the keys and the seed: the same ones however df is
+    """n of df's rows, chosen by a draw from the seed and the keys: the same ones however df is
     partitioned."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return df.orderBy(draw(seed, *map(F.col, keys)), *keys).limit(n)
+
+
+#: Parts in which words are numbered.
+PARTS = 256
+
+
+def numbered(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """place and word of the distinct words, numbered from 0 by their MD5's first two digits and
+    then by word, and their number n in one row. Each part is numbered on its own, so no task
+    sees all words; the parts' sizes are at most PARTS rows."""
+    parts = words.select("word").where("word is not null").distinct().withColumn("part", F.substring(F.md5("word"), 1, 2))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(W.partitionBy("part").orderBy("word")) - 1
+    placed = parts.withColumn("within", within).join(F.broadcast(before), "part").select((F.col("before") + F.col("within")).alias("place"), "word")
+    return placed, sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def anonymized(df: DataFrame, key: str, adjectives: DataFrame, nouns: DataFrame, seed: int = 0) -> DataFrame:
-    """key and name, adjective_noun drawn by a hash of the key; names that repeat get _2, _3... in
-    the order of the key. adjectives and nouns have the column word; the lists are a
-    dictionary's, written by hand."""
-    listed = lambda words: F.array_sort(F.collect_set("word")).alias("l")
-    a, n = (w.agg(listed(w)).select(F.col("l").alias(name)) for w, name in ((adjectives, "__a"), (nouns, "__n")))
-    pick = lambda c, salt: F.get(c, F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key)), F.size(c)).cast("int"))
-    rows = df.select(key).distinct().crossJoin(F.broadcast(a)).crossJoin(F.broadcast(n))
-    named = rows.select(key, F.concat_ws("_", pick("__a", "a"), pick("__n", "n")).alias("__base"))
+    """key and name, Video_adjective_adjective_noun with two different adjectives, drawn from the
+    seed and the key; names that repeat get _2, _3... in the order of the key. adjectives and
+    nouns have the column word; without two adjectives and a noun there are no names."""
+    (first, na), (noun, nn) = numbered(adjectives), numbered(nouns)
+    counts = F.broadcast(na.select(F.col("n").alias("__na")).crossJoin(nn.select(F.col("n").alias("__nn"))).where("__na > 1 and __nn > 0"))
+    k = F.col(key)
+    rows = df.select(key).distinct().crossJoin(counts)
+    rows = rows.withColumns({"__a": F.pmod(draw(seed, "a", k), F.col("__na")), "__c": F.pmod(draw(seed, "n", k), F.col("__nn"))})
+    # The second adjective is one of the others: so many places after the first.
+    rows = rows.withColumn("__b", F.pmod(F.col("__a") + 1 + F.pmod(draw(seed, "b", k), F.col("__na") - 1), F.col("__na")))
+    for at, words in (("__a", first), ("__b", first), ("__c", noun)):
+        rows = rows.join(words.select(F.col("place").alias(at), F.col("word").alias(f"{at}_word")), at)
+    named = rows.select(key, F.concat_ws("_", F.lit("Video"), "__a_word", "__b_word", "__c_word").alias("__base"))
     at = F.row_number().over(W.partitionBy("__base").orderBy(key))
     return named.select(key, F.when(at == 1, F.col("__base")).otherwise(F.concat_ws("_", "__base", at.cast("string"))).alias("name"))

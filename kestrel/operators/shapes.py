@@ -13,6 +13,48 @@ from pyspark.sql import functions as F
 MEASURES = "area double, area_percentage double, perimeter double, centroid_x double, centroid_y double, orientation_angle double, hull_area double, contour array<struct<x:int,y:int>>"
 
 
+def largest(mask: np.ndarray) -> np.ndarray:
+    """The outline that encloses most of those of the mask's components (neighbours also across
+    corners), of equals the first in reading order.
+
+    Components come from the runs of set pixels in each row, joined where runs of neighbouring
+    rows touch.
+    """
+    padded = np.pad(mask.astype(np.int8), 1)
+    edges = np.diff(padded, axis=1)
+    rows, begins = np.nonzero(edges == 1)
+    ends = np.nonzero(edges == -1)[1]
+    parent = list(range(len(rows)))
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    above, first = 0, np.searchsorted(rows, np.arange(rows[-1] + 2))
+    for k, row in enumerate(rows.tolist()):
+        above = max(above, int(first[row - 1]))
+        # Runs above that end before this one begins touch no later run of the row either.
+        while above < first[row] and ends[above] < begins[k]:
+            above += 1
+        other = above
+        while other < first[row] and begins[other] <= ends[k]:
+            a, b = find(other), find(k)
+            parent[max(a, b)] = min(a, b)
+            other += 1
+    roots = np.array([find(k) for k in range(len(rows))])
+    best, most = None, -1.0
+    for root in np.unique(roots).tolist():
+        part = np.zeros_like(padded)
+        for k in np.flatnonzero(roots == root).tolist():
+            part[rows[k], begins[k] + 1 : ends[k] + 1] = 1
+        outline = trace(part[1:-1, 1:-1])
+        if (area := polygon(outline)[0]) > most:
+            best, most = outline, area
+    return best
+
+
 def trace(mask: np.ndarray) -> np.ndarray:
     """The outer boundary of the component that holds the first set pixel in reading order, as
     points (x, y), by walking round it with the background at the left."""
@@ -60,7 +102,8 @@ def hull(points: np.ndarray) -> np.ndarray:
 
 
 def measures(mask: np.ndarray) -> list:
-    """MEASURES of a mask; a mask that is mostly set is inverted first; an empty one has nulls."""
+    """MEASURES of a mask, perimeter, hull and contour those of its largest component. A mask that is
+    mostly set is inverted first; an empty one has nulls throughout, the centre included."""
     mask = np.asarray(mask) > 0
     if mask.mean() > 0.5:
         mask = ~mask
@@ -69,7 +112,7 @@ def measures(mask: np.ndarray) -> list:
     ys, xs = np.nonzero(mask)
     cxx, cyy, cxy = xs.var(), ys.var(), ((xs - xs.mean()) * (ys - ys.mean())).mean()
     angle = math.degrees(0.5 * math.atan2(2 * cxy, cxx - cyy)) % 180
-    outline = trace(mask)
+    outline = largest(mask)
     _, around = polygon(outline)
     hull_area, _ = polygon(hull(outline))
     return [float(mask.sum()), 100 * float(mask.mean()), around, float(xs.mean()), float(ys.mean()), angle, hull_area, [{"x": int(x), "y": int(y)} for x, y in outline]]
@@ -106,19 +149,31 @@ def clipped_box(x1: Column, y1: Column, x2: Column, y2: Column, width: int, heig
     return F.struct(inside(F.least(x1, x2), width).alias("x1"), inside(F.least(y1, y2), height).alias("y1"), inside(F.greatest(x1, x2), width).alias("x2"), inside(F.greatest(y1, y2), height).alias("y2"))
 
 
+#: Images that a task sums at most before it passes them on.
+IMAGES = 64
+
+
 def mean_image(df: DataFrame, keys: list[str], frame: str) -> DataFrame:
     """keys, n and image: each pixel's mean over the frames (bytes of equal length), rounded
-    down. Tasks sum their frames first, so each sends one row a key."""
+    down. Tasks sum their frames first, for up to IMAGES keys at a time."""
     kinds = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in keys)
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
+
+        def passed() -> pd.DataFrame:
+            out = pd.DataFrame([[*k, n, t.tobytes()] for k, (n, t) in sums.items()], columns=[*keys, "n", "sums"])
+            sums.clear()
+            return out
+
         for f in frames:
             for row in f.itertuples(index=False):
                 pixels = np.frombuffer(row[-1], np.uint8).astype(np.uint64)
                 n, total = sums.get(row[:-1], (0, 0))
                 sums[row[:-1]] = n + 1, total + pixels
-        yield pd.DataFrame([[*k, n, t.tobytes()] for k, (n, t) in sums.items()], columns=[*keys, "n", "sums"])
+                if len(sums) >= IMAGES:
+                    yield passed()
+        yield passed()
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         n = int(group["n"].sum())

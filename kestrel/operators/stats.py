@@ -7,6 +7,7 @@ functions run in Python, on the grouped rows.
 from __future__ import annotations
 
 import math
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -39,22 +40,28 @@ def mean_ci(df: DataFrame, keys: list[str], value: str, level: float = 0.95) ->
     return out.withColumn("half_width", half).withColumns({"low": F.col("mean") - F.col("half_width"), "high": F.col("mean") + F.col("half_width")})
 
 
+#: Values that are drawn at a time.
+DRAWN = 1_000_000
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 10_000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """keys, n, mean, low and high: the percentile interval of resampled means, from values in
-    rising order with one generator for each group. A group is a plotted point's values; they
-    are first counted, so a group's rows are its distinct values."""
+    rising order with one generator for each group. Values are counted first: a group, which is
+    one plotted point, holds its distinct values and is never expanded."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__v")
-        values = np.repeat(group["__v"].to_numpy(), group["__n"].to_numpy())
-        rng, n, means = np.random.default_rng(seed), len(values), np.empty(resamples)
-        step = max(1, 4_000_000 // n)
-        for a in range(0, resamples, step):
-            b = min(resamples, a + step)
-            means[a:b] = values[rng.integers(0, n, size=(b - a, n))].mean(axis=1)
-        low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame([[*group.loc[group.index[0], keys], n, values.mean(), low, high]], columns=[*keys, "n", "mean", "low", "high"])
+        values, ends = group["__v"].to_numpy(), np.cumsum(group["__n"].to_numpy())
+        rng, n, means = np.random.default_rng(seed), int(ends[-1]), np.zeros(resamples)
+        for k in range(resamples):
+            # A resample of any size is drawn in parts of a bounded one.
+            for a in range(0, n, DRAWN):
+                at = rng.integers(0, n, size=min(DRAWN, n - a))
+                means[k] += values[np.searchsorted(ends, at, side="right")].sum()
+        low, high = np.quantile(means / n, [(1 - level) / 2, (1 + level) / 2])
+        mean = (values * group["__n"].to_numpy()).sum() / n
+        return pd.DataFrame([[*group.loc[group.index[0], keys], n, mean, low, high]], columns=[*keys, "n", "mean", "low", "high"])
 
     schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in keys)
     return counted.groupBy(*keys).applyInPandas(run, f"{schema}, n long, mean double, low double, high double")
@@ -158,7 +165,8 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def page_trend(df: DataFrame, keys: list[str], subject: str, block: str, value: str, blocks: int) -> DataFrame:
-    """keys, n (subjects with all blocks 1 to `blocks`), l, and z by the normal approximation."""
+    """keys, n (subjects with all blocks 1 to `blocks`), l, and z by the normal approximation;
+    page_p() adds exact p-values."""
     full = df.where(F.col(value).isNotNull()).withColumn("__n", F.count("*").over(W.partitionBy(*keys, subject))).where(F.col("__n") == blocks)
     ranked = full.withColumn("__r", average_rank(value, [*keys, subject]))
     out = ranked.groupBy(*keys).agg((F.count("*") / blocks).cast("long").alias("n"), F.sum(F.col(block) * F.col("__r")).alias("l"))
@@ -167,6 +175,64 @@ def page_trend(df: DataFrame, keys: list[str], subject: str, block: str, value:
     return out.withColumn("z", z)
 
 
+def page_p(df: DataFrame, blocks: int, exact: int = 20) -> DataFrame:
+    """page_trend() with p of a trend as large: exact, over all orders of the blocks, up to
+    `exact` subjects, whose convolution is exact in doubles; else by z."""
+    one = np.zeros(blocks * (blocks + 1) * (2 * blocks + 1) // 6 + 1)
+    for order in permutations(range(1, blocks + 1)):
+        one[sum(k * r for k, r in enumerate(order, 1))] += 1 / math.factorial(blocks)
+
+    @F.pandas_udf("double")
+    def tail(n: pd.Series, l: pd.Series, z: pd.Series) -> pd.Series:  # noqa: E741
+        out = []
+        for subjects, total, score in zip(n, l, z):
+            if subjects > exact:
+                out.append(special.norm_cdf(-score))
+                continue
+            chances = np.ones(1)
+            for _ in range(int(subjects)):
+                chances = np.convolve(chances, one)
+            out.append(min(1.0, float(chances[math.ceil(total) :].sum())))
+        return pd.Series(out)
+
+    return df.withColumn("p", tail("n", F.col("l").cast("double"), "z"))
+
+
+def trend_band(df: DataFrame, keys: list[str], x: str, y: str, at: list[float], resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """keys, x, fitted, low and high: the regression line at given places, with the percentile band
+    of resampled lines. A resample takes each row a Poisson number of times, drawn from a hash
+    of the row, so tasks sum weights for all resamples and only sums leave."""
+    names = [f"s{k}" for k in range(5)]
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    counted = rows.groupBy(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).agg(F.count("*").alias("__n"))
+    counted = counted.withColumn("__h", F.xxhash64(F.lit(seed), "__x", "__y"))
+    kinds = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in keys)
+
+    def weighed(frames):
+        for frame in frames:
+            for key, group in frame.groupby(keys, dropna=False, sort=False) if keys else [((), frame)]:
+                sums = np.zeros((5, resamples + 1))
+                for a, b, n, h in zip(group["__x"], group["__y"], group["__n"], group["__h"]):
+                    # The first column is the data itself.
+                    weights = np.concatenate([[n], np.random.default_rng(h & 0xFFFFFFFFFFFFFFFF).poisson(n, resamples)])
+                    sums += np.outer([1, a, b, a * a, a * b], weights)
+                yield pd.DataFrame([[*key, *(s.tolist() for s in sums)]], columns=[*keys, *names])
+
+    def lines(group: pd.DataFrame) -> pd.DataFrame:
+        n, sx, sy, sxx, sxy = (np.sum(np.stack(group[c].to_list()), axis=0) for c in names)
+        spread = n * sxx - sx * sx
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = np.where(spread > 0, (n * sxy - sx * sy) / spread, np.nan)
+            made = sy / n + slope * (np.array(at)[:, None] - sx / n)
+        low, high = np.nanquantile(made[:, 1:], [(1 - level) / 2, (1 + level) / 2], axis=1) if np.isfinite(made[:, 1:]).any() else (np.full(len(at), np.nan),) * 2
+        key = list(group.loc[group.index[0], keys])
+        return pd.DataFrame([[*key, p, m, a, b] for p, m, a, b in zip(at, made[:, 0], low, high)], columns=[*keys, "x", "fitted", "low", "high"])
+
+    parts = counted.mapInPandas(weighed, ", ".join([kinds] * bool(keys) + [f"{c} array<double>" for c in names]))
+    out = parts.groupBy(*keys).applyInPandas(lines, f"{kinds}{', ' * bool(keys)}x double, fitted double, low double, high double")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("fitted", "low", "high")})
+
+
 def shape(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n, skew (3 values at least) and kurtosis (4 at least), corrected for bias."""
     out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.skewness(value).alias("g1"), F.kurtosis(value).alias("g2"))
@@ -176,31 +242,31 @@ def shape(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.withColumns({"skew": skew, "kurtosis": kurt}).drop("g1", "g2")
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and p by Royston's approximation (1995), for 3 to 5000 values that are not all equal."""
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
-    if n < 3 or x[0] == x[-1]:
+def shapiro(n: float, mm: float, mx: float, ss: float, m: tuple[float, float], x: tuple[float, float, float, float]) -> tuple[float, float]:
+    """W and p by Royston's approximation (1995) from sums, so that no sample is gathered.
+
+    n values; the sum of squares mm of the normal scores and their products mx with the values in
+    order; the values' squared deviations ss; the largest two scores m, largest first; and the
+    values x at the first, second, last but one and last place. NaN under three values or if
+    all are equal.
+    """
+    if n < 3 or not ss > 0:
         return math.nan, math.nan
-    m = np.array([special.norm_ppf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    mm, u = m @ m, 1 / math.sqrt(n)
-    a = np.empty(n)
+    u, (x1, x2, x3, x4) = 1 / math.sqrt(n), x
     if n == 3:
-        a[:] = [-math.sqrt(0.5), 0, math.sqrt(0.5)]
+        top = math.sqrt(0.5) * (x4 - x1)
     else:
         # The published polynomials.
-        last = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, m[-1] / math.sqrt(mm)], u)
+        last = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, m[0] / math.sqrt(mm)], u)
         if n > 5:
-            second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(mm)], u)
-            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a[2:-2] = m[2:-2] / math.sqrt(phi)
-            a[1], a[-2] = -second, second
+            second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[1] / math.sqrt(mm)], u)
+            phi = (mm - 2 * m[0] ** 2 - 2 * m[1] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+            middle = mx - m[0] * (x4 - x1) - m[1] * (x3 - x2)
+            top = last * (x4 - x1) + second * (x3 - x2) + middle / math.sqrt(phi)
         else:
-            phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a[1:-1] = m[1:-1] / math.sqrt(phi)
-        a[0], a[-1] = -last, last
-    w = (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
-    w = min(w, 1.0)
+            phi = (mm - 2 * m[0] ** 2) / (1 - 2 * last**2)
+            top = last * (x4 - x1) + (mx - m[0] * (x4 - x1)) / math.sqrt(phi)
+    w = min(top**2 / ss, 1.0)
     if n == 3:
         return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     if w == 1:
@@ -218,21 +284,31 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
 
 
 def normality(df: DataFrame, keys: list[str], value: str, alpha: float = 0.05) -> DataFrame:
-    """shape() with w, p and verdict. Groups are samples of one statistic (subjects' slopes):
-    the test is defined to 5000 values; larger groups get moments alone."""
+    """shape() with w, p and verdict: how many of p under alpha, skew over 1 and kurtosis over 2
+    hold. Under three values there is no verdict. Groups may have any size: their values are
+    ranked by Spark, and only sums leave."""
     out = shape(df, keys, value)
-    kinds = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in keys)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(group["__v"].to_numpy(float))
-        return pd.DataFrame([[*group.loc[group.index[0], keys], w, p]], columns=[*keys, "w", "p"])
-
-    few = out.where("n between 3 and 5000").select(*keys)
-    rows = df.where(F.col(value).isNotNull()).join(few, keys, "left_semi").select(*keys, F.col(value).cast("double").alias("__v"))
-    tested = rows.groupBy(*keys).applyInPandas(run, f"{kinds}, w double, p double")
-    flags = (F.coalesce(F.col("p") < alpha, F.lit(False))).cast("int") + (F.abs("skew") > 1).cast("int") + (F.abs("kurtosis") > 1).cast("int")
-    out = out.join(tested.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in ("w", "p")}), keys, "left")
-    return out.withColumn("verdict", F.when(F.coalesce(flags, F.lit(0)) == 0, "normal").when(flags == 1, "borderline").otherwise("not normal"))
+    w = W.partitionBy(*keys).orderBy("__v")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    rows = rows.withColumns({"__i": F.row_number().over(w), "__n": F.count("*").over(W.partitionBy(*keys))})
+    rows = rows.withColumn("__m", special.norm_ppf_column((F.col("__i") - 0.375) / (F.col("__n") + 0.25)))
+    at = lambda i, c="__v": F.max(F.when(F.col("__i") == i, F.col(c)))
+    last = F.col("__n")
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").cast("double").alias("n"), F.sum(F.col("__m") * F.col("__m")).alias("mm"), F.sum(F.col("__m") * F.col("__v")).alias("mx"),
+        (F.var_pop("__v") * F.count("*")).alias("ss"), at(last, "__m").alias("m1"), at(last - 1, "__m").alias("m2"),
+        at(1).alias("x1"), at(2).alias("x2"), at(last - 1).alias("x3"), at(last).alias("x4"),
+    )
+    names = ["n", "mm", "mx", "ss", "m1", "m2", "x1", "x2", "x3", "x4"]
+
+    @F.pandas_udf("w double, p double")
+    def tested(*columns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shapiro(*r[:4], r[4:6], r[6:]) for r in zip(*columns)], columns=["w", "p"])
+
+    found = sums.withColumn("__t", tested(*names)).select(*keys, *[F.nanvl(f"__t.{c}", F.lit(None).cast("double")).alias(c) for c in ("w", "p")])
+    out = out.join(found, keys, "left")
+    flags = sum(F.coalesce(c, F.lit(False)).cast("int") for c in (F.col("p") < alpha, F.abs("skew") > 1, F.abs("kurtosis") > 2))
+    return out.withColumn("verdict", F.when(F.col("n") < 3, None).when(flags == 0, "normal").when(flags == 1, "borderline").otherwise("not normal"))
 
 
 def against_reference(df: DataFrame, keys: list[str], value: str, slope: float, se: float, df_reference: int) -> DataFrame:

@@ -102,7 +102,8 @@ def q_reliability_pairs(spark, sf_dir):
     return rounded(out, "recall", "precision", "f1", "miss_rate", "confusion_rate")
 
 
-@query()
+@query(f"""WITH {_RELIABLE_SQL}, x AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1, CASE WHEN total_ref > 0 THEN unmatched_ref / total_ref ELSE 0 END AS miss_rate FROM rel)
+SELECT ref, test, event_type, printf('%s vs %s, %s: matched %d of %d (recall %.3f), precision %.3f, F1 %.3f, missed %.3f', ref, test, event_type, matched, total_ref, round(recall, 3)::DOUBLE, round(precision, 3)::DOUBLE, round(f1, 3)::DOUBLE, round(miss_rate, 3)::DOUBLE) AS line FROM x""")
 def q_reliability_report(spark, sf_dir):
     """The same as lines of text."""
     events, found = _matched(spark, sf_dir)

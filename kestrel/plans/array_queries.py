@@ -65,9 +65,9 @@ def q_boxes(spark, sf_dir):
     return rows.select("p_partkey", shapes.clipped_box(F.col("a"), F.col("b"), F.col("c"), F.col("d"), 200, 100).alias("box")).select("p_partkey", "box.*")
 
 
-def _masks(spark, sf_dir):
+def _masks(spark, sf_dir, on: str = "01"):
     """Masks of 16 by 16 pixels, a rectangle in each."""
-    cell = lambda i: F.when((i % 16 >= F.col("x")) & (i % 16 < F.col("x") + 5) & (F.floor(i / 16) >= F.col("y")) & (F.floor(i / 16) < F.col("y") + 4), "01").otherwise("00")
+    cell = lambda i: F.when((i % 16 >= F.col("x")) & (i % 16 < F.col("x") + 5) & (F.floor(i / 16) >= F.col("y")) & (F.floor(i / 16) < F.col("y") + 4), on).otherwise("00")
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "CAST(p_partkey % 10 AS INT) AS x", "CAST(p_size % 11 AS INT) AS y", "16 AS height", "16 AS width")
     return rows.withColumn("mask", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), cell), "")))
 
@@ -78,8 +78,9 @@ def q_mask_measures(spark, sf_dir):
     return rounded(shapes.shape_measures(_masks(spark, sf_dir), ["p_partkey"], "mask", "height", "width").drop("contour"), "area_percentage", "orientation_angle")
 
 
-@query()
+@query("""WITH m AS (SELECT (p_partkey % 3)::INTEGER AS kind, (p_partkey % 10)::INTEGER AS x, (p_size % 11)::INTEGER AS y FROM part), i AS (SELECT unnest(range(256)) AS i), p AS (SELECT kind, i, count(*) AS n, sum(CASE WHEN i % 16 >= x AND i % 16 < x + 5 AND i // 16 >= y AND i // 16 < y + 4 THEN 255 ELSE 0 END)::BIGINT AS total FROM m, i GROUP BY ALL)
+SELECT kind, any_value(n) AS n, string_agg(printf('%02X', total // n), '' ORDER BY i) AS image FROM p GROUP BY kind""")
 def q_mean_image(spark, sf_dir):
     """The mean of the masks of each kind, by pixel."""
-    rows = _masks(spark, sf_dir).withColumn("kind", (F.col("p_partkey") % 3).cast("int"))
+    rows = _masks(spark, sf_dir, "FF").withColumn("kind", (F.col("p_partkey") % 3).cast("int"))
     return shapes.mean_image(rows, ["kind"], "mask").select("kind", "n", F.hex("image").alias("image"))

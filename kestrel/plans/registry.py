@@ -24,6 +24,23 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def t_p_sql(t: str, df: str) -> str:
+    """SQL for the two-sided p-value of t at whole degrees of freedom: the finite series of the
+    angle whose tangent is t / sqrt(df)."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, (({df}) - 1) // 2), lambda j: cos({angle}) ** (2 * j + 1) * exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2)), 0))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, ({df}) // 2), lambda j: cos({angle}) ** (2 * j) * exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi())))"
+    return f"(1 - CASE WHEN ({df}) % 2 = 1 THEN {odd} ELSE {even} END)"
+
+
+def t_quantile_sql(z: float, df: str) -> str:
+    """SQL for the quantile of t whose normal quantile is z, by its expansion in 1 / df, which is
+    exact to twelve digits from some hundred degrees of freedom on."""
+    v = f"({df})::DOUBLE"
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    return f"({z!r} + " + " + ".join(f"{c!r} / ({v}) ** {k}" for k, c in enumerate(terms, 1)) + ")"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import arrays
 from kestrel.operators import reshape, scores, stats
 from kestrel.plans import views
-from kestrel.plans.registry import query, rounded
+from kestrel.plans.registry import query, rounded, t_quantile_sql
 from kestrel.plans.views import BLOCKS_SQL, SCORES_SQL
 
 BEHAVIORS = ["CRturn", "CRcon", "UCRturn", "UCRcon"]
@@ -28,13 +28,26 @@ def q_behavior_summary(spark, sf_dir):
     return scores.behavior_summary(rows, ["cohort", "behavior", "day"], "score").drop("error")
 
 
+@query()
+def q_behavior_summary_ci(spark, sf_dir):
+    """The same with the half width of the t interval."""
+    return scores.behavior_summary(views.scores(spark, sf_dir), ["cohort", "behavior", "day"], "score", "ci")
+
+
+@query()
+def q_behavior_summary_bootstrap(spark, sf_dir):
+    """The same with the half width of the bootstrap interval."""
+    return scores.behavior_summary(views.scores(spark, sf_dir), ["cohort", "behavior", "day"], "score", "bootstrap")
+
+
 @query(f"""WITH {SCORES_SQL} SELECT cohort, day, count(score) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(stddev_samp(score) / sqrt(count(score)), 6) AS sem FROM sc GROUP BY ALL""")
 def q_mean_sem(spark, sf_dir):
     """Mean and standard error by cohort and day."""
     return rounded(stats.mean_sem(views.scores(spark, sf_dir), ["cohort", "day"], "score"), "mean", "sd", "sem")
 
 
-@query()
+@query(f"""WITH {SCORES_SQL}, m AS (SELECT cohort, day, count(score) AS n, avg(score) AS mean, stddev_samp(score) AS sd FROM sc GROUP BY ALL), e AS (SELECT *, sd / sqrt(n) AS sem, {t_quantile_sql(1.959963984540054, "n - 1")} * sd / sqrt(n) AS half FROM m)
+SELECT cohort, day, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sem, 6) AS sem, round(half, 6) AS half_width, round(mean - half, 6) AS low, round(mean + half, 6) AS high FROM e""")
 def q_mean_ci(spark, sf_dir):
     """Mean with its t interval by cohort and day."""
     return rounded(stats.mean_ci(views.scores(spark, sf_dir), ["cohort", "day"], "score"), "mean", "sd", "sem", "half_width", "low", "high")
@@ -115,6 +128,15 @@ def q_melt_split(spark, sf_dir):
     return reshape.split_name(reshape.to_long(wide, ["o_custkey"], ["W1_price", "W1_n", "W2_price"]), "name", "worm", "metric").drop("name")
 
 
+@query("""SELECT l_orderkey, min_by(l_quantity, l_linenumber) FILTER (l_returnflag = 'A' AND l_tax > 0) AS A, min_by(l_quantity, l_linenumber) FILTER (l_returnflag = 'N' AND l_tax > 0) AS N, min_by(l_quantity, l_linenumber) FILTER (l_returnflag = 'R' AND l_tax > 0) AS R FROM (SELECT l_orderkey, l_returnflag, l_tax, l_quantity, (l_linenumber, l_quantity) AS l_linenumber FROM lineitem) GROUP BY l_orderkey""")
+def q_pivot_first(spark, sf_dir):
+    """Rows as columns, the first value in the rows' order that is not missing."""
+    from kestrel.plans.registry import table
+
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_returnflag", "IF(l_tax > 0, l_quantity, NULL) AS q")
+    return reshape.to_wide(rows, ["l_orderkey"], "l_returnflag", "q", ["A", "N", "R"], order="l_linenumber")
+
+
 @query("SELECT o_custkey, max(o_totalprice) AS price, count(*)::DOUBLE AS n FROM orders GROUP BY o_custkey")
 def q_melt_pivot_roundtrip(spark, sf_dir):
     """Columns to rows and back."""
@@ -185,23 +207,24 @@ def q_verdict_tally(spark, sf_dir):
     return stats.tally(slopes.withColumn("verdict", F.when(F.col("slope") > 50, "up").when(F.col("slope") < -50, "down").otherwise("flat")), "verdict")
 
 
-@query(f"""WITH {SCORES_SQL} SELECT troupe, block, string_agg(worm || ': day ' || day, '; ' ORDER BY day, worm, subject) AS notes FROM (SELECT DISTINCT troupe, block, worm, day, subject FROM sc WHERE score = 50 AND day <= 2 AND trial = 1) GROUP BY ALL""")
+@query(f"""WITH {SCORES_SQL} SELECT troupe, block, string_agg(worm || ': day ' || day, '; ' ORDER BY day, worm, subject) AS notes FROM (SELECT DISTINCT troupe, block, worm, day, subject FROM sc) GROUP BY ALL""")
 def q_notes_concat(spark, sf_dir):
     """Notes of each cell, in order."""
-    rows = views.scores(spark, sf_dir).where("score = 50 AND day <= 2 AND trial = 1").select("troupe", "block", "worm", "day", "subject").distinct()
+    rows = views.scores(spark, sf_dir).select("troupe", "block", "worm", "day", "subject").distinct()
     rows = rows.withColumn("pos", F.struct("day", "worm", "subject"))
     return reshape.notes_joined(rows, ["troupe", "block"], "pos", F.concat("worm", F.lit(": day "), F.col("day").cast("string")))
 
 
-@query(f"""WITH {SCORES_SQL}, t AS (SELECT DISTINCT troupe, block, trial FROM sc), v AS (SELECT troupe, block, trial, sum(score) FILTER (worm = 'W1') AS W1, sum(score) FILTER (worm = 'W2') AS W2 FROM sc WHERE day = 1 GROUP BY ALL)
-SELECT t.troupe, t.block, t.trial, coalesce(v.W1, -1.0) AS W1, coalesce(v.W2, -1.0) AS W2 FROM t LEFT JOIN v USING (troupe, block, trial)""")
+@query(f"""WITH {SCORES_SQL}, t AS (SELECT DISTINCT troupe, block, trial FROM sc), v AS (SELECT troupe, block, trial, {", ".join(f"sum(score) FILTER (worm = 'W{k}') AS W{k}" for k in range(1, 7))} FROM sc GROUP BY ALL)
+SELECT t.troupe, t.block, t.trial, {", ".join(f"coalesce(v.W{k}, -1.0) AS W{k}" for k in range(1, 7))} FROM t LEFT JOIN v USING (troupe, block, trial)""")
 def q_template_update(spark, sf_dir):
     """An empty sheet filled with the scores that there are."""
     rows = views.scores(spark, sf_dir)
-    template = rows.select("troupe", "block", "trial").distinct().withColumns({"W1": F.lit(-1.0), "W2": F.lit(-1.0)})
-    cells = rows.where("day = 1 AND worm IN ('W1', 'W2')").groupBy("troupe", "block", "trial", "worm").agg(F.sum("score").alias("s"))
-    values = reshape.to_wide(cells, ["troupe", "block", "trial"], "worm", "s", ["W1", "W2"])
-    return reshape.updated(template, values, ["troupe", "block", "trial"], ["W1", "W2"])
+    template = rows.select("troupe", "block", "trial").distinct().withColumns({f"W{k}": F.lit(-1.0) for k in range(1, 7)})
+    worms = [f"W{k}" for k in range(1, 7)]
+    cells = rows.groupBy("troupe", "block", "trial", "worm").agg(F.sum("score").alias("s"))
+    values = reshape.to_wide(cells, ["troupe", "block", "trial"], "worm", "s", worms)
+    return reshape.updated(template, values, ["troupe", "block", "trial"], worms)
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN NULLIF(o_orderstatus, '') END AS run FROM orders)

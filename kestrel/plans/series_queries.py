@@ -167,7 +167,14 @@ def q_outlier_sigma(spark, sf_dir):
     return series.outliers(views.series(spark, sf_dir), KEYS, "v", "outlier").select("user_id", "frame", "outlier")
 
 
-@query()
+def _window_sql(source: str, value: str, size: int, out: str) -> str:
+    left, right = size // 2, size - size // 2 - 1
+    return f"""SELECT x.*, list_sort(list_transform(range(x.frame - {left}, x.frame + {right} + 1), lambda i: a[1 + CASE WHEN i < 0 THEN -1 - i WHEN i >= n THEN 2 * n - 1 - i ELSE i END]), 'ASC', 'NULLS FIRST')[{size // 2 + 1}] AS {out}
+FROM {source} x JOIN (SELECT user_id, count(*) AS n, list({value} ORDER BY frame) AS a FROM {source} GROUP BY user_id) USING (user_id)"""
+
+
+@query(f"""WITH {SERIES_SQL}, q AS ({_window_sql("s", "area", 5, "smooth")}), r AS ({_window_sql("q", "smooth", 60, "base")}), m AS (SELECT user_id, median(area) AS mid FROM s GROUP BY user_id)
+SELECT user_id, frame, area IS NULL OR coalesce(smooth / base < 0.55 AND base - smooth > 0.15 * mid, false) AS occluded FROM r JOIN m USING (user_id)""")
 def q_occlusion(spark, sf_dir):
     """Frames whose smoothed level falls under the running level."""
     return series.occluded(views.series(spark, sf_dir), KEYS, "frame", "area", "occluded").select("user_id", "frame", "occluded")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import special
 from kestrel.operators import mixed, projection, stats
 from kestrel.plans import views
-from kestrel.plans.registry import query, rounded, table
+from kestrel.plans.registry import query, rounded, t_p_sql, table
 from kestrel.plans.views import BLOCKS_SQL
 
 _SLOPES_SQL = f"""{BLOCKS_SQL}, k AS (SELECT cohort, subject, count(*) AS n, regr_slope(total, block) AS slope, regr_intercept(total, block) AS intercept, regr_r2(total, block) AS r2, regr_sxx(total, block) AS sxx, regr_syy(total, block) AS syy, regr_sxy(total, block) AS sxy
@@ -39,7 +39,8 @@ def q_slope_ttest(spark, sf_dir):
     return rounded(stats.one_sample_t(_slopes(spark, sf_dir), ["cohort"], "slope"), "mean", "sd", "t", "d", digits=5)
 
 
-@query()
+@query(f"""WITH {_SLOPES_SQL}, m AS (SELECT cohort, count(*) AS n, avg(slope) AS mean, stddev_samp(slope) AS sd, avg(slope) / (stddev_samp(slope) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM k GROUP BY cohort), p AS (SELECT *, {t_p_sql("t", "df")} AS p FROM m)
+SELECT cohort, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(t, 6) AS t, df, round(mean / sd, 6) AS d, round(p, 6) AS p, round(CASE WHEN t > 0 THEN p / 2 ELSE 1 - p / 2 END, 6) AS p_greater FROM p""")
 def q_slope_ttest_p(spark, sf_dir):
     """The same with two- and one-sided p-values."""
     out = stats.with_p(stats.one_sample_t(_slopes(spark, sf_dir), ["cohort"], "slope"))
@@ -85,6 +86,20 @@ def q_page_trend(spark, sf_dir):
     return rounded(stats.page_trend(views.blocks(spark, sf_dir), ["cohort"], "subject", "block", "total", 5), "l", "z", digits=5)
 
 
+@query()
+def q_page_p(spark, sf_dir):
+    """The same with its p-value."""
+    out = stats.page_p(stats.page_trend(views.blocks(spark, sf_dir), ["cohort"], "subject", "block", "total", 5), 5)
+    return rounded(out, "l", "z", "p", digits=5)
+
+
+@query()
+def q_trend_band(spark, sf_dir):
+    """The line of totals over blocks with its bootstrap band, by cohort."""
+    out = stats.trend_band(views.blocks(spark, sf_dir), ["cohort"], "block", "total", [1.0, 2.0, 3.0, 4.0, 5.0], 500)
+    return rounded(out, "fitted", "low", "high", digits=4)
+
+
 @query(f"""WITH {BLOCKS_SQL}, r AS (SELECT cohort, rank() OVER (PARTITION BY cohort ORDER BY block) + (count(*) OVER (PARTITION BY cohort, block) - 1) / 2 AS x, rank() OVER (PARTITION BY cohort ORDER BY total) + (count(*) OVER (PARTITION BY cohort, total) - 1) / 2 AS y FROM b)
 SELECT cohort, count(*) AS n, round(corr(x, y), 5) AS rho FROM r GROUP BY cohort""")
 def q_spearman(spark, sf_dir):
@@ -121,7 +136,9 @@ def q_tost(spark, sf_dir):
     return rounded(stats.tost(_slopes(spark, sf_dir), ["cohort"], "slope", 50.0), "mean", "t_lower", "t_upper", digits=5)
 
 
-@query()
+@query(f"""WITH {_SLOPES_SQL}, m AS (SELECT cohort, count(*) AS n, avg(slope) AS mean, stddev_samp(slope) / sqrt(count(*)) AS se, count(*) - 1 AS df FROM k GROUP BY cohort), t AS (SELECT *, (mean + 50) / se AS a, (mean - 50) / se AS b FROM m),
+p AS (SELECT *, {t_p_sql("a", "df")} / 2 AS pa, {t_p_sql("b", "df")} / 2 AS pb FROM t), q AS (SELECT *, greatest(CASE WHEN a > 0 THEN pa ELSE 1 - pa END, CASE WHEN b < 0 THEN pb ELSE 1 - pb END) AS p FROM p)
+SELECT cohort, n, round(mean, 6) AS mean, round(a, 6) AS t_lower, round(b, 6) AS t_upper, df, round(p, 6) AS p, p < 0.05 AS equivalent FROM q""")
 def q_tost_p(spark, sf_dir):
     """The same with its p-value and verdict."""
     return rounded(stats.tost_p(stats.tost(_slopes(spark, sf_dir), ["cohort"], "slope", 50.0)), "mean", "t_lower", "t_upper", "p")

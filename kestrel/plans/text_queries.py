@@ -108,6 +108,21 @@ def q_log_lookup(spark, sf_dir):
     return reshape.looked_up(table(spark, sf_dir, "customer"), dimension, "c_nationkey", "k", [F.col("s_suppkey")]).select("c_custkey", "s_suppkey", "s_name")
 
 
+@query("""WITH d AS (SELECT s_nationkey % 10 AS k, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey % 10 ORDER BY s_suppkey) AS r FROM supplier) SELECT c_custkey, s_suppkey, s_name FROM customer LEFT JOIN d ON c_nationkey = d.k AND r = 1""")
+def q_first_lookup(spark, sf_dir):
+    """The same lookup where the first row of a key holds."""
+    dimension = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 10).alias("k"), "s_suppkey", "s_name")
+    return reshape.looked_up(table(spark, sf_dir, "customer"), dimension, "c_nationkey", "k", [F.col("s_suppkey")], first=True).select("c_custkey", "s_suppkey", "s_name")
+
+
+@query("""SELECT l_orderkey, l_linenumber, o_orderdate AS since FROM lineitem ASOF LEFT JOIN (SELECT DISTINCT o_custkey % 50 AS k, o_orderdate FROM orders) o ON l_suppkey % 50 = k AND l_shipdate >= o_orderdate""")
+def q_last_start(spark, sf_dir):
+    """For each row the last start of an interval that is not after it."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 50).alias("k"), "l_shipdate")
+    starts = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("k"), "o_orderdate").distinct()
+    return intervals.last_start(rows, starts, ["k"], "l_shipdate", "o_orderdate", "since").select("l_orderkey", "l_linenumber", "since")
+
+
 @query("""SELECT c_custkey, c_name, c_acctbal, 'old' AS origin FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT c_custkey, c_name, c_acctbal + 1, 'new' FROM customer WHERE c_custkey % 10 = 3
 UNION ALL SELECT c_custkey + 1000000, c_name, c_acctbal, 'new' FROM customer WHERE c_custkey % 50 = 0""")
 def q_upsert(spark, sf_dir):
@@ -119,11 +134,11 @@ def q_upsert(spark, sf_dir):
     return reshape.upserted(customer.withColumn("origin", F.lit("old")), new, ["c_custkey"])
 
 
-@query("""WITH a AS (SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 45), b AS (SELECT l_partkey AS k FROM lineitem WHERE l_quantity < 4), i AS (SELECT DISTINCT k FROM a), j AS (SELECT DISTINCT k FROM b)
+@query("""WITH a AS (SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_partkey AS k FROM lineitem WHERE l_returnflag <> 'R'), i AS (SELECT DISTINCT k FROM a), j AS (SELECT DISTINCT k FROM b)
 SELECT (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS all_rows, (SELECT count(*) FROM (FROM i UNION FROM j)) AS either, (SELECT count(*) FROM i ANTI JOIN j USING (k)) AS only_a, (SELECT count(*) FROM i SEMI JOIN j USING (k)) AS both_""")
 def q_union_except_distinct(spark, sf_dir):
     """Unions, differences and common keys of two lists."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 45 OR l_quantity < 4").groupBy(F.col("l_partkey").alias("k")).agg(F.count_if(F.col("l_quantity") > 45).alias("a"), F.count_if(F.col("l_quantity") < 4).alias("b"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.count_if(F.col("l_returnflag") == "R").alias("a"), F.count_if(F.col("l_returnflag") != "R").alias("b"))
     return rows.agg(F.sum(F.col("a") + F.col("b")).alias("all_rows"), F.count("*").alias("either"), F.count_if((F.col("a") > 0) & (F.col("b") == 0)).alias("only_a"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("both_"))
 
 
@@ -181,16 +196,22 @@ def q_head(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(10)
 
 
-@query()
+def _draw_sql(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+@query(f"SELECT o_orderkey FROM orders ORDER BY {_draw_sql("'7|' || o_orderkey")}, o_orderkey LIMIT 20")
 def q_sample(spark, sf_dir):
     """Twenty random videos, the same for a seed."""
     return reshape.sampled(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 20, seed=7)
 
 
-@query()
+@query(f"""WITH a AS (SELECT word, row_number() OVER (ORDER BY substr(md5(word), 1, 2), word) - 1 AS place FROM (SELECT DISTINCT 'A' || p_partkey AS word FROM part)), n AS (SELECT word, row_number() OVER (ORDER BY substr(md5(word), 1, 2), word) - 1 AS place FROM (SELECT DISTINCT 'N' || p_partkey AS word FROM part)),
+c AS (SELECT count(*) AS c FROM a), v AS (SELECT DISTINCT o_orderkey AS video FROM orders), d AS (SELECT video, c, {_draw_sql("'3|a|' || video")} % c AS i, {_draw_sql("'3|n|' || video")} % c AS k FROM v, c), e AS (SELECT *, (i + 1 + {_draw_sql("'3|b|' || video")} % (c - 1)) % c AS j FROM d),
+b AS (SELECT video, 'Video_' || x.word || '_' || y.word || '_' || n.word AS base FROM e JOIN a x ON x.place = i JOIN a y ON y.place = j JOIN n ON n.place = k), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY video) AS r FROM b) SELECT video, CASE WHEN r = 1 THEN base ELSE base || '_' || r END AS name FROM r""")
 def q_anonymous_names(spark, sf_dir):
     """A random name for each video, repeated ones numbered."""
-    words = table(spark, sf_dir, "part").where("p_partkey < 40")
+    words = table(spark, sf_dir, "part")
     adjectives = words.select(F.concat(F.lit("A"), F.col("p_partkey").cast("string")).alias("word"))
     nouns = words.select(F.concat(F.lit("N"), F.col("p_partkey").cast("string")).alias("word"))
     return reshape.anonymized(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("video")), "video", adjectives, nouns, seed=3)

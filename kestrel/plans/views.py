@@ -60,15 +60,15 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir).where("score IS NOT NULL").groupBy("cohort", "subject", "block").agg(F.sum("score").alias("total"), F.avg("score").alias("mean"))
 
 
-MARKS_SQL = """m AS (SELECT 'V' || (event_id // 60) AS video, CASE event_type WHEN 'click' THEN 'turn' ELSE 'contraction' END AS event_type, 'S' || (1 + user_id % 3) AS scorer,
-  ((event_id % 60) * 3 + user_id % 7)::INTEGER AS t, event_id FROM events WHERE event_type IN ('click', 'view')),
+MARKS_SQL = """m AS (SELECT 'V' || (event_id // 60) AS video, CASE WHEN event_type IN ('click', 'error') THEN 'turn' ELSE 'contraction' END AS event_type, 'S' || (1 + user_id % 3) AS scorer,
+  ((event_id % 60) * 3 + user_id % 7)::INTEGER AS t, event_id FROM events),
 e AS (SELECT video, event_type, scorer, (row_number() OVER (PARTITION BY video, event_type, scorer ORDER BY t, event_id) - 1)::INTEGER AS idx, t FROM m)"""
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored events: video, event_type (turn or contraction), scorer (S1 to S3), idx and t."""
-    rows = table(spark, sf_dir, "events").where("event_type IN ('click', 'view')").selectExpr(
-        "concat('V', event_id DIV 60) AS video", "IF(event_type = 'click', 'turn', 'contraction') AS event_type", "concat('S', 1 + user_id % 3) AS scorer",
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "concat('V', event_id DIV 60) AS video", "IF(event_type IN ('click', 'error'), 'turn', 'contraction') AS event_type", "concat('S', 1 + user_id % 3) AS scorer",
         "CAST((event_id % 60) * 3 + user_id % 7 AS INT) AS t", "event_id",
     )
     idx = F.row_number().over(W.partitionBy("video", "event_type", "scorer").orderBy("t", "event_id")) - 1

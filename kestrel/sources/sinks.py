@@ -16,6 +16,7 @@ def parquet(df: DataFrame, path: str, by: list[str] = (), mode: str = "overwrite
 
 
 def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with a header in each file, so that appended files (mode "append") read as one table."""
     df.write.mode(mode).option("header", True).csv(path)
 
 

@@ -113,10 +113,15 @@ def sources(spark: SparkSession, paths: dict[str, str], read) -> DataFrame:
     return out
 
 
+def _sheets(spark: SparkSession, path: str, **options) -> DataFrame:
+    """csv() with sheet, the row's file."""
+    return csv(spark, path, **options).select("*", F.col("_metadata.file_path").alias("sheet"))
+
+
 def tidy_scores(spark: SparkSession, path: str) -> DataFrame:
     """run, troupe, day, block, trial, behavior, worm and score of a wide sheet: a row for each
     cell with a number, for the subjects W1 to W6. Runs are filled down."""
-    raw = with_position(csv(spark, path, multiLine=True))
+    raw = with_position(_sheets(spark, path, multiLine=True))
     raw = raw.withColumn("run", text.null_if_blank("Run"))
     filled = raw.withColumn("run", F.last("run", ignorenulls=True).over(_file_order()))
     cells = [c for c in raw.columns if "_W" in c and int(c.rpartition("_W")[2]) <= SUBJECTS]
@@ -128,14 +133,14 @@ def tidy_scores(spark: SparkSession, path: str) -> DataFrame:
 def _file_order():
     from pyspark.sql import Window as W
 
-    # A score sheet is one person's typing: its rows fit one task, whatever the data's size.
-    return W.partitionBy(F.lit(0)).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    # A score sheet is one person's typing, so a file's rows fit one task; files fill down apart.
+    return W.partitionBy("sheet").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
 
 
 def block_scores(spark: SparkSession, path: str) -> DataFrame:
     """run, troupe, day, block, trial, worm and score of a sheet whose keys stand on the first
     row of each block only; anything that is no number is null and left out."""
-    raw = csv(spark, path, multiLine=True)
+    raw = _sheets(spark, path, multiLine=True)
     raw = with_position(raw.toDF(*[c.strip() for c in raw.columns]))
     keys = {"Run": "run", "Troupe": "troupe", "Day": "day", "BlockNum": "block"}
     keyed = raw.withColumns({n: F.last(text.null_if_blank(c), ignorenulls=True).over(_file_order()) for c, n in keys.items()})
@@ -147,7 +152,7 @@ def block_scores(spark: SparkSession, path: str) -> DataFrame:
 def pheno_scores(spark: SparkSession, path: str, trials_a_day: int = 21) -> DataFrame:
     """troupe, day, trial, worm, subject, score and abs_trial (over days). Here anything that is
     no number means no response and scores 0; rows without any value are left out."""
-    raw = with_position(csv(spark, path)).na.drop("all", subset=["Run", "Troupe", "Day", "Trial"])
+    raw = with_position(_sheets(spark, path)).na.drop("all", subset=["Run", "Troupe", "Day", "Trial"])
     filled = raw.withColumns({c: F.last(text.null_if_blank(c), ignorenulls=True).over(_file_order()) for c in ("Run", "Troupe", "Day", "Trial")})
     worms = [f"W{k}" for k in range(1, SUBJECTS + 1)]
     ids = filled.select(F.col("Troupe").alias("troupe"), text.number("Day", "int").alias("day"), text.number("Trial", "int").alias("trial"), *[text.number_or_zero(w).alias(w) for w in worms])
@@ -155,11 +160,12 @@ def pheno_scores(spark: SparkSession, path: str, trials_a_day: int = 21) -> Data
     return long.withColumns({"subject": F.concat_ws("_", "troupe", "worm"), "abs_trial": F.col("trial") + trials_a_day * (F.col("day") - 1)})
 
 
-def video_splits(spark: SparkSession, path: str) -> DataFrame:
+def video_splits(spark: SparkSession, path: str, defaults: bool = True) -> DataFrame:
     """video and intervals (array of inclusive start and end) for each line of a split list; of
-    lines with equal names the first holds."""
+    lines with equal names the first holds. Defaults as in intervals.split_intervals();
+    intervals.required() makes a missing video an error."""
     raw = with_position(spark.read.text(path)).where("trim(value) <> ''")
-    rows = raw.select(F.trim(F.split("value", ",")[0]).alias("video"), intervals.split_intervals(text.bracketed_lists("value")).alias("intervals"), "pos")
+    rows = raw.select(F.trim(F.split("value", ",")[0]).alias("video"), intervals.split_intervals(text.bracketed_lists("value"), defaults=defaults).alias("intervals"), "pos")
     return reshape.latest(rows, ["video"], [-F.col("pos")]).drop("pos")
 
 
@@ -234,6 +240,29 @@ def feature_matrices(spark: SparkSession, path: str, features: tuple[str, ...] =
     return made.select(text.session_of("file").alias("session"), text.region_of("file").alias("region"), "frame", *[text.null_if_nan(f).alias(f) for f in features])
 
 
+#: Files beside the shape series that hold models.
+MODELS = ("PCA_NAN", "SCALING", "PCA_", "SCALING_NAN")
+
+
+def shape_series(spark: SparkSession, path: str, frames: int = 1799) -> DataFrame:
+    """file, frame and theta (an array) of shape arrays of a row a frame, the first entry of files
+    that hold several. Files of models, hidden ones and arrays of another number of frames are
+    left out. Files are NumPy's own (.npy, .npz); pickled objects are never loaded."""
+
+    def run(batches):
+        def rows(name, content):
+            data = np.load(io.BytesIO(content), allow_pickle=False)
+            data = data[data.files[0]] if hasattr(data, "files") else data
+            if len(data) == frames:
+                yield pd.DataFrame({"file": name, "frame": np.arange(frames, dtype=np.int32), "theta": [x.tolist() for x in np.asarray(data, float).reshape(frames, -1)]})
+
+        yield from _arrays(batches, rows)
+
+    stem = F.regexp_extract("path", r"([^/]*?)\.np[yz]$", 1)
+    raw = spark.read.format("binaryFile").load(path).where((stem != "") & ~stem.startswith(".") & ~stem.isin(*MODELS)).select("path", "content")
+    return raw.mapInPandas(run, "file string, frame int, theta array<double>")
+
+
 def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """path, name, folder and length of files, without reading them."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)

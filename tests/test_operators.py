@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrel.functions import arrays, special, text
-from kestrel.operators import divergence, intervals, matching, mixed, reshape, scores, series, shapes, stats
+from kestrel.operators import divergence, intervals, matching, mixed, projection, reshape, scores, series, shapes, stats
 
 
 def rows(df, *columns):
@@ -352,8 +352,39 @@ def test_shape_and_normality(spark):
     assert got.skew == pytest.approx(g1 * math.sqrt(n * (n - 1)) / (n - 2))
     assert got.kurtosis == pytest.approx(((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
     # Fixed values from Shapiro and Wilk's example (weights of eleven men).
-    w, p = stats.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]))
-    assert w == pytest.approx(0.79, abs=0.005) and 0.005 < p < 0.02
+    men = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]
+    rng = np.random.default_rng(1)
+    large = [("large", float(v)) for v in rng.normal(0, 1, 6000)] + [("skewed", float(v)) for v in rng.exponential(1, 6000)]
+    data = [("men", float(v)) for v in men] + [("two", 1.0), ("two", 2.0), ("flat", 1.0), ("flat", 1.0), ("flat", 1.0), ("three", 1.0), ("three", 2.0), ("three", 4.0), ("men", None)] + large
+    got = {r.k: r for r in stats.normality(spark.createDataFrame(data, "k string, v double").repartition(5), ["k"], "v").collect()}
+    assert got["men"].w == pytest.approx(0.79, abs=0.005) and 0.005 < got["men"].p < 0.02
+    assert got["two"].verdict is None and got["flat"].w is None and got["three"].w == pytest.approx(27 / 28)
+    assert got["large"].w > 0.999 and got["large"].verdict == "normal" and got["skewed"].verdict == "not normal" and got["skewed"].p < 1e-9
+
+
+def test_exact_page_p(spark):
+    from itertools import permutations, product
+
+    orders = [sum(k * r for k, r in enumerate(o, 1)) for o in permutations((1, 2, 3))]
+    chances = sum(sum(x) >= 40 for x in product(orders, repeat=3)) / 6**3
+    df = spark.createDataFrame([("k", 3, 40.0, 1.0), ("l", 100, 1.0, 1.96)], "k string, n long, l double, z double")
+    got = {r.k: r.p for r in stats.page_p(df, 3).collect()}
+    assert got["k"] == pytest.approx(chances) and got["l"] == pytest.approx(0.025, abs=1e-4)
+
+
+def test_trend_band(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, 300).astype(float)
+    y = 2 + 3 * x + rng.normal(0, 2, 300)
+    df = spark.createDataFrame([("k", float(a), float(b)) for a, b in zip(x, y)] + [("one", 1.0, 1.0), ("k", None, 1.0)], "k string, x double, y double")
+    got = {(r.k, r.x): r for r in stats.trend_band(df.repartition(4), ["k"], "x", "y", [0.0, 5.0], 400).collect()}
+    slope, start = np.polyfit(x, y, 1)
+    assert got["k", 0.0].fitted == pytest.approx(start) and got["k", 5.0].fitted == pytest.approx(start + 5 * slope)
+    lines = [np.polyval(np.polyfit(x[i], y[i], 1), 5.0) for i in (rng.integers(0, 300, 300) for _ in range(1000))]
+    assert got["k", 5.0].low == pytest.approx(np.quantile(lines, 0.025), abs=0.15) and got["k", 5.0].high == pytest.approx(np.quantile(lines, 0.975), abs=0.15)
+    assert got["one", 0.0].low is None
+    again = {(r.k, r.x): r.low for r in stats.trend_band(df.repartition(1), ["k"], "x", "y", [0.0, 5.0], 400).collect()}
+    assert again["k", 5.0] == pytest.approx(got["k", 5.0].low)
 
 
 def test_interaction_is_the_least_squares_fit(spark):
@@ -421,6 +452,56 @@ def test_lookup_and_upsert(spark):
     assert rows(got, *got.columns) == [("s", "q", 6, 2, None), ("s", "r", 7, None, 8), ("t", "r", 3, None, 4)]
 
 
+def test_first_and_last(spark):
+    rows_ = spark.createDataFrame([(1, 2, "a", None), (1, 3, "a", 5.0), (1, 4, "a", 1.0), (2, 1, "b", 7.0)], "k int, pos int, n string, v double")
+    assert rows(reshape.to_wide(rows_, ["k"], "n", "v", ["a", "b"], order="pos"), "k", "a", "b") == [(1, 5.0, None), (2, None, 7.0)]
+    dimension = spark.createDataFrame([("x", 1), ("x", 2), (None, 3)], "d string, v int")
+    df = spark.createDataFrame([("x",), ("y",), (None,)], "k string")
+    found = [reshape.looked_up(df, dimension, "k", "d", [F.col("v")], first) for first in (True, False)]
+    assert [{r.k: r.v for r in f.collect()} for f in found] == [{"x": 1, "y": None, None: None}, {"x": 2, "y": None, None: None}]
+
+
+def test_last_start_and_required_splits(spark):
+    starts = spark.createDataFrame([("a", 0), ("a", 10), ("b", 5), ("a", None)], "k string, s int")
+    asked = spark.createDataFrame([("a", 9, 1), ("a", 10, 2), ("b", 4, 3), ("c", 1, 4), ("a", 10, 2)], "k string, t int, s int")
+    got = intervals.last_start(asked, starts, ["k"], "t", "s", "since")
+    assert got.columns == ["k", "t", "s", "since"] and rows(got, "k", "t", "s", "since") == [("a", 10, 2, 10), ("a", 10, 2, 10), ("a", 9, 1, 0), ("b", 4, 3, None), ("c", 1, 4, None)]
+    splits = spark.createDataFrame([("v", [(1, 2)])], "video string, intervals array<struct<start:int,end:int>>")
+    assert intervals.required(spark.createDataFrame([("v",)], "video string"), splits).first().intervals[0].end == 2
+    with pytest.raises(Exception, match="no split for w"):
+        intervals.required(spark.createDataFrame([("w",)], "video string"), splits).collect()
+
+
+def test_outline_is_the_largest_components(spark):
+    mask = np.zeros((12, 12), np.uint8)
+    mask[0, 0:2] = 1
+    mask[3:8, 2:9] = 1
+    mask[10:12, 10:12] = 1
+    df = spark.createDataFrame([(1, mask.tobytes())], "k int, m binary").selectExpr("*", "12 AS h", "12 AS w")
+    got = shapes.shape_measures(df, ["k"], "m", "h", "w").first()
+    assert got.area == mask.sum() and got.perimeter == pytest.approx(20.0) and got.hull_area == pytest.approx(24.0)
+
+
+def test_space_is_saved(spark, tmp_path):
+    df = spark.createDataFrame([([float(x) for x in row],) for row in np.random.default_rng(1).random((40, 5))], "e array<double>")
+    space = projection.reference_space(df, "e", 2)
+    space.save(spark, str(tmp_path / "space"))
+    again = projection.Space.load(spark, str(tmp_path / "space"))
+    assert all((getattr(space, n) == getattr(again, n)).all() for n in ("mean", "deviation", "components", "explained"))
+
+
+def test_long_series_and_many_marks_end_soon(spark):
+    import time
+
+    began = time.perf_counter()
+    long = spark.range(100_000).selectExpr("1 AS s", "id AS frame", "double(id % 100) AS v")
+    assert series.median_filtered(long, ["s"], "frame", "v", "f", 60).agg(F.sum("f")).first()[0] > 0
+    marks = spark.range(6000).selectExpr("'v' AS video", "'turn' AS event_type", "concat('S', 1 + id % 3) AS scorer", "CAST(id DIV 3 AS INT) AS idx", "CAST(id DIV 3 * 40 + id % 3 AS INT) AS t")
+    pairs = matching.scored_pairs(marks, ["turn"], ["S1", "S2", "S3"])
+    assert {r.tp for r in matching.matched(marks, pairs, F.lit(10)).collect()} == {2000}
+    assert time.perf_counter() - began < 60
+
+
 def test_wide_and_long(spark):
     wide = spark.createDataFrame([(1, 2.0, None), (2, None, None)], "k int, W1_a double, W2_a double")
     assert rows(reshape.to_long(wide, ["k"], ["W1_a", "W2_a"]), "k", "name", "value") == [(1, "W1_a", 2.0)]
@@ -436,6 +517,7 @@ def test_samples_and_names_do_not_depend_on_partitions(spark):
     words = spark.createDataFrame([("a",), ("b",), ("c",)], "word string")
     names = reshape.anonymized(df, "k", words, words)
     assert names.count() == names.select("name").distinct().count() == 200
+    assert all(n[0] == "Video" and n[1] != n[2] and {*n[1:4]} <= {"a", "b", "c"} for n in (r.name.split("_") for r in names.collect()))
     assert rows(names, "k", "name") == rows(reshape.anonymized(df.repartition(5), "k", words, words), "k", "name")
 
 
