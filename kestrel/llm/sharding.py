@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kestrel.llm.common import payload
+from kestrel.llm.common import payload, written
 
 #: region -> rack -> shard -> weight; a node's weight is the sum of its shards' weights.
 Tree = Mapping[str, Mapping[str, Mapping[int, float]]]
@@ -93,7 +93,7 @@ def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree:
     rows = with_shard(rows, F.col("doc_id").cast("string"), grown(tree), "grown_shard")
     rows = rows.withColumn("bucket", (F.crc32(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.col("text_crc32").cast("string")), "UTF-8")) % BUCKETS).cast("int"))
     keys = ["shard", "bucket", "doc_id", "size", "text_crc32", "grown_shard"]
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    counted = written(rows.groupBy(*keys).agg(F.count("*").alias("n")), "shards")
     totals = counted.groupBy("shard", "bucket").agg(F.sum("n").alias("rows"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     # At most BUCKETS rows for each shard, whatever the size of the table.
