@@ -49,7 +49,7 @@ SALTS = 16
 #: a good one gives few candidates.
 SAMPLED, FREQUENT, ALL_SAMPLED = 8, 100_000, 1000
 #: Text keys that are broadcast at most.
-BROADCAST = 1_000_000
+BROADCAST = 500_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -158,14 +158,15 @@ def clustered(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return prints.join(labels, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _text_key(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+def _text_key(text):
+    """128 bits that tell texts apart."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of a sample, in rising order, and the number of each."""
     if rows.limit(ALL_SAMPLED + 1).count() > ALL_SAMPLED:
-        rows = rows.where(F.pmod("text_key", F.lit(SAMPLED)) == 0)
+        rows = rows.where(F.pmod(F.xxhash64("text_key"), F.lit(SAMPLED)) == 0)
 
     def run(batch):
         found = [np.unique(shingle_hashes(t, words)) for t in texts_of(batch, "t")]
@@ -232,25 +233,27 @@ def _rest(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """doc_id, text_key (a hash of the text), node (one of the set of shingles) and component_id
-    for each row: as clustered(), but for a similarity of 0.8 or more of the sets of shingles.
-    `distance` bounds the fingerprints' early links alone."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text_col).alias("text_key"), F.col(text_col).alias("t"))
+    """doc_id, text_key (a hash of the text) and component_id for each row: as clustered(), but for a
+    similarity of 0.8 or more of the sets of shingles. `distance` bounds the fingerprints' early
+    links alone."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("t"))
     held = df.sparkSession.sparkContext.broadcast(_frequent(rows, words))
 
     def run(batch):
-        prints, sizes, nodes, prefixes = [], [], [], []
+        prints, sizes, sets, prefixes = [], [], [], []
         for t in texts_of(batch, "t"):
             shingles = np.unique(shingle_hashes(t, words))
             prints.append(np.packbits(wide_fingerprint(t, words), bitorder="little").view("<i8"))
-            nodes.append(xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63))
+            sets.append(xxhash.xxh3_128_digest(shingles.tobytes()))
             sizes.append(len(shingles))
             prefixes.append(prefix(shingles.view(np.int64), *held.value))
-        return {**{c: batch.column(c) for c in ("doc_id", "text_key")}, "node": nodes, "n": sizes, "fingerprint": prints, "prefix": prefixes}
+        return {**{c: batch.column(c) for c in ("doc_id", "text_key")}, "set": sets, "n": sizes, "fingerprint": prints, "prefix": prefixes}
 
-    prints = written(map_arrow(rows, run, "doc_id long, text_key long, node long, n long, fingerprint array<long>, prefix array<long>"), "wide-fingerprints")
+    prints = written(map_arrow(rows, run, "doc_id long, text_key binary, set binary, n long, fingerprint array<long>, prefix array<long>"), "wide-fingerprints")
     one_of = F.any_value(F.struct("text_key", "n", "fingerprint", "prefix")).alias("x")
-    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("first"), one_of).select("node", "first", "x.*"), "wide-nodes")
+    # Different sets of shingles get numbers, which hold once they are written.
+    nodes = prints.groupBy("set").agg(F.min("doc_id").alias("first"), one_of)
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "first", "x.*"), "wide-nodes")
     places = block_places(nodes.count())
     places = places[: WIDE * 64 // places.shape[1]]  # the first order: the prefix join finds what one misses
     powers, numbers = 1 << np.arange(places.shape[1], dtype=np.int64), np.arange(len(places), dtype=np.int64) << places.shape[1]
@@ -272,10 +275,10 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     linked = components(_near(nearest.select(F.col("least").alias("a"), F.col("node").alias("b")), nodes, rows, words))
     rest = _near(_rest(nodes, linked), nodes, rows, words)
     found = components(linked.where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b")).union(rest))
-    joined = nodes.select("node", "first").join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("component", F.coalesce("component", "node"))
+    joined = nodes.select("node", "set", "first").join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("component", F.coalesce("component", "node"))
     firsts = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    labels = joined.select("node", "component").join(firsts, "component").select("node", "component_id")
-    return prints.select("doc_id", "text_key", "node").join(labels, "node").select("doc_id", "text_key", "node", "component_id")
+    labels = joined.select("set", "component").join(firsts, "component").select("set", "component_id")
+    return prints.select("doc_id", "text_key", "set").join(labels, "set").select("doc_id", "text_key", "component_id")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -283,5 +286,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat this id stay together; rows without an id stay where their component has no other
     id."""
     found = similar(df, id_col, text_col, words)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), F.col("text_key").alias("__text")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")) & (_text_key(text_col) == F.col("__text")), "left_semi")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key").distinct()
+    rows = df.select(F.struct(*df.columns).alias("row"))
+    rows = rows.select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"), _text_key(F.col(f"row.`{text_col}`")).alias("key"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left_semi").select("row.*")

@@ -106,6 +106,22 @@ def test_sharding_weights_move_rows_only_into_the_heavier_subtree(spark):
     assert counts.min() > 180 and counts.max() < 330
 
 
+def plain_png(image):
+    """The samples of a grey image of 64 columns, read by the letter of the format."""
+    assert image[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, parts = 8, {}
+    while at < len(image):
+        n = int.from_bytes(image[at : at + 4], "big")
+        kind, body = image[at + 4 : at + 8], image[at + 8 : at + 8 + n]
+        assert int.from_bytes(image[at + 8 + n : at + 12 + n], "big") == zlib.crc32(image[at + 4 : at + 8 + n])
+        parts[kind] = parts.get(kind, b"") + body
+        at += 12 + n
+    rows = zlib.decompress(parts[b"IDAT"])
+    assert int.from_bytes(parts[b"IHDR"][:4], "big") == 64 and parts[b"IHDR"][8:] == bytes([8, 0, 0, 0, 0]) and b"IEND" in parts
+    assert int.from_bytes(parts[b"IHDR"][4:8], "big") * 65 == len(rows) and not any(rows[::65])
+    return b"".join(rows[k + 1 : k + 65] for k in range(0, len(rows), 65))
+
+
 def test_media(odd, documents):
     for df, rows in both(odd, documents):
         got = media.document_media(df).collect()
@@ -114,8 +130,11 @@ def test_media(odd, documents):
             data = (text or "").encode()
             payload = data + bytes(-len(data) % 64 if data else 64)
             image = media.png(payload)
-            want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest()))
-        assert table(tuple(r)[:7] for r in got) == table(want)
+            assert plain_png(image) == payload
+            shares = [sum(b >> 4 == k for b in payload) * 1000 // len(payload) for k in range(16)]
+            feature = ",".join(map(str, shares)) + f";{sum(payload) * 1000 // len(payload)}"
+            want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature))
+        assert table(got) == table(want)
     assert media.document_media(odd.limit(0)).collect() == []
 
 
@@ -329,7 +348,9 @@ def test_similar_texts_meet(spark):
         near, met = near + (similarity >= 0.8), met + (similarity >= 0.8 and got[a] == got[b])
         far, wrong = far + (similarity < 0.5), wrong + (similarity < 0.5 and got[a] == got[b])
     assert near > 50 and met >= 0.95 * near and wrong == 0 and far > 1000
-    kept = [r.doc_id for r in simhash.deduplicated(df).collect()]
+    clash = simhash.deduplicated(df.selectExpr("doc_id", "text", "1 AS key", "2 AS id", "3 AS row"))
+    assert clash.columns == ["doc_id", "text", "key", "id", "row"]
+    kept = [r.doc_id for r in clash.collect()]
     assert {i for i in kept} == {c for c in got.values()} | {None} and kept.count(None) == 1
     assert simhash.similar(df.limit(0)).collect() == [] and simhash.deduplicated(df.limit(0)).collect() == []
 
