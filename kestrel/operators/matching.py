@@ -135,12 +135,12 @@ def reliability_report(table: DataFrame) -> DataFrame:
 def _combinations(sets: list[Column], limit: Column) -> Column:
     """The triplets and pairs of the three scorers' events with exactly one passing distance or
     three, in the order in which they are assigned: triplets by range and sum of distances, then
-    pairs by distance, then by places. Each starts from a pair within the limit."""
+    pairs by distance, of equals those of the first scorers, then by places. Each starts from a pair within the limit."""
     near = lambda x, y: F.abs(x["t"] - y["t"]) <= limit
     none = F.lit(-1)
 
     def entry(rank, spread, total, a, b, c, kind):
-        return F.struct(F.lit(rank).alias("rank"), spread.alias("spread"), total.alias("total"), a.alias("a"), b.alias("b"), c.alias("c"), kind.alias("kind"))
+        return F.struct(F.lit(int(rank > 0)).alias("pair"), spread.alias("spread"), total.alias("total"), F.lit(rank).alias("rank"), a.alias("a"), b.alias("b"), c.alias("c"), kind.alias("kind"))
 
     def triplet(x, y, z, kind):
         d12, d13, d23 = F.abs(x["t"] - y["t"]), F.abs(x["t"] - z["t"]), F.abs(y["t"] - z["t"])
@@ -156,8 +156,8 @@ def _combinations(sets: list[Column], limit: Column) -> Column:
     later = F.flatten(each(s2, s3, lambda y, z: F.transform(F.filter(s1, lambda x: ~near(x, y) & ~near(x, z)), lambda x: triplet(x, y, z, F.lit("s23")))))
     far = lambda x, y: F.abs(x["t"] - y["t"])
     p12 = each(s1, s2, lambda x, y: entry(1, F.lit(0), far(x, y), x["idx"], y["idx"], none, F.lit("s12")))
-    p13 = each(s1, s3, lambda x, y: entry(1, F.lit(0), far(x, y), x["idx"], none, y["idx"], F.lit("s13")))
-    p23 = each(s2, s3, lambda x, y: entry(1, F.lit(0), far(x, y), none, x["idx"], y["idx"], F.lit("s23")))
+    p13 = each(s1, s3, lambda x, y: entry(2, F.lit(0), far(x, y), x["idx"], none, y["idx"], F.lit("s13")))
+    p23 = each(s2, s3, lambda x, y: entry(3, F.lit(0), far(x, y), none, x["idx"], y["idx"], F.lit("s23")))
     return F.array_sort(F.concat(both, outer, later, p12, p13, p23))
 
 

@@ -114,9 +114,9 @@ def q_reliability_report(spark, sf_dir):
   CASE event_type WHEN 'turn' THEN 10 ELSE 15 END AS lim FROM e GROUP BY ALL HAVING (s1 IS NOT NULL)::INTEGER + (s2 IS NOT NULL)::INTEGER + (s3 IS NOT NULL)::INTEGER >= 2),
 k AS (SELECT u.video, u.event_type, lim, 0 AS rank, a.a.i AS a, b.b.i AS b, c.c.i AS c, greatest(abs(a.a.t - b.b.t), abs(a.a.t - c.c.t), abs(b.b.t - c.c.t)) - least(abs(a.a.t - b.b.t), abs(a.a.t - c.c.t), abs(b.b.t - c.c.t)) AS spread,
     abs(a.a.t - b.b.t) + abs(a.a.t - c.c.t) + abs(b.b.t - c.c.t) AS total, abs(a.a.t - b.b.t) <= lim AS p12, abs(a.a.t - c.c.t) <= lim AS p13, abs(b.b.t - c.c.t) <= lim AS p23 FROM u, unnest(s1) a(a), unnest(s2) b(b), unnest(s3) c(c)
-  UNION ALL SELECT x.video, x.event_type, CASE x.event_type WHEN 'turn' THEN 10 ELSE 15 END, 1, CASE WHEN x.scorer = 'S1' THEN x.idx ELSE -1 END, CASE WHEN x.scorer = 'S2' THEN x.idx WHEN y.scorer = 'S2' THEN y.idx ELSE -1 END, CASE WHEN y.scorer = 'S3' THEN y.idx ELSE -1 END, 0, abs(x.t - y.t),
+  UNION ALL SELECT x.video, x.event_type, CASE x.event_type WHEN 'turn' THEN 10 ELSE 15 END, CASE WHEN y.scorer = 'S2' THEN 1 WHEN x.scorer = 'S1' THEN 2 ELSE 3 END, CASE WHEN x.scorer = 'S1' THEN x.idx ELSE -1 END, CASE WHEN x.scorer = 'S2' THEN x.idx WHEN y.scorer = 'S2' THEN y.idx ELSE -1 END, CASE WHEN y.scorer = 'S3' THEN y.idx ELSE -1 END, 0, abs(x.t - y.t),
     x.scorer = 'S1' AND y.scorer = 'S2', x.scorer = 'S1' AND y.scorer = 'S3', x.scorer = 'S2' FROM e x JOIN e y ON x.video = y.video AND x.event_type = y.event_type AND x.scorer < y.scorer AND abs(x.t - y.t) <= CASE x.event_type WHEN 'turn' THEN 10 ELSE 15 END),
-g AS (SELECT video, event_type, list({{'a': a, 'b': b, 'c': c, 'k': CASE WHEN p12 AND p13 AND p23 THEN 's123' WHEN p12 THEN 's12' WHEN p13 THEN 's13' ELSE 's23' END}} ORDER BY rank, spread, total, a, b, c) AS l FROM k WHERE p12::INTEGER + p13::INTEGER + p23::INTEGER IN (1, 3) GROUP BY ALL),
+g AS (SELECT video, event_type, list({{'a': a, 'b': b, 'c': c, 'k': CASE WHEN p12 AND p13 AND p23 THEN 's123' WHEN p12 THEN 's12' WHEN p13 THEN 's13' ELSE 's23' END}} ORDER BY rank > 0, spread, total, rank, a, b, c) AS l FROM k WHERE p12::INTEGER + p13::INTEGER + p23::INTEGER IN (1, 3) GROUP BY ALL),
 h AS (SELECT video, event_type, list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda q: (q.a >= 0 AND q.a = x[1].a) OR (q.b >= 0 AND q.b = x[1].b) OR (q.c >= 0 AND q.c = x[1].c))) > 0 THEN acc ELSE list_concat(acc, x) END) AS m FROM g),
 r AS (SELECT u.video, u.event_type, coalesce(len(list_filter(m, lambda q: q.k = 's123')), 0)::INTEGER AS s123, coalesce(len(list_filter(m, lambda q: q.k = 's12')), 0)::INTEGER AS s12, coalesce(len(list_filter(m, lambda q: q.k = 's13')), 0)::INTEGER AS s13,
   coalesce(len(list_filter(m, lambda q: q.k = 's23')), 0)::INTEGER AS s23, coalesce(len(s1), 0)::INTEGER AS s1_raw, coalesce(len(s2), 0)::INTEGER AS s2_raw, coalesce(len(s3), 0)::INTEGER AS s3_raw FROM u LEFT JOIN h USING (video, event_type)),
