@@ -21,9 +21,8 @@ from kestrel.llm.common import written
 
 #: Edits allowed between lines at most, and the characters of the shorter one for each.
 K, EVERY = 2, 6
-#: Lines of candidate pairs whose keys may go to every task: at most 8 MB. More are joined by
-#: a shuffle.
-BROADCAST = 1_000_000
+#: Rows of keys of lines that may go to every task: at most 30 MB. More are joined by a shuffle.
+BROADCAST = 300_000
 #: Lines under keys that more than CROWD lines are filed under, up to HOT keys (the most frequent,
 #: a broadcast of 80 kB), go along with the key, and the join itself compares them.
 CROWD, HOT = 16, 10_000
@@ -112,6 +111,11 @@ def _pick(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("w.*", F.get("parts", F.col("w.line_no")).alias("line"))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
 def near_links(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     """Pairs of distinct near lines: (a1, a2) and (b1, b2), their hashes, a1 <= b1."""
     long = firsts.where(F.col("n") >= EVERY).select("first.doc", "first.dkey", "first.line_no", "h1", "n")
@@ -130,10 +134,9 @@ def near_links(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     met = probes.join(filed.hint("shuffle_hash"), "key").where((F.col("p") != F.col("f")) & near)
     pairs = written(met.select(F.least("p", "f").alias("a1"), F.greatest("p", "f").alias("b1")).distinct(), "line-pairs")
     named = pairs.select(F.col("a1").alias("h1")).union(pairs.select("b1")).distinct()
-    named = written(named, "line-pair-keys")
-    few = named.count() <= BROADCAST
+    named = _few(written(named, "line-pair-keys"))
     lines = documents.select(F.explode("parts").alias("line")).where(F.length("line") >= EVERY).select(*_keys(F.col("line")), "line")
-    lines = lines.join(F.broadcast(named) if few else named, "h1", "left_semi").groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
+    lines = lines.join(named, "h1", "left_semi").groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
     a = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
     b = lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
     return pairs.join(a, "a1").join(b, "b1").where(_near("a", "b")).select("a1", "a2", "b1", "b2")
@@ -149,10 +152,12 @@ def _flags(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     links = written(near_links(documents, firsts), "line-links")
     one = firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.struct("first", "h1", "h2").alias("fa"))
     two = firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.struct("first", "h1", "h2").alias("fb"))
-    placed = links.join(one, ["a1", "a2"]).join(two, ["b1", "b2"])
+    # Links are few beside lines: while a count bounds them, they go to the lines.
+    placed = _few(links).join(one, ["a1", "a2"])
+    placed = _few(written(placed, "line-places")).join(two, ["b1", "b2"])
     later = F.when(F.col("fa") < F.col("fb"), F.struct("b1", "b2")).otherwise(F.struct(F.col("a1").alias("b1"), F.col("a2").alias("b2")))
     near = placed.select(later.alias("x")).select(F.col("x.b1").alias("h1"), F.col("x.b2").alias("h2")).distinct().withColumn("near", F.lit(True))
-    marked = firsts.join(near, ["h1", "h2"], "left").select("h1", "h2", "first", "times", F.coalesce("near", F.lit(False)).alias("near"))
+    marked = firsts.join(_few(written(near, "near-lines")), ["h1", "h2"], "left").select("h1", "h2", "first", "times", F.coalesce("near", F.lit(False)).alias("near"))
     # Only lines that repeat or are near matter. As both sides of the join are plain shuffles, Spark
     # splits the occurrences of a very common line among tasks.
     marked = written(marked.where("times > 1 or near").drop("times"), "marked-lines")
