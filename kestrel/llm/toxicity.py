@@ -162,7 +162,10 @@ def _dense(sparse) -> np.ndarray:
 
 
 def without_toxic(df: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """df's rows whose text scores under one half, with df's columns."""
+    """df's rows whose text scores under one half, with df's columns; all rows if nothing was learned,
+    where every score is one half."""
+    if not len(model[0]):
+        return df
     sparse, at = (model[0].astype(np.int32), model[1]), df.columns.index(text_col)
 
     def run(batches):

@@ -5,6 +5,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import xxhash
 
 from kestrel.llm import linededup, repeats
@@ -151,3 +152,13 @@ def brute_repeats(rows):
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out.append((i, len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def plain_edits(passage, text):
+    """brute_edits() with a row of the table at a time."""
+    letters, places = np.array([ord(c) for c in text]), np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, int)
+    for i, c in enumerate(passage, 1):
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (letters != ord(c)))])
+        row = np.minimum.accumulate(new - places) + places
+    return int(row.min())
