@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from kestrel.functions import arrays
@@ -44,11 +46,15 @@ def q_radial_profile(spark, sf_dir):
     return rows.select("vec_id", F.transform(arrays.radial_profile(F.col("points"), F.lit(1), F.lit(2), 20), lambda x: F.round(x, 6)).alias("wheel"))
 
 
-@query()
+#: The mean, and five turns, of 64 values: the weight of a value so many places away.
+_KERNEL = [(1 + 2 * sum(math.cos(2 * math.pi * k * d / 64) for k in range(1, 6))) / 64 for d in range(64)]
+
+
+@query(f"""WITH k AS (SELECT {_KERNEL} AS w) SELECT vec_id, list_transform(range(0, 64), lambda n: round(list_sum(list_transform(range(0, 64), lambda m: embedding[m + 1]::DOUBLE * w[(n - m + 64) % 64 + 1])), 6) + 0.0) AS e FROM embeddings, k""")
 def q_lowpass(spark, sf_dir):
     """Arrays without their higher frequencies."""
     values = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(arrays.lowpass(values, F.lit(5)), lambda x: F.round(x, 6)).alias("e"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(arrays.lowpass(values, F.lit(5)), lambda x: F.round(x, 6) + F.lit(0.0)).alias("e"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice / 10 AS p, p_size + 5.0 AS h FROM part) SELECT p_partkey, round(a / nullif(p, 0), 6) AS area_perimeter_ratio, round(4 * pi() * a / nullif(p * p, 0), 6) AS circularity, round((h - a) / nullif(h, 0), 6) AS concavity FROM p""")

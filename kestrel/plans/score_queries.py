@@ -28,7 +28,8 @@ def q_behavior_summary(spark, sf_dir):
     return scores.behavior_summary(rows, ["cohort", "behavior", "day"], "score").drop("error")
 
 
-@query()
+@query(f"""WITH {SCORES_SQL}, m AS (SELECT cohort, behavior, day, avg(score) AS m, stddev_samp(score) AS s, count(score) AS n FROM sc GROUP BY ALL)
+SELECT cohort, behavior, day, round(m, 2) AS mean, round(s / sqrt(n), 3) AS sem, n, round(s, 2) AS sd, round({t_quantile_sql(1.959963984540054, "n - 1")} * s / sqrt(n), 3) AS error FROM m""")
 def q_behavior_summary_ci(spark, sf_dir):
     """The same with the half width of the t interval."""
     return scores.behavior_summary(views.scores(spark, sf_dir), ["cohort", "behavior", "day"], "score", "ci")
