@@ -23,9 +23,11 @@ from kestrel.llm.common import written
 K, EVERY = 2, 6
 #: Rows of keys of lines that may go to every task: at most 30 MB. More are joined by a shuffle.
 BROADCAST = 300_000
-#: Lines under keys that more than CROWD lines are filed under, up to HOT keys (the most frequent,
+#: Lines under keys that more than about CROWD lines are filed under, up to HOT keys (the most frequent,
 #: a broadcast of 80 kB), go along with the key, and the join itself compares them.
 CROWD, HOT = 16, 10_000
+#: One line in so many is counted for them: which keys these are moves cost, not results.
+COUNTED = 8
 #: The id that rows without one count as: the last.
 LAST = (1 << 63) - 1
 
@@ -108,7 +110,7 @@ def _pick(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     grouped = wanted.groupBy(*DOCUMENT).agg(F.collect_list(F.struct(*[c for c in wanted.columns if c not in DOCUMENT])).alias("wanted"))
     joined = documents.select(*DOCUMENT, "parts").join(grouped.hint("shuffle_hash"), DOCUMENT)
     rows = joined.select("parts", F.explode("wanted").alias("w"))
-    return rows.select("w.*", F.get("parts", F.col("w.line_no")).alias("line"))
+    return rows.select("w.*", F.get("parts", F.col("w.line_no")).alias("line")).withColumn("n", F.length("line"))
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -118,11 +120,12 @@ def _few(rows: DataFrame) -> DataFrame:
 
 def near_links(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     """Pairs of distinct near lines: (a1, a2) and (b1, b2), their hashes, a1 <= b1."""
-    long = firsts.where(F.col("n") >= EVERY).select("first.doc", "first.dkey", "first.line_no", "h1", "n")
+    long = firsts.where(F.col("n") >= EVERY).select("first.doc", "first.dkey", "first.line_no", "h1")
     texts = _pick(documents, long)
     filed = texts.select("h1", "line", F.explode(_filed(F.col("line"), F.col("n"))).alias("key"))
     probes = texts.select("h1", "line", F.explode(_probes(F.col("line"), F.col("n"))).alias("key"))
-    crowded = filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    counted = filed.where(F.pmod("h1", F.lit(COUNTED)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    crowded = counted.where(F.col("n") > CROWD // COUNTED)
     hot = F.broadcast(crowded.orderBy(F.col("n").desc(), "key").limit(HOT).select("key", F.lit(True).alias("hot")))
 
     def keyed(rows: DataFrame, name: str) -> DataFrame:
