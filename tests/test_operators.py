@@ -289,9 +289,9 @@ def test_scores_of_empty_lists(spark):
 
 def test_unanimity_of_two_passing_distances(spark):
     # Exactly two of the triplet's distances pass: the triplet is passed over and a pair decides; of
-    # pairs with equal distances the one without the first scorer comes first.
+    # pairs with equal distances the first scorers' comes first, as they are listed.
     found = matching.unanimity(events_of(spark, {("v", "A"): [0], ("v", "B"): [8], ("v", "C"): [16]}), ["A", "B", "C"], F.lit(10)).first()
-    assert (found.s123, found.s12, found.s13, found.s23, found.total_unique) == (0, 0, 0, 1, 2)
+    assert (found.s123, found.s12, found.s13, found.s23, found.total_unique) == (0, 1, 0, 0, 2)
     common = matching.unanimity(events_of(spark, {("v", "A"): [0], ("v", "B"): [4], ("v", "C"): [8], ("w", "A"): [1]}), ["A", "B", "C"], F.lit(10))
     assert rows(common, "video", "s123", "total_unique", "unanimity_rate") == [("v", 1, 1, 1.0)]
 
