@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
-from kestrel.llm import bpe, decontaminate, html, linededup, media, repeats, sharding, simhash, toxicity, warc
+from kestrel.llm import bpe, decontaminate, html, linededup, media, middle, packing, repeats, sharding, simhash, toxicity, variants, warc
 from kestrel.llm.common import table
 
 VOCABULARY = os.environ.get("KESTREL_VOCABULARY") or public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = os.environ.get("KESTREL_BYTE_VOCABULARY") or public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe(spark, sf_dir):
@@ -52,5 +53,29 @@ def op10_html(spark, sf_dir):
     return html.main_texts(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_media, op4_toxicity, op5_decontaminate, op6_warc, op7_linededup, op8_simhash, op9_repeats, op10_html)}
-ORACLES = {"op2_sharding": sharding.sharded_sql(), "op6_warc": warc.archived_sql(), "op9_repeats": repeats.without_repeats_sql()}
+def op11_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
+def op12_middle(spark, sf_dir):
+    return middle.transformed(table(spark, sf_dir, "documents"), outputs=("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"))
+
+
+def op13_variants(spark, sf_dir):
+    return variants.grouped(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_sharding, op3_media, op4_toxicity, op5_decontaminate, op6_warc, op7_linededup, op8_simhash, op9_repeats, op10_html,
+        op11_packing, op12_middle, op13_variants,
+    )
+}
+ORACLES = {
+    "op2_sharding": sharding.sharded_sql(),
+    "op6_warc": warc.archived_sql(),
+    "op9_repeats": repeats.without_repeats_sql(),
+    "op12_middle": middle.transformed_sql(),
+    "op13_variants": variants.grouped_sql(),
+}

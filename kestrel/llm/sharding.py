@@ -127,25 +127,30 @@ def shard_sql(tree: Tree, key: str, name: str, source: str) -> str:
     )
 
 
-def _crc32_sql(hexadecimal: str) -> str:
+def crc32_sql(hexadecimal: str) -> str:
     """DuckDB SQL for the CRC-32 of bytes given in hexadecimal; `t` is the table of crc_table."""
     step = "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])"
     values = f"list_transform(range(0, len({hexadecimal}) // 2), lambda i: ('0x' || substr({hexadecimal}, 2 * i + 1, 2))::BIGINT)"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), {step}), 4294967295)"
 
 
-def sharded_sql() -> str:
-    """DuckDB SQL for sharded(documents)."""
-    tree = even_tree()
+def crc_table_sql() -> str:
+    """DuckDB SQL for a row with the table `t` of the CRC-32."""
     bits = "n"
     for _ in range(8):
         bits = f"(CASE WHEN {bits} & 1 = 1 THEN xor({bits} >> 1, 3988292384) ELSE {bits} >> 1 END)" if bits == "n" else f"list_reduce([{bits}, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return f"SELECT list_transform(range(0, 256), lambda n: {bits}) AS t"
+
+
+def sharded_sql() -> str:
+    """DuckDB SQL for sharded(documents)."""
+    tree = even_tree()
     source = shard_sql(grown(tree), "k", "grown_shard", shard_sql(tree, "k", "shard", "u"))
     return f"""
-    WITH crc_table AS (SELECT list_transform(range(0, 256), lambda n: {bits}) AS t),
+    WITH crc_table AS ({crc_table_sql()}),
     d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
-    e AS (SELECT doc_id, k, len(h) // 2 + 1 AS size, {_crc32_sql("h")} AS text_crc32, t FROM d, crc_table),
-    u AS (SELECT doc_id, k, size, text_crc32, {_crc32_sql("hex(encode(k || '|' || text_crc32))")} % {BUCKETS} AS bucket FROM e)
+    e AS (SELECT doc_id, k, len(h) // 2 + 1 AS size, {crc32_sql("h")} AS text_crc32, t FROM d, crc_table),
+    u AS (SELECT doc_id, k, size, text_crc32, {crc32_sql("hex(encode(k || '|' || text_crc32))")} % {BUCKETS} AS bucket FROM e)
     SELECT doc_id, size, text_crc32, 'key' AS law, shard,
       row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
     FROM {source}"""
