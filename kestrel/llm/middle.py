@@ -14,7 +14,7 @@ import itertools
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import map_arrow, texts_of
@@ -118,10 +118,14 @@ def restored(df: DataFrame, output_col: str = "output", form_col: str = "form",
     output, form = F.col(output_col), F.col(form_col)
     head = F.substring_index(output, MIDDLE, 1)
     middle = F.substr(output, F.length(head) + len(MIDDLE) + 1)
-    after = F.when(form == "psm", SUFFIX).otherwise(PREFIX)
-    one = F.substring_index(F.substr(head, F.lit(len(PREFIX) + 1)), after, 1)
-    two = F.substr(head, F.length(one) + 2 * len(PREFIX) + 1)
-    return df.withColumn(name, F.when(form == "plain", output).when(form == "psm", F.concat(one, middle, two)).otherwise(F.concat(two, middle, one)))
+
+    def parts(before: str, after: str) -> tuple[Column, Column]:
+        one = F.substring_index(F.substr(head, F.lit(len(before) + 1)), after, 1)
+        return one, F.substr(head, F.length(one) + len(before) + len(after) + 1)
+
+    prefix, suffix = parts(PREFIX, SUFFIX)
+    last, first = parts(SUFFIX, PREFIX)
+    return df.withColumn(name, F.when(form == "plain", output).when(form == "psm", F.concat(prefix, middle, suffix)).otherwise(F.concat(first, middle, last)))
 
 
 def transformed_sql() -> str:
