@@ -1,13 +1,23 @@
 """Agreement of scorers on events: greedy one-to-one matches, reliability and unanimity.
 
 events has one row for each scored event: video, event_type, scorer, idx (place in the
-scorer's list, from 0) and t. Bands and folds run for each video on its own, whose lists are
-bounded by what a person marks in it.
+scorer's list, from 0) and t. Events farther apart than the limit can never be matched, so the
+merged marks of a video are cut into islands wherever the next one is beyond the limit, and each
+island is matched alone: nothing holds the list of a whole video. What is taken first decides what is left, which
+no built-in function folds in less than quadratic time; a small function does it, for many
+islands at a time.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEYS = ["video", "event_type"]
@@ -29,33 +39,118 @@ def scored_pairs(videos: DataFrame, event_types: list[str], scorers: list[str])
     return videos.select("video").distinct().withColumn("event_type", kinds).select(*KEYS, F.explode(pairs).alias("p")).select(*KEYS, "p.*")
 
 
-def _greedy(candidates: Column) -> Column:
-    """Of candidates (diff, test_idx, ref_idx) in order, those whose two events are both free."""
-    kind = "array<struct<diff:int,test_idx:int,ref_idx:int>>"
-    free = lambda kept, c: ~F.exists(kept, lambda k: (k["test_idx"] == c["test_idx"]) | (k["ref_idx"] == c["ref_idx"]))
-    return F.aggregate(F.array_sort(candidates), F.array().cast(kind), lambda kept, c: F.when(free(kept, c), F.array_append(kept, c)).otherwise(kept))
+def islands(events: DataFrame, keys: list[str], limit: str = "limit", t: str = "t") -> DataFrame:
+    """events with island (from 0): a new one begins where the next event of the keys is farther than
+    `limit` from the last one. Events without a time are in the first island."""
+    order = W.partitionBy(*keys).orderBy(t)
+    far = F.coalesce(F.col(t) - F.lag(t).over(order) > F.col(limit), F.lit(False))
+    # The frame takes in all events of one time, so that these share an island in any order.
+    return events.withColumn("far", far.cast("int")).withColumn("island", F.sum("far").over(order)).drop("far")
+
+
+def _events(column: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """Each row's events as (t, idx)."""
+    values = pc.list_flatten(column)
+    pairs = list(zip(pc.struct_field(values, "t").to_pylist(), pc.struct_field(values, "idx").to_pylist()))
+    start = 0
+    for n in pc.list_value_length(column).to_pylist():
+        yield pairs[start : start + n]
+        start += n
+
+
+def _times(column: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """Each row's events in order, without those that have no time."""
+    return (sorted(e for e in events if e[0] is not None) for events in _events(column))
+
+
+def _near(one: list, two: list, limit: float) -> Iterator[tuple]:
+    """(x, y) for the events x of one and y of two within the limit; both are in order."""
+    low = 0
+    for x in one:
+        while low < len(two) and two[low][0] < x[0] - limit:
+            low += 1
+        for k in range(low, len(two)):
+            if two[k][0] > x[0] + limit:
+                break
+            yield x, two[k]
+
+
+def _map(rows: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, keys: list[str]) -> DataFrame:
+    """The keys of rows, and the columns that function makes of a batch, whose names and types schema gives."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                made = {k: batch.column(k) for k in keys} | function(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, list) else v for v in made.values()], list(made))
+
+    return rows.mapInArrow(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + [schema]))
+
+
+PAIR = [*KEYS, "ref", "test"]
+_MATCHES = pa.list_(pa.struct([("diff", pa.int32()), ("test_idx", pa.int32()), ("ref_idx", pa.int32())]))
+_FOUND = pa.list_(pa.struct([("ref", pa.string()), ("test", pa.string()), ("n_ref", pa.int32()), ("n_test", pa.int32()), ("tp", pa.int32()), ("matches", _MATCHES)]))
+
+
+def nearest_first(ref: list, test: list, limit: float) -> list[dict]:
+    """The events (t, idx) of two lists matched one to one: nearest first, of equal distances the lower
+    test and then reference index first."""
+    out, used_test, used_ref = [], set(), set()
+    for diff, j, i in sorted((abs(x[0] - y[0]), x[1], y[1]) for x, y in _near(test, ref, limit)):
+        if j not in used_test and i not in used_ref:
+            used_test.add(j)
+            used_ref.add(i)
+            out.append({"diff": diff, "test_idx": j, "ref_idx": i})
+    return out
+
+
+def _matched_islands(events: DataFrame, pairs: DataFrame, threshold: Column) -> DataFrame:
+    """A row for each island of a pair of scorers: the pair, n_ref, n_test, tp and matches. All pairs
+    of a video share its islands, so that its marks are ordered once."""
+    marks = events.select(*KEYS, "scorer", F.col("idx").cast("int").alias("idx"), F.col("t").cast("int").alias("t"), threshold.cast("double").alias("limit"))
+    grouped = islands(marks, KEYS).groupBy(*KEYS, "island", "limit").agg(F.collect_list(F.struct("t", "idx", "scorer")).alias("l"))
+    wanted = pairs.groupBy(*KEYS).agg(F.collect_set(F.struct("ref", "test")).alias("pairs"))
+
+    def match(batch):
+        scorers = iter(pc.struct_field(pc.list_flatten(batch.column("l")), "scorer").to_pylist())
+        out = []
+        for marks, asked, limit in zip(_events(batch.column("l")), batch.column("pairs").to_pylist(), batch.column("limit").to_pylist()):
+            lists: dict[str, list] = {}
+            for mark in marks:
+                lists.setdefault(next(scorers), []).append(mark)
+            timed = {s: sorted(m for m in l if m[0] is not None) for s, l in lists.items()}
+            for p in asked:
+                found = nearest_first(timed.get(p["ref"], []), timed.get(p["test"], []), limit)
+                p |= {"n_ref": len(lists.get(p["ref"], [])), "n_test": len(lists.get(p["test"], [])), "tp": len(found), "matches": found}
+            out.append(asked)
+        return {"found": pa.array(out, _FOUND)}
+
+    kind = "array<struct<ref:string,test:string,n_ref:int,n_test:int,tp:int,matches:array<struct<diff:int,test_idx:int,ref_idx:int>>>>"
+    return _map(grouped.join(wanted, KEYS), match, f"found {kind}", KEYS).select(*KEYS, F.inline("found"))
+
+
+def match_rows(events: DataFrame, pairs: DataFrame, threshold: Column) -> DataFrame:
+    """A row for each match of each pair: video, event_type, ref, test, diff, test_idx and ref_idx."""
+    return _matched_islands(events, pairs, threshold).select(*PAIR, F.inline("matches"))
 
 
 def matched(events: DataFrame, pairs: DataFrame, threshold: Column) -> DataFrame:
     """pairs with matches (array of diff, test_idx, ref_idx), tp, fp and fn: each pair's events
     matched one to one, nearest first; of equal distances the lower test and then reference
-    index first. threshold, an expression of event_type, bounds the distance."""
-    lists = events.groupBy(*KEYS, "scorer").agg(F.collect_list(F.struct("idx", "t")).alias("l"))
-    empty = F.array().cast("array<struct<idx:int,t:int>>")
-    a, b = (lists.select(*KEYS, F.col("scorer").alias(name), F.col("l").cast("array<struct<idx:int,t:int>>").alias(f"{name}_l")) for name in ("ref", "test"))
-    rows = pairs.join(a, [*KEYS, "ref"], "left").join(b, [*KEYS, "test"], "left")
-    rows = rows.withColumns({"ref_l": F.coalesce("ref_l", empty), "test_l": F.coalesce("test_l", empty), "limit": threshold})
-    near = lambda x: F.filter("ref_l", lambda y: F.abs(x["t"] - y["t"]) <= F.col("limit"))
-    one = lambda x: F.transform(near(x), lambda y: F.struct(F.abs(x["t"] - y["t"]).alias("diff"), x["idx"].alias("test_idx"), y["idx"].alias("ref_idx")))
-    rows = rows.withColumn("candidates", F.flatten(F.transform("test_l", one))).withColumn("matches", _greedy(F.col("candidates")))
-    tp = F.size("matches")
-    return rows.select(*KEYS, "ref", "test", "matches", tp.alias("tp"), (F.size("test_l") - tp).alias("fp"), (F.size("ref_l") - tp).alias("fn"))
+    index first. threshold, an expression of event_type, bounds the distance. Where only counts
+    are read, the arrays are never gathered."""
+    found = _matched_islands(events, pairs, threshold).groupBy(*PAIR)
+    found = found.agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"), *[F.sum(c).cast("int").alias(c) for c in ("tp", "n_ref", "n_test")])
+    none = F.array().cast("array<struct<diff:int,test_idx:int,ref_idx:int>>")
+    rows = pairs.select(*PAIR).join(found, PAIR, "left").withColumns({"matches": F.coalesce("matches", none), **{c: F.coalesce(c, F.lit(0)) for c in ("tp", "n_ref", "n_test")}})
+    return rows.select(*PAIR, "matches", "tp", F.expr("n_test - tp").alias("fp"), F.expr("n_ref - tp").alias("fn"))
 
 
 def both_ways(counts: DataFrame) -> DataFrame:
     """counts (video, event_type, ref, test, tp, fp, fn) and the same with the roles swapped."""
-    rows = counts.select(*KEYS, "ref", "test", "tp", "fp", "fn")
-    return rows.unionByName(rows.select(*KEYS, F.col("test").alias("ref"), F.col("ref").alias("test"), "tp", F.col("fn").alias("fp"), F.col("fp").alias("fn")))
+    way = lambda ref, test, fp, fn: F.struct(F.col(ref).alias("ref"), F.col(test).alias("test"), "tp", F.col(fp).alias("fp"), F.col(fn).alias("fn"))
+    return counts.select(*KEYS, F.inline(F.array(way("ref", "test", "fp", "fn"), way("test", "ref", "fn", "fp"))))
 
 
 def ratio(top, bottom, otherwise: float = 0.0) -> Column:
@@ -66,25 +161,37 @@ def _f1(precision: str = "precision", recall: str = "recall") -> Column:
     return ratio(f"2 * {precision} * {recall}", f"{precision} + {recall}")
 
 
+def _pooled() -> tuple[list[Column], dict[str, Column]]:
+    """Sums of counts, and the rates of these sums."""
+    return [F.sum(c).alias(c) for c in ("tp", "fp", "fn")], {"precision": ratio("tp", "tp + fp"), "recall": ratio("tp", "tp + fn")}
+
+
+def _rates(counts: DataFrame) -> DataFrame:
+    """counts with the rates p, r and f of each video; one where both lists are empty is 1."""
+    none = F.expr("tp + fp + fn = 0")
+    rows = counts.withColumns({"p": F.when(none, 1.0).otherwise(ratio("tp", "tp + fp")), "r": F.when(none, 1.0).otherwise(ratio("tp", "tp + fn"))})
+    return rows.withColumn("f", _f1("p", "r"))
+
+
 def f1_pooled(counts: DataFrame) -> DataFrame:
     """ref, test, event_type, tp, fp, fn, precision, recall and f1 of the counts' sums."""
-    out = counts.groupBy("ref", "test", "event_type").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return out.withColumn("precision", ratio("tp", "tp + fp")).withColumn("recall", ratio("tp", "tp + fn")).withColumn("f1", _f1())
+    sums, rates = _pooled()
+    return counts.groupBy("ref", "test", "event_type").agg(*sums).withColumns(rates).withColumn("f1", _f1())
 
 
 def f1_by_video(counts: DataFrame) -> DataFrame:
     """Means over videos of precision, recall and f1; a video where both lists are empty is 1."""
-    none = F.expr("tp + fp + fn = 0")
-    rows = counts.withColumn("precision", F.when(none, 1.0).otherwise(ratio("tp", "tp + fp"))).withColumn("recall", F.when(none, 1.0).otherwise(ratio("tp", "tp + fn")))
-    rows = rows.withColumn("f1", _f1())
-    return rows.groupBy("ref", "test", "event_type").agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.count("*").alias("n_videos"))
+    return _rates(counts).groupBy("ref", "test", "event_type").agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"), F.avg("f").alias("f1"), F.count("*").alias("n_videos"))
 
 
 def f1_both(counts: DataFrame) -> DataFrame:
-    """The two forms in one table. Their names are the published ones: "macro" pools the counts,
-    "micro" averages videos, the other way round than usual."""
-    columns = ["ref", "test", "event_type", "precision", "recall", "f1"]
-    return f1_pooled(counts).select(*columns, F.lit("macro").alias("kind")).unionByName(f1_by_video(counts).select(*columns, F.lit("micro").alias("kind")))
+    """The two forms in one table, from one pass. Their names are the published ones: "macro" pools the
+    counts, "micro" averages videos, the other way round than usual."""
+    sums, rates = _pooled()
+    means = [F.avg(c).alias(f"mean_{c}") for c in "prf"]
+    rows = _rates(counts).groupBy("ref", "test", "event_type").agg(*sums, *means).withColumns(rates).withColumn("f1", _f1())
+    micro = F.struct(F.col("mean_p").alias("precision"), F.col("mean_r").alias("recall"), F.col("mean_f").alias("f1"), F.lit("micro").alias("kind"))
+    return rows.select("ref", "test", "event_type", F.inline(F.array(F.struct("precision", "recall", "f1", F.lit("macro").alias("kind")), micro)))
 
 
 def f1_matrix(scores: DataFrame, scorers: list[str], event_type: str, kind: str = "macro") -> DataFrame:
@@ -95,9 +202,10 @@ def f1_matrix(scores: DataFrame, scorers: list[str], event_type: str, kind: str
 
 
 def orphans(events: DataFrame, matches: DataFrame) -> DataFrame:
-    """The events that no pair of scorers matched."""
-    hit = matches.select(*KEYS, "ref", "test", F.explode("matches").alias("m"))
-    used = hit.select(*KEYS, F.col("ref").alias("scorer"), F.col("m.ref_idx").alias("idx")).union(hit.select(*KEYS, F.col("test"), F.col("m.test_idx")))
+    """The events that no pair of scorers matched; matches are rows of match_rows() or matched()."""
+    hit = matches.select(*PAIR, F.inline("matches")) if "matches" in matches.columns else matches
+    ends = F.array(F.struct(F.col("ref").alias("scorer"), F.col("ref_idx").alias("idx")), F.struct(F.col("test").alias("scorer"), F.col("test_idx").alias("idx")))
+    used = hit.select(*KEYS, F.inline(ends))
     return events.join(used.distinct(), [*KEYS, "scorer", "idx"], "left_anti")
 
 
@@ -132,33 +240,110 @@ def reliability_report(table: DataFrame) -> DataFrame:
     return table.select("ref", "test", "event_type", line.alias("line"))
 
 
-def _combinations(sets: list[Column], limit: Column) -> Column:
-    """The triplets and pairs of the three scorers' events with exactly one passing distance or
-    three, in the order in which they are assigned: triplets by range and sum of distances, then
-    pairs by distance, of equals those of the first scorers, then by places. Each starts from a pair within the limit."""
-    near = lambda x, y: F.abs(x["t"] - y["t"]) <= limit
-    none = F.lit(-1)
-
-    def entry(rank, spread, total, a, b, c, kind):
-        return F.struct(F.lit(int(rank > 0)).alias("pair"), spread.alias("spread"), total.alias("total"), F.lit(rank).alias("rank"), a.alias("a"), b.alias("b"), c.alias("c"), kind.alias("kind"))
-
-    def triplet(x, y, z, kind):
-        d12, d13, d23 = F.abs(x["t"] - y["t"]), F.abs(x["t"] - z["t"]), F.abs(y["t"] - z["t"])
-        return entry(0, F.greatest(d12, d13, d23) - F.least(d12, d13, d23), d12 + d13 + d23, x["idx"], y["idx"], z["idx"], kind)
+def common_events(one: list, two: list, three: list, limit: float) -> list[tuple[int, int, int]]:
+    """Of the triplets of events (t, idx) of three lists that are all within the limit of each other
+    those that are taken: by range and sum of distances, then by places; an event is used once."""
+    found = []
+    for x, y in _near(one, two, limit):
+        first, last = max(x[0], y[0]) - limit, min(x[0], y[0]) + limit
+        for k in range(bisect_left(three, (first,)), len(three)):
+            z = three[k]
+            if z[0] > last:
+                break
+            d = sorted((abs(x[0] - y[0]), abs(x[0] - z[0]), abs(y[0] - z[0])))
+            found.append((d[2] - d[0], sum(d), x[1], y[1], z[1]))
+    used, out = (set(), set(), set()), []
+    for _, _, *places in sorted(found):
+        if not any(p in u for p, u in zip(places, used)):
+            for p, u in zip(places, used):
+                u.add(p)
+            out.append(tuple(places))
+    return out
 
-    def each(one, two, make):
-        """make(x, y) over the pairs of the two lists within the limit."""
-        return F.flatten(F.transform(one, lambda x: F.transform(F.filter(two, lambda y: near(x, y)), lambda y: make(x, y))))
 
-    s1, s2, s3 = sets
-    both = F.flatten(each(s1, s2, lambda x, y: F.transform(F.filter(s3, lambda z: near(x, z) == near(y, z)), lambda z: triplet(x, y, z, F.when(near(x, z), "s123").otherwise("s12")))))
-    outer = F.flatten(each(s1, s3, lambda x, z: F.transform(F.filter(s2, lambda y: ~near(x, y) & ~near(y, z)), lambda y: triplet(x, y, z, F.lit("s13")))))
-    later = F.flatten(each(s2, s3, lambda y, z: F.transform(F.filter(s1, lambda x: ~near(x, y) & ~near(x, z)), lambda x: triplet(x, y, z, F.lit("s23")))))
-    far = lambda x, y: F.abs(x["t"] - y["t"])
-    p12 = each(s1, s2, lambda x, y: entry(1, F.lit(0), far(x, y), x["idx"], y["idx"], none, F.lit("s12")))
-    p13 = each(s1, s3, lambda x, y: entry(2, F.lit(0), far(x, y), x["idx"], none, y["idx"], F.lit("s13")))
-    p23 = each(s2, s3, lambda x, y: entry(3, F.lit(0), far(x, y), none, x["idx"], y["idx"], F.lit("s23")))
-    return F.array_sort(F.concat(both, outer, later, p12, p13, p23))
+class _Unused:
+    """The events (t, idx) of a list that are still free, found from either side of a time: of
+    equal times the lower index first. Events that are used are skipped in nearly constant time."""
+
+    def __init__(self, events: list):
+        self.sides = []
+        for step, order in ((1, sorted(events)), (-1, sorted(events, key=lambda e: (e[0], -e[1])))):
+            self.sides.append((step, [e[0] for e in order], [e[1] for e in order], list(range(len(order) + 2))))
+        self.used: set[int] = set()
+
+    def _free(self, side: int, at: int) -> int:
+        """The first place from at (counted from 1) on in the side's direction that is free."""
+        step, _, places, skip = self.sides[side]
+        path = []
+        while True:
+            while skip[at] != at:
+                path.append(at)
+                at = skip[at]
+            if not 1 <= at <= len(places) or places[at - 1] not in self.used:
+                break
+            skip[at] = at + step
+        for p in path:
+            skip[p] = at
+        return at
+
+    def beyond(self, low: float, high: float, limit: float) -> tuple[float, int] | None:
+        """Distance and index of the free event nearest to low and high but farther than the limit."""
+        best = None
+        for side, at in ((0, bisect_right(self.sides[0][1], high + limit) + 1), (1, bisect_left(self.sides[1][1], low - limit))):
+            _, times, places, _ = self.sides[side]
+            at = self._free(side, at)
+            if 1 <= at <= len(times):
+                found = (times[at - 1] - high if side == 0 else low - times[at - 1], places[at - 1])
+                best = found if best is None else min(best, found)
+        return best
+
+
+def events_of_two(lists: list[list], limit: float) -> tuple[int, int, int]:
+    """How many events are counted for scorers 1 and 2, 1 and 3, 2 and 3, among those that are in
+    no common event.
+
+    First come triplets of which one distance passes: they count for that pair and use up all three
+    events. As the third event is outside the pair and beyond the limit, the range of the distances
+    is its distance from the pair; each pair waits with its nearest free third event. Then the
+    pairs that are left are taken by distance, of equals those of the first scorers, then by places.
+    """
+    kinds = ((0, 1, 2), (0, 2, 1), (1, 2, 0))
+    free, counts = [_Unused(x) for x in lists], [0, 0, 0]
+    pairs = [(k, x, y) for k, (a, b, _) in enumerate(kinds) for x, y in _near(lists[a], lists[b], limit)]
+
+    def waiting(pair):
+        k, x, y = pair
+        a, b, c = kinds[k]
+        third = free[c].beyond(min(x[0], y[0]), max(x[0], y[0]), limit)
+        if third is None:
+            return None
+        places = [0, 0, 0]
+        places[a], places[b], places[c] = x[1], y[1], third[1]
+        return third[0], 2 * (third[0] + abs(x[0] - y[0])), *places, pair
+
+    heap = [w for w in map(waiting, pairs) if w]
+    heapq.heapify(heap)
+    while heap:
+        *_, p0, p1, p2, pair = heapq.heappop(heap)
+        a, b, c = kinds[pair[0]]
+        places = (p0, p1, p2)
+        if places[a] in free[a].used or places[b] in free[b].used:
+            continue
+        if places[c] in free[c].used:
+            again = waiting(pair)
+            if again:
+                heapq.heappush(heap, again)
+            continue
+        for f, p in zip(free, places):
+            f.used.add(p)
+        counts[pair[0]] += 1
+    for _, k, i, j in sorted((abs(x[0] - y[0]), k, x[1], y[1]) for k, x, y in pairs):
+        a, b, _ = kinds[k]
+        if i not in free[a].used and j not in free[b].used:
+            free[a].used.add(i)
+            free[b].used.add(j)
+            counts[k] += 1
+    return tuple(counts)
 
 
 def unanimity(events: DataFrame, scorers: list[str], threshold: Column) -> DataFrame:
@@ -167,22 +352,36 @@ def unanimity(events: DataFrame, scorers: list[str], threshold: Column) -> DataF
 
     Triplets come first: one whose three distances pass is a common event, one with a single
     passing distance is an event of that pair and uses up all three, one with two is passed
-    over; then pairs. An event is used once.
+    over; then pairs. An event is used once. Common events come before all others, and are found in
+    each island alone; only what they leave, with near marks of two scorers, meets by video.
     """
-    lists = events.groupBy(*KEYS).pivot("scorer", scorers).agg(F.array_sort(F.collect_list(F.struct("idx", "t"))))
-    kind = "array<struct<idx:int,t:int>>"
-    sets = {f"l{k}": F.coalesce(F.col(s).cast(kind), F.array().cast(kind)) for k, s in enumerate(scorers)}
-    rows = lists.withColumns(sets).where("int(size(l0) > 0) + int(size(l1) > 0) + int(size(l2) > 0) >= 2").withColumn("limit", threshold)
-    rows = rows.withColumn("passed", _combinations([F.col("l0"), F.col("l1"), F.col("l2")], F.col("limit")))
-    names = "array<struct<a:int,b:int,c:int,kind:string>>"
-
-    def step(kept, c):
-        clash = F.exists(kept, lambda k: F.greatest(*[(k[f] >= 0) & (k[f] == c[f]) for f in "abc"]))
-        return F.when(clash, kept).otherwise(F.array_append(kept, F.struct(*[c[f].alias(f) for f in ("a", "b", "c", "kind")])))
-
-    rows = rows.withColumn("kept", F.aggregate("passed", F.array().cast(names), step))
-    count = lambda k: F.size(F.filter("kept", lambda x: x["kind"] == k))
-    rows = rows.select(*KEYS, *[count(k).alias(k) for k in ("s123", "s12", "s13", "s23")], *[F.size(f"l{k}").alias(f"s{k + 1}_raw") for k in range(3)])
+    marks = events.where(F.col("scorer").isin(scorers)).select(*KEYS, "scorer", F.col("idx").cast("int").alias("idx"), F.col("t").cast("int").alias("t"), threshold.cast("double").alias("limit"))
+    names = ["l0", "l1", "l2"]
+    listed = [F.collect_list(F.when(F.col("scorer") == s, F.struct("t", "idx"))).alias(n) for n, s in zip(names, scorers)]
+    grouped = islands(marks, KEYS).groupBy(*KEYS, "island", "limit").agg(*listed)
+    event, kind = pa.list_(pa.struct([("t", pa.int32()), ("idx", pa.int32())])), "array<struct<t:int,idx:int>>"
+
+    def common(batch):
+        lists = [list(_times(batch.column(n))) for n in names]
+        taken = [common_events(*x) if all(x[:3]) else [] for x in zip(*lists, batch.column("limit").to_pylist())]
+        out = {"limit": batch.column("limit"), "s123": pa.array([len(t) for t in taken], pa.int32())}
+        for k, n in enumerate(names):
+            used = [{t[k] for t in found} for found in taken]
+            out[f"s{k + 1}_raw"] = pc.list_value_length(batch.column(n))
+            out[n] = pa.array([[{"t": t, "idx": i} for t, i in rows if i not in u] for rows, u in zip(lists[k], used)], event)
+        return out
+
+    schema = "limit double, s123 int, " + ", ".join(f"s{k + 1}_raw int, {n} {kind}" for k, n in enumerate(names))
+    counts = ["s123", "s1_raw", "s2_raw", "s3_raw"]
+    rows = _map(grouped, common, schema, KEYS).groupBy(*KEYS, "limit")
+    rows = rows.agg(*[F.sum(c).cast("int").alias(c) for c in counts], *[F.flatten(F.collect_list(n)).alias(n) for n in names])
+    rows = rows.where("int(s1_raw > 0) + int(s2_raw > 0) + int(s3_raw > 0) >= 2")
+
+    def rest(batch):
+        found = [events_of_two(list(x[:3]), x[3]) for x in zip(*[_times(batch.column(n)) for n in names], batch.column("limit").to_pylist())]
+        return {n: pa.array([f[k] for f in found], pa.int32()) for k, n in enumerate(("s12", "s13", "s23"))}
+
+    rows = _map(rows, rest, "s12 int, s13 int, s23 int", [*KEYS, *counts]).select(*KEYS, "s123", "s12", "s13", "s23", *counts[1:])
     rows = rows.withColumn("total_unique", F.expr("s1_raw + s2_raw + s3_raw - (s12 + s123) - (s13 + s123) - (s23 + s123) + s123"))
     return rows.withColumn("unanimity_rate", ratio("s123", "total_unique"))
 

@@ -22,6 +22,11 @@ def _matched(spark, sf_dir):
     return events, matching.matched(events, matching.scored_pairs(events, TYPES, SCORERS), _limit())
 
 
+def _lost(spark, sf_dir):
+    events = views.marks(spark, sf_dir)
+    return matching.orphans(events, matching.match_rows(events, matching.scored_pairs(events, TYPES, SCORERS), _limit()))
+
+
 _MATCH_SQL = f"""{MARKS_SQL}, p AS (SELECT DISTINCT e.video, y.event_type, z.ref, z.test FROM e, (VALUES ('turn'), ('contraction')) y(event_type), (VALUES ('S1', 'S2'), ('S1', 'S3'), ('S2', 'S3')) z(ref, test)),
 n AS (SELECT video, event_type, scorer, count(*) AS n FROM e GROUP BY ALL),
 c AS (SELECT a.video, a.event_type, a.scorer AS ref, b.scorer AS test, list({{'d': abs(b.t - a.t), 'j': b.idx, 'i': a.idx}} ORDER BY abs(b.t - a.t), b.idx, a.idx) AS l
@@ -79,13 +84,13 @@ crossed AS (SELECT a.video, a.scorer AS first_scorer, b.scorer AS second_scorer,
 @query(f"WITH {_LOST_SQL} SELECT video, event_type, scorer, idx, t FROM lost")
 def q_orphans(spark, sf_dir):
     """Events that no other scorer has."""
-    return matching.orphans(*_matched(spark, sf_dir)).select("video", "event_type", "scorer", "idx", "t")
+    return _lost(spark, sf_dir).select("video", "event_type", "scorer", "idx", "t")
 
 
 @query(f"WITH {_LOST_SQL} SELECT * FROM crossed")
 def q_orphans_cross_type(spark, sf_dir):
     """Turns and contractions of different scorers that may be one event."""
-    return matching.cross_type(matching.orphans(*_matched(spark, sf_dir)), 10)
+    return matching.cross_type(_lost(spark, sf_dir), 10)
 
 
 _RELIABLE_SQL = f"""{_LOST_SQL}, sums AS (SELECT ref, test, event_type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM w GROUP BY ALL), xs AS (SELECT first_scorer, second_scorer, count(*) AS x FROM crossed GROUP BY ALL),
@@ -97,8 +102,7 @@ rel AS (SELECT ref, test, event_type, tp + fn AS total_ref, tp + fp AS total_tes
 round(CASE WHEN total_ref > 0 THEN unmatched_ref / total_ref ELSE 0 END, 6) AS miss_rate, round(CASE WHEN unmatched_ref > 0 THEN cross_confused / unmatched_ref ELSE 0 END, 6) AS confusion_rate FROM rel""")
 def q_reliability_pairs(spark, sf_dir):
     """Totals and rates of agreement for ordered pairs of scorers."""
-    events, found = _matched(spark, sf_dir)
-    out = matching.reliability(matching.both_ways(found), matching.cross_type(matching.orphans(events, found), 10))
+    out = matching.reliability(matching.both_ways(_matched(spark, sf_dir)[1]), matching.cross_type(_lost(spark, sf_dir), 10))
     return rounded(out, "recall", "precision", "f1", "miss_rate", "confusion_rate")
 
 
@@ -106,8 +110,7 @@ def q_reliability_pairs(spark, sf_dir):
 SELECT ref, test, event_type, printf('%s vs %s, %s: matched %d of %d (recall %.3f), precision %.3f, F1 %.3f, missed %.3f', ref, test, event_type, matched, total_ref, round(recall, 3)::DOUBLE, round(precision, 3)::DOUBLE, round(f1, 3)::DOUBLE, round(miss_rate, 3)::DOUBLE) AS line FROM x""")
 def q_reliability_report(spark, sf_dir):
     """The same as lines of text."""
-    events, found = _matched(spark, sf_dir)
-    return matching.reliability_report(matching.reliability(matching.both_ways(found), matching.cross_type(matching.orphans(events, found), 10)))
+    return matching.reliability_report(matching.reliability(matching.both_ways(_matched(spark, sf_dir)[1]), matching.cross_type(_lost(spark, sf_dir), 10)))
 
 
 @query(f"""WITH {MARKS_SQL}, u AS (SELECT video, event_type, list({{'i': idx, 't': t}} ORDER BY idx) FILTER (scorer = 'S1') AS s1, list({{'i': idx, 't': t}} ORDER BY idx) FILTER (scorer = 'S2') AS s2, list({{'i': idx, 't': t}} ORDER BY idx) FILTER (scorer = 'S3') AS s3,
