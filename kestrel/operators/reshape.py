@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kestrel.operators import ranks
+
 
 def to_long(df: DataFrame, ids: list[str], columns: list[str], name: str = "name", value: str = "value", drop_null: bool = True) -> DataFrame:
     """One row for each of the columns; null cells are dropped unless asked for."""
@@ -79,13 +81,12 @@ def notes_joined(df: DataFrame, keys: list[str], order: str, note: Column, name:
 
 
 def top_fraction(df: DataFrame, key: str, value: str, fraction: float) -> DataFrame:
-    """df's rows of the keys with the largest means: the fraction, rounded down, one at least."""
-    means = df.groupBy(key).agg(F.avg(value).alias("__mean"))
-    # One row for each key, ranked by counting: no sort brings all keys to one task.
-    count = means.agg(F.count("*").alias("__n"))
-    ranked = means.orderBy(F.col("__mean").desc(), key)
-    keep = max(1, int((count.first()["__n"] or 0) * fraction))
-    return df.join(ranked.limit(keep).select(key), key, "left_semi")
+    """df's rows of the keys with the largest means: the fraction, rounded down, one at least; of equal
+    means the first keys. Keys are ranked by ranges, so that they never meet in one task."""
+    means = df.groupBy(key).agg(F.avg(value).alias("__mean")).withColumn("__one", F.lit(1))
+    ranked = ranks.placed(means, [], [F.col("__mean").isNull(), -F.col("__mean"), F.col(key)], "__one")
+    kept = ranked.where(F.col("before") < F.greatest(F.lit(1), F.floor(F.col("total") * F.lit(float(fraction)))))
+    return df.join(kept.select(key), key, "left_semi")
 
 
 def draw(*parts) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kestrel.operators import ranks
+
 
 def _over(keys, order):
     return W.partitionBy(*keys).orderBy(order)
@@ -123,9 +125,10 @@ def occluded(df: DataFrame, keys: list[str], order: str, value: str, out: str, r
     median and under it by more than `drop` of the series' median."""
     smooth = median_filtered(df, keys, order, value, "__smooth", 5)
     base = median_filtered(smooth, keys, order, "__smooth", "__base", 60)
-    limit = drop * F.median(value).over(W.partitionBy(*keys))
-    low = (F.col("__smooth") / F.col("__base") < ratio) & (F.col("__base") - F.col("__smooth") > limit)
-    return base.withColumn(out, F.col(value).isNull() | F.coalesce(low, F.lit(False))).drop("__smooth", "__base")
+    middle = ranks.quantiles(df, keys, value, {"__median": 0.5})
+    joined = base.alias("a").join(middle.alias("b"), ranks.same("a", "b", keys), "left").select("a.*", "b.__median")
+    low = (F.col("__smooth") / F.col("__base") < ratio) & (F.col("__base") - F.col("__smooth") > drop * F.col("__median"))
+    return joined.withColumn(out, F.col(value).isNull() | F.coalesce(low, F.lit(False))).drop("__smooth", "__base", "__median")
 
 
 def last_near_level(df: DataFrame, keys: list[str], order: str, value: str, flag: str, out: str, tolerance: float = 50.0, reach: int = 150) -> DataFrame:

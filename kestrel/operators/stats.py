@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kestrel.functions import special
+from kestrel.operators import ranks
 
 
 def _col(c) -> Column:
@@ -40,36 +41,89 @@ def mean_ci(df: DataFrame, keys: list[str], value: str, level: float = 0.95) ->
     return out.withColumn("half_width", half).withColumns({"low": F.col("mean") - F.col("half_width"), "high": F.col("mean") + F.col("half_width")})
 
 
-#: Values that are drawn at a time.
-DRAWN = 1_000_000
+#: 32-bit numbers of the generator's stream that a row of work draws.
+DRAWN = 1 << 20
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 10_000, level: float = 0.95, seed: int = 0) -> DataFrame:
+def drawn(seed: int, block: int, n: int, size: int = DRAWN) -> np.ndarray:
+    """What a block of the generator's stream contributes to integers below n: the places that are
+    not rejected, in order.
+
+    The generator multiplies each 32-bit half of its outputs, the low one first, by n, takes the upper
+    half of the product and rejects it if the lower half is too small. Whether a number is rejected
+    depends on it alone, so blocks can be drawn apart, after jumping ahead to each.
+    """
+    stream = np.random.PCG64(seed)
+    stream.advance(block * size // 2)
+    raw = stream.random_raw(size // 2).astype("<u8").view("<u4").astype(np.uint64)
+    product = raw * np.uint64(n)
+    kept = (product & np.uint64(0xFFFFFFFF)) >= np.uint64(((1 << 32) - n) % n)
+    return (product[kept] >> np.uint64(32)).astype(np.int64)
+
+
+def _blocks(n: int, resamples: int, size: int) -> int:
+    """Blocks that hold all draws, but for odds under one in 10^20."""
+    kept = 1 - ((1 << 32) - n) % n / (1 << 32)
+    mean = resamples * n / kept
+    return math.ceil((mean + 10 * math.sqrt(mean * (1 - kept)) + 64) / size)
+
+
+def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 10_000, level: float = 0.95, seed: int = 0, size: int = DRAWN) -> DataFrame:
     """keys, n, mean, low and high: the percentile interval of resampled means, from values in
-    rising order with one generator for each group. Values are counted first: a group, which is
-    one plotted point, holds its distinct values and is never expanded."""
+    rising order with one generator for each group, as numpy's default_rng(seed).integers draws.
+
+    The draws of a group are cut into blocks of the generator's stream, which tasks draw apart and
+    of which only a sum for each resample leaves. Values are counted first: a block's row holds the
+    group's distinct values, those of one plotted point, and their counts. A group has under 2^32 values.
+    """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    listed = F.array_sort(F.collect_list(F.struct("__v", "__n")))
+    points = counted.groupBy(*keys).agg(F.sum("__n").alias("n"), (F.sum(F.col("__v") * F.col("__n")) / F.sum("__n")).alias("mean"), listed.alias("__l"))
+    points = points.select(*keys, "n", "mean", F.transform("__l", lambda x: x["__v"]).alias("__values"), F.transform("__l", lambda x: x["__n"]).alias("__counts"))
+
+    @F.pandas_udf("long")
+    def blocks(n: pd.Series) -> pd.Series:
+        return pd.Series([_blocks(int(x), resamples, size) for x in n])
+
+    @F.pandas_udf("long")
+    def accepted(block: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([len(drawn(seed, int(b), int(x), size)) for b, x in zip(block, n)])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("__v")
-        values, ends = group["__v"].to_numpy(), np.cumsum(group["__n"].to_numpy())
-        rng, n, means = np.random.default_rng(seed), int(ends[-1]), np.zeros(resamples)
-        for k in range(resamples):
-            # A resample of any size is drawn in parts of a bounded one.
-            for a in range(0, n, DRAWN):
-                at = rng.integers(0, n, size=min(DRAWN, n - a))
-                means[k] += values[np.searchsorted(ends, at, side="right")].sum()
-        low, high = np.quantile(means / n, [(1 - level) / 2, (1 + level) / 2])
-        mean = (values * group["__n"].to_numpy()).sum() / n
-        return pd.DataFrame([[*group.loc[group.index[0], keys], n, mean, low, high]], columns=[*keys, "n", "mean", "low", "high"])
+    def spread(rows: DataFrame) -> DataFrame:
+        """A row for each block, dealt out to all tasks."""
+        return rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), blocks("n") - 1))).hint("rebalance")
 
-    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in keys)
-    return counted.groupBy(*keys).applyInPandas(run, f"{schema}, n long, mean double, low double, high double")
+    before = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    sizes = spread(points.select(*keys, "n")).withColumn("__size", accepted("__block", "n"))
+    starts = sizes.select(*keys, F.col("n").alias("__of"), "__block", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")).where(F.expr(f"__start < __of * {resamples}"))
+    work = points.alias("a").join(starts.alias("b"), ranks.same("a", "b", keys)).select(*[f"a.{c}" for c in points.columns], "b.__block", "b.__start").hint("rebalance")
+
+    def draw(frames):
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                n, start = int(row["n"]), int(row["__start"])
+                at = drawn(seed, int(row["__block"]), n, size)[: resamples * n - start]
+                values = np.asarray(row["__values"])[np.searchsorted(np.cumsum(row["__counts"]), at, side="right")]
+                first = start // n
+                # Where each resample that the block touches begins in it.
+                begins = np.maximum(np.arange(first, (start + len(at) - 1) // n + 1) * n - start, 0) if len(at) else np.zeros(0, int)
+                sums = np.add.reduceat(values, begins) if len(at) else values
+                yield pd.DataFrame({**{k: [row[k]] * len(sums) for k in keys}, "n": n, "mean": row["mean"], "__resample": first + np.arange(len(sums)), "__sum": sums})
+
+    kinds = "".join(f"{c} {dict(df.dtypes)[c]}, " for c in keys)
+    parts = work.mapInPandas(draw, f"{kinds}n long, mean double, __resample long, __sum double")
+    means = parts.groupBy(*keys, "n", "mean", "__resample").agg((F.sum("__sum") / F.col("n")).alias("__m"))
+    # A value for each resample.
+    ends = F.percentile("__m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    return means.groupBy(*keys, "n", "mean").agg(ends.alias("__e")).select(*keys, "n", "mean", F.col("__e")[0].alias("low"), F.col("__e")[1].alias("high"))
 
 
 def described(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, n, mean, sd, min, median and max."""
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.median(value).alias("median"), F.max(value).alias("max"))
+    """keys, n, mean, sd, min, median and max. The median is exact and needs no group in one task."""
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    middle = ranks.quantiles(df, keys, value, {"median": 0.5})
+    joined = out.alias("a").join(middle.alias("b"), ranks.same("a", "b", keys), "left")
+    return joined.select(*[f"a.{c}" for c in [*keys, "n", "mean", "sd", "min"]], "b.median", "a.max")
 
 
 def slopes(df: DataFrame, keys: list[str], x: str, y: str, least: int = 2) -> DataFrame:
@@ -158,10 +212,19 @@ def average_rank(value, keys: list[str]) -> Column:
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """keys, n and rho: the correlation of average ranks over rows that have both values."""
+    """keys, n and rho: the correlation of average ranks over rows that have both values, for groups
+    of any size; equal rows are counted first."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.withColumns({"__x": average_rank(x, keys), "__y": average_rank(y, keys)})
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("rho"))
+    pairs = rows.groupBy(*keys, (F.col(x).cast("double") + 0.0).alias("x"), (F.col(y).cast("double") + 0.0).alias("y")).agg(F.count("*").alias("__n"))
+    for side in ("x", "y"):
+        # The mean rank is known, so that sums stay small.
+        ranked = ranks.value_counts(rows, keys, {"x": x, "y": y}[side]).select(*keys, F.col("v").alias(side), (ranks.average_rank() - (F.col("total") + 1) / 2).alias("r"))
+        joined = pairs.alias("a").join(ranked.alias("b"), ranks.same("a", "b", [*keys, side]))
+        pairs = joined.select(*[f"a.{c}" for c in pairs.columns], F.col("b.r").alias(f"r{side}"))
+    n = F.col("__n")
+    total = lambda c: F.sum(n * c)
+    out = pairs.groupBy(*keys).agg(F.sum("__n").alias("n"), total(F.col("rx") * F.col("ry")).alias("xy"), total(F.col("rx") * F.col("rx")).alias("xx"), total(F.col("ry") * F.col("ry")).alias("yy"))
+    return out.select(*keys, "n", F.when(F.expr("xx * yy > 0"), F.expr("xy / sqrt(xx * yy)")).alias("rho"))
 
 
 def page_trend(df: DataFrame, keys: list[str], subject: str, block: str, value: str, blocks: int) -> DataFrame:
@@ -288,9 +351,8 @@ def normality(df: DataFrame, keys: list[str], value: str, alpha: float = 0.05) -
     hold. Under three values there is no verdict. Groups may have any size: their values are
     ranked by Spark, and only sums leave."""
     out = shape(df, keys, value)
-    w = W.partitionBy(*keys).orderBy("__v")
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    rows = rows.withColumns({"__i": F.row_number().over(w), "__n": F.count("*").over(W.partitionBy(*keys))})
+    counts = ranks.value_counts(df, keys, value)
+    rows = ranks.positions(counts).select(*keys, F.col("v").alias("__v"), F.col("position").alias("__i"), F.col("total").alias("__n"))
     rows = rows.withColumn("__m", special.norm_ppf_column((F.col("__i") - 0.375) / (F.col("__n") + 0.25)))
     at = lambda i, c="__v": F.max(F.when(F.col("__i") == i, F.col(c)))
     last = F.col("__n")
@@ -371,12 +433,11 @@ def bayes_factor(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def normal_quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, value and quantile: points of the normal Q-Q plot (Filliben's positions)."""
-    w = W.partitionBy(*keys)
-    n, i = F.count("*").over(w), F.row_number().over(w.orderBy(value))
+    n, i = F.col("total"), F.col("position")
     end = F.pow(F.lit(0.5), 1.0 / n)
     position = F.when(i == n, end).when(i == 1, 1 - end).otherwise((i - 0.3175) / (n + 0.365))
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value, position.alias("position"))
-    return rows.withColumn("quantile", special.norm_ppf_column("position")).drop("position")
+    rows = ranks.positions(ranks.value_counts(df, keys, value))
+    return rows.select(*keys, F.col("v").alias(value), special.norm_ppf_column(position).alias("quantile"))
 
 
 def tally(df: DataFrame, column: str) -> DataFrame:

@@ -41,6 +41,31 @@ def t_quantile_sql(z: float, df: str) -> str:
     return f"({z!r} + " + " + ".join(f"{c!r} / ({v}) ** {k}" for k, c in enumerate(terms, 1)) + ")"
 
 
+def norm_cdf_sql(x: str) -> str:
+    """SQL for the normal distribution function, by its series in odd powers; exact to about ten digits up to 6."""
+    term = f"(abs({x})) ** (2 * k + 1) / exp(ln(2) * (k + 1) + lgamma(k + 1.5) - ln(pi()) / 2)"
+    half = f"exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 90), lambda k: {term}))"
+    return f"(0.5 + sign({x}) * {half})"
+
+
+def newton_sql(start: str, step: str, rounds: int = 40) -> str:
+    """SQL for start after some steps of Newton's method; step is an expression of v."""
+    return f"list_reduce(list_prepend(({start})::DOUBLE, list_transform(range(0, {rounds}), lambda i: 0.0::DOUBLE)), lambda v, z: v + {step})"
+
+
+def norm_ppf_sql(p: str) -> str:
+    """SQL for the normal quantile: Newton's method from 0, which rises steadily in the upper half."""
+    upper = f"greatest({p}, 1 - ({p}))"
+    found = newton_sql("0", f"({upper} - {norm_cdf_sql('v')}) / (exp(-v * v / 2) / sqrt(2 * pi()))")
+    return f"(sign(({p}) - 0.5) * {found})"
+
+
+def t_ppf_sql(p: float, df: str) -> str:
+    """SQL for an upper quantile of t at whole degrees of freedom, by Newton's method from 0."""
+    density = f"(exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(({df}) * pi()) * (1 + v * v / ({df})) ** (-(({df}) + 1) / 2))"
+    return newton_sql("0", f"({p!r} - (1 - {t_p_sql('v', df)} / 2)) / {density}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import special
 from kestrel.operators import mixed, projection, stats
 from kestrel.plans import views
-from kestrel.plans.registry import query, rounded, t_p_sql, table
+from kestrel.plans.registry import norm_cdf_sql, norm_ppf_sql, query, rounded, t_p_sql, t_ppf_sql, table
 from kestrel.plans.views import BLOCKS_SQL
 
 _SLOPES_SQL = f"""{BLOCKS_SQL}, k AS (SELECT cohort, subject, count(*) AS n, regr_slope(total, block) AS slope, regr_intercept(total, block) AS intercept, regr_r2(total, block) AS r2, regr_sxx(total, block) AS sxx, regr_syy(total, block) AS syy, regr_sxy(total, block) AS sxy
@@ -150,13 +150,44 @@ def q_skew_kurt(spark, sf_dir):
     return rounded(stats.shape(_slopes(spark, sf_dir), ["cohort"], "slope"), "skew", "kurtosis", digits=5)
 
 
-@query()
+def _poly(coefficients: list[float], x: str) -> str:
+    """SQL for a polynomial, highest power first."""
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+# The published polynomials of Royston's approximation.
+_NORMALITY_SQL = f"""{_SLOPES_SQL},
+r AS (SELECT cohort, slope AS v, row_number() OVER (PARTITION BY cohort ORDER BY slope) AS i, count(*) OVER (PARTITION BY cohort) AS n FROM k WHERE sxx > 0),
+q AS (SELECT *, {norm_ppf_sql("(i - 0.375) / (n + 0.25)")} AS m FROM r),
+s AS (SELECT cohort, max(n)::DOUBLE AS n, sum(m * m) AS mm, sum(m * v) AS mx, var_pop(v) * count(*) AS ss,
+  max(m) FILTER (i = n) AS m1, max(m) FILTER (i = n - 1) AS m2, max(v) FILTER (i = 1) AS x1, max(v) FILTER (i = 2) AS x2,
+  max(v) FILTER (i = n - 1) AS x3, max(v) FILTER (i = n) AS x4, skewness(v) AS skew, kurtosis(v) AS kurtosis FROM q GROUP BY cohort),
+c AS (SELECT *, {_poly([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157], "(1 / sqrt(n))")} / sqrt(n) + m1 / sqrt(mm) AS a1,
+  {_poly([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981], "(1 / sqrt(n))")} / sqrt(n) + m2 / sqrt(mm) AS a2 FROM s),
+w AS (SELECT *, least(1, CASE WHEN n > 5
+    THEN (a1 * (x4 - x1) + a2 * (x3 - x2) + (mx - m1 * (x4 - x1) - m2 * (x3 - x2)) / sqrt((mm - 2 * m1 ** 2 - 2 * m2 ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))) ** 2
+    ELSE (a1 * (x4 - x1) + (mx - m1 * (x4 - x1)) / sqrt((mm - 2 * m1 ** 2) / (1 - 2 * a1 ** 2))) ** 2 END / ss) AS w FROM c WHERE n > 3),
+z AS (SELECT *, CASE WHEN n > 11
+    THEN (ln(1 - w) - ({_poly([0.0038915, -0.083751, -0.31082, -1.5861], "ln(n)")})) / exp({_poly([0.0030302, -0.082676, -0.4803], "ln(n)")})
+    ELSE (-ln(-2.273 + 0.459 * n - ln(1 - w)) - ({_poly([-0.0006714, 0.025054, -0.39978, 0.5440], "n")})) / exp({_poly([-0.0020322, 0.062767, -0.77857, 1.3822], "n")}) END AS z FROM w),
+p AS (SELECT *, 1 - {norm_cdf_sql("z")} AS p FROM z),
+f AS (SELECT *, (p < 0.05)::INTEGER + (abs(skew) > 1)::INTEGER + (abs(kurtosis) > 2)::INTEGER AS flags FROM p)"""
+
+
+@query(f"""WITH {_NORMALITY_SQL} SELECT cohort, n::BIGINT AS n, round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(w, 6) AS w, round(p, 6) AS p,
+  CASE flags WHEN 0 THEN 'normal' WHEN 1 THEN 'borderline' ELSE 'not normal' END AS verdict FROM f""")
 def q_normality(spark, sf_dir):
     """The battery on slopes: shape, Shapiro-Wilk and verdict."""
     return rounded(stats.normality(_slopes(spark, sf_dir), ["cohort"], "slope"), "skew", "kurtosis", "w", "p")
 
 
-@query()
+@query(f"""WITH {_SLOPES_SQL}, r AS (
+  SELECT cohort, slope, row_number() OVER (PARTITION BY cohort ORDER BY slope) AS i, count(*) OVER (PARTITION BY cohort) AS n FROM k WHERE sxx > 0),
+p AS (SELECT *, CASE WHEN i = n THEN 0.5 ** (1 / n) WHEN i = 1 THEN 1 - 0.5 ** (1 / n) ELSE (i - 0.3175) / (n + 0.365) END AS p FROM r)
+SELECT cohort, round(slope, 6) AS slope, round({norm_ppf_sql("p")}, 6) AS quantile FROM p""")
 def q_qq_points(spark, sf_dir):
     """Points of the normal quantile plot of slopes."""
     return rounded(stats.normal_quantiles(_slopes(spark, sf_dir), ["cohort"], "slope"), "slope", "quantile")
@@ -188,7 +219,8 @@ def q_lmm_by_cohort(spark, sf_dir):
     return rounded(mixed.likelihood_ratio(full, mixed.random_intercept(rows, ["cohort"], "subject", "y", {}, reml=False), ["cohort"], 4), "full", "null", "chi2", "p", digits=4)
 
 
-@query()
+@query(f"""WITH {BLOCKS_SQL}, c AS (SELECT cohort, count(DISTINCT subject) AS n FROM b GROUP BY cohort)
+SELECT cohort, n, round({t_ppf_sql(0.975, "n - 1")}, 6) AS critical FROM c""")
 def q_t_quantiles(spark, sf_dir):
     """Critical values of t by cohort size."""
     n = views.blocks(spark, sf_dir).groupBy("cohort").agg(F.count_distinct("subject").alias("n"))

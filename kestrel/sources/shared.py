@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, only where the session has none (tests), a temporary folder set
-    for this session."""
+    """spark.checkpoint.dir. Only a session on this machine alone may have none: it gets a temporary
+    folder; on a cluster executors could not see each other's, and that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: what follows reads the same rows, however
+    often, and survives the loss of executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
