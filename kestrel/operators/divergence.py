@@ -67,3 +67,69 @@ def shifted_null(frames: DataFrame, keys: list[str], frame: str, features: list[
     turned = turned.withColumn(frame, F.pmod(F.col(frame) + F.col("shift"), F.col("__n")).cast(dict(frames.dtypes)[frame])).drop("__n")
     moved = frames.drop(on).join(turned, [*keys, frame])
     return gaussian_divergence(moved, [*keys, "shift"], features, on).select(*keys, "shift", "kl")
+
+
+def _turned_sums(mask: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """For each column and each shift s the sum of column[u] over the frames u with mask[u - s]."""
+    spectrum = np.conj(np.fft.rfft(mask))
+    return [np.fft.irfft(np.fft.rfft(c) * spectrum, len(mask)) for c in columns]
+
+
+def _turned_divergence(v: np.ndarray, on: np.ndarray, off: np.ndarray, eps: float) -> np.ndarray:
+    """The divergence of v for each shift of the two masks; NaN where a side has under two values."""
+    n, known = len(v), ~np.isnan(v)
+    shift = v[known].mean() if known.any() else 0.0
+    x = np.where(known, v - shift, 0.0)
+    spread = float((x * x).sum())
+    moments = []
+    for mask in (on, off):
+        count, s1, s2 = _turned_sums(mask.astype(float), [known.astype(float), x, x * x])
+        count = np.rint(count)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean, var = s1 / count, (s2 - s1 * s1 / count) / (count - 1)
+        # Sums through the spectrum are exact to the spread of all values; where a side hardly
+        # varies beside that, its values themselves are summed.
+        places = np.flatnonzero(mask)
+        for s in np.flatnonzero((count > 1) & ~(var * (count - 1) > 1e-6 * spread)):
+            side = x[(places + s) % n][known[(places + s) % n]]
+            mean[s], var[s] = side.mean(), side.var(ddof=1)
+        mean[count < 2] = var[count < 2] = np.nan
+        moments.append((mean, var + eps))
+    (ma, va), (mb, vb) = moments
+    return 0.5 * (np.log(vb / va) + (va + (ma - mb) ** 2) / vb - 1)
+
+
+def circular_null(frames: DataFrame, keys: list[str], frame: str, features: list[str], on: str = "cs_on", eps: float = EPS) -> DataFrame:
+    """keys, shift, <feature>_kl and kl for every turn of the flags along the series, from 0 (none): the
+    exhaustive null distribution of gaussian_divergence(). Frames count from 0 without gaps.
+
+    All shifts come from one correlation of the flags with counts, values and squares, so a series of
+    n frames costs n log n, not n squared. A series, bounded by its recording, is one group.
+    """
+    names = [f"{c}_kl" for c in features]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("__frame", ignore_index=True)
+        side = group["__on"].to_numpy(dtype=float, na_value=np.nan)
+        found = {f"{c}_kl": _turned_divergence(group[f"__v{k}"].to_numpy(dtype=float, na_value=np.nan), side == 1, side == 0, eps) for k, c in enumerate(features)}
+        out = pd.DataFrame({k: [group[k].iloc[0]] * len(group) for k in keys} | {"shift": np.arange(len(group))} | found)
+        return out.assign(kl=sum(found.values()))
+
+    rows = frames.select(*keys, F.col(frame).cast("long").alias("__frame"), F.col(on).cast("double").alias("__on"), *[F.col(c).cast("double").alias(f"__v{k}") for k, c in enumerate(features)])
+    kinds = "".join(f"{c} {dict(frames.dtypes)[c]}, " for c in keys)
+    out = rows.groupBy(*keys).applyInPandas(run, f"{kinds}shift long, {', '.join(f'{c} double' for c in names)}, kl double")
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in [*names, "kl"]})
+
+
+def null_p(null: DataFrame, keys: list[str], score: str = "kl", tolerance: float = 1e-9) -> DataFrame:
+    """keys, the unshifted score, n_shifts, null_mean, null_sd, p_greater and p_two_sided from circular_null().
+
+    p is the share of all shifts, that of 0 included, whose score is as large, or as far from the
+    null's mean; scores within the tolerance are equal. Shifts without a score are left out.
+    """
+    rows = null.where(F.col(score).isNotNull())
+    moments = rows.groupBy(*keys).agg(F.max(F.when(F.col("shift") == 0, F.col(score))).alias("__s"), F.count("*").alias("n_shifts"), F.avg(score).alias("null_mean"), F.stddev_pop(score).alias("null_sd"))
+    joined = rows.join(moments.where("__s is not null"), keys)
+    far = F.abs(F.col(score) - F.col("null_mean")) >= F.abs(F.col("__s") - F.col("null_mean")) - tolerance
+    out = joined.groupBy(*keys, "__s", "n_shifts", "null_mean", "null_sd").agg(F.count_if(F.col(score) >= F.col("__s") - tolerance).alias("__g"), F.count_if(far).alias("__t"))
+    return out.select(*keys, F.col("__s").alias(score), "n_shifts", "null_mean", "null_sd", (F.col("__g") / F.col("n_shifts")).alias("p_greater"), (F.col("__t") / F.col("n_shifts")).alias("p_two_sided"))

@@ -62,6 +62,30 @@ def q_circular_null(spark, sf_dir):
     return rounded(divergence.shifted_null(_labelled(spark, sf_dir), KEYS, "frame", ["area"], [3, 7, 11]), "kl")
 
 
+_EVERY_SHIFT_SQL = f"""{LABELLED_SQL}, n AS (SELECT user_id, max(frame) + 1 AS n FROM l GROUP BY user_id),
+f AS (SELECT l.user_id, n.n, unnest(range(0, n.n)) AS shift, frame, cs_on FROM l JOIN n USING (user_id) WHERE cs_on IS NOT NULL),
+j AS (SELECT f.user_id, f.shift, f.cs_on, s.area, s.angle FROM f JOIN s ON f.user_id = s.user_id AND (f.frame + f.shift) % f.n = s.frame),
+c AS (SELECT user_id, shift, {_kl_sql("area")} AS area_kl, {_kl_sql("angle")} AS angle_kl FROM j GROUP BY ALL)"""
+
+
+@query(f"""WITH {_EVERY_SHIFT_SQL} SELECT user_id, shift, round(area_kl, 6) AS area_kl, round(angle_kl, 6) AS angle_kl, round(area_kl + angle_kl, 6) AS kl FROM c""")
+def q_circular_null_every(spark, sf_dir):
+    """The null distribution of the divergence of two features by every turn of the labels."""
+    return rounded(divergence.circular_null(_labelled(spark, sf_dir), KEYS, "frame", ["area", "angle"]), "area_kl", "angle_kl", "kl")
+
+
+@query(f"""WITH {_EVERY_SHIFT_SQL}, k AS (SELECT user_id, shift, area_kl + angle_kl AS kl FROM c WHERE area_kl + angle_kl IS NOT NULL),
+m AS (SELECT user_id, max(kl) FILTER (shift = 0) AS s, count(*) AS n_shifts, avg(kl) AS null_mean, stddev_pop(kl) AS null_sd FROM k GROUP BY user_id)
+SELECT user_id, round(s, 6) AS kl, n_shifts, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd,
+  round(count(*) FILTER (kl >= s - 1e-9) / n_shifts, 6) AS p_greater,
+  round(count(*) FILTER (abs(kl - null_mean) >= abs(s - null_mean) - 1e-9) / n_shifts, 6) AS p_two_sided
+FROM k JOIN m USING (user_id) WHERE s IS NOT NULL GROUP BY user_id, s, n_shifts, null_mean, null_sd""")
+def q_circular_p(spark, sf_dir):
+    """Whether the divergence is larger than those of turned labels: its p-values by subject."""
+    null = divergence.circular_null(_labelled(spark, sf_dir), KEYS, "frame", ["area", "angle"])
+    return rounded(divergence.null_p(null, KEYS), "kl", "null_mean", "null_sd", "p_greater", "p_two_sided")
+
+
 @query(f"WITH {LABELLED_SQL} SELECT user_id, frame, cs_on FROM l")
 def q_trial_label_rangejoin(spark, sf_dir):
     """Frames with their class: in a trial, after one, or before the first."""
