@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kestrel.operators import ranks
+from kestrel.sources.shared import written
 
 
 def _over(keys, order):
@@ -159,27 +160,70 @@ def repair_intervals(df: DataFrame, keys: list[str], order: str, value: str, rea
     return found.select(*keys, start.alias("start"), F.col("__pop").alias("end"))
 
 
+def cut_groups(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, low, high and cuts (end, start; in order): the intervals that see each other's rows, and the
+    first and last row that they read, one before and one after them. Groups share no row."""
+    order = W.partitionBy(*keys).orderBy("start", "end")
+    reach = F.max(F.col("end") + 1).over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = intervals.where("start <= end").withColumn("__new", F.coalesce(F.col("start") - 1 > reach, F.lit(False)).cast("int"))
+    rows = rows.withColumn("__group", F.sum("__new").over(order))
+    cuts = F.array_sort(F.collect_list(F.struct(F.col("end").cast("long").alias("end"), F.col("start").cast("long").alias("start"))))
+    return rows.groupBy(*keys, "__group").agg((F.min("start") - 1).cast("long").alias("low"), (F.max("end") + 1).cast("long").alias("high"), cuts.alias("cuts")).drop("__group")
+
+
 def interpolated(df: DataFrame, intervals: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """The columns interpolated inside each interval from the values beside it. Intervals apply
     one after the other, in order of their end, and see what earlier ones filled; those without
-    a value on both sides are left out. Frames count from 0 without gaps. State runs along a
-    series, so each series, bounded by its recording, is one group."""
-    listed = intervals.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("end", "start"))).alias("__cut"))
-    rows = df.join(listed, keys, "left")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, ignore_index=True)
-        cuts = group["__cut"].iloc[0]
+    a value on both sides are left out. Frames are distinct whole numbers.
+
+    Only intervals that meet others depend on the order: they are folded by group, over the rows of the
+    group alone. A lone interval is filled from its two ends, and all other rows pass.
+    """
+    groups = cut_groups(intervals, keys)
+    at = F.col(order).cast("long").alias("__at")
+    marks = groups.select(*keys, F.col("low").alias("__at"), F.struct("low", "high", F.size("cuts").alias("n")).alias("__g"))
+    rows = df.select(*keys, at, F.struct(*df.columns).alias("__row"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    # The last group that began; its mark comes before the row of its place.
+    w = W.partitionBy(*keys).orderBy("__at", F.col("__row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    last = F.last("__g", ignorenulls=True).over(w)
+    tagged = both.withColumn("__g", last).where("__row is not null").select("__row.*", "__at", F.when(F.col("__at") <= F.col("__g.high"), F.col("__g")).alias("__g"))
+    tagged = written(tagged.select(*df.columns, "__at", *[F.col(f"__g.{c}").alias(f"__{c}") for c in ("low", "high", "n")]), "cut-rows")
+    free = tagged.where("__low is null").select(*df.columns)
+
+    alone = tagged.where("__n = 1")
+    side = lambda end: F.max(F.when(F.col("__at") == F.col(end), F.struct(*[F.col(c).cast("double").alias(c) for c in columns]))).alias(f"__at{end}")
+    ends = alone.groupBy(*keys, "__low").agg(side("__low"), side("__high"))
+    a, b = alone.alias("a"), ends.alias("b")
+    lone = a.join(b, ranks.same("a", "b", [*keys, "__low"])).select("a.*", "b.__at__low", "b.__at__high")
+
+    def line(c: str) -> Column:
+        left, right = F.col(f"__at__low.`{c}`"), F.col(f"__at__high.`{c}`")
+        inside = (F.col("__at") > F.col("__low")) & (F.col("__at") < F.col("__high")) & left.isNotNull() & right.isNotNull()
+        return F.when(inside, left + (F.col("__at") - F.col("__low")) * (right - left) / (F.col("__high") - F.col("__low"))).otherwise(F.col(c).cast("double"))
+
+    lone = lone.withColumns({c: line(c) for c in columns}).select(*df.columns)
+
+    met = tagged.where("__n > 1").alias("a").join(groups.select(*keys, F.col("low").alias("__low"), F.col("cuts").alias("__cuts")).alias("b"), ranks.same("a", "b", [*keys, "__low"])).select("a.*", "b.__cuts")
+
+    names = df.columns
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        low, cuts = int(group["__low"].iloc[0]), group["__cuts"].iloc[0]
+        places = group["__at"].to_numpy() - low
         for c in columns:
-            v = group[c].to_numpy(dtype=float, copy=True)
-            for cut in cuts if cuts is not None else ():
-                a, b = cut["start"], cut["end"]
-                if 1 <= a <= b < len(v) - 1 and v[a - 1] == v[a - 1] and v[b + 1] == v[b + 1]:
-                    v[a : b + 1] = np.interp(np.arange(a, b + 1), [a - 1, b + 1], [v[a - 1], v[b + 1]])
-            group[c] = pd.Series(v).where(~np.isnan(v))
-        return group.drop(columns="__cut")
-
-    return rows.groupBy(*keys).applyInPandas(run, df.withColumns({c: F.col(c).cast("double") for c in columns}).schema)
+            v = np.full(int(group["__high"].iloc[0]) - low + 1, np.nan)
+            v[places] = group[c].to_numpy(dtype=float)
+            for cut in cuts:
+                i, j = int(cut["start"]) - low, int(cut["end"]) - low
+                if v[i - 1] == v[i - 1] and v[j + 1] == v[j + 1]:
+                    v[i : j + 1] = np.interp(np.arange(i, j + 1), [i - 1, j + 1], [v[i - 1], v[j + 1]])
+            group[c] = pd.Series(v[places], index=group.index).where(~np.isnan(v[places]))
+        return group[names]
+
+    kinds = df.withColumns({c: F.col(c).cast("double") for c in columns}).schema
+    folded = met.groupBy(*keys, "__low").applyInPandas(fold, kinds)
+    return free.withColumns({c: F.col(c).cast("double") for c in columns}).unionByName(lone).unionByName(folded)
 
 
 def cleaned(df: DataFrame, keys: list[str], order: str, level: str, columns: list[str]) -> DataFrame:

@@ -212,7 +212,34 @@ def q_asof_prev_level(spark, sf_dir):
     return series.last_near_level(rows, KEYS, "frame", "area", "flag", "at", 40.0, 20).where("flag").select("user_id", "frame", "at")
 
 
-@query()
+def _cut_sql(v: str) -> str:
+    """SQL for the list v, from frame 0, after the cut from x.s to x.e."""
+    line = f"{v}[x.s] + (i - x.s) * ({v}[x.e + 2] - {v}[x.s]) / (x.e - x.s + 2)"
+    inside = f"x.s >= 1 AND x.e < len({v}) - 1 AND {v}[x.s] IS NOT NULL AND {v}[x.e + 2] IS NOT NULL"
+    return f"CASE WHEN {inside} THEN list_transform({v}, lambda y, i: CASE WHEN i - 1 BETWEEN x.s AND x.e THEN {line} ELSE y END) ELSE {v} END"
+
+
+_REPAIR_SQL = f"""WITH RECURSIVE {SERIES_SQL},
+q AS ({_window_sql("s", "area", 5, "smooth")}), r AS ({_window_sql("q", "smooth", 60, "base")}),
+m AS (SELECT user_id, median(area) AS mid, avg(area) AS mean, stddev_pop(area) AS sd, count(*) AS n FROM s GROUP BY user_id),
+o AS (SELECT user_id, frame, area, angle, n, area IS NULL OR coalesce(smooth / base < 0.55 AND base - smooth > 0.15 * mid, false)
+    OR NOT coalesce(area BETWEEN mean - 2.5 * sd AND mean + 2.5 * sd, false) AS bad FROM r JOIN m USING (user_id)),
+g AS (SELECT *, {_GRADIENT_SQL.format("area")} AS d1 FROM o WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
+h AS (SELECT *, {_GRADIENT_SQL.format("d1")} AS d2, lag(area) OVER w AS p, lead(area) OVER w AS nxt FROM g WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
+k AS (SELECT *, stddev_pop(d2) OVER (PARTITION BY user_id) AS d2_sd FROM h),
+j AS (SELECT user_id, frame, n, coalesce(nxt, CASE WHEN frame = n - 1 THEN area END) AS target FROM k
+    WHERE coalesce(d2 > 8 * d2_sd, false) OR (frame > 0 AND p IS NULL AND area IS NOT NULL)),
+c AS (SELECT j.user_id, least(j.frame + 1, j.n - 1) AS pop, max(s.frame) AS back FROM j JOIN s ON s.user_id = j.user_id AND s.frame BETWEEN j.frame - 151 AND j.frame
+    AND NOT (j.frame = j.n - 1 AND s.frame = j.frame AND j.frame > 0) AND abs(s.area - j.target) <= 50 GROUP BY j.user_id, j.frame, j.n),
+cuts AS (SELECT user_id, list({{'e': pop, 's': CASE WHEN pop - back <= 150 THEN back ELSE pop END}} ORDER BY pop, CASE WHEN pop - back <= 150 THEN back ELSE pop END) AS cut FROM c GROUP BY user_id),
+v AS (SELECT user_id, list(CASE WHEN NOT bad THEN area END ORDER BY frame) AS area, list(CASE WHEN NOT bad THEN angle END ORDER BY frame) AS angle FROM o GROUP BY user_id),
+z AS (SELECT user_id, area, angle, coalesce(cut, []) AS cut, 1 AS step FROM v LEFT JOIN cuts USING (user_id)
+    UNION ALL SELECT user_id, {_cut_sql("area")}, {_cut_sql("angle")}, cut, step + 1 FROM (SELECT *, cut[step] AS x FROM z WHERE step <= len(cut)))
+SELECT user_id, frame::INTEGER AS frame, round(area, 6) AS area, round(angle, 6) AS angle
+FROM (SELECT user_id, unnest(range(0, len(area))) AS frame, unnest(area) AS area, unnest(angle) AS angle FROM z WHERE step = len(cut) + 1)"""
+
+
+@query(_REPAIR_SQL)
 def q_interval_repair(spark, sf_dir):
     """The cleaned series: outliers and occlusions nulled, jumps interpolated one by one."""
     rows = views.series(spark, sf_dir).select("user_id", "frame", "area", "angle")
