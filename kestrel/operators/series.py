@@ -132,30 +132,42 @@ def occluded(df: DataFrame, keys: list[str], order: str, value: str, out: str, r
     return joined.withColumn(out, F.col(value).isNull() | F.coalesce(low, F.lit(False))).drop("__smooth", "__base", "__median")
 
 
-def last_near_level(df: DataFrame, keys: list[str], order: str, value: str, flag: str, out: str, tolerance: float = 50.0, reach: int = 150) -> DataFrame:
-    """For flagged rows the last frame before the row after it whose value is within the
-    tolerance of that row's value: found among the `reach` + 1 rows before, null if none.
+def flagged_levels(df: DataFrame, keys: list[str], order: str, value: str, flag: str, out: str, tolerance: float = 50.0, reach: int = 150) -> DataFrame:
+    """The flagged rows of df with the last frame before the row after each whose value is within
+    the tolerance of that row's value: found among the `reach` + 1 rows before, null if none.
 
-    Intervals over `reach` rows collapse to their end, so earlier rows change nothing; the
-    window keeps a long series from gathering in one cell.
+    Intervals over `reach` rows collapse to their end, so earlier rows change nothing. Flags are rare:
+    flagged rows meet the rows of their stretch of the series and of the one before, and no
+    other row is looked back from.
     """
     w = _over(keys, order)
     target = F.coalesce(F.lead(value).over(w), F.when(F.lead(order).over(w).isNull(), F.col(value)))
-    df = df.withColumns({"__target": target, "__end": F.lead(order).over(w).isNull()})
-    seen = F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).alias("v"))).over(w.rowsBetween(-reach - 1, 0))
-    df = df.withColumn("__seen", F.when(F.col(flag), F.when(F.col("__end"), F.slice(seen, F.lit(1), F.greatest(F.lit(1), F.size(seen) - 1))).otherwise(seen)))
-    near = F.filter("__seen", lambda x: F.abs(x["v"] - F.col("__target")) <= tolerance)
-    return df.withColumn(out, F.try_element_at(near, F.lit(-1))["at"]).drop("__target", "__seen", "__end")
+    marked = df.withColumns({"__target": target, "__end": F.lead(order).over(w).isNull(), "__place": F.row_number().over(w)})
+    stretch = F.floor(F.col("__place") / (reach + 2))
+    flagged = marked.where(F.coalesce(F.col(flag), F.lit(False)))
+    back = flagged.select(*keys, "__place", "__target", "__end", F.explode(F.array(stretch - 1, stretch)).alias("__stretch"))
+    rows = df.withColumn("__place", F.row_number().over(w)).select(*keys, stretch.alias("__stretch"), F.col("__place").alias("__at"), F.col(order).alias("__frame"), F.col(value).alias("__value"))
+    met = back.alias("a").join(rows.alias("b"), ranks.same("a", "b", [*keys, "__stretch"])).select(*[f"a.{c}" for c in [*keys, "__place", "__target", "__end"]], "b.__at", "b.__frame", "b.__value")
+    own = F.col("__end") & (F.col("__at") == F.col("__place")) & (F.col("__place") > 1)
+    near = met.where((F.col("__at").between(F.col("__place") - reach - 1, F.col("__place"))) & ~own & (F.abs(F.col("__value") - F.col("__target")) <= tolerance))
+    found = near.groupBy(*keys, "__place").agg(F.max("__frame").alias("__found"))
+    joined = flagged.alias("a").join(found.alias("b"), ranks.same("a", "b", [*keys, "__place"]), "left")
+    return joined.select(*[F.col(f"a.`{c}`") for c in df.columns], F.col("b.__found").alias(out))
+
+
+def last_near_level(df: DataFrame, keys: list[str], order: str, value: str, flag: str, out: str, tolerance: float = 50.0, reach: int = 150) -> DataFrame:
+    """df with flagged_levels() for its flagged rows, null for all others."""
+    flagged = flagged_levels(df, keys, order, value, flag, out, tolerance, reach)
+    others = df.where(~F.coalesce(F.col(flag), F.lit(False)))
+    return flagged.unionByName(others, allowMissingColumns=True)
 
 
 def repair_intervals(df: DataFrame, keys: list[str], order: str, value: str, reach: int = 150) -> DataFrame:
     """keys, start and end (frames, inclusive) to interpolate: from the last row near the level
     after each spike to the row after the spike; longer ones than `reach` only that row."""
-    marked = spikes(df, keys, order, value, "__spike")
-    found = last_near_level(marked, keys, order, value, "__spike", "__from", reach=reach)
-    w = _over(keys, order)
-    pop = F.coalesce(F.lead(order).over(w), F.col(order))
-    found = found.withColumn("__pop", pop).where("__spike and __from is not null")
+    pop = F.coalesce(F.lead(order).over(_over(keys, order)), F.col(order))
+    marked = spikes(df, keys, order, value, "__spike").withColumn("__pop", pop)
+    found = flagged_levels(marked, keys, order, value, "__spike", "__from", reach=reach).where("__from is not null")
     start = F.when(F.col("__pop") - F.col("__from") <= reach, F.col("__from")).otherwise(F.col("__pop"))
     return found.select(*keys, start.alias("start"), F.col("__pop").alias("end"))
 

@@ -209,7 +209,7 @@ SELECT f.user_id, f.frame, max(s.frame) AS at FROM f LEFT JOIN s ON f.user_id =
 def q_asof_prev_level(spark, sf_dir):
     """For each flagged frame the last earlier one at the level that follows it."""
     rows = views.series(spark, sf_dir).withColumn("flag", F.col("event_type") == "signup")
-    return series.last_near_level(rows, KEYS, "frame", "area", "flag", "at", 40.0, 20).where("flag").select("user_id", "frame", "at")
+    return series.flagged_levels(rows, KEYS, "frame", "area", "flag", "at", 40.0, 20).select("user_id", "frame", "at")
 
 
 def _cut_sql(v: str) -> str:
