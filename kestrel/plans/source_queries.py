@@ -151,6 +151,35 @@ def q_raw_frames(spark, sf_dir):
     return tables.video_frames(spark, path, 16, 1).select(F.substr(F.decode("pixels", "UTF-8"), F.lit(1), F.lit(15)).alias("pixels"))
 
 
+@query("""WITH p AS (SELECT p_partkey, p_size, p_partkey % 3 AS k FROM part)
+SELECT '2025_10_15_10_20_58_trial_' || k || '_TC' AS session, '1_2_3_' || k AS region, (row_number() OVER (PARTITION BY k ORDER BY p_partkey) - 1)::INTEGER AS frame,
+  p_size::DOUBLE AS first, CASE WHEN p_size <> 5 THEN p_size * 2.0 END::DOUBLE AS second, p_partkey / 4 AS third FROM p""")
+def q_features_file(spark, sf_dir):
+    """Feature matrices, a row a feature, read by ranges of frames."""
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "concat('2025_10_15_10_20_58_trial_', p_partkey % 3, '_TC_regions_1_2_3_', p_partkey % 3, '_FINAL_Feature_vector.npy') AS file",
+        "array(double(p_size), IF(p_size <> 5, double(p_size * 2), double('NaN')), p_partkey / 4) AS row",
+    )
+    path = _folder(spark, "features")
+    sinks.arrays(rows, path, "file", "p_partkey", "row", transposed=True)
+    return tables.feature_matrices(spark, f"{path}/*.npy", ("first", "second", "third"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, p_partkey % 2 AS k, row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY p_partkey) - 1 AS i FROM part)
+SELECT 'v' || k || '_100_9000.npz' AS file, (100 + i)::INTEGER AS frame, 2 AS height, 3 AS width,
+  '1' || (p_size % 2) || (p_size // 2 % 2) || '0' || (p_size // 4 % 2) || (p_size // 8 % 2) AS mask FROM p""")
+def q_masks_file(spark, sf_dir):
+    """Mask arrays of an archive, a row a frame."""
+    rows = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "concat('v', p_partkey % 2, '_100_9000.npz') AS file",
+        "transform(array(1, p_size % 2, p_size DIV 2 % 2, 0, p_size DIV 4 % 2, p_size DIV 8 % 2), x -> double(x)) AS row",
+    )
+    path = _folder(spark, "masks")
+    sinks.arrays(rows, path, "file", "p_partkey", "row", "masks", (1, 2, 3), dtype="u1")
+    bits = F.concat(*[F.conv(F.hex(F.substr("mask", F.lit(k + 1), F.lit(1))), 16, 10) for k in range(6)])
+    return tables.masks(spark, f"{path}/*.npz").withColumn("mask", bits)
+
+
 @query("""WITH n AS (SELECT n_nationkey AS k, 'f' || (n_nationkey % 7) AS data_folder FROM nation), l AS (SELECT data_folder, max(k) AS k FROM n GROUP BY 1)
 SELECT data_folder, 'run' || k AS run_name, CASE WHEN k % 2 = 0 THEN k::INTEGER END AS day, (18 + k)::INTEGER AS n_worms FROM l""")
 def q_log_file(spark, sf_dir):

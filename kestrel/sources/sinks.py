@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +71,25 @@ def upsert(new: DataFrame, path: str, keys: list[str], version: int) -> str:
 def nested(df: DataFrame, keys: list[str], name: str = "result") -> DataFrame:
     """keys and the other columns as one JSON text."""
     return df.select(*keys, F.to_json(F.struct(*[c for c in df.columns if c not in keys])).alias(name))
+
+
+def arrays(df: DataFrame, folder: str, file: str, order: str, values: str, key: str | None = None, shape: tuple[int, ...] = (), transposed: bool = False, dtype: str = "f8") -> int:
+    """Writes a NumPy file for each value of the column `file`: the arrays of `values` stacked in the order
+    of `order`, each in the given shape; with a key as that member of an archive. Returns how many
+    files there are. A file's rows meet in one task; one that is repeated writes the same file."""
+    from pyarrow import fs
+
+    def save(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("at")
+        data = np.array([np.asarray(v, float).reshape(shape or -1) for v in group["values"]]).astype(dtype)
+        system, where = fs.FileSystem.from_uri(folder)
+        system.create_dir(where)
+        with system.open_output_stream(f"{where}/{group['file'].iloc[0]}") as out:
+            data = np.ascontiguousarray(data.T) if transposed else data
+            held = io.BytesIO()
+            np.savez_compressed(held, **{key: data}) if key else np.save(held, data)
+            out.write(held.getvalue())
+        return pd.DataFrame({"file": [group["file"].iloc[0]]})
+
+    rows = df.select(F.col(file).alias("file"), F.col(order).alias("at"), F.col(values).alias("values"))
+    return rows.groupBy("file").applyInPandas(save, "file string").count()

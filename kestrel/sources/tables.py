@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions import text
 from kestrel.operators import intervals, reshape
+from kestrel.sources import ranged
 
 STIMULI = "ev_stimtimes double, ev_labels double, white_light_on double, white_light_off double, uv_light_on double, uv_light_off double, shock_on double, shock_off double"
 TRIALS = "trial_num int, start_frame int, end_frame int"
@@ -177,67 +178,30 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def video_frames(spark: SparkSession, path: str, width: int = 2048, height: int = 2048) -> DataFrame:
-    """file, frame and pixels of raw 8-bit videos: each file (of up to 2 GB) is cut into whole
-    frames, what is left over is dropped, and a file under one frame is an error."""
-    size = width * height
-    raw = spark.read.format("binaryFile").load(path)
-    n = F.floor(F.col("length") / size).cast("int")
-    short = F.raise_error(F.concat(F.lit("less than one frame: "), F.col("path"))).cast("int")
-    rows = raw.withColumn("n", F.when(n < 1, short).otherwise(n))
-    rows = rows.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("frame"))
-    return rows.select("file", "frame", F.substr("content", F.col("frame") * size + 1, F.lit(size)).alias("pixels"))
-
-
-def long_video_frames(spark: SparkSession, path: str, width: int = 2048, height: int = 2048) -> DataFrame:
-    """frame and pixels of one raw video of any length, whose size is a multiple of a frame's:
-    tasks read frames at their own places, so no task holds the file."""
-    name = "org.apache.spark.input.FixedLengthBinaryInputFormat"
-    pairs = spark.sparkContext.newAPIHadoopFile(
-        path, name, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{name}.recordLength": str(width * height)}
-    )
-    return spark.createDataFrame(pairs.mapValues(bytearray), "frame long, pixels binary")
-
-
-def _arrays(frame_rows, function):
-    for batch in frame_rows:
-        for row in batch.itertuples(index=False):
-            yield from function(row.path.rpartition("/")[2], row.content)
+    """file, frame and pixels of raw 8-bit videos of any size and number: each file is cut into whole
+    frames, what is left over is dropped, and a file under one frame is an error. Conditions on
+    frame decide which bytes are read."""
+    return ranged.registered(spark).format("frames").options(width=width, height=height).load(path)
 
 
 def masks(spark: SparkSession, path: str, key: str = "masks") -> DataFrame:
     """file, frame, height, width and mask (a byte a pixel) of mask arrays; a file's frames are
-    numbered from the start that its name tells."""
-
-    def run(batches):
-        def rows(name, content):
-            data = np.load(io.BytesIO(content))[key]
-            data = data.squeeze(axis=1) if data.ndim == 4 else data
-            for k, m in enumerate(data):
-                yield pd.DataFrame([[name, k, m.shape[0], m.shape[1], (m > 0).astype(np.uint8).tobytes()]], columns=["file", "k", "height", "width", "mask"])
-
-        yield from _arrays(batches, rows)
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    made = raw.mapInPandas(run, "file string, k int, height int, width int, mask binary")
-    return made.select("file", (F.col("k") + text.frame_range("file")["start"]).alias("frame"), "height", "width", "mask")
+    numbered from the start that its name tells. An axis of one between frame and height is dropped."""
+    raw = ranged.registered(spark).format("arrays").options(key=key, values="bytes").load(path)
+    return raw.select("file", (F.col("at") + text.frame_range("file")["start"]).cast("int").alias("frame"), F.element_at("shape", -2).alias("height"), F.element_at("shape", -1).alias("width"), F.col("values").alias("mask"))
 
 
 def feature_matrices(spark: SparkSession, path: str, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """session, region, frame and a column for each feature, from arrays of a row a feature."""
+    raw = ranged.registered(spark).format("arrays").options(axis=1).load(path)
+    columns = [text.null_if_nan(F.get("values", F.lit(k))).alias(f) for k, f in enumerate(features)]
+    return raw.select(text.session_of("file").alias("session"), text.region_of("file").alias("region"), F.col("at").cast("int").alias("frame"), *columns)
 
-    def run(batches):
-        def rows(name, content):
-            data = np.load(io.BytesIO(content), allow_pickle=False)
-            made = pd.DataFrame(data[: len(features)].T.astype(float), columns=list(features))
-            made.insert(0, "frame", np.arange(len(made), dtype=np.int32))
-            made.insert(0, "file", name)
-            yield made
-
-        yield from _arrays(batches, rows)
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    made = raw.mapInPandas(run, "file string, frame int, " + ", ".join(f"{f} double" for f in features))
-    return made.select(text.session_of("file").alias("session"), text.region_of("file").alias("region"), "frame", *[text.null_if_nan(f).alias(f) for f in features])
+def _arrays(frame_rows, function):
+    for batch in frame_rows:
+        for row in batch.itertuples(index=False):
+            yield from function(row.path.rpartition("/")[2], row.content)
 
 
 #: Files beside the shape series that hold models.

@@ -24,10 +24,53 @@ def test_raw_video(spark, tmp_path):
     (tmp_path / "b/short.bin").write_bytes(b"12")
     with pytest.raises(Exception, match="less than one frame"):
         tables.video_frames(spark, str(tmp_path / "b"), 5, 4).collect()
-    (tmp_path / "c").mkdir()
-    (tmp_path / "c/whole.bin").write_bytes(pixels[:60].tobytes())
-    long = rows(tables.long_video_frames(spark, str(tmp_path / "c/whole.bin"), 5, 4), "frame", "pixels")
-    assert [(k, bytes(p)) for k, p in long] == [(k, pixels[k * 20 : k * 20 + 20].tobytes()) for k in range(3)]
+
+
+def test_raw_videos_are_read_by_range(spark, tmp_path):
+    from kestrel.sources import ranged
+
+    rng = np.random.default_rng(1)
+    videos = {f"v{k}.raw": rng.integers(0, 256, n, np.uint8).tobytes() for k, n in enumerate((20, 999, 2000, 5019))}
+    for name, data in videos.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    read = lambda **o: ranged.registered(spark).format("frames").options(width=5, height=4, **o).load(str(tmp_path))
+    want = sorted((f, k, d[k * 20 : k * 20 + 20]) for f, d in videos.items() for k in range(len(d) // 20))
+    df = read(range=100)
+    assert df.rdd.getNumPartitions() == sum(-(-(len(d) // 20) // 5) for d in videos.values())
+    assert sorted((r.file, r.frame, bytes(r.pixels)) for r in df.collect()) == want
+    some = read(range=100).where("frame >= 90 and frame < 101 and file <> 'v3.raw'")
+    assert sorted((r.file, r.frame, bytes(r.pixels)) for r in some.collect()) == [w for w in want if 90 <= w[1] < 101 and w[0] != "v3.raw"]
+    assert some.rdd.getNumPartitions() == 2 + 3
+    assert [r.frame for r in read().where("frame = 3 and file = 'v1.raw'").collect()] == [3] and read().where("frame > 10000").collect() == []
+
+
+@pytest.mark.parametrize("fortran", [False, True])
+@pytest.mark.parametrize("packed", [None, np.savez, np.savez_compressed])
+def test_arrays_are_read_by_range(spark, tmp_path, fortran, packed):
+    from kestrel.sources import ranged
+
+    data = np.arange(700 * 12, dtype="<i2").reshape(12, 700)
+    data = np.asfortranarray(data) if fortran else data
+    if packed:
+        packed(tmp_path / "m.npz", other=np.zeros(3), m=data)
+    else:
+        np.save(tmp_path / "m.npy", data)
+    for axis, want in ((0, data), (1, data.T)):
+        read = ranged.registered(spark).format("arrays").options(axis=axis, range=1000, key="m").load(f"{tmp_path}/m.np*")
+        assert packed is np.savez_compressed or read.rdd.getNumPartitions() > 10
+        got = sorted((r.at, r.values, r["shape"]) for r in read.collect())
+        assert [g[1] for g in got] == want.astype(float).tolist() and got[0][2] == [want.shape[1]]
+        part = read.where("at >= 5 and at < 8").collect()
+        assert sorted((r.at, r.values) for r in part) == [(k, want[k].astype(float).tolist()) for k in (5, 6, 7)]
+
+
+def test_pickled_objects_are_not_read(spark, tmp_path):
+    from kestrel.sources import ranged
+
+    np.save(tmp_path / "o.npy", np.array([{"a": 1}], object), allow_pickle=True)
+    with pytest.raises(Exception, match="pickled"):
+        ranged.registered(spark).format("arrays").load(str(tmp_path)).collect()
 
 
 def test_arrays_of_features_and_masks(spark, tmp_path):
