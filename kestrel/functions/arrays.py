@@ -37,9 +37,53 @@ def mean_of_present(*columns) -> Column:
     return F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda s, x: s + x) / F.size(present))
 
 
-def largest_distance(points: Column) -> Column:
-    """The largest distance between two of an array of structs x and y."""
-    return F.array_max(F.transform(points, lambda p: F.array_max(F.transform(points, lambda q: F.sqrt((p["x"] - q["x"]) ** 2 + (p["y"] - q["y"]) ** 2)))))
+def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The corners of the convex hull, counter-clockwise."""
+    ordered = sorted(set(points))
+    if len(ordered) < 3:
+        return ordered
+
+    def chain(side):
+        out = []
+        for p in side:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return chain(ordered) + chain(reversed(ordered))
+
+
+def diameter(points: list[tuple[float, float]]) -> float:
+    """The largest distance between two of the points: between corners that face each other, which
+    callipers turned around the hull meet one after the other."""
+    corners = hull(points)
+    n = len(corners)
+    far = lambda p, q: (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2
+    if n < 3:
+        return far(corners[0], corners[-1]) ** 0.5
+    best, k = 0.0, 1
+    for i, p in enumerate(corners):
+        q = corners[(i + 1) % n]
+        height = lambda r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])  # noqa: B023, E731
+        best = max(best, far(p, corners[k]), far(q, corners[k]))
+        while height(corners[(k + 1) % n]) >= height(corners[k]) and (k + 1) % n != i:
+            k = (k + 1) % n
+            best = max(best, far(p, corners[k]), far(q, corners[k]))
+    return best**0.5
+
+
+@F.pandas_udf(DoubleType())
+def largest_distance(points: pd.Series) -> pd.Series:
+    """The largest distance between two of an array of structs x and y; points that lack one of them
+    are left out, and without points it is null."""
+
+    def one(listed):
+        known = [] if listed is None else [(float(p["x"]), float(p["y"])) for p in listed if p is not None and p["x"] is not None and p["y"] is not None]
+        known = [p for p in known if p[0] == p[0] and p[1] == p[1]]
+        return diameter(known) if known else None
+
+    return pd.Series([one(p) for p in points], dtype=float)
 
 
 def radial_profile(contour: Column, x: Column, y: Column, points: int = 100) -> Column:

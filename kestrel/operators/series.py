@@ -5,8 +5,12 @@ A series is the rows of equal keys in the order of a frame column; nulls are mis
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,23 +98,51 @@ def spikes(df: DataFrame, keys: list[str], order: str, value: str, out: str, tim
     return twice.withColumn(out, F.coalesce(F.col("__d2") > limit, F.lit(False)) | back).drop("__d1", "__d2")
 
 
+#: Rows of a series that one task filters at a time, besides the neighbours that their windows reach.
+STRETCH = 100_000
+
+
+def running_median(values: list, size: int) -> list:
+    """The element at size / 2 of each full window of `size` values in order. The window is kept sorted along
+    the way: a value is found and one let in by bisection."""
+    window, half = sorted(values[:size]), size // 2
+    out = [window[half]]
+    for old, new in zip(values, values[size:]):
+        del window[bisect_left(window, old)]
+        insort(window, new)
+        out.append(window[half])
+    return out
+
+
 def median_filtered(df: DataFrame, keys: list[str], order: str, value: str, out: str, size: int = 5) -> DataFrame:
     """The element at size / 2 of the sorted window of `size` rows around each row (an even
-    window reaches one further back); the series is mirrored at its ends. Nulls sort first."""
-    left, right = size // 2, size - size // 2 - 1
-    w = _over(keys, order)
-    # Mirrored ends: the window's missing rows are those next to the end, in reverse.
-    n, at = F.count("*").over(W.partitionBy(*keys)), F.row_number().over(w)
-    window = F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rowsBetween(-left, right))
-    head = F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rowsBetween(-left, left))
-    tail = F.collect_list(F.struct(F.col(value).alias("v"))).over(w.rowsBetween(-right - 1, right))
-    lacks_left, lacks_right = F.greatest(F.lit(0), left - (at - 1)), F.greatest(F.lit(0), right - (n - at))
-    df = df.withColumns({"__w": window, "__l": lacks_left.cast("int"), "__r": lacks_right.cast("int")})
-    df = df.withColumn("__h", F.when(F.col("__l") > 0, F.slice(head, F.lit(1), F.col("__l"))).otherwise(F.array().cast("array<struct<v:double>>")))
-    end = F.when(F.col("__r") > 0, F.slice(tail, -F.col("__r"), F.col("__r"))).otherwise(F.array().cast("array<struct<v:double>>"))
-    df = df.withColumn("__t", end)
-    values = F.transform(F.array_sort(F.concat("__h", "__w", "__t")), lambda x: x["v"])
-    return df.withColumn(out, F.get(values, F.lit(size // 2))).drop("__w", "__l", "__r", "__h", "__t")
+    window reaches one further back); the series is mirrored at its ends. Nulls sort first, NaN last.
+
+    Long series are cut into stretches that bring the rows beside them along.
+    """
+    left, right, width = size // 2, size - size // 2 - 1, STRETCH
+    at = F.row_number().over(_over(keys, order)).cast("long") - 1
+    rows = df.withColumns({"__at": at, "__n": F.count("*").over(W.partitionBy(*keys))})
+    first = F.greatest(F.lit(0), F.floor((F.col("__at") - right) / width))
+    last = F.least(F.floor((F.col("__at") + left) / width), F.floor((F.col("__n") - 1) / width))
+    rows = rows.withColumn("__stretch", F.explode(F.sequence(first, last)))
+    names = df.columns
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("__at")
+        places, n, stretch = group["__at"], group["__n"][0].as_py(), group["__stretch"][0].as_py()
+        values = [-math.inf if v is None else math.inf if v != v else v for v in group[value].to_pylist()]
+        low, high = places[0].as_py(), places[-1].as_py() + 1
+        begin, end = stretch * width, min(n, (stretch + 1) * width)
+        # Behind an end the series runs backwards, and forwards again behind its other end.
+        mirrored = lambda k: min(k % (2 * n), 2 * n - 1 - k % (2 * n))
+        around = [values[(k if 0 <= k < n else mirrored(k)) - low] for k in range(begin - left, end + right)]
+        found = [None if v == -math.inf else math.nan if v == math.inf else v for v in running_median(around, size)]
+        own = group.slice(begin - low, end - begin).select(names)
+        made = pa.array(found, group.schema.field(value).type)
+        return own.set_column(names.index(out), out, made) if out in names else own.append_column(out, made)
+
+    return rows.groupBy(*keys, "__stretch").applyInArrow(run, df.withColumn(out, F.col(value)).schema)
 
 
 def outliers(df: DataFrame, keys: list[str], value: str, out: str, sigmas: float = 2.5) -> DataFrame:
