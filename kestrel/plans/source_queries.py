@@ -180,6 +180,28 @@ def q_masks_file(spark, sf_dir):
     return tables.masks(spark, f"{path}/*.npz").withColumn("mask", bits)
 
 
+@query("""WITH k AS (SELECT s_suppkey, s_suppkey % 4 AS f, row_number() OVER (PARTITION BY s_suppkey % 4 ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_suppkey % 4) AS n FROM supplier)
+SELECT 'worm' || f || '.pickle' AS file, i::INTEGER AS frame, [s_suppkey / 8, s_suppkey + 0.5::DOUBLE] AS theta FROM k WHERE n = (SELECT max(n) FROM k) AND f <> 3""")
+def q_shape_file(spark, sf_dir):
+    """Shape series from pickles: files of models and of another length are passed over."""
+    suppliers = table(spark, sf_dir, "supplier")
+    most = suppliers.groupBy(F.col("s_suppkey") % 4).count().agg(F.max("count")).first()[0]
+    rows = suppliers.selectExpr("s_suppkey", "IF(s_suppkey % 4 = 3, 'PCA_NAN.pickle', concat('worm', s_suppkey % 4, '.pickle')) AS file", "array(s_suppkey / 8, s_suppkey + double(0.5)) AS theta")
+    path = _folder(spark, "shapes")
+    sinks.pickled(rows, path, "file", "s_suppkey", "theta")
+    return tables.shape_series(spark, path, most)
+
+
+@query("""SELECT 'boxes' || (p_partkey % 2) || '.npy' AS file, p_size AS frame, (row_number() OVER (PARTITION BY p_partkey % 2, p_size ORDER BY p_partkey) - 1)::INTEGER AS place,
+  [p_partkey, p_partkey + 1, p_size, p_size + 2]::DOUBLE[] AS box FROM part""")
+def q_boxes_file(spark, sf_dir):
+    """Boxes by frame from side files of a dict."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size", "concat('boxes', p_partkey % 2, '.npy') AS file", "transform(array(p_partkey, p_partkey + 1, p_size, p_size + 2), x -> double(x)) AS box")
+    path = _folder(spark, "boxes")
+    sinks.pickled(rows, path, "file", "p_partkey", "box", "p_size")
+    return tables.frame_boxes(spark, path)
+
+
 @query("""WITH n AS (SELECT n_nationkey AS k, 'f' || (n_nationkey % 7) AS data_folder FROM nation), l AS (SELECT data_folder, max(k) AS k FROM n GROUP BY 1)
 SELECT data_folder, 'run' || k AS run_name, CASE WHEN k % 2 = 0 THEN k::INTEGER END AS day, (18 + k)::INTEGER AS n_worms FROM l""")
 def q_log_file(spark, sf_dir):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions import text
 from kestrel.operators import intervals, reshape
-from kestrel.sources import ranged
+from kestrel.sources import pickles, ranged
 
 STIMULI = "ev_stimtimes double, ev_labels double, white_light_on double, white_light_off double, uv_light_on double, uv_light_off double, shock_on double, shock_off double"
 TRIALS = "trial_num int, start_frame int, end_frame int"
@@ -211,22 +211,39 @@ MODELS = ("PCA_NAN", "SCALING", "PCA_", "SCALING_NAN")
 def shape_series(spark: SparkSession, path: str, frames: int = 1799) -> DataFrame:
     """file, frame and theta (an array) of shape arrays of a row a frame, the first entry of files
     that hold several. Files of models, hidden ones and arrays of another number of frames are
-    left out. Files are NumPy's own (.npy, .npz); pickled objects are never loaded."""
+    left out. Files are NumPy's own (.npy, .npz) or pickles (.pickle) of plain values and arrays, which
+    are interpreted and never run; any other pickle is an error."""
 
     def run(batches):
         def rows(name, content):
-            data = np.load(io.BytesIO(content), allow_pickle=False)
-            data = data[data.files[0]] if hasattr(data, "files") else data
+            data = pickles.loads(content) if name.endswith(".pickle") else np.load(io.BytesIO(content), allow_pickle=False)
+            data = data[data.files[0]] if hasattr(data, "files") else data[0] if isinstance(data, (tuple, list)) else data
             if len(data) == frames:
                 yield pd.DataFrame({"file": name, "frame": np.arange(frames, dtype=np.int32), "theta": [x.tolist() for x in np.asarray(data, float).reshape(frames, -1)]})
 
         yield from _arrays(batches, rows)
 
-    stem = F.regexp_extract("path", r"([^/]*?)\.np[yz]$", 1)
+    stem = F.regexp_extract("path", r"([^/]*?)\.(np[yz]|pickle)$", 1)
     raw = spark.read.format("binaryFile").load(path).where((stem != "") & ~stem.startswith(".") & ~stem.isin(*MODELS)).select("path", "content")
     return raw.mapInPandas(run, "file string, frame int, theta array<double>")
 
 
+def frame_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """file, frame, place (from 0) and box (an array of numbers) of side files: a dict of frame to boxes as
+    NumPy saves it (.npy), interpreted and never run. A frame's one box counts as a list of one."""
+
+    def run(batches):
+        def rows(name, content):
+            for frame, boxes in pickles.loads_npy(content).items():
+                listed = np.atleast_2d(np.asarray(boxes, float)) if len(boxes) else []
+                yield pd.DataFrame([[name, int(frame), k, b.tolist()] for k, b in enumerate(listed)], columns=["file", "frame", "place", "box"])
+
+        yield from _arrays(batches, rows)
+
+    raw = spark.read.format("binaryFile").load(path).where("path like '%.npy'").select("path", "content")
+    return raw.mapInPandas(run, "file string, frame long, place int, box array<double>")
+
+
 def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """path, name, folder and length of files, without reading them."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
