@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only
-    where the session has none (tests), a temporary folder set for this session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on this machine
+    alone may have none: it gets a temporary folder; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path
