@@ -2,11 +2,12 @@
 
 A page becomes lines, one for each block, that know whether they lie in the marked-up
 article, in an element that is no article text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, reader comments), or in neither. Every page is paired with its
+adverts, forms, scripts, reader comments), or in neither. An element within an article whose compound name begins
+or ends with a word for such an element (`comments-list`, `cookie-notice`) is doubtful. Every page is paired with its
 nearest neighbours of other text by URL path within its host, among the pages that mark up an
 article or among those that do not, their lines are aligned by longest common subsequence,
-and shared lines are deleted where they stand. Markup is the check on that: a line of a marked
-article stays, as text that two articles share is text of both, and a line in an element
+and shared lines are deleted where they stand, doubtful ones included. Markup is the check on that: any
+other line of a marked article stays, as text that two articles share is text of both, and a line in an element
 beside the article goes.
 """
 
@@ -39,14 +40,16 @@ BLOCK = {
     "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
 }
 #: Words in class, id or role, as whole ones, that name an element beside the article.
-NAMES = re.compile(
-    r"(?:^|\s)(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
+WORDS = (
+    r"(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|"
     r"newsletter|subscribe|subscription|signup|login|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|header|masthead|topbar|toolbar|comment|comments|"
-    r"commentlist|disqus|reply|replies|respond|share|sharing|social|related|recommended|widget|pagination|pager|contentinfo|complementary|search)(?=\s|$)",
-    re.I,
+    r"commentlist|disqus|reply|replies|respond|share|sharing|social|related|recommended|widget|pagination|pager|contentinfo|complementary|search)"
 )
+NAMES = re.compile(rf"(?:^|\s){WORDS}(?=\s|$)", re.I)
+#: Compound names that begin or end with one of the words; `has-sidebar` and the like speak of another element.
+COMPOUND = re.compile(rf"(?:^|\s)(?:{WORDS}[-_]\S*|(?!(?:has|no|with|without)[-_])\S*[-_]{WORDS})(?=\s|$)", re.I)
 CONTAINERS = {"div", "section", "ul", "ol", "dl", "center", "details", "li"}
-NAMED, ARTICLE, FREE, OTHER = 3, 2, 1, 0
+DOUBTFUL, NAMED, ARTICLE, FREE, OTHER = 4, 3, 2, 1, 0
 #: The share of a page's characters above which a neighbour that shares them is a version of it.
 VERSION = 0.9
 #: Cells of an alignment that is traced back at once (a bit each); larger ones are halved first.
@@ -113,6 +116,11 @@ def pieces(page: str):
             at = skipped(word)
 
 
+def marked(kinds) -> bool:
+    """Whether lines of these kinds are of a page that marks up an article."""
+    return any(kind in (ARTICLE, DOUBTFUL) for kind in kinds)
+
+
 def lines_of(page: str) -> list[tuple[int, str]]:
     """The page's blocks in order, white space as one space, with their kind.
 
@@ -121,11 +129,11 @@ def lines_of(page: str) -> list[tuple[int, str]]:
     """
     out: list[tuple[int, str]] = []
     words: list[str] = []
-    # Open elements: name, whether the element began outside text (1), an article (2) or a named
-    # element (3), and the named ones open round it.
+    # Open elements: name, whether the element began outside text (1), an article (2), a named (3) or
+    # a doubtful element (4), and the named ones open round it.
     stack: list[tuple[str, int, int]] = []
     opened: dict[str, int] = {}
-    outside = inside = named = 0
+    outside = inside = named = doubtful = 0
     kind = FREE
 
     def flush() -> None:
@@ -136,11 +144,12 @@ def lines_of(page: str) -> list[tuple[int, str]]:
             words.clear()
 
     def close() -> str:
-        nonlocal outside, inside, named
+        nonlocal outside, inside, named, doubtful
         name, what, named = stack.pop()
         opened[name] -= 1
         outside -= what == 1
         inside -= what == 2
+        doubtful -= what == 4
         return name
 
     for name, data, slash in pieces(page):
@@ -159,8 +168,11 @@ def lines_of(page: str) -> list[tuple[int, str]]:
             what = 0
             if name in OUTSIDE and not (name == "header" and inside):
                 what = 1
-            elif data and name in CONTAINERS and any(NAMES.search(v.strip("\"'")) for _, v in ATTRIBUTE.findall(data)):
-                what = 3
+            elif data and name in CONTAINERS and (names := [v.strip("\"'") for _, v in ATTRIBUTE.findall(data)]):
+                if any(NAMES.search(v) for v in names):
+                    what = 3
+                elif inside and any(COMPOUND.search(v) for v in names):
+                    what = 4
             elif name in ("article", "main"):
                 what = 2
             # A paragraph or item ends where the next one begins.
@@ -170,11 +182,12 @@ def lines_of(page: str) -> list[tuple[int, str]]:
             opened[name] = opened.get(name, 0) + 1
             outside += what == 1
             inside += what == 2
+            doubtful += what == 4
             named = 0 if what == 2 else named + (what == 3)
-        kind = OTHER if outside else NAMED if named else ARTICLE if inside else FREE
+        kind = OTHER if outside else NAMED if named else (DOUBTFUL if doubtful else ARTICLE) if inside else FREE
     flush()
     text = sum(len(x) for k, x in out if k != OTHER)
-    whole = all(k != ARTICLE for k, _ in out) and 2 * sum(len(x) for k, x in out if k == NAMED) > text
+    whole = not marked(k for k, _ in out) and 2 * sum(len(x) for k, x in out if k == NAMED) > text
     return [((FREE if whole else OTHER) if k == NAMED else k, x) for k, x in out]
 
 
@@ -258,7 +271,7 @@ def _lines(batch):
     found = [lines_of(t) for t in texts_of(batch, "t")]
     return {
         **{c: batch.column(c) for c in ("k1", "k2", "host", "path")},
-        "marked": [any(kind == ARTICLE for kind, _ in lines) for lines in found],
+        "marked": [marked(kind for kind, _ in lines) for lines in found],
         "lines": [[_hash(x) for _, x in lines] for lines in found],
         "sizes": [[len(x) for _, x in lines] for lines in found],
         "kinds": [[kind for kind, _ in lines] for lines in found],
@@ -266,11 +279,12 @@ def _lines(batch):
 
 
 def gone(own: dict, others: list[dict | None]) -> list[int]:
-    """Places of the free lines that go, being shared with one of the other pages. Pages are
+    """Places of the free and doubtful lines that go, being shared with one of the other pages. Pages are
     given by their lines, sizes and kinds.
 
     A page with nearly all of the text is a version of it and tells nothing. Where no page tells
-    anything, the free lines beside a marked article go, as markup is all there is.
+    anything, the free lines beside a marked article go and its doubtful ones stay, as markup is all
+    there is.
     """
     kinds, sizes = own["kinds"], own["sizes"]
     text = sum(n for n, kind in zip(sizes, kinds) if kind != OTHER)
@@ -279,8 +293,8 @@ def gone(own: dict, others: list[dict | None]) -> list[int]:
         shared = [i for i, _ in common(own["lines"], other["lines"]) if kinds[i] != OTHER] if other else []
         if other and sum(sizes[i] for i in shared) <= VERSION * text:
             alone = False
-            found.update(i for i in shared if kinds[i] == FREE)
-    if alone and ARTICLE in kinds:
+            found.update(i for i in shared if kinds[i] in (FREE, DOUBTFUL))
+    if alone and marked(kinds):
         found = {i for i, kind in enumerate(kinds) if kind == FREE}
     return sorted(found)
 

@@ -512,7 +512,7 @@ def brute_pages(rows):
 
     def site(url, lines):
         at = re.match(r"(?:[a-zA-Z][\w+.-]*://([^/?#]*))?([^?#]*)", url or "")
-        return ((at[1] or "").lower(), any(k == html.ARTICLE for k, _ in lines)), at[2]
+        return ((at[1] or "").lower(), any(k in (html.ARTICLE, html.DOUBTFUL) for k, _ in lines)), at[2]
 
     for _, url, page in rows:
         lines = parsed[page or ""] = html.lines_of(page or "")
@@ -528,7 +528,7 @@ def brute_pages(rows):
             met = {x for x, _ in html.common([t for _, t in lines], [t for _, t in other]) if lines[x][0] != html.OTHER}
             if sum(len(lines[x][1]) for x in met) <= html.VERSION * sum(len(t) for k, t in lines if k != html.OTHER):
                 alone, less = False, less | met
-        kept = [t for x, (k, t) in enumerate(lines) if k == html.ARTICLE or k == html.FREE and x not in less and not (alone and name[1])]
+        kept = [t for x, (k, t) in enumerate(lines) if k == html.ARTICLE or x not in less and (k == html.DOUBTFUL or k == html.FREE and not (alone and name[1]))]
         out.append((i, url, "\n".join(kept), len("\n".join(kept))))
     return out
 
