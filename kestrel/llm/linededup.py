@@ -4,7 +4,8 @@ Lines are near with at most one edit for each EVERY characters of the shorter on
 A line for which e edits are allowed is cut into e + 1 segments. A line within e edits of it
 holds one of the segments unchanged and near its old place, so that segments filed under
 length and number, and probes with the substrings of those lengths and places, bring the
-pairs together. Spark's banded edit distance with a threshold decides. Only distinct lines
+pairs together. A banded bit-parallel edit distance decides: the diagonals that can still lead to
+few enough edits are bits of one number, which takes a few operations for each character. Only distinct lines
 join; copies are counted before. Near copies of one line share segments, so many lines meet
 under one key: under frequent keys the lines go along, and only near pairs leave the join.
 
@@ -14,6 +15,8 @@ line number. Lines are judged on the input.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from kestrel.llm.common import written
 
 #: Edits allowed between lines at most, and the characters of the shorter one for each.
 K, EVERY = 2, 6
+#: Bits of a field of the edit distance: a band of 2 K + 1 diagonals and room beside it. K + 1 fields make an int.
+FIELD = 3 * K + 2
 #: Rows of keys of lines that may go to every task: at most 30 MB. More are joined by a shuffle.
 BROADCAST = 300_000
 #: Lines under keys that more than about CROWD lines are filed under, up to HOT keys (the most frequent,
@@ -60,10 +65,38 @@ def _allowed(length: Column) -> Column:
     return F.least(F.lit(K), F.floor(length / EVERY)).cast("int")
 
 
+def _within(a: str, b: str, most: Column) -> Column:
+    """Whether the two lines are within `most` edits, K at most.
+
+    Bit d of field e says that the characters so far of a become those of b up to d - K places
+    further by e edits. A character moves all fields at once: equal ones keep the diagonal, others
+    pass to the next field, on the same diagonal or (deleted) one lower; insertions pass bits one
+    higher. Bits that leave the band fall between the fields.
+    """
+    places = [K + at for at in range(-K, K + 1)]
+    field = lambda bits: sum(bits << FIELD * e for e in range(K + 1))
+    mask = F.lit(field((1 << len(places)) - 1))
+
+    def equal(line: Column) -> Column:
+        """For each character of a, in each field, the diagonals on which b has the same one."""
+        bits = lambda x, i, d: F.when(F.get(line.b, i + (d - K)) == x, field(1 << d)).otherwise(0)
+        return F.transform(line.a, lambda x, i: functools.reduce(Column.__add__, [bits(x, i, d) for d in places]))
+
+    def step(state: Column, same: Column) -> Column:
+        kept = state.bitwiseAND(same).bitwiseOR(F.shiftleft(state, FIELD)).bitwiseOR(F.shiftleft(state, FIELD - 1)).bitwiseAND(mask)
+        return functools.reduce(Column.bitwiseOR, [F.shiftleft(kept, (FIELD + 1) * e) for e in range(1, K + 1)], kept).bitwiseAND(mask)
+
+    start = F.lit(sum(1 << FIELD * e + K + d for e in range(K + 1) for d in range(e + 1)))
+    # An array of one binds the characters, which are cut once a pair.
+    characters = F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")))
+    ends = F.get(F.transform(characters, lambda line: F.aggregate(equal(line), start, step)), F.lit(0))
+    longer = F.length(b) - F.length(a)
+    return F.when(F.abs(longer) <= most, F.getbit(ends, FIELD * most + K + longer) == 1).otherwise(False)
+
+
 def _near(a: str, b: str) -> Column:
     """Whether the two lines are within the edits allowed for the shorter one."""
-    most = _allowed(F.least(F.length(a), F.length(b)))
-    return F.array_contains(F.sequence(F.lit(0), most), F.levenshtein(a, b, K))
+    return _within(a, b, _allowed(F.least(F.length(a), F.length(b))))
 
 
 def _start(length: Column, i: int, segments: int) -> Column:
@@ -133,7 +166,7 @@ def near_links(documents: DataFrame, firsts: DataFrame) -> DataFrame:
 
     filed, probes = keyed(filed, "f"), keyed(probes, "p")
     # Where lines don't go along the pair is met here and compared below.
-    near = F.coalesce(_near("p_line", "f_line"), F.lit(True))
+    near = F.when(F.col("p_line").isNotNull() & F.col("f_line").isNotNull(), _near("p_line", "f_line")).otherwise(True)
     met = probes.join(filed.hint("shuffle_hash"), "key").where((F.col("p") != F.col("f")) & near)
     pairs = written(met.select(F.least("p", "f").alias("a1"), F.greatest("p", "f").alias("b1")).distinct(), "line-pairs")
     named = pairs.select(F.col("a1").alias("h1")).union(pairs.select("b1")).distinct()
