@@ -33,7 +33,7 @@ BROADCAST = 300_000
 CROWD, HOT = 16, 10_000
 #: One line in so many is counted for them: which keys these are moves cost, not results.
 COUNTED = 8
-#: The id that rows without one count as: the last.
+#: The id that rows without one are ordered as: the last. Their keys tell them from rows that have it.
 LAST = (1 << 63) - 1
 
 
@@ -41,14 +41,22 @@ def _parts(text_col: str) -> Column:
     return F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
 
 
-#: Names a document: its order and the hash of order and text, which rows that repeat both share.
+#: Names a document: its order and the hash of order and text, which rows that repeat both share. The
+#: hash is negative for rows with an id, which makes them the first of equal order.
 DOCUMENT = ["doc", "dkey"]
 
 
+def _named(id_col: Column, text: Column) -> dict[str, Column]:
+    """DOCUMENT of a row."""
+    order = F.coalesce(id_col.cast("long"), F.lit(LAST))
+    key = F.xxhash64(order, F.coalesce(text, F.lit("")))
+    return {"doc": order, "dkey": F.when(id_col.cast("long").isNull(), key.bitwiseAND(F.lit(LAST))).otherwise(key.bitwiseOR(F.lit(-1 - LAST)))}
+
+
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """DOCUMENT and lines of each row."""
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    return df.select(order.alias("doc"), F.xxhash64(order, F.coalesce(F.col(text_col), F.lit(""))).alias("dkey"), _parts(text_col).alias("parts"))
+    names = _named(F.col(id_col), F.col(text_col))
+    return df.select(*[c.alias(name) for name, c in names.items()], _parts(text_col).alias("parts"))
 
 
 def _keys(line: Column) -> tuple[Column, Column]:
@@ -87,8 +95,8 @@ def _within(a: str, b: str, most: Column) -> Column:
         return functools.reduce(Column.bitwiseOR, [F.shiftleft(kept, (FIELD + 1) * e) for e in range(1, K + 1)], kept).bitwiseAND(mask)
 
     start = F.lit(sum(1 << FIELD * e + K + d for e in range(K + 1) for d in range(e + 1)))
-    # An array of one binds the characters, which are cut once a pair.
-    characters = F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")))
+    # An array of one binds the characters, which are cut once a pair; an empty line is cut into one part.
+    characters = F.array(F.struct(F.slice(F.split(a, ""), F.lit(1), F.length(a)).alias("a"), F.split(b, "").alias("b")))
     ends = F.get(F.transform(characters, lambda line: F.aggregate(equal(line), start, step)), F.lit(0))
     longer = F.length(b) - F.length(a)
     return F.when(F.abs(longer) <= most, F.getbit(ends, FIELD * most + K + longer) == 1).otherwise(False)
@@ -178,13 +186,17 @@ def near_links(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     return pairs.join(a, "a1").join(b, "b1").where(_near("a", "b")).select("a1", "a2", "b1", "b2")
 
 
+def _firsts(lines: DataFrame) -> DataFrame:
+    """Each distinct line's keys, first place, length and number of occurrences."""
+    return lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no", "dkey")).alias("first"), F.max("n").alias("n"), F.count("*").alias("times"))
+
+
 def _flags(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """DOCUMENT, exact and near: the numbers (from 0) of a document's lines that go because an
     equal line, or else a near one, occurs earlier."""
     documents = _documents(df, id_col, text_col)
     lines = _occurrences(documents)
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no", "dkey")).alias("first"), F.max("n").alias("n"), F.count("*").alias("times"))
-    firsts = written(firsts, "lines")
+    firsts = written(_firsts(lines), "lines")
     links = written(near_links(documents, firsts), "line-links")
     one = firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.struct("first", "h1", "h2").alias("fa"))
     two = firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.struct("first", "h1", "h2").alias("fb"))
@@ -208,14 +220,15 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """One row for each row of df: doc_id, n_lines (not blank), exact_lines and near_lines, the
     numbers from 0 of the lines that go, and n_removed.
 
-    Blank lines, and so null and empty texts, have no copies. Rows that repeat id and text get the same result, rows without an
-    id come last in the order; other columns are ignored.
+    Blank lines, and so null and empty texts, have no copies. Rows that repeat id and text get the same result. Rows without an
+    id are ordered as if they had the largest id there is, and at the same line number come after
+    rows that do have it. Other columns are ignored.
     """
     flags = _flags(df, id_col, text_col)
     documents = _documents(df, id_col, text_col)
     base = documents.select(*DOCUMENT, F.size(F.filter("parts", lambda x: F.trim(x) != "")).alias("n_lines"))
     none = F.array().cast("array<int>")
-    joined = base.join(flags, DOCUMENT, "left").withColumn("doc_id", F.when(F.col("doc") != LAST, F.col("doc"))).withColumns({"exact_lines": F.coalesce("exact", none), "near_lines": F.coalesce("near", none)})
+    joined = base.join(flags, DOCUMENT, "left").withColumn("doc_id", F.when(F.col("dkey") < 0, F.col("doc"))).withColumns({"exact_lines": F.coalesce("exact", none), "near_lines": F.coalesce("near", none)})
     return joined.select("doc_id", "n_lines", "exact_lines", "near_lines", (F.size("exact_lines") + F.size("near_lines")).alias("n_removed"))
 
 
@@ -223,9 +236,8 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """df with the lines that go cut from the text; texts may end up empty, null texts stay."""
     flags = _flags(df, id_col, text_col).select(*DOCUMENT, F.array_union("exact", "near").alias("gone"))
     whole = df.select(F.struct(*df.columns).alias("row"))
-    order = F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(LAST))
     text = F.col(f"row.`{text_col}`")
-    keyed = whole.withColumns({"doc": order, "dkey": F.xxhash64(order, F.coalesce(text, F.lit("")))})
+    keyed = whole.withColumns(_named(F.col(f"row.`{id_col}`"), text))
     parts = F.split(F.coalesce(text, F.lit("")), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
     left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))

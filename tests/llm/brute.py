@@ -51,12 +51,12 @@ def edits(a, b):
 def brute_lines(rows):
     """The numbers of the lines that go, by row."""
     seen = []
-    order = sorted({(linededup.LAST if i is None else i, t or "") for i, t in rows})
-    first, gone = {}, defaultdict(list)
-    for i, t in order:
-        for n, line in enumerate(t.split("\n")):
+    place = lambda i, n: (linededup.LAST if i is None else i, n, i is None)
+    first: dict = {}
+    for i, t in rows:
+        for n, line in enumerate((t or "").split("\n")):
             if line.strip(" "):
-                first.setdefault(line, (i, n))
+                first[line] = min(first.get(line, place(i, n)), place(i, n))
     seen = sorted(first, key=lambda x: (first[x], x))
     near = set()
     for k, x in enumerate(seen):
@@ -67,12 +67,11 @@ def brute_lines(rows):
                 break
     out = []
     for i, t in rows:
-        i2 = linededup.LAST if i is None else i
         exact, close = [], []
         lines = (t or "").split("\n")
         for n, line in enumerate(lines):
             if line.strip(" "):
-                if first[line] != (i2, n):
+                if first[line] != place(i, n):
                     exact.append(n)
                 elif line in near:
                     close.append(n)
