@@ -7,6 +7,7 @@ functions run in Python, on the grouped rows.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from itertools import permutations
 
 import numpy as np
@@ -45,20 +46,57 @@ def mean_ci(df: DataFrame, keys: list[str], value: str, level: float = 0.95) ->
 DRAWN = 1 << 20
 
 
+@lru_cache(maxsize=1)
+def stream(seed: int, block: int, size: int = DRAWN) -> np.ndarray:
+    """A block of the generator's stream as 32-bit numbers, the low half of each output first. The last
+    one is kept: groups draw from the same stream, so a task that goes block by block makes each once."""
+    bits = np.random.PCG64(seed)
+    bits.advance(block * size // 2)
+    return bits.random_raw(size // 2).astype("<u8", copy=False).view("<u4")
+
+
+def rejected(raw: np.ndarray, n: int) -> np.ndarray:
+    """Whether numbers of the stream are passed over in drawing integers below n: the generator multiplies
+    each by n, takes the upper half of the product and rejects it if the lower half is too small.
+    That depends on the number alone, so blocks can be drawn apart, after jumping ahead to each."""
+    return raw * np.uint32(n) < np.uint32(((1 << 32) - n) % n)
+
+
 def drawn(seed: int, block: int, n: int, size: int = DRAWN) -> np.ndarray:
     """What a block of the generator's stream contributes to integers below n: the places that are
-    not rejected, in order.
+    not rejected, in order."""
+    raw = stream(seed, block, size)
+    return (raw[~rejected(raw, n)].astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def valued(raw: np.ndarray, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values at the places that numbers of the stream stand for in a sorted list, given as distinct
+    values and their counts.
 
-    The generator multiplies each 32-bit half of its outputs, the low one first, by n, takes the upper
-    half of the product and rejects it if the lower half is too small. Whether a number is rejected
-    depends on it alone, so blocks can be drawn apart, after jumping ahead to each.
+    Places rise with the numbers, so each value has a range of numbers, and the upper 16 bits tell it
+    but for the few in which a range begins; those, and lists of very many values, are searched.
     """
-    stream = np.random.PCG64(seed)
-    stream.advance(block * size // 2)
-    raw = stream.random_raw(size // 2).astype("<u8").view("<u4").astype(np.uint64)
-    product = raw * np.uint64(n)
-    kept = (product & np.uint64(0xFFFFFFFF)) >= np.uint64(((1 << 32) - n) % n)
-    return (product[kept] >> np.uint64(32)).astype(np.int64)
+    n = int(counts.sum())
+    # The first number of each value but the first.
+    firsts = ((np.cumsum(counts[:-1]).astype(np.uint64) << np.uint64(32)) - np.uint64(1)) // np.uint64(n) + np.uint64(1)
+    if len(firsts) > 2048:
+        return values[np.searchsorted(firsts, raw, side="right")]
+    ends = (firsts + np.uint64(0xFFFF)) >> np.uint64(16)
+    upper = np.repeat(values, np.diff(np.concatenate([[0], ends.astype(np.int64), [1 << 16]])))
+    upper[(firsts[firsts % np.uint64(1 << 16) > 0] >> np.uint64(16)).astype(np.int64)] = np.nan
+    out, halves = np.empty(len(raw)), np.ascontiguousarray(raw).view("<u2")[1::2]
+    for a in range(0, len(raw), 1 << 15):
+        part = out[a : a + (1 << 15)]
+        upper.take(halves[a : a + (1 << 15)].astype(np.intp), out=part, mode="clip")
+        left = np.flatnonzero(np.isnan(part))
+        part[left] = values[np.searchsorted(firsts, raw[a + left], side="right")]
+    return out
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df in the order of its columns `by`, dealt to several tasks a core: rows that are little to carry
+    and much to work on, which an adaptive plan would put together by their bytes."""
+    return df.repartitionByRange(4 * df.sparkSession.sparkContext.defaultParallelism, *by).sortWithinPartitions(*by)
 
 
 def _blocks(n: int, resamples: int, size: int) -> int:
@@ -75,6 +113,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 10
     The draws of a group are cut into blocks of the generator's stream, which tasks draw apart and
     of which only a sum for each resample leaves. Values are counted first: a block's row holds the
     group's distinct values, those of one plotted point, and their counts. A group has under 2^32 values.
+    Rows go by blocks, so that a task makes a block's numbers once for its groups.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
     listed = F.array_sort(F.collect_list(F.struct("__v", "__n")))
@@ -87,31 +126,35 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 10
 
     @F.pandas_udf("long")
     def accepted(block: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([len(drawn(seed, int(b), int(x), size)) for b, x in zip(block, n)])
+        return pd.Series([size - np.count_nonzero(rejected(stream(seed, int(b), size), int(x))) for b, x in zip(block, n)])
 
     def spread(rows: DataFrame) -> DataFrame:
         """A row for each block, dealt out to all tasks."""
-        return rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), blocks("n") - 1))).hint("rebalance")
+        return dealt(rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), blocks("n") - 1))), "__block", *keys)
 
     before = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     sizes = spread(points.select(*keys, "n")).withColumn("__size", accepted("__block", "n"))
     starts = sizes.select(*keys, F.col("n").alias("__of"), "__block", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")).where(F.expr(f"__start < __of * {resamples}"))
-    work = points.alias("a").join(starts.alias("b"), ranks.same("a", "b", keys)).select(*[f"a.{c}" for c in points.columns], "b.__block", "b.__start").hint("rebalance")
+    work = points.alias("a").join(starts.alias("b"), ranks.same("a", "b", keys)).select(*[f"a.{c}" for c in points.columns], "b.__block", "b.__start")
 
     def draw(frames):
         for frame in frames:
             for row in frame.to_dict("records"):
                 n, start = int(row["n"]), int(row["__start"])
-                at = drawn(seed, int(row["__block"]), n, size)[: resamples * n - start]
-                values = np.asarray(row["__values"])[np.searchsorted(np.cumsum(row["__counts"]), at, side="right")]
+                raw = stream(seed, int(row["__block"]), size)
+                out = np.flatnonzero(rejected(raw, n))
+                # Few are out: the stretches between them are copied faster than chosen one by one.
+                raw = np.delete(raw, out) if len(out) > 1000 else np.concatenate([raw[a:b] for a, b in zip([0, *(out + 1)], [*out, size])])
+                raw = raw[: resamples * n - start]
+                values = valued(raw, np.asarray(row["__values"]), np.asarray(row["__counts"]))
                 first = start // n
                 # Where each resample that the block touches begins in it.
-                begins = np.maximum(np.arange(first, (start + len(at) - 1) // n + 1) * n - start, 0) if len(at) else np.zeros(0, int)
-                sums = np.add.reduceat(values, begins) if len(at) else values
+                begins = np.maximum(np.arange(first, (start + len(raw) - 1) // n + 1) * n - start, 0) if len(raw) else np.zeros(0, int)
+                sums = np.add.reduceat(values, begins) if len(raw) else values
                 yield pd.DataFrame({**{k: [row[k]] * len(sums) for k in keys}, "n": n, "mean": row["mean"], "__resample": first + np.arange(len(sums)), "__sum": sums})
 
     kinds = "".join(f"{c} {dict(df.dtypes)[c]}, " for c in keys)
-    parts = work.mapInPandas(draw, f"{kinds}n long, mean double, __resample long, __sum double")
+    parts = dealt(work, "__block", *keys).mapInPandas(draw, f"{kinds}n long, mean double, __resample long, __sum double")
     means = parts.groupBy(*keys, "n", "mean", "__resample").agg((F.sum("__sum") / F.col("n")).alias("__m"))
     # A value for each resample.
     ends = F.percentile("__m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))

@@ -42,3 +42,30 @@ def test_a_large_group_is_drawn_by_many_tasks(spark):
     means = (np.arange(200_000) // 200)[np.random.default_rng(0).integers(0, 200_000, size=(40, 200_000))].mean(axis=1)
     assert (r.low, r.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-9)
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("counts", [[1], [3, 1, 3], [1] * 3000, [1 << 20, 1, 5, 1 << 20], [2, 0xFFFF_FFFC]])
+def test_values_of_numbers_of_the_stream(counts):
+    """Ranges of numbers that begin within 2^16, at its ends and at the stream's last number included."""
+    counts, values = np.array(counts), np.append(np.arange(len(counts) - 1) * 0.5, np.nan)
+    n = int(counts.sum())
+    edges = [((int(c) << 32) // n + d) % (1 << 32) for c in np.cumsum(counts) for d in (-1, 0, 1)]
+    raw = np.concatenate([stats.stream(0, 0, 1 << 16), np.array([*edges, 0, 0xFFFF, 0x10000, 0xFFFF_FFFF], "<u4")])
+    at = (raw.astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    assert np.array_equal(stats.valued(raw, values, counts), values[np.searchsorted(np.cumsum(counts), at, side="right")], equal_nan=True)
+
+
+def test_blocks_are_dealt_to_several_tasks(spark):
+    """However few bytes their rows have: adaptive plans put them together, and one task drew all."""
+    df = stats.dealt(spark.range(100).withColumnRenamed("id", "block"), "block").withColumn("task", F.spark_partition_id())
+    df.write.format("noop").mode("overwrite").save()
+    assert df.select("task").distinct().count() >= 4
+
+
+def test_a_group_is_drawn_by_several_tasks(spark):
+    df = spark.range(2000).select(F.lit("g").alias("k"), (F.col("id") % 50).cast("double").alias("v"))
+    out = stats.bootstrap_ci(df, ["k"], "v", 1000, size=1 << 14)
+    r = out.first()
+    means = (np.arange(2000) // 40)[np.random.default_rng(0).integers(0, 2000, size=(1000, 2000))].mean(axis=1)
+    assert (r.low, r.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-12)
+    assert out._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") >= 2
