@@ -13,9 +13,9 @@ from kestrel.plans.registry import query, rounded, table
 
 @query("WITH a AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT vec_id, list_transform(e, lambda x: round(x / list_sum(list_transform(e, lambda y: abs(y))), 6)) AS e FROM a")
 def q_l1_normalize(spark, sf_dir):
-    """Arrays over the sum of their magnitudes."""
+    """Arrays over the sum of their magnitudes; what is rounded to zero keeps its sign, as in SQL."""
     values = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(arrays.l1_normalized(values), lambda x: F.round(x, 6)).alias("e"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(arrays.l1_normalized(values), lambda x: F.signum(x) * F.round(F.abs(x), 6)).alias("e"))
 
 
 @query("WITH a AS (SELECT vec_id, embedding AS e, list_position(embedding, list_max(embedding))::INTEGER AS k FROM embeddings) SELECT vec_id, list_concat(e[k:], e[1:k - 1]) AS e FROM a")
