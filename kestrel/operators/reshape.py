@@ -74,10 +74,15 @@ def updated(template: DataFrame, values: DataFrame, keys: list[str], columns: li
 
 
 def notes_joined(df: DataFrame, keys: list[str], order: str, note: Column, name: str = "notes") -> DataFrame:
-    """The notes of each key in order, joined by "; "; null and blank ones are left out."""
-    rows = df.withColumn("__note", note).where("trim(__note) <> ''")
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order), F.col("__note"))))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["__note"]), "; ").alias(name))
+    """The notes of each key in order, joined by "; "; null and blank ones are left out. Rows are sorted by
+    range and joined within the ranges; only those parts, in few cells, meet by key."""
+    rows = df.select(*keys, F.col(order).alias("__order"), note.alias("__note")).where("trim(__note) <> ''")
+    by = [*keys, "__order", "__note"]
+    # Lists that come sorted are sorted again in one pass.
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id())
+    listed = lambda place, text: F.sort_array(F.collect_list(F.struct(place, text))).alias("__l")
+    parts = ranged.groupBy(*keys, "__part").agg(listed("__order", "__note")).select(*keys, "__part", F.array_join("__l.__note", "; ").alias("__text"))
+    return parts.groupBy(*keys).agg(listed("__part", "__text")).select(*keys, F.array_join("__l.__text", "; ").alias(name))
 
 
 def top_fraction(df: DataFrame, key: str, value: str, fraction: float) -> DataFrame:
