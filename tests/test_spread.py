@@ -19,3 +19,23 @@ def test_long_notes_are_joined_by_ranges(spark):
     want = {k: "; ".join(n for _, n in sorted((p, n) for key, p, n in rows if key == k and n and n.strip())) for k in ("a", None, "b")}
     assert {r.k: r.notes for r in out.collect()} == want
     assert "rangepartitioning" in plan(out).lower()
+
+
+def test_masks_of_a_small_file_are_drawn_in_many_tasks(spark):
+    masks = array_queries._masks(spark, "/root/testdata/sf0.001")
+    for rows in (masks, shapes.shape_measures(masks, ["p_partkey"], "mask", "height", "width")):
+        assert rows.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+    for r in masks.limit(50).join(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), "p_partkey").collect():
+        want = np.zeros((16, 16), np.uint8)
+        want[r.p_size % 11 : r.p_size % 11 + 4, r.p_partkey % 10 : r.p_partkey % 10 + 5] = 1
+        assert r.mask == want.tobytes()
+
+
+def test_equal_masks_of_other_sizes_are_told_apart(spark):
+    """Masks are measured once by their bytes and both sizes; a second component still counts."""
+    bits = bytes([0, 1, 1, 0, 0, 0, 0, 0, 1, 0, 0, 0])
+    rows = [(k, bits, h, w) for k, (h, w) in enumerate([(3, 4), (4, 3), (2, 6), (3, 4), (1, 12)] * 3)] + [(99, None, 3, 4), (98, b"", 0, 0)]
+    got = {r.k: list(r)[1:] for r in shapes.shape_measures(spark.createDataFrame(rows, "k int, m binary, h int, w int").coalesce(1), ["k"], "m", "h", "w").collect()}
+    for k, m, h, w in rows:
+        want = shapes.measures(np.frombuffer(m, np.uint8).reshape(h, w)) if m else [None] * 8
+        assert got[k][:7] == want[:7] and (not m or [tuple(p) for p in got[k][7]] == [(p["x"], p["y"]) for p in want[7]])
