@@ -74,16 +74,23 @@ def diameter(points: list[tuple[float, float]]) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def largest_distance(points: pd.Series) -> pd.Series:
-    """The largest distance between two of an array of structs x and y; points that lack one of them
-    are left out, and without points it is null."""
+def _largest_distance(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    def one(x, y):
+        if x is None:
+            return None
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        known = ~(np.isnan(x) | np.isnan(y))
+        return diameter(list(zip(x[known].tolist(), y[known].tolist()))) if known.any() else None
+
+    return pd.Series([one(x, y) for x, y in zip(xs, ys)], dtype=float)
 
-    def one(listed):
-        known = [] if listed is None else [(float(p["x"]), float(p["y"])) for p in listed if p is not None and p["x"] is not None and p["y"] is not None]
-        known = [p for p in known if p[0] == p[0] and p[1] == p[1]]
-        return diameter(known) if known else None
 
-    return pd.Series([one(p) for p in points], dtype=float)
+def largest_distance(points: Column | str) -> Column:
+    """The largest distance between two of an array of structs x and y; points that lack one of them
+    are left out, and without points it is null. Coordinates go to Python as two arrays: a batch of
+    structs would be a dictionary a point there."""
+    side = lambda name: F.transform(points, lambda p: p[name].cast("double"))
+    return _largest_distance(side("x"), side("y"))
 
 
 def radial_profile(contour: Column, x: Column, y: Column, points: int = 100) -> Column:

@@ -39,3 +39,13 @@ def test_equal_masks_of_other_sizes_are_told_apart(spark):
     for k, m, h, w in rows:
         want = shapes.measures(np.frombuffer(m, np.uint8).reshape(h, w)) if m else [None] * 8
         assert got[k][:7] == want[:7] and (not m or [tuple(p) for p in got[k][7]] == [(p["x"], p["y"]) for p in want[7]])
+
+
+def test_distances_are_taken_of_numbers_not_of_structs(spark):
+    """What goes to Python is arrays of numbers; points that lack a coordinate are left out."""
+    rows = [(1, [(0.0, 0.0), (3.0, 4.0), (None, 99.0), (99.0, None)]), (2, [None, (1.0, 1.0)]), (3, []), (4, None), (5, [(float("nan"), 0.0)]), (6, [(0.0, 0.0), None, (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])]
+    frame = spark.createDataFrame(rows, "k int, p array<struct<x:double,y:double>>")
+    got = frame.select("k", arrays.largest_distance(F.col("p")).alias("d"))
+    assert {r.k: r.d for r in got.collect()} == {1: 5.0, 2: 0.0, 3: None, 4: None, 5: None, 6: 2**0.5}
+    evaluated = next(line for line in plan(got).splitlines() if "ArrowEvalPython" in line)
+    assert "largest_distance(p#" not in evaluated
