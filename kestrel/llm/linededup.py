@@ -26,6 +26,10 @@ from kestrel.llm.common import written
 K, EVERY = 2, 6
 #: Bits of a field of the edit distance: a band of 2 K + 1 diagonals and room beside it. K + 1 fields make an int.
 FIELD = 3 * K + 2
+#: Pieces of a line that are looked for in another one before their distance is taken.
+PIECES = 4 * K
+#: Steps by which lines are found to be alike from their ends on, in halves.
+STEPS = [1 << x for x in range(15, -1, -1)]
 #: Rows of keys of lines that may go to every task: at most 30 MB. More are joined by a shuffle.
 BROADCAST = 300_000
 #: Lines under keys that more than about CROWD lines are filed under, up to HOT keys (the most frequent,
@@ -95,55 +99,92 @@ def _within(a: str, b: str, most: Column) -> Column:
         return functools.reduce(Column.bitwiseOR, [F.shiftleft(kept, (FIELD + 1) * e) for e in range(1, K + 1)], kept).bitwiseAND(mask)
 
     start = F.lit(sum(1 << FIELD * e + K + d for e in range(K + 1) for d in range(e + 1)))
-    # An array of one binds the characters, which are cut once a pair; an empty line is cut into one part.
-    characters = F.array(F.struct(F.slice(F.split(a, ""), F.lit(1), F.length(a)).alias("a"), F.split(b, "").alias("b")))
-    ends = F.get(F.transform(characters, lambda line: F.aggregate(equal(line), start, step)), F.lit(0))
+    ends = _bound(_middles(_pair(a, b)), lambda line: F.aggregate(equal(line), start, step))
     longer = F.length(b) - F.length(a)
-    return F.when(F.abs(longer) <= most, F.getbit(ends, FIELD * most + K + longer) == 1).otherwise(False)
+    return F.when(F.abs(longer) <= most, F.getbit(F.get(ends, F.lit(0)), FIELD * most + K + longer) == 1).otherwise(False)
 
 
-def _near(a: str, b: str) -> Column:
-    """Whether the two lines are within the edits allowed for the shorter one."""
-    return _within(a, b, _allowed(F.least(F.length(a), F.length(b))))
+def _bound(x: Column, function) -> Column:
+    """An array of one of the function's value for the one in x, which binds it: what is used several
+    times in higher-order functions is otherwise made anew each time."""
+    return F.transform(x, function)
 
 
-def _start(length: Column, i: int, segments: int) -> Column:
-    """Where segment i (from 0) of a line begins, from 1: the last segments are the longer."""
-    base, longer = F.floor(length / segments), F.pmod(length, F.lit(segments))
-    return F.lit(1) + base * i + F.greatest(F.lit(0), i - (segments - longer))
+def _pair(a: str, b: str) -> Column:
+    """Two lines and their lengths, bound."""
+    return F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.length(a).alias("na"), F.length(b).alias("nb"), F.least(F.length(a), F.length(b)).alias("least")))
+
+
+def _grown(most: Column, same) -> Column:
+    """The largest number up to most and below twice the largest of STEPS for which same holds, if it
+    holds for all smaller ones."""
+    return F.aggregate(F.array(*[F.lit(x) for x in STEPS]), F.lit(0), lambda n, more: F.when((n + more <= most) & same(n + more), n + more).otherwise(n))
+
+
+def _middles(pair: Column) -> Column:
+    """The characters of both lines between what they begin with and what they end with alike, which
+    the edit distance does not depend on."""
+    begun = _bound(pair, lambda x: F.struct(x.alias("x"), _grown(x.least, lambda n: F.substr(x.a, F.lit(1), n) == F.substr(x.b, F.lit(1), n)).alias("at")))
+    ended = _bound(begun, lambda y: F.struct(y.x.alias("x"), y.at.alias("at"), _grown(y.x.least - y.at, lambda n: F.substr(y.x.a, y.x.na - n + 1) == F.substr(y.x.b, y.x.nb - n + 1)).alias("end")))
+    # An empty line is cut into one part, so what is gone through is cut to its length.
+    cut = lambda z, line, n: F.split(F.substr(line, z.at + 1, n - z.at - z.end), "")
+    return _bound(ended, lambda z: F.struct(F.slice(cut(z, z.x.a, z.x.na), F.lit(1), z.x.na - z.at - z.end).alias("a"), cut(z, z.x.b, z.x.nb).alias("b")))
+
 
+def _holds(a: str, b: str) -> Column:
+    """Whether b has all but `most` of PIECES pieces of a within `most` places of where a has them, for the
+    edits allowed for the shorter one. Of near lines it does, as an edit changes one piece at most and moves
+    the others by one place."""
+    pieces = F.lit(PIECES)
 
-def _size(length: Column, i: int, segments: int) -> Column:
-    return F.floor(length / segments) + F.when(F.pmod(length, F.lit(segments)) >= segments - i, 1).otherwise(0)
+    def held(x: Column, i: Column) -> Column:
+        start, size, most = _start(x.na, i, pieces), _size(x.na, i, pieces), _allowed(x.least)
+        return F.contains(F.substr(x.b, F.greatest(F.lit(1), start - most), size + most * 2), F.substr(x.a, start, size))
+
+    found = _bound(_pair(a, b), lambda x: F.size(F.filter(F.sequence(F.lit(0), pieces - 1), lambda i: held(x, i))) >= pieces - _allowed(x.least))
+    return F.get(found, F.lit(0))
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether the two lines are within the edits allowed for the shorter one. Most pairs that share a
+    segment differ in many pieces, which is told without going through their characters."""
+    return F.when(_holds(a, b), _within(a, b, _allowed(F.least(F.length(a), F.length(b))))).otherwise(False)
+
+
+def _start(length: Column, i: Column, segments: Column) -> Column:
+    """Where segment i (from 0) of a line begins, from 1: the last segments are the longer."""
+    base, longer = F.floor(length / segments), F.pmod(length, segments)
+    return (F.lit(1) + base * i + F.greatest(F.lit(0), i - (segments - longer))).cast("int")
 
 
-def _key(line: Column, length: Column, e: int, i: int, shift: int = 0) -> Column:
-    """The key of segment i of lines of a length, taken from line at a shift of its place."""
-    part = F.substr(line, (_start(length, i, e + 1) + shift).cast("int"), _size(length, i, e + 1).cast("int"))
-    return F.xxhash64(F.lit(i), length.cast("int"), part)
+def _size(length: Column, i: Column, segments: Column) -> Column:
+    return (F.floor(length / segments) + F.when(F.pmod(length, segments) >= segments - i, 1).otherwise(0)).cast("int")
 
 
-def _filed(line: Column, n: Column) -> Column:
-    """Keys of the line's own segments."""
-    keys = F.array().cast("array<bigint>")
-    for e in range(1, K + 1):
-        keys = F.when(_allowed(n) == e, F.array(*[_key(line, n, e, i) for i in range(e + 1)])).otherwise(keys)
-    return keys
+#: What a line is filed under, and what it is looked up by: (less, e, i, shift) is segment i of lines for
+#: which e edits are allowed and which are shorter by less, taken at a shift of its place.
+FILED = [(0, e, i, 0) for e in range(1, K + 1) for i in range(e + 1)]
+#: For segment i at most i edits come before it or at most e - i after it; both bound its shift, and
+#: it is enough to look where both hold.
+PROBES = [
+    (less, e, i, shift)
+    for less in range(K + 1) for e in range(max(1, less), K + 1) for i in range(e + 1)
+    for shift in range(max(-i, less - (e - i)), min(i, less + e - i) + 1)
+]
 
 
-def _probes(line: Column, n: Column) -> Column:
-    """Keys of the substrings that may be a segment of a line as long or up to K shorter.
+def _keys_of(texts: DataFrame, places: list[tuple[int, int, int, int]]) -> DataFrame:
+    """h1, line and key, a row for each of the places that a line has.
 
-    For segment i of a line with e edits at most i edits come before it or at most e - i after
-    it; both bound its shift, and it is enough to look where both hold.
+    The places are rows and one expression makes the key of each: written out place by place the
+    code would be a method of more than 8000 bytes, which the JVM interprets and never compiles.
     """
-    keys = []
-    for less in range(K + 1):
-        for e in range(max(1, less), K + 1):
-            shifts = [(i, shift) for i in range(e + 1) for shift in range(max(-i, less - (e - i)), min(i, less + e - i) + 1)]
-            found = F.array(*[_key(line, n - less, e, i, shift) for i, shift in shifts])
-            keys.append(F.when(_allowed(n - less) == e, found).otherwise(F.array().cast("array<bigint>")))
-    return F.concat(*keys)
+    names = ("less", "e", "i", "shift")
+    table = F.array(*[F.struct(*[F.lit(x).alias(name) for name, x in zip(names, place)]) for place in places])
+    length, segments = F.col("n") - F.col("less"), F.col("e") + 1
+    rows = texts.select("h1", "line", "n", F.inline(table)).where(_allowed(length) == F.col("e"))
+    part = F.substr("line", _start(length, F.col("i"), segments) + F.col("shift"), _size(length, F.col("i"), segments))
+    return rows.select("h1", "line", F.xxhash64("i", length, part).alias("key"))
 
 
 def _pick(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -163,8 +204,7 @@ def near_links(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     """Pairs of distinct near lines: (a1, a2) and (b1, b2), their hashes, a1 <= b1."""
     long = firsts.where(F.col("n") >= EVERY).select("first.doc", "first.dkey", "first.line_no", "h1")
     texts = _pick(documents, long)
-    filed = texts.select("h1", "line", F.explode(_filed(F.col("line"), F.col("n"))).alias("key"))
-    probes = texts.select("h1", "line", F.explode(_probes(F.col("line"), F.col("n"))).alias("key"))
+    filed, probes = _keys_of(texts, FILED), _keys_of(texts, PROBES)
     counted = filed.where(F.pmod("h1", F.lit(COUNTED)) == 0).groupBy("key").agg(F.count("*").alias("n"))
     crowded = counted.where(F.col("n") > CROWD // COUNTED)
     hot = F.broadcast(crowded.orderBy(F.col("n").desc(), "key").limit(HOT).select("key", F.lit(True).alias("hot")))
