@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm import bpe, decontaminate, linededup, simhash, toxicity
-from kestrel.llm.common import table, written
+from kestrel.llm.common import discarded, table, written
 from kestrel.llm.queries import VOCABULARY
 
 
@@ -49,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discarded(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

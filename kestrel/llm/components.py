@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import written
+from kestrel.llm.common import discarded, shuffles_dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,13 +26,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) for each node of the pairs (a, b), a < b.
 
-    Each round is written to the shared folder; the rounds grow with the logarithm of the
+    Each round is written to the shared folder and the one before deleted; the rounds grow with the logarithm of the
     components' diameter. Only two figures of a round reach the driver.
     """
     edges = written(edges, "edges")
     before = None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        with shuffles_dropped(edges.sparkSession):
+            now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-        before, edges = now, written(_small_star(_large_star(edges)), "edges")
+        before, last = now, edges
+        edges = written(_small_star(_large_star(last)), "edges")
+        discarded(last)

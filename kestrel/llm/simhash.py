@@ -13,8 +13,11 @@ These links only join groups early. A prefix join then finds every other pair: w
 shingles of each text in one order, the rare ones first, two sets of a similarity of 0.8 share
 one among the first fifth of the larger and the first ninth of the smaller. All pairs that so
 meet and are not yet in one component are compared. Texts that share no more than a passage or
-template have their own words first and do not meet. The exact similarity of the sets decides
-on each candidate of either way.
+template have their own words first and do not meet. Of the candidates of either way those go
+whose sets differ in too many shingles by their parities alone (a bit a shingle, not 64). The
+exact similarity of the sets decides on each of the others.
+
+Tables on the way are deleted as soon as what reads them is written.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import map_arrow, texts_of, written
+from kestrel.llm.common import discarded, map_arrow, shuffles_dropped, texts_of, written
 from kestrel.llm.components import components
 
 DISTANCE = 3
@@ -171,7 +174,8 @@ def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
         return {"shingle": np.concatenate(found).view(np.int64)}
 
     counts = map_arrow(rows.select("t"), run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 3")
-    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle")
+    with shuffles_dropped(rows.sparkSession):
+        top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle")
     return top["shingle"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
@@ -185,9 +189,34 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np
     return shingles[np.lexsort((shingles, numbers))][: len(shingles) // 5 + 1]
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Whether an odd number of a text's different shingles falls into each of at least as many parts
+    of their values, a power of two of them and 64 at least."""
+    parts = max(64, 1 << (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(parts - 1)).astype(np.int64), minlength=parts)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """A number of shingles in which two sets differ at least, by their parities: one in each part in
+    which these differ. The longer is folded to the shorter, as its parts are parts of the other's."""
+    short, long = sorted((np.frombuffer(x, "<u8") for x in (a, b)), key=len)
+    return int(np.bitwise_count(short ^ np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)).sum())
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a similarity of 0.8 or more."""
-    pairs = written(pairs, "candidates")
+    """The pairs (a, b) of nodes whose sets of shingles have a similarity of 0.8 or more, as a written table."""
+    ends = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("parities").alias(f"{x}_parities")) for x in "ab")
+
+    def maybe(batch):
+        # 4 (n + m) / 9 in common leaves (n + m) / 9 that are in one set alone.
+        a, b, size = (batch.column(c).to_pylist() for c in ("a_parities", "b_parities", "size"))
+        return {**{c: batch.column(c) for c in "ab"}, "maybe": [9 * differing(x, y) <= n for x, y, n in zip(a, b, size)]}
+
+    for x, end in zip("ab", ends):
+        pairs = pairs.join(end, x)
+    pairs = map_arrow(pairs.select("a", "b", "a_parities", "b_parities", (F.col("a_n") + F.col("b_n")).alias("size")), maybe, "a long, b long, maybe boolean")
+    pairs = written(pairs.where("maybe").select("a", "b"), "candidates")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     needed = written(ends.join(nodes.select("node", "text_key"), "node"), "candidate-texts")
     keys = needed.select("text_key", "node")
@@ -209,11 +238,13 @@ def _near(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> Da
         return {**{c: batch.column(c) for c in "ab"}, "near": near}
 
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "a_set", "b_set")
-    return map_arrow(met, compare, "a long, b long, near boolean").where("near").select("a", "b")
+    near = written(map_arrow(met, compare, "a long, b long, near boolean").where("near").select("a", "b"), "near-texts")
+    discarded(pairs, needed, sets)
+    return near
 
 
 def _rest(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes in different components that can have a similarity of 0.8.
+    """All pairs (a, b) of nodes in different components that can have a similarity of 0.8, as a written table.
 
     A pair of n and m shingles needs 4 (n + m) / 9 in common, which are at and after the first
     common one's places in the two.
@@ -227,7 +258,9 @@ def _rest(nodes: DataFrame, found: DataFrame) -> DataFrame:
     a = placed.where("n >= 9 * i").select("key", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "i", "component")])
     b = placed.select("key", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "i", "component")])
     meet = a.join(b, "key").where("a_component <> b_component and (a_n < b_n or a_n = b_n and a_node < b_node) and 9 * least(a_n - a_i, b_n - b_i) >= 4 * (a_n + b_n)")
-    return meet.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    pairs = written(meet.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "met")
+    discarded(placed)
+    return pairs
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
@@ -238,21 +271,24 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     held = df.sparkSession.sparkContext.broadcast(_frequent(rows, words))
 
     def run(batch):
-        prints, sizes, sets, prefixes = [], [], [], []
+        prints, sizes, sets, odd, prefixes = [], [], [], [], []
         for t in texts_of(batch, "t"):
             hashes = shingle_hashes(t, words)
             shingles = np.unique(hashes)
             prints.append(np.packbits(wide_fingerprint(hashes), bitorder="little").view("<i8"))
             sets.append(xxhash.xxh3_128_digest(shingles.tobytes()))
             sizes.append(len(shingles))
+            odd.append(parities(shingles))
             prefixes.append(prefix(shingles.view(np.int64), *held.value))
-        return {**{c: batch.column(c) for c in ("doc_id", "text_key")}, "set": sets, "n": sizes, "fingerprint": prints, "prefix": prefixes}
+        return {**{c: batch.column(c) for c in ("doc_id", "text_key")}, "set": sets, "n": sizes, "parities": odd, "fingerprint": prints, "prefix": prefixes}
 
-    prints = written(map_arrow(rows, run, "doc_id long, text_key binary, set binary, n long, fingerprint array<long>, prefix array<long>"), "wide-fingerprints")
-    one_of = F.any_value(F.struct("text_key", "n", "fingerprint", "prefix")).alias("x")
+    prints = written(map_arrow(rows, run, "doc_id long, text_key binary, set binary, n long, parities binary, fingerprint array<long>, prefix array<long>"), "wide-fingerprints")
+    one_of = F.any_value(F.struct("text_key", "n", "parities", "fingerprint", "prefix")).alias("x")
     # Different sets of shingles get numbers, which hold once they are written.
     nodes = prints.groupBy("set").agg(F.min("doc_id").alias("first"), one_of)
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "set", "first", "x.*"), "wide-nodes")
+    members = written(prints.select("doc_id", "text_key", "set"), "text-sets")
+    discarded(prints)
     places = block_places(nodes.count())
     places = places[: WIDE * 64 // places.shape[1]]  # the first order: the prefix join finds what one misses
     powers, numbers = 1 << np.arange(places.shape[1], dtype=np.int64), np.arange(len(places), dtype=np.int64) << places.shape[1]
@@ -271,13 +307,17 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     differ = F.aggregate(F.zip_with("least_bits", "node_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
     nearest = met.join(one, "least").join(two, "node").select("least", "node", differ.alias("differ")).where(F.col("differ") <= distance)
     nearest = nearest.groupBy("node").agg(F.min_by("least", F.struct("differ", "least")).alias("least"))
-    linked = components(_near(nearest.select(F.col("least").alias("a"), F.col("node").alias("b")), nodes, rows, words))
-    rest = _near(_rest(nodes, linked), nodes, rows, words)
+    early = _near(nearest.select(F.col("least").alias("a"), F.col("node").alias("b")), nodes, rows, words)
+    linked = components(early)
+    pairs = _rest(nodes, linked)
+    rest = _near(pairs, nodes, rows, words)
     found = components(linked.where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b")).union(rest))
     joined = nodes.select("node", "set", "first").join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("component", F.coalesce("component", "node"))
     firsts = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = joined.select("set", "component").join(firsts, "component").select("set", "component_id")
-    return prints.select("doc_id", "text_key", "set").join(labels, "set").select("doc_id", "text_key", "component_id")
+    out = written(members.join(labels, "set").select("doc_id", "text_key", "component_id"), "similar")
+    discarded(early, pairs, rest, nodes, members)
+    return out
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
