@@ -62,6 +62,23 @@ def rejected(raw: np.ndarray, n: int) -> np.ndarray:
     return raw * np.uint32(n) < np.uint32(((1 << 32) - n) % n)
 
 
+#: Numbers of the stream that are tested at a time, so that what is made of them stays in a core's cache.
+TESTED = 1 << 16
+
+
+def rejected_at(raw: np.ndarray, n: int) -> np.ndarray:
+    """The places of the rejected() numbers, of which there are few: they are looked for eight at a time."""
+    low, hit, found = np.empty(TESTED, np.uint32), np.zeros(TESTED, bool), []
+    for a in range(0, len(raw), TESTED):
+        part = raw[a : a + TESTED]
+        np.multiply(part, np.uint32(n), out=low[: len(part)])
+        np.less(low[: len(part)], np.uint32(((1 << 32) - n) % n), out=hit[: len(part)])
+        hit[len(part) :] = False
+        eights = (np.flatnonzero(hit.view(np.uint64) != 0)[:, None] * 8 + np.arange(8)).ravel()
+        found.append(a + eights[hit[eights]])
+    return np.concatenate(found)
+
+
 def drawn(seed: int, block: int, n: int, size: int = DRAWN) -> np.ndarray:
     """What a block of the generator's stream contributes to integers below n: the places that are
     not rejected, in order."""
@@ -69,6 +86,58 @@ def drawn(seed: int, block: int, n: int, size: int = DRAWN) -> np.ndarray:
     return (raw[~rejected(raw, n)].astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+@lru_cache(maxsize=4)
+def pieces(seed: int, block: int, size: int, piece: int) -> np.ndarray:
+    """The numbers of stream() in pieces, each in rising order; kept like these."""
+    return np.sort(stream(seed, block, size).reshape(-1, piece), axis=1)
+
+
+def piece_length(n: int, distinct: int, size: int) -> int:
+    """Length of the pieces of a block in which draws below n of so many distinct values are counted: long
+    ones are counted at little more cost, but where a resample begins part of one is looked up draw by
+    draw. 0 if pieces would not be much shorter than a resample; then all draws are looked up."""
+    piece = min(size, 1 << (math.isqrt(n * (100 + 11 * distinct)).bit_length() - 1))
+    return piece if 8 * piece <= n and size % piece == 0 else 0
+
+
+def first_numbers(counts: np.ndarray) -> np.ndarray:
+    """The first number of the stream that stands for each distinct value but the first, given their counts."""
+    ends = np.cumsum(counts[:-1]).astype(np.uint64) << np.uint64(32)
+    return ((ends - np.uint64(1)) // np.uint64(counts.sum()) + np.uint64(1)).astype(np.uint32)
+
+
+def resampled(raw: np.ndarray, ordered: np.ndarray, start: int, n: int, resamples: int, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sums of a block's draws for each resample that it touches, from the number start // n on, where
+    `start` draws come before the block and `ordered` has the block in pieces of less than n.
+
+    How many of a piece's draws have a value follows from the places of its first number in rising
+    order; rejected ones are taken off. A piece in which a resample begins is parted: the shorter side is
+    looked up, the other has the rest.
+    """
+    out, size, piece = rejected_at(raw, n), len(raw), ordered.shape[1]
+    drawn = min(size - len(out), resamples * n - start)
+    if drawn <= 0:
+        return np.zeros(0)
+    firsts = first_numbers(counts)
+    below = np.array([p.searchsorted(firsts) for p in ordered])
+    held = np.diff(below, axis=1, prepend=0, append=piece)
+    np.subtract.at(held, (out // piece, np.searchsorted(firsts, raw[out], side="right")), 1)
+    sums = held @ values
+    # Where resamples begin (but the first) or the draws end within the block, as places in raw.
+    begins = np.arange(start // n + 1, (start + size - len(out) - 1) // n + 1) * n - start
+    begins = begins[begins <= drawn]
+    at = begins + np.searchsorted(out - np.arange(len(out)), begins, side="right")
+    parted, rests = at // piece, np.empty(len(at))
+    for k, (a, q) in enumerate(zip(at.tolist(), parted.tolist())):
+        left = 2 * (a - q * piece) <= piece
+        side = raw[q * piece : a] if left else raw[a : (q + 1) * piece]
+        found = values[np.searchsorted(firsts, side[~rejected(side, n)], side="right")].sum()
+        rests[k] = sums[q] - found if left else found
+        sums[q] = found if left else sums[q] - found
+    sums = np.add.reduceat(np.insert(sums, parted + 1, rests), np.concatenate([[0], parted + 1 + np.arange(len(at))]))
+    return sums[: (start + drawn - 1) // n + 1 - start // n]
+
+
 def valued(raw: np.ndarray, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The values at the places that numbers of the stream stand for in a sorted list, given as distinct
     values and their counts.
@@ -76,9 +145,7 @@ def valued(raw: np.ndarray, values: np.ndarray, counts: np.ndarray) -> np.ndarra
     Places rise with the numbers, so each value has a range of numbers, and the upper 16 bits tell it
     but for the few in which a range begins; those, and lists of very many values, are searched.
     """
-    n = int(counts.sum())
-    # The first number of each value but the first.
-    firsts = ((np.cumsum(counts[:-1]).astype(np.uint64) << np.uint64(32)) - np.uint64(1)) // np.uint64(n) + np.uint64(1)
+    firsts = first_numbers(counts).astype(np.uint64)
     if len(firsts) > 2048:
         return values[np.searchsorted(firsts, raw, side="right")]
     ends = (firsts + np.uint64(0xFFFF)) >> np.uint64(16)
@@ -113,7 +180,8 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 10
     The draws of a group are cut into blocks of the generator's stream, which tasks draw apart and
     of which only a sum for each resample leaves. Values are counted first: a block's row holds the
     group's distinct values, those of one plotted point, and their counts. A group has under 2^32 values.
-    Rows go by blocks, so that a task makes a block's numbers once for its groups.
+    Rows go by blocks, so that a task makes a block's numbers once for its groups, and sorts them once:
+    a large group's draws are counted by value in sorted pieces, not looked up one by one.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
     listed = F.array_sort(F.collect_list(F.struct("__v", "__n")))
@@ -137,21 +205,31 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, resamples: int = 10
     starts = sizes.select(*keys, F.col("n").alias("__of"), "__block", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")).where(F.expr(f"__start < __of * {resamples}"))
     work = points.alias("a").join(starts.alias("b"), ranks.same("a", "b", keys)).select(*[f"a.{c}" for c in points.columns], "b.__block", "b.__start")
 
+    def sums_of(row: dict) -> np.ndarray:
+        """The sums of a row's block for each resample that it touches, from __start // n on."""
+        n, start, block = int(row["n"]), int(row["__start"]), int(row["__block"])
+        values, counts = np.asarray(row["__values"]), np.asarray(row["__counts"])
+        raw, piece = stream(seed, block, size), piece_length(n, len(values), size)
+        if piece and np.isfinite(values).all():
+            return resampled(raw, pieces(seed, block, size, piece), start, n, resamples, values, counts)
+        out = rejected_at(raw, n)
+        # Few are out: the stretches between them are copied faster than chosen one by one.
+        raw = np.delete(raw, out) if len(out) > 1000 else np.concatenate([raw[a:b] for a, b in zip([0, *(out + 1)], [*out, size])])
+        raw = raw[: resamples * n - start]
+        # Where each resample that the block touches begins in it.
+        begins = np.maximum(np.arange(start // n, (start + len(raw) - 1) // n + 1) * n - start, 0)
+        return np.add.reduceat(valued(raw, values, counts), begins) if len(raw) else np.zeros(0)
+
     def draw(frames):
         for frame in frames:
-            for row in frame.to_dict("records"):
-                n, start = int(row["n"]), int(row["__start"])
-                raw = stream(seed, int(row["__block"]), size)
-                out = np.flatnonzero(rejected(raw, n))
-                # Few are out: the stretches between them are copied faster than chosen one by one.
-                raw = np.delete(raw, out) if len(out) > 1000 else np.concatenate([raw[a:b] for a, b in zip([0, *(out + 1)], [*out, size])])
-                raw = raw[: resamples * n - start]
-                values = valued(raw, np.asarray(row["__values"]), np.asarray(row["__counts"]))
-                first = start // n
-                # Where each resample that the block touches begins in it.
-                begins = np.maximum(np.arange(first, (start + len(raw) - 1) // n + 1) * n - start, 0) if len(raw) else np.zeros(0, int)
-                sums = np.add.reduceat(values, begins) if len(raw) else values
-                yield pd.DataFrame({**{k: [row[k]] * len(sums) for k in keys}, "n": n, "mean": row["mean"], "__resample": first + np.arange(len(sums)), "__sum": sums})
+            rows = frame.to_dict("records")
+            # A frame for some rows of work, as making one takes longer than many rows' few sums.
+            for at in range(0, len(rows), 64):
+                part = rows[at : at + 64]
+                sums = [sums_of(row) for row in part]
+                again = lambda c: [x for row, s in zip(part, sums) for x in [row[c]] * len(s)]  # noqa: B023, E731
+                numbers = np.concatenate([int(row["__start"]) // int(row["n"]) + np.arange(len(s)) for row, s in zip(part, sums)])
+                yield pd.DataFrame({**{k: again(k) for k in keys}, "n": again("n"), "mean": again("mean"), "__resample": numbers, "__sum": np.concatenate(sums)})
 
     kinds = "".join(f"{c} {dict(df.dtypes)[c]}, " for c in keys)
     parts = dealt(work, "__block", *keys).mapInPandas(draw, f"{kinds}n long, mean double, __resample long, __sum double")

@@ -69,3 +69,39 @@ def test_a_group_is_drawn_by_several_tasks(spark):
     means = (np.arange(2000) // 40)[np.random.default_rng(0).integers(0, 2000, size=(1000, 2000))].mean(axis=1)
     assert (r.low, r.high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-12)
     assert out._jdf.queryExecution().toString().count("REPARTITION_BY_NUM") >= 2
+
+
+def looked_up(raw, start, n, resamples, values, counts):
+    """The sums of resamples with each draw looked up on its own."""
+    raw = raw[~stats.rejected(raw, n)][: max(0, resamples * n - start)]
+    begins = np.maximum(np.arange(start // n, (start + len(raw) - 1) // n + 1) * n - start, 0)
+    return np.add.reduceat(stats.valued(raw, values, counts), begins) if len(raw) else np.zeros(0)
+
+
+@pytest.mark.parametrize("most", [3, 200, 100_000, 40_000_000])
+def test_counted_draws_are_those_looked_up(most):
+    """Resamples that begin at a block's or piece's ends, draws that end within the block and many rejected ones included."""
+    rng = np.random.default_rng(most)
+    for trial in range(200):
+        size, k = 1 << int(rng.integers(6, 14)), int(rng.integers(1, 40))
+        counts, values = rng.integers(1, most, k), rng.integers(-50, 50, k).astype(float)
+        n, resamples, block = int(counts.sum()), int(rng.integers(1, 40)), int(rng.integers(0, 50))
+        piece = 1 << int(rng.integers(3, 13))
+        if piece > min(size, n // 2):
+            continue
+        start = int(rng.integers(0, resamples * n + 2)) if trial % 2 else max(0, resamples * n - int(rng.integers(0, size)))
+        raw, ordered = stats.stream(0, block, size), stats.pieces(0, block, size, piece)
+        assert np.array_equal(stats.resampled(raw, ordered, start, n, resamples, values, counts), looked_up(raw, start, n, resamples, values, counts))
+        assert np.array_equal(stats.rejected_at(raw, n), np.flatnonzero(stats.rejected(raw, n)))
+
+
+def test_large_groups_draws_are_counted_in_pieces(spark):
+    """Not looked up one by one, with the published generator's results; groups with values that are not finite are."""
+    assert stats.piece_length(4_000_000, 50, 1 << 20) == 1 << 15 and stats.piece_length(1000, 50, 1 << 20) == 0
+    assert stats.piece_length(200_000, 200_000, 1 << 20) == 0
+    df = spark.range(100_000).select(F.lit("g").alias("k"), (F.col("id") % 40).cast("double").alias("v"))
+    df = df.union(spark.range(50_000).select(F.lit("h"), F.when(F.col("id") == 7, float("inf")).otherwise(F.col("id") % 10)))
+    got = {r.k: r for r in stats.bootstrap_ci(df, ["k"], "v", 30).collect()}
+    means = (np.arange(100_000) // 2500)[np.random.default_rng(0).integers(0, 100_000, size=(30, 100_000))].mean(axis=1)
+    assert (got["g"].low, got["g"].high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=1e-9)
+    assert got["h"].high == float("inf")
